@@ -190,7 +190,7 @@ SELECT DATE '{day}' AS snapshot_date, goal_id, user_id, user_name, goal_title, t
 FROM j"""
 
 
-def oracle_sql() -> dict[str, str]:
+def mart_sql() -> dict[str, str]:
     return {
         "asset_holdings_asof": asset_holdings_sql(),
         "portfolio_day_stats": portfolio_stats_sql(),
@@ -199,3 +199,173 @@ def oracle_sql() -> dict[str, str]:
         "asset_price_summary": price_summary_sql(),
         "goal_progress": goal_sql(),
     }
+
+
+# ---- single operators --------------------------------------------------------
+
+FIXED_RUN_TS = "2024-01-15 21:00:00"
+MONEY_LINES = ("SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(18,2)) AS price, "
+               "CAST(l_quantity AS DECIMAL(18,2)) AS qty, CAST(l_discount AS DECIMAL(18,2)) AS discount, "
+               "CAST(l_tax AS DECIMAL(18,2)) AS tax FROM lineitem")
+AUDIT_SRC = {
+    "principals": "SELECT c_name AS principal_name FROM customer",
+    "principal_roles": ("SELECT c.c_name AS principal_name, r.o_orderpriority AS principal_role FROM "
+                        "(SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F' "
+                        "AND o_orderdate < TIMESTAMP '1996-01-01 00:00:00') r "
+                        "JOIN customer c ON r.o_custkey = c.c_custkey"),
+    "role_catalog_roles": ("SELECT * FROM (VALUES ('1-URGENT', 'AFRICA'), ('1-URGENT', 'ASIA'), "
+                           "('2-HIGH', 'EUROPE'), ('3-MEDIUM', 'GHOST')) v(principal_role, catalog_role)"),
+    "grants": ("SELECT r.r_name AS catalog_role, 'namespace' AS grant_type, n.n_name AS privilege, "
+               "n.n_nationkey AS grant_order FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey"),
+}
+AUDIT_WITH = "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in AUDIT_SRC.items()) + ",\n" + """
+privs AS (SELECT catalog_role,
+                 string_agg(coalesce(grant_type, 'None') || ':' || coalesce(privilege, 'None'), ', '
+                            ORDER BY grant_order) AS privileges
+          FROM grants GROUP BY catalog_role),
+lookup AS (SELECT p.principal_name, pr.principal_role, rc.catalog_role
+           FROM principals p LEFT JOIN principal_roles pr ON p.principal_name = pr.principal_name
+           LEFT JOIN role_catalog_roles rc ON pr.principal_role = rc.principal_role)
+"""
+
+PRICE_ROWS = ("SELECT event_id AS price_id, user_id AS asset_id, ts AS \"timestamp\", "
+              "CAST(ts AS DATE) AS price_day, CAST(value AS DECIMAL(18,4)) AS buy_price FROM events")
+
+
+def single_operator_sql() -> dict[str, str]:
+    d_o, d_e = D_ORDERS, D_EVENTS
+    q = {}
+    q["filter_asof_day"] = (f"SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_shipdate FROM lineitem "
+                            f"WHERE CAST(l_shipdate AS DATE) <= DATE '{d_o}'")
+    q["filter_on_day"] = (f"SELECT event_id, user_id, event_type, value, ts FROM events "
+                          f"WHERE CAST(ts AS DATE) = DATE '{d_e}'")
+    q["filter_raw_date"] = (f"SELECT o_orderkey, o_custkey, o_orderdate FROM orders "
+                            f"WHERE o_orderdate = TIMESTAMP '{d_o} 00:00:00'")
+    q["filter_month_to_date"] = (f"SELECT o_orderkey, o_custkey, o_orderdate FROM orders "
+                                 f"WHERE o_orderdate >= TIMESTAMP '{d_o[:8]}01 00:00:00' "
+                                 f"AND o_orderdate <= TIMESTAMP '{d_o} 00:00:00'")
+    q["filter_any_positive"] = ("SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem "
+                                "WHERE l_discount > 0 OR l_tax > 0")
+    q["project_rename"] = "SELECT c_custkey AS user_id, c_name AS user_name FROM customer"
+    q["stamp_columns"] = (f"SELECT c_custkey AS user_id, c_name AS user_name, DATE '{d_o}' AS snapshot_date, "
+                          f"TIMESTAMP '{FIXED_RUN_TS}' AS created_at FROM customer")
+    q["fill_nulls"] = ("SELECT d.doc_id, coalesce(l.quality, 0) AS quality, coalesce(l.toxic, 0) AS toxic "
+                       "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+    q["derive_flag"] = "SELECT l_orderkey, l_linenumber, l_tax > l_discount AS tax_over_discount FROM lineitem"
+    q["join_inner_expr"] = ("SELECT l.l_orderkey, l.l_linenumber, o.o_custkey, p.p_brand FROM lineitem l "
+                            "JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey")
+    q["join_inner_using"] = (with_sources("budgets", "categories") +
+                             "SELECT b.user_id, b.category_id, c.name AS category_name, b.amount "
+                             "FROM budgets b JOIN categories c ON b.category_id = c.id")
+    totals = (with_sources("users", "income", "expense", "fixed_pay", "fixed_exp") + """,
+inc AS (SELECT user_id, sum(amount) AS inc_amt FROM income GROUP BY user_id),
+exp AS (SELECT user_id, sum(amount) AS exp_amt FROM expense GROUP BY user_id),
+fix AS (SELECT f.user_id, sum(p.amount) AS fix_amt FROM fixed_pay p JOIN fixed_exp f ON p.expense_id = f.id
+        GROUP BY f.user_id)
+""")
+    q["join_left_chain"] = totals + (
+        "SELECT u.id AS user_id, u.name AS user_name, inc.inc_amt, exp.exp_amt, fix.fix_amt FROM users u "
+        "LEFT JOIN inc ON u.id = inc.user_id LEFT JOIN exp ON u.id = exp.user_id "
+        "LEFT JOIN fix ON u.id = fix.user_id")
+    q["join_header_detail"] = totals + "SELECT user_id, fix_amt FROM fix"
+    q["join_left_composite"] = with_sources("budgets", "cat_expense") + f""",
+spent AS (SELECT user_id, category_id, sum(amount) AS actual_spent FROM cat_expense
+          WHERE date >= DATE '{d_o[:8]}01' AND date <= DATE '{d_o}' GROUP BY user_id, category_id)
+SELECT b.user_id, b.category_id, b.amount AS budget_amount, s.actual_spent FROM budgets b
+LEFT JOIN spent s ON b.user_id = s.user_id AND b.category_id = s.category_id"""
+    q["join_lookup_default"] = AUDIT_WITH + (
+        "SELECT principal_name, coalesce(principal_role, 'NONE') AS principal_role, "
+        "coalesce(catalog_role, 'NONE') AS catalog_role FROM lookup")
+    q["access_matrix"] = AUDIT_WITH + """
+SELECT l.principal_name, coalesce(l.principal_role, 'NONE') AS principal_role,
+       'polaris_catalog' AS catalog_name, coalesce(l.catalog_role, 'NONE') AS catalog_role,
+       CASE WHEN l.principal_role IS NULL OR l.catalog_role IS NULL THEN 'NULL'
+            ELSE coalesce(p.privileges, 'NO_GRANTS') END AS privileges
+FROM lookup l LEFT JOIN privs p ON l.catalog_role = p.catalog_role"""
+    q["agg_privilege_list"] = AUDIT_WITH + "SELECT catalog_role, privileges FROM privs"
+    q["orphan_files"] = (f"SELECT o_orderkey AS file_id, o_orderdate AS modified_at FROM orders "
+                         f"WHERE o_orderdate < TIMESTAMP '{d_o} 00:00:00' - INTERVAL 1 DAY "
+                         f"AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL)")
+    q["agg_sum_by_key"] = with_sources("income") + (
+        "SELECT user_id, sum(amount) AS total_income FROM income GROUP BY user_id")
+    q["agg_sum_composite"] = with_sources("cat_expense") + (
+        "SELECT user_id, category_id, CAST(sum(amount) AS DECIMAL(18,2)) AS total_spent "
+        "FROM cat_expense GROUP BY user_id, category_id")
+    s = "sum(" + units("total_value", 4) + ")"
+    c = "count(total_value)"
+    avg4 = half_up(half_up(f"{s} * 100", c), "100")
+    q["agg_stats"] = with_sources("summary") + f"""
+SELECT user_id, CASE WHEN {c} > 0 THEN {from_units(avg4, 4)} END AS avg_total_value,
+       CAST(min(total_value) AS DECIMAL(38,4)) AS min_total_value,
+       CAST(max(total_value) AS DECIMAL(38,4)) AS max_total_value, {c} AS count_total_value
+FROM summary GROUP BY user_id"""
+    q["agg_first_constant"] = ("SELECT c.c_nationkey, any_value(n.n_name) AS nation_name, count(*) AS n_customers "
+                               "FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey "
+                               "GROUP BY c.c_nationkey")
+    q["compaction_plan"] = """
+SELECT source, count(*) AS total_files, count(*) FILTER (WHERE n_chars < 4000) AS small_files,
+       CAST(coalesce(sum(n_chars) FILTER (WHERE n_chars < 4000), 0) AS BIGINT) AS small_bytes,
+       CAST(ceil(coalesce(sum(n_chars) FILTER (WHERE n_chars < 4000), 0) / 4000) AS BIGINT) AS target_files
+FROM documents GROUP BY source HAVING count(*) FILTER (WHERE n_chars < 4000) > 1"""
+    for key, alias, order in (("window_first_asc", "open_buy_price", "\"timestamp\", price_id"),
+                              ("window_first_desc", "close_buy_price",
+                               "\"timestamp\" DESC, price_id DESC")):
+        q[key] = (f"SELECT price_id, asset_id, price_day, first_value(buy_price) OVER "
+                  f"(PARTITION BY asset_id, price_day ORDER BY {order} "
+                  f"ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS {alias} "
+                  f"FROM ({PRICE_ROWS})")
+    q["snapshot_retention"] = """
+WITH s AS (SELECT user_id AS table_name, event_id AS snapshot_id, ts AS committed_at FROM events),
+cur AS (SELECT table_name, first(snapshot_id ORDER BY committed_at DESC, snapshot_id DESC) AS snapshot_id
+        FROM s GROUP BY table_name)
+SELECT s.table_name, s.snapshot_id, s.committed_at FROM s
+WHERE s.committed_at < (SELECT max(committed_at) FROM s) - INTERVAL 3 DAY
+  AND NOT EXISTS (SELECT 1 FROM cur WHERE cur.table_name = s.table_name AND cur.snapshot_id = s.snapshot_id)"""
+    q["sort_multi_key"] = ("SELECT c_nationkey, c_mktsegment, c_name, c_custkey FROM customer "
+                           "ORDER BY c_nationkey, c_mktsegment, c_name")
+    q["limit_rows"] = ("SELECT o_orderkey, o_custkey, o_totalprice FROM orders "
+                       "ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+    q["fn_to_date"] = "SELECT event_id, CAST(ts AS DATE) AS event_day FROM events"
+    q["fn_datediff"] = (f"SELECT o_orderkey, CAST(date_diff('day', DATE '{d_o}', CAST(o_orderdate AS DATE)) "
+                        f"AS INTEGER) AS days_from_report FROM orders")
+    q["fn_month_start"] = "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS order_month FROM orders"
+    q["fn_parse_date"] = ("SELECT o_orderkey, CAST(strptime(strftime(o_orderdate, '%Y-%m-%d'), '%Y-%m-%d') AS DATE) "
+                          "AS order_day FROM orders")
+    q["fn_coalesce"] = with_sources("goals") + (
+        "SELECT id AS goal_id, CAST(coalesce(current_amount, 0) AS DECIMAL(18,2)) AS current_amount FROM goals")
+    q["fn_when_chain"] = with_sources("goals") + f"""
+SELECT id AS goal_id,
+       CASE WHEN CAST(coalesce(current_amount, 0) AS DECIMAL(18,2)) >= target_amount THEN 'completed'
+            WHEN date_diff('day', DATE '{d_o}', deadline) < 0 THEN 'behind_schedule'
+            ELSE status END AS status
+FROM goals"""
+    q["fn_safe_pct"] = (f"SELECT l_orderkey, l_linenumber, {safe_pct_sql('tax', 'discount')} AS tax_pct "
+                        f"FROM ({MONEY_LINES})")
+    amt = "CAST(price AS DECIMAL(38,2)) * CAST(discount AS DECIMAL(38,2))"
+    q["fn_decimal_cast"] = f"""
+SELECT l_orderkey, l_linenumber, CAST({amt} AS DECIMAL(18,2)) AS disc_money,
+       CAST({amt} AS DECIMAL(18,4)) AS disc_price, CAST({amt} AS DECIMAL(38,8)) AS disc_quantity,
+       CAST({amt} AS DECIMAL(38,4)) AS disc_portfolio, TRY_CAST(price AS DECIMAL(5,2)) AS price_pct_type
+FROM ({MONEY_LINES})"""
+    q20 = half_up(f"{units('price', 2)} * {pow10(20)}", units("qty", 2))
+    unit4 = half_up(q20, pow10(16))
+    q["fn_arithmetic"] = f"""
+SELECT l_orderkey, l_linenumber,
+       CAST({amt} AS DECIMAL(37,4)) AS disc_amount,
+       CAST(CAST(price AS DECIMAL(38,4)) - {amt} AS DECIMAL(38,4)) AS net_price,
+       CAST(CAST(price AS DECIMAL(38,4)) + CAST(price AS DECIMAL(38,2)) * CAST(tax AS DECIMAL(38,2))
+            AS DECIMAL(38,4)) AS gross_price,
+       {from_units(unit4, 4, 18)} AS unit_price
+FROM ({MONEY_LINES})"""
+    q["fn_concat_colon"] = ("SELECT n_nationkey AS grant_order, 'namespace:' || n_name AS grant_entry FROM nation")
+    q["fn_json_fallback"] = ("SELECT c.c_custkey AS principal_id, r.o_orderpriority AS principal_role "
+                             "FROM customer c LEFT JOIN (SELECT DISTINCT o_custkey, o_orderpriority FROM orders) r "
+                             "ON c.c_custkey = r.o_custkey")
+    q["fn_bytes_to_kb"] = "SELECT doc_id, round(n_chars / 1024, 2) AS size_kb FROM documents"
+    return q
+
+
+def oracle_sql() -> dict[str, str]:
+    out = mart_sql()
+    out.update(single_operator_sql())
+    return out

@@ -69,3 +69,372 @@ def q_price(spark, sf_dir):
 def q_goal(spark, sf_dir):
     t = TableSet(spark, sf_dir)
     return _no_audit(marts.goal_progress(finance.goals(t), finance.users(t), D_ORDERS))
+
+
+# ---------------------------------------------------------------------------
+# single operators (one step each over the mapped tables)
+# ---------------------------------------------------------------------------
+
+import datetime as _dt  # noqa: E402
+
+from pyspark.sql import functions as F  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
+
+from ledgerline import functions as fn  # noqa: E402
+from ledgerline.functions.money import MONEY, PORTFOLIO, PRICE, QUANTITY  # noqa: E402
+from ledgerline.operators import aggregates, filters, joins, sorting, windows  # noqa: E402
+from ledgerline.plans import access, maintenance  # noqa: E402
+from ledgerline.sources import audit  # noqa: E402
+
+FIXED_RUN_TS = "2024-01-15 21:00:00"
+
+
+@register("filter_asof_day")
+def q_filter_asof(spark, sf_dir):
+    li = TableSet(spark, sf_dir)("lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_shipdate")
+    return filters.on_or_before_day(li, "l_shipdate", D_ORDERS)
+
+
+@register("filter_on_day")
+def q_filter_on_day(spark, sf_dir):
+    ev = TableSet(spark, sf_dir)("events").select("event_id", "user_id", "event_type", "value", "ts")
+    return filters.on_day(ev, "ts", D_EVENTS)
+
+
+@register("filter_raw_date")
+def q_filter_raw(spark, sf_dir):
+    o = TableSet(spark, sf_dir)("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return filters.equals_raw(o, "o_orderdate", D_ORDERS)
+
+
+@register("filter_month_to_date")
+def q_filter_mtd(spark, sf_dir):
+    o = TableSet(spark, sf_dir)("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return filters.month_to_date(o, "o_orderdate", D_ORDERS)
+
+
+@register("filter_any_positive")
+def q_filter_any_positive(spark, sf_dir):
+    li = TableSet(spark, sf_dir)("lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax")
+    return filters.any_positive(li, ["l_discount", "l_tax"])
+
+
+@register("project_rename")
+def q_project_rename(spark, sf_dir):
+    return marts._users(finance.users(TableSet(spark, sf_dir)))
+
+
+@register("stamp_columns")
+def q_stamp(spark, sf_dir):
+    u = marts._users(finance.users(TableSet(spark, sf_dir)))
+    return marts.stamp(u, "snapshot_date", D_ORDERS, FIXED_RUN_TS)
+
+
+@register("fill_nulls")
+def q_fill_nulls(spark, sf_dir):
+    t = TableSet(spark, sf_dir)
+    d = t("documents").select("doc_id")
+    return d.join(t("labels"), "doc_id", "left").na.fill(0, subset=["quality", "toxic"])
+
+
+@register("derive_flag")
+def q_derive_flag(spark, sf_dir):
+    li = TableSet(spark, sf_dir)("lineitem")
+    return li.select("l_orderkey", "l_linenumber",
+                     (F.col("l_tax") > F.col("l_discount")).alias("tax_over_discount"))
+
+
+@register("join_inner_expr")
+def q_join_inner_expr(spark, sf_dir):
+    t = TableSet(spark, sf_dir)
+    li = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    o = t("orders").select("o_orderkey", "o_custkey")
+    p = t("part").select("p_partkey", "p_brand")
+    j = joins.join_inner_expr(joins.join_inner_expr(li, o, "l_orderkey", "o_orderkey"), p,
+                              "l_partkey", "p_partkey")
+    return j.select("l_orderkey", "l_linenumber", "o_custkey", "p_brand")
+
+
+@register("join_inner_using")
+def q_join_inner_using(spark, sf_dir):
+    t = TableSet(spark, sf_dir)
+    b = finance.budgets(t)
+    cats = finance.expense_categories(t).select(F.col("id").alias("category_id"),
+                                                F.col("name").alias("category_name"))
+    return joins.join_using(b, cats, "category_id").select("user_id", "category_id",
+                                                           "category_name", "amount")
+
+
+def _per_user_totals(t: TableSet):
+    inc = aggregates.sum_by(finance.income_transactions(t), ["user_id"], "amount", "inc_amt")
+    exp = aggregates.sum_by(finance.expense_transactions(t), ["user_id"], "amount", "exp_amt")
+    fix = joins.header_detail_sum(finance.fixed_expense_payments(t), finance.fixed_expenses(t),
+                                  "expense_id", "id", "user_id", "amount", "fix_amt")
+    return inc, exp, fix
+
+
+@register("join_left_chain")
+def q_join_left_chain(spark, sf_dir):
+    t = TableSet(spark, sf_dir)
+    inc, exp, fix = _per_user_totals(t)
+    return joins.left_chain(marts._users(finance.users(t)), [inc, exp, fix], "user_id")
+
+
+@register("join_left_composite")
+def q_join_left_composite(spark, sf_dir):
+    t = TableSet(spark, sf_dir)
+    spent = aggregates.sum_by(filters.month_to_date(finance.category_expenses(t), "date", D_ORDERS),
+                              ["user_id", "category_id"], "amount", "actual_spent")
+    b = finance.budgets(t).select("user_id", "category_id", F.col("amount").alias("budget_amount"))
+    return joins.join_using(b, spent, ["user_id", "category_id"], "left")
+
+
+@register("join_header_detail")
+def q_join_header_detail(spark, sf_dir):
+    t = TableSet(spark, sf_dir)
+    return joins.header_detail_sum(finance.fixed_expense_payments(t), finance.fixed_expenses(t),
+                                   "expense_id", "id", "user_id", "amount", "fix_amt")
+
+
+def _audit_inputs(spark, sf_dir):
+    t = TableSet(spark, sf_dir)
+    return (audit.principals(t), audit.principal_roles(t), audit.role_catalog_roles(spark),
+            audit.grants(t))
+
+
+@register("join_lookup_default")
+def q_join_lookup_default(spark, sf_dir):
+    p, pr, rc, _ = _audit_inputs(spark, sf_dir)
+    return access.lookup_with_defaults(access.role_lookup(p, pr, rc))
+
+
+@register("orphan_files")
+def q_orphan_files(spark, sf_dir):
+    t = TableSet(spark, sf_dir)
+    files = t("orders").select(F.col("o_orderkey").alias("file_id"),
+                               F.col("o_orderdate").alias("modified_at"))
+    refs = t("lineitem").select("l_orderkey")
+    return maintenance.orphan_files(files, refs, "file_id", "l_orderkey", "modified_at",
+                                    now=D_ORDERS)
+
+
+@register("agg_sum_by_key")
+def q_agg_sum_by_key(spark, sf_dir):
+    return aggregates.sum_by(finance.income_transactions(TableSet(spark, sf_dir)), ["user_id"],
+                             "amount", "total_income")
+
+
+@register("agg_sum_composite")
+def q_agg_sum_composite(spark, sf_dir):
+    return aggregates.sum_by(finance.category_expenses(TableSet(spark, sf_dir)),
+                             ["user_id", "category_id"], "amount", "total_spent", MONEY)
+
+
+@register("agg_stats")
+def q_agg_stats(spark, sf_dir):
+    return aggregates.stats_by(finance.portfolio_summary(TableSet(spark, sf_dir)), ["user_id"],
+                               "total_value", PORTFOLIO)
+
+
+@register("agg_first_constant")
+def q_agg_first_constant(spark, sf_dir):
+    t = TableSet(spark, sf_dir)
+    c = t("customer").select("c_custkey", "c_nationkey")
+    n = t("nation").select("n_nationkey", "n_name")
+    j = c.join(n, c["c_nationkey"] == n["n_nationkey"], "inner")
+    return j.groupBy("c_nationkey").agg(F.any_value("n_name").alias("nation_name"),
+                                        F.count(F.lit(1)).alias("n_customers"))
+
+
+@register("agg_privilege_list")
+def q_agg_privilege_list(spark, sf_dir):
+    return access.privilege_lists(audit.grants(TableSet(spark, sf_dir)))
+
+
+@register("compaction_plan")
+def q_compaction_plan(spark, sf_dir):
+    docs = TableSet(spark, sf_dir)("documents").select("source", "n_chars")
+    return maintenance.compaction_plan(docs, "source", "n_chars", 4000, 4000)
+
+
+def _daily_prices(spark, sf_dir):
+    return finance.price_history(TableSet(spark, sf_dir)).withColumn(
+        "price_day", F.to_date("timestamp"))
+
+
+@register("window_first_asc")
+def q_window_first_asc(spark, sf_dir):
+    p = _daily_prices(spark, sf_dir)
+    out = windows.first_by_time(p, ["asset_id", "price_day"], "timestamp", "buy_price", "price_id",
+                                "open_buy_price")
+    return out.select("price_id", "asset_id", "price_day", "open_buy_price")
+
+
+@register("window_first_desc")
+def q_window_first_desc(spark, sf_dir):
+    p = _daily_prices(spark, sf_dir)
+    out = windows.first_by_time(p, ["asset_id", "price_day"], "timestamp", "buy_price", "price_id",
+                                "close_buy_price", descending=True)
+    return out.select("price_id", "asset_id", "price_day", "close_buy_price")
+
+
+@register("snapshot_retention")
+def q_snapshot_retention(spark, sf_dir):
+    ev = TableSet(spark, sf_dir)("events").select(
+        F.col("user_id").alias("table_name"), F.col("event_id").alias("snapshot_id"),
+        F.col("ts").alias("committed_at"))
+    return maintenance.snapshot_retention(ev)
+
+
+@register("sort_multi_key")
+def q_sort_multi_key(spark, sf_dir):
+    c = TableSet(spark, sf_dir)("customer").select("c_nationkey", "c_mktsegment", "c_name", "c_custkey")
+    return sorting.sort_multi_key(c, ["c_nationkey", "c_mktsegment", "c_name"])
+
+
+@register("limit_rows")
+def q_limit_rows(spark, sf_dir):
+    o = TableSet(spark, sf_dir)("orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return sorting.top_rows(o, [F.col("o_totalprice").desc(), F.col("o_orderkey")], 10)
+
+
+# ---- scalar functions ------------------------------------------------------
+
+@register("fn_to_date")
+def q_fn_to_date(spark, sf_dir):
+    ev = TableSet(spark, sf_dir)("events")
+    return ev.select("event_id", fn.to_day("ts").alias("event_day"))
+
+
+@register("fn_datediff")
+def q_fn_datediff(spark, sf_dir):
+    o = TableSet(spark, sf_dir)("orders")
+    return o.select("o_orderkey", fn.datediff_days(fn.to_day("o_orderdate"),
+                                                   F.lit(_dt.date.fromisoformat(D_ORDERS)))
+                    .alias("days_from_report"))
+
+
+@register("fn_month_start")
+def q_fn_month_start(spark, sf_dir):
+    o = TableSet(spark, sf_dir)("orders")
+    return o.select("o_orderkey", fn.month_start("o_orderdate").alias("order_month"))
+
+
+@register("fn_parse_date")
+def q_fn_parse_date(spark, sf_dir):
+    o = TableSet(spark, sf_dir)("orders")
+    text = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return o.select("o_orderkey", fn.parse_day(text).alias("order_day"))
+
+
+@register("fn_now")
+def q_fn_now(spark, sf_dir):
+    ev = TableSet(spark, sf_dir)("events")
+    return ev.select("event_id", fn.now().alias("created_at"))
+
+
+@register("fn_coalesce")
+def q_fn_coalesce(spark, sf_dir):
+    g = finance.goals(TableSet(spark, sf_dir))
+    return g.select(F.col("id").alias("goal_id"),
+                    F.coalesce(F.col("current_amount"), F.lit(0)).cast(MONEY).alias("current_amount"))
+
+
+@register("fn_when_chain")
+def q_fn_when_chain(spark, sf_dir):
+    g = finance.goals(TableSet(spark, sf_dir))
+    days = fn.datediff_days("deadline", F.lit(_dt.date.fromisoformat(D_ORDERS)))
+    return g.select(F.col("id").alias("goal_id"),
+                    marts.goal_status(F.coalesce("current_amount", F.lit(0)).cast(MONEY),
+                                      F.col("target_amount"), days, F.col("status")).alias("status"))
+
+
+def _money_lines(spark, sf_dir):
+    li = TableSet(spark, sf_dir)("lineitem")
+    return li.select("l_orderkey", "l_linenumber",
+                     F.col("l_extendedprice").cast(MONEY).alias("price"),
+                     F.col("l_quantity").cast(MONEY).alias("qty"),
+                     F.col("l_discount").cast(MONEY).alias("discount"),
+                     F.col("l_tax").cast(MONEY).alias("tax"))
+
+
+@register("fn_safe_pct")
+def q_fn_safe_pct(spark, sf_dir):
+    m = _money_lines(spark, sf_dir)
+    return m.select("l_orderkey", "l_linenumber", fn.safe_pct("tax", "discount").alias("tax_pct"))
+
+
+@register("fn_decimal_cast")
+def q_fn_decimal_cast(spark, sf_dir):
+    m = _money_lines(spark, sf_dir)
+    amount = F.col("price") * F.col("discount")          # decimal(37,4), exact
+    return m.select("l_orderkey", "l_linenumber",
+                    amount.cast(MONEY).alias("disc_money"),
+                    amount.cast(PRICE).alias("disc_price"),
+                    amount.cast(QUANTITY).alias("disc_quantity"),
+                    amount.cast(PORTFOLIO).alias("disc_portfolio"),
+                    F.col("price").try_cast("decimal(5,2)").alias("price_pct_type"))
+
+
+@register("fn_arithmetic")
+def q_fn_arithmetic(spark, sf_dir):
+    m = _money_lines(spark, sf_dir)
+    p, d, t, q = F.col("price"), F.col("discount"), F.col("tax"), F.col("qty")
+    return m.select("l_orderkey", "l_linenumber",
+                    (p * d).alias("disc_amount"),
+                    (p - p * d).alias("net_price"),
+                    (p + p * t).alias("gross_price"),
+                    (p / q).cast(PRICE).alias("unit_price"))
+
+
+@register("fn_concat_colon")
+def q_fn_concat_colon(spark, sf_dir):
+    g = audit.grants(TableSet(spark, sf_dir))
+    return g.select("grant_order", fn.concat_colon("grant_type", "privilege").alias("grant_entry"))
+
+
+# The three list keys of a role payload, in lookup order.
+ROLE_LIST_KEYS = ("principalRoles", "roles", "entities")
+
+
+def role_payloads(t: TableSet):
+    """One JSON role listing per customer, built from its order priorities;
+    the list sits under a different key per customer (and sometimes behind an
+    empty first list), as listings of different service versions do."""
+    o = t("orders").select("o_custkey", "o_orderpriority").distinct()
+    per = (o.groupBy("o_custkey")
+           .agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderpriority").alias("name"))))
+                .alias("items")))
+    c = t("customer").select("c_custkey")
+    j = c.join(per, c["c_custkey"] == per["o_custkey"], "left")
+    items = F.coalesce(F.col("items"), F.array().cast("array<struct<name:string>>"))
+    empty = F.array().cast("array<struct<name:string>>")
+    variant = F.pmod(F.col("c_custkey"), F.lit(4))
+    doc = (F.when(variant == 0, F.to_json(F.struct(items.alias("principalRoles"))))
+           .when(variant == 1, F.to_json(F.struct(items.alias("roles"))))
+           .when(variant == 2, F.to_json(F.struct(items.alias("entities"))))
+           .otherwise(F.to_json(F.struct(empty.alias("principalRoles"), items.alias("roles")))))
+    return j.select(F.col("c_custkey").alias("principal_id"), doc.alias("payload"))
+
+
+@register("fn_json_fallback")
+def q_fn_json_fallback(spark, sf_dir):
+    p = role_payloads(TableSet(spark, sf_dir))
+    return p.select("principal_id",
+                    F.explode_outer(fn.first_present_names("payload", ROLE_LIST_KEYS))
+                    .alias("principal_role"))
+
+
+@register("fn_bytes_to_kb")
+def q_fn_bytes_to_kb(spark, sf_dir):
+    d = TableSet(spark, sf_dir)("documents")
+    return d.select("doc_id", fn.bytes_to_kb("n_chars").alias("size_kb"))
+
+
+# ---- access audit ------------------------------------------------------------
+
+@register("access_matrix")
+def q_access_matrix(spark, sf_dir):
+    p, pr, rc, g = _audit_inputs(spark, sf_dir)
+    return access.access_matrix(p, pr, rc, g, audit.CATALOG_NAME)

@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reproduced jobs are daily batch runs; none reads or writes a stream.
+Nothing is implemented here on purpose. A continuous variant of the daily
+run would be ``readStream`` over the source tables with ``foreachBatch``
+calling ``plans.daily_run.run_daily`` in its idempotent mode.
+"""
