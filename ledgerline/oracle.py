@@ -365,7 +365,51 @@ FROM ({MONEY_LINES})"""
     return q
 
 
+# ---- sinks, DDL and the daily run -------------------------------------------------
+
+GIVEN_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+                "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+def _prev(day: str) -> str:
+    import datetime as _dt
+    return (_dt.date.fromisoformat(day) - _dt.timedelta(days=1)).isoformat()
+
+
+def sink_sql() -> dict[str, str]:
+    q = {}
+    goal = goal_sql()
+    q["table_scan"] = "SELECT * FROM customer"
+    q["rows_with_schema"] = "SELECT p_name AS ITEM_NAME, p_size AS QUANTITY FROM part"
+    q["create_namespace"] = " UNION ALL ".join(f"SELECT '{n}' AS table_name" for n in GIVEN_TABLES)
+    q["catalog_listing"] = " UNION ALL ".join(
+        f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in GIVEN_TABLES)
+    q["create_table"] = goal
+    q["ensure_table"] = goal
+    q["insert_values"] = "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS job FROM customer"
+    q["append_sink"] = f"({goal}) UNION ALL ({goal})"
+    q["partition_overwrite_sink"] = (f"({price_summary_sql(_prev(D_EVENTS))}) UNION ALL "
+                                     f"({price_summary_sql(D_EVENTS)})")
+    q["overwrite_sink"] = goal
+    q["compact_table"] = ("SELECT source, count(*) AS n_docs, sum(n_chars) AS total_chars, "
+                          "count(DISTINCT doc_id) AS n_ids FROM documents GROUP BY source")
+    builders = [("daily_user_asset_holdings", asset_holdings_sql, "snapshot_date"),
+                ("daily_user_portfolio_stats", portfolio_stats_sql, "snapshot_date"),
+                ("daily_user_cashflow", cashflow_sql, "summary_date"),
+                ("monthly_budget_performance", budget_sql, "budget_month"),
+                ("daily_asset_price_summary", price_summary_sql, "price_date"),
+                ("daily_goal_progress_stats", goal_sql, "snapshot_date")]
+    parts = []
+    for name, build, date_col in builders:
+        for day in (D_ORDERS, D_EVENTS):
+            parts.append(f"SELECT '{name}' AS mart, {date_col} AS report_date, count(*) AS n_rows "
+                         f"FROM ({build(day)}) GROUP BY {date_col}")
+    q["wallet_daily_run"] = " UNION ALL ".join(f"({p})" for p in parts)
+    return q
+
+
 def oracle_sql() -> dict[str, str]:
     out = mart_sql()
     out.update(single_operator_sql())
+    out.update(sink_sql())
     return out

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerline.oracle import D_EVENTS, D_ORDERS
 from ledgerline.plans import marts
 from ledgerline.sources import finance
-from ledgerline.sources.tables import TableSet
+from ledgerline.sources.tables import TableSet, rows_with_schema
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -438,3 +438,188 @@ def q_fn_bytes_to_kb(spark, sf_dir):
 def q_access_matrix(spark, sf_dir):
     p, pr, rc, g = _audit_inputs(spark, sf_dir)
     return access.access_matrix(p, pr, rc, g, audit.CATALOG_NAME)
+
+
+# ---- sources, sinks and DDL (write under the session's work root, read back) ----
+
+import uuid  # noqa: E402
+
+from ledgerline.plans import daily_run  # noqa: E402
+from ledgerline.plans.schemas import MART_DDL, MART_PARTITION  # noqa: E402
+from ledgerline.session import fresh_path  # noqa: E402
+from ledgerline.sources import catalog, sinks  # noqa: E402
+from ledgerline.sources import files as file_source  # noqa: E402
+
+GIVEN_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+                "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+def _read_mart(spark, name: str, path: str):
+    return spark.read.schema(MART_DDL[name][0]).parquet(path)
+
+
+def _goal_mart(spark, sf_dir, day=D_ORDERS):
+    t = TableSet(spark, sf_dir)
+    return marts.goal_progress(finance.goals(t), finance.users(t), day, FIXED_RUN_TS)
+
+
+def _price_mart(spark, sf_dir, day):
+    t = TableSet(spark, sf_dir)
+    return marts.price_summary(finance.price_history(t), finance.assets(t), day, FIXED_RUN_TS)
+
+
+def _namespace(spark) -> str:
+    ns = f"ll_{uuid.uuid4().hex[:12]}"
+    catalog.create_namespace(spark, ns, fresh_path(spark, ns))
+    return ns
+
+
+def _register_given(spark, sf_dir, ns):
+    t = TableSet(spark, sf_dir)
+    for name in GIVEN_TABLES:
+        catalog.register_external(spark, f"{ns}.{name}", t.path(name))
+
+
+@register("table_scan")
+def q_table_scan(spark, sf_dir):
+    ns = _namespace(spark)
+    catalog.register_external(spark, f"{ns}.customer", TableSet(spark, sf_dir).path("customer"))
+    return spark.read.table(f"{ns}.customer")
+
+
+@register("rows_with_schema")
+def q_rows_with_schema(spark, sf_dir):
+    schema = T.StructType([T.StructField("ITEM_NAME", T.StringType(), False),
+                           T.StructField("QUANTITY", T.IntegerType(), False)])
+    p = TableSet(spark, sf_dir)("part").select(F.col("p_name").alias("ITEM_NAME"),
+                                               F.col("p_size").alias("QUANTITY"))
+    return rows_with_schema(p, schema)
+
+
+@register("file_inventory")
+def q_file_inventory(spark, sf_dir):
+    return file_source.file_inventory(spark, sf_dir).drop("modified_at")
+
+
+@register("create_namespace")
+def q_create_namespace(spark, sf_dir):
+    ns = _namespace(spark)
+    catalog.create_namespace(spark, ns)            # second call is a no-op
+    _register_given(spark, sf_dir, ns)
+    return (catalog.list_tables(spark, ns).filter(~F.col("isTemporary"))
+            .select(F.col("tableName").alias("table_name")))
+
+
+@register("catalog_listing")
+def q_catalog_listing(spark, sf_dir):
+    ns = _namespace(spark)
+    _register_given(spark, sf_dir, ns)
+    names = [r.tableName for r in catalog.list_tables(spark, ns).filter(~F.col("isTemporary")).collect()]
+    counts = [spark.read.table(f"{ns}.{n}").select(F.lit(n).alias("table_name"),
+                                                   F.count(F.lit(1)).alias("n_rows"))
+              .groupBy("table_name").agg(F.sum("n_rows").alias("n_rows")) for n in names]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def _mart_table(spark, ns, name):
+    ddl, part = MART_DDL[name]
+    full = f"{ns}.{name}"
+    return full, catalog.create_table_sql(full, ddl, part, fresh_path(spark, name))
+
+
+@register("create_table")
+def q_create_table(spark, sf_dir):
+    ns = _namespace(spark)
+    full, sql = _mart_table(spark, ns, "daily_goal_progress_stats")
+    spark.sql(sql)
+    spark.sql(sql)                                 # IF NOT EXISTS: second call is a no-op
+    sinks.append_table(_goal_mart(spark, sf_dir), full)
+    return _no_audit(spark.read.table(full))
+
+
+@register("ensure_table")
+def q_ensure_table(spark, sf_dir):
+    ns = _namespace(spark)
+    full, sql = _mart_table(spark, ns, "daily_goal_progress_stats")
+    created = catalog.ensure_table(spark, full, sql)
+    again = catalog.ensure_table(spark, full, sql)
+    if not created or again:
+        raise RuntimeError("ensure_table must create once and then find the table")
+    sinks.append_table(_goal_mart(spark, sf_dir), full)
+    return _no_audit(spark.read.table(full))
+
+
+@register("insert_values")
+def q_insert_values(spark, sf_dir):
+    ns = _namespace(spark)
+    catalog.register_external(spark, f"{ns}.customer", TableSet(spark, sf_dir).path("customer"))
+    catalog.create_table(spark, f"{ns}.users", "id BIGINT, name STRING, job STRING",
+                         location=fresh_path(spark, "users"))
+    catalog.insert_values(spark, f"{ns}.users",
+                          f"SELECT c_custkey, c_name, c_mktsegment FROM {ns}.customer")
+    return spark.read.table(f"{ns}.users")
+
+
+@register("append_sink")
+def q_append_sink(spark, sf_dir):
+    name = "daily_goal_progress_stats"
+    path = fresh_path(spark, name)
+    batch = _goal_mart(spark, sf_dir)
+    sinks.append(batch, path, MART_PARTITION[name])
+    sinks.append(batch, path, MART_PARTITION[name])  # not idempotent: stored twice
+    return _no_audit(_read_mart(spark, name, path))
+
+
+@register("partition_overwrite_sink")
+def q_partition_overwrite_sink(spark, sf_dir):
+    name = "daily_asset_price_summary"
+    path, part = fresh_path(spark, name), MART_PARTITION[name]
+    before, day = marts.previous_day(D_EVENTS), D_EVENTS
+    sinks.overwrite_partitions(_price_mart(spark, sf_dir, before), path, part)
+    sinks.overwrite_partitions(_price_mart(spark, sf_dir, day), path, part)
+    sinks.overwrite_partitions(_price_mart(spark, sf_dir, day), path, part)   # rerun: replaced
+    sinks.overwrite_partitions(_price_mart(spark, sf_dir, day).filter(F.lit(False)), path, part)
+    return _no_audit(_read_mart(spark, name, path))
+
+
+@register("overwrite_sink")
+def q_overwrite_sink(spark, sf_dir):
+    name = "daily_goal_progress_stats"
+    path = fresh_path(spark, name)
+    sinks.overwrite(_goal_mart(spark, sf_dir), path, MART_PARTITION[name])
+    sinks.overwrite(_goal_mart(spark, sf_dir), path, MART_PARTITION[name])
+    return _no_audit(_read_mart(spark, name, path))
+
+
+@register("compact_table")
+def q_compact_table(spark, sf_dir):
+    path = fresh_path(spark, "documents")
+    docs = TableSet(spark, sf_dir)("documents")
+    # many small files per partition: every task writes into every source folder
+    docs.repartition(8, "doc_id").write.partitionBy("source").parquet(path)
+    maintenance.compact_table(spark, path, "source")
+    back = spark.read.parquet(path)
+    return back.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"),
+                                      F.sum("n_chars").alias("total_chars"),
+                                      F.count_distinct("doc_id").alias("n_ids"))
+
+
+@register("wallet_daily_run")
+def q_wallet_daily_run(spark, sf_dir):
+    root = fresh_path(spark, "marts")
+    src = finance.from_tables(TableSet(spark, sf_dir))
+    for day in (D_ORDERS, D_EVENTS, D_EVENTS):     # the repeated day must not duplicate rows
+        daily_run.run_daily(src, root, day, FIXED_RUN_TS, idempotent=True)
+    parts = []
+    for name in MART_DDL:
+        df = _read_mart(spark, name, f"{root}/{name}")
+        parts.append(df.groupBy(F.col(MART_PARTITION[name]).alias("report_date"))
+                     .agg(F.count(F.lit(1)).alias("n_rows"))
+                     .select(F.lit(name).alias("mart"), "report_date", "n_rows"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

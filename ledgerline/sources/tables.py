@@ -22,3 +22,18 @@ class TableSet:
         """Expose tables as temporary views for SQL."""
         for n in names:
             self(n).createOrReplaceTempView(n)
+
+
+def rows_with_schema(df: DataFrame, schema) -> DataFrame:
+    """Impose an explicit schema: field order, names and types; a NULL in a
+    field declared non-nullable fails the job, as ``createDataFrame`` does for
+    literal rows. (Spark keeps computed columns nullable in the plan.)"""
+    from pyspark.sql import functions as F
+
+    cols = []
+    for f in schema.fields:
+        c = F.col(f.name).cast(f.dataType)
+        if not f.nullable:
+            c = F.when(c.isNull(), F.raise_error(F.lit(f"NULL in non-nullable field {f.name}"))).otherwise(c)
+        cols.append(c.alias(f.name))
+    return df.select(*cols)
