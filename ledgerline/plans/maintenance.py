@@ -11,6 +11,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.session import work_root
 from ledgerline.sources import files as file_source
 
 MB = 1024 * 1024
@@ -46,28 +47,31 @@ def compact_table(spark: SparkSession, path: str, partition_col: str,
     retried task writes the same rows again. Returns the plan that was applied.
     """
     target = target or threshold
+    work_root(spark)                       # makes sure a checkpoint dir is set
     inv = file_source.parquet_files(spark, path, partition_col)
-    plan = compaction_plan(inv, partition_col, "length", threshold, target)
     sizes = inv.groupBy(partition_col).agg(F.sum("length").alias("partition_bytes"))
-    chosen = (plan.join(sizes, partition_col)
-              .select(partition_col, F.greatest(F.lit(1), F.ceil(F.col("partition_bytes") / target))
-                      .cast("int").alias("n_files"))).cache()
-    n_out = chosen.agg(F.sum("n_files")).first()[0]
+    # The listing changes once files are rewritten: freeze the plan first
+    # (reliable checkpoint in the shared checkpoint dir, survives executor loss).
+    plan = (compaction_plan(inv, partition_col, "length", threshold, target)
+            .join(sizes, partition_col)
+            .withColumn("n_files", F.greatest(F.lit(1), F.ceil(F.col("partition_bytes") / target))
+                        .cast("int"))
+            .checkpoint(eager=True))
+    n_out = plan.agg(F.sum("n_files")).first()[0]
     if not n_out:
-        chosen.unpersist()
         return plan
     data = spark.read.parquet(path)
     cols = data.columns
     data_cols = [c for c in cols if c != partition_col]
-    rows = data.join(chosen.withColumn(partition_col, F.col(partition_col).cast(data.schema[partition_col].dataType)),
-                     partition_col, "inner")
+    chosen = plan.select(F.col(partition_col).cast(data.schema[partition_col].dataType)
+                         .alias(partition_col), "n_files")
+    rows = data.join(chosen, partition_col, "inner")
     bucket = F.pmod(F.xxhash64(*[F.col(c) for c in data_cols]), F.col("n_files"))
     out = (rows.withColumn("__bucket", bucket)
            .repartition(int(n_out), F.col(partition_col), F.col("__bucket"))
            .select(*cols))
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition_col).parquet(path))
-    chosen.unpersist()
     return plan
 
 

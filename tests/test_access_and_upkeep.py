@@ -1,0 +1,93 @@
+"""Access matrix sentinels, compaction, snapshot expiry and orphan report."""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from conftest import SF_ORACLE, SF_SMALL
+from ledgerline import registry
+from ledgerline.plans import access, maintenance
+from ledgerline.session import fresh_path
+from ledgerline.sources import files as file_source
+
+
+def test_access_matrix_sentinel_classes_at_sf001(spark):
+    m = registry.QUERIES["access_matrix"](spark, SF_ORACLE)
+    cls = F.when(F.col("principal_role") == "NONE", "none") \
+        .when(F.col("catalog_role") == "NONE", "role_only") \
+        .when(F.col("privileges") == "NO_GRANTS", "no_grants").otherwise("granted")
+    got = {r["c"]: r["n"] for r in m.groupBy(cls.alias("c")).agg(F.count("*").alias("n")).collect()}
+    assert got == {"granted": 434, "no_grants": 137, "role_only": 267, "none": 923}
+
+
+def test_access_matrix_edges(spark):
+    principals = spark.createDataFrame([("p1",), ("p2",), ("p3",), ("p4",)], "principal_name string")
+    proles = spark.createDataFrame([("p2", "r_nocat"), ("p3", "r_empty"), ("p4", "r_full"), ("p4", "r_full")],
+                                   "principal_name string, principal_role string")
+    rc = spark.createDataFrame([("r_empty", "c_empty"), ("r_full", "c_full")],
+                               "principal_role string, catalog_role string")
+    grants = spark.createDataFrame([("c_full", "table", "WRITE", 2), ("c_full", None, "READ", 1)],
+                                   "catalog_role string, grant_type string, privilege string, grant_order int")
+    rows = access.access_matrix(principals, proles, rc, grants, "cat").collect()
+    as_t = [tuple(r) for r in rows]
+    assert as_t[0] == ("p1", "NONE", "cat", "NONE", "NULL")
+    assert ("p2", "r_nocat", "cat", "NONE", "NULL") in as_t
+    assert ("p3", "r_empty", "cat", "c_empty", "NO_GRANTS") in as_t
+    assert as_t.count(("p4", "r_full", "cat", "c_full", "None:READ, table:WRITE")) == 2
+    assert [r[0] for r in as_t] == sorted(r[0] for r in as_t)
+
+
+def test_compaction_reduces_files_and_keeps_rows(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    path = fresh_path(spark, "docs")
+    docs.repartition(6, "doc_id").write.partitionBy("source").parquet(path)
+    before = file_source.parquet_files(spark, path, "source").groupBy("source").count().collect()
+    assert all(r["count"] > 1 for r in before)
+    plan = maintenance.compact_table(spark, path, "source").collect()
+    assert len(plan) == len(before)
+    after = file_source.parquet_files(spark, path, "source").groupBy("source").count().collect()
+    assert all(r["count"] == 1 for r in after)
+    back = spark.read.parquet(path)
+    assert back.count() == docs.count()
+    assert back.select(F.sum("n_chars")).first()[0] == docs.select(F.sum("n_chars")).first()[0]
+    # nothing left to do on a second run
+    assert maintenance.compaction_plan(file_source.parquet_files(spark, path, "source"),
+                                       "source", "length").count() == 0
+
+
+def test_compaction_plan_numbers(spark):
+    files = spark.createDataFrame([("a", 10), ("a", 20), ("a", 500), ("b", 5), ("c", 1), ("c", 2)],
+                                  "p string, size long")
+    rows = {r.p: r for r in maintenance.compaction_plan(files, "p", "size", 100, 25).collect()}
+    assert set(rows) == {"a", "c"}
+    assert (rows["a"].total_files, rows["a"].small_files, rows["a"].small_bytes, rows["a"].target_files) == (3, 2, 30, 2)
+
+
+def test_snapshot_retention_keeps_current(spark):
+    ts = dt.datetime
+    snaps = spark.createDataFrame([
+        ("t1", 1, ts(2024, 1, 1)), ("t1", 2, ts(2024, 1, 9)), ("t1", 3, ts(2024, 1, 10)),
+        ("t2", 7, ts(2024, 1, 1)),                       # old but current: kept
+    ], "table_name string, snapshot_id long, committed_at timestamp")
+    got = sorted(r.snapshot_id for r in maintenance.snapshot_retention(snaps).collect())
+    assert got == [1]
+    got_now = sorted(r.snapshot_id for r in
+                     maintenance.snapshot_retention(snaps, now=dt.datetime(2024, 1, 20)).collect())
+    assert got_now == [1, 2]
+
+
+def test_orphan_files_report(spark):
+    files = spark.createDataFrame([("a", dt.datetime(2024, 1, 1)), ("b", dt.datetime(2024, 1, 1)),
+                                   ("c", dt.datetime(2024, 1, 9, 12))], "path string, modified_at timestamp")
+    refs = spark.createDataFrame([("a",), ("a",)], "p string")
+    got = [r.path for r in maintenance.orphan_files(files, refs, "path", "p", "modified_at",
+                                                    now=dt.datetime(2024, 1, 10)).collect()]
+    assert got == ["b"]
+
+
+def test_file_inventory_lists_given_tables(spark):
+    inv = file_source.file_inventory(spark, SF_SMALL).collect()
+    keys = {r.key for r in inv}
+    assert "orders.parquet" in keys and all(r.bucket == "sf0.001" for r in inv)
+    r = [x for x in inv if x.key == "orders.parquet"][0]
+    assert r.size_kb == round(r.size_bytes / 1024, 2)
