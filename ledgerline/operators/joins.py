@@ -38,5 +38,5 @@ def header_detail_sum(detail: DataFrame, header: DataFrame, detail_key: str, hea
 
 def left_anti(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Rows of ``left`` whose key has no match in ``right`` (only the key of right is read)."""
-    r = right.select(F.col(right_key).alias("__rk"))
+    r = right.select(F.col(right_key).alias("__rk")).distinct()   # pre-aggregated: hot keys collapse map-side
     return left.join(r, left[left_key] == r["__rk"], "left_anti")

@@ -38,7 +38,14 @@ def role_lookup(principals: DataFrame, principal_roles: DataFrame,
     p = principals.select("principal_name")
     pr = principal_roles.select("principal_name", "principal_role")
     rc = role_catalog_roles.select("principal_role", "catalog_role")
-    return (p.join(pr, "principal_name", "left")
+    # principals LEFT JOIN roles, written as inner join + anti join: in the
+    # left-join form a principal holding a huge share of all role rows sits
+    # on the unsplittable side; here both sides of the inner join can be split
+    # by AQE and the anti join only sees distinct names.
+    with_role = p.join(pr, "principal_name", "inner")
+    no_role = (p.join(pr.select("principal_name").distinct(), "principal_name", "left_anti")
+               .withColumn("principal_role", F.lit(None).cast("string")))
+    return (with_role.unionByName(no_role)
             .join(rc, "principal_role", "left")
             .select("principal_name", "principal_role", "catalog_role"))
 

@@ -101,5 +101,7 @@ def orphan_files(files: DataFrame, referenced: DataFrame, path_col: str, ref_col
                  modified_col: str, min_age: _dt.timedelta = ORPHAN_MIN_AGE, now=None) -> DataFrame:
     """Files no live snapshot references and older than ``now - min_age``."""
     aged = files.filter(F.col(modified_col) < _cutoff(files, modified_col, now, min_age))
-    refs = referenced.select(F.col(ref_col).alias("__ref"))
+    # distinct first: a path referenced by a third of all manifest rows is
+    # combined map-side instead of landing whole on one task of the anti join
+    refs = referenced.select(F.col(ref_col).alias("__ref")).distinct()
     return aged.join(refs, aged[path_col] == refs["__ref"], "left_anti")

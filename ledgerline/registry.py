@@ -607,8 +607,8 @@ def q_compact_table(spark, sf_dir):
                                       F.count_distinct("doc_id").alias("n_ids"))
 
 
-@register("wallet_daily_run")
-def q_wallet_daily_run(spark, sf_dir):
+@register("daily_marts_run")
+def q_daily_marts_run(spark, sf_dir):
     root = fresh_path(spark, "marts")
     src = finance.from_tables(TableSet(spark, sf_dir))
     for day in (D_ORDERS, D_EVENTS, D_EVENTS):     # the repeated day must not duplicate rows
