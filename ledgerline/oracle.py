@@ -85,12 +85,15 @@ SRC = {
 }
 
 
-def with_sources(*names: str) -> str:
-    return "WITH " + ",\n".join(f"{n} AS ({SRC[n]})" for n in names) + "\n"
+def with_sources(*names: str, src: dict | None = None) -> str:
+    """CTEs for the named finance sources; ``src`` overrides the mapping
+    (e.g. ``{"users": "SELECT * FROM my_users"}`` for hand-made tables)."""
+    src = {**SRC, **(src or {})}
+    return "WITH " + ",\n".join(f"{n} AS ({src[n]})" for n in names) + "\n"
 
 
-def asset_holdings_sql(day: str = D_ORDERS) -> str:
-    return with_sources("users", "assets", "holdings") + f"""
+def asset_holdings_sql(day: str = D_ORDERS, src: dict | None = None) -> str:
+    return with_sources("users", "assets", "holdings", src=src) + f"""
 SELECT DATE '{day}' AS snapshot_date, u.id AS user_id, u.name AS user_name, a.asset_id,
        a.asset_symbol, a.asset_name, a.asset_type, h.asset_sub_type,
        CAST(sum(h.quantity) AS DECIMAL(38,8)) AS total_quantity
@@ -99,12 +102,12 @@ WHERE CAST(h.record_date AS DATE) <= DATE '{day}'
 GROUP BY u.id, u.name, a.asset_id, a.asset_symbol, a.asset_name, a.asset_type, h.asset_sub_type"""
 
 
-def portfolio_stats_sql(day: str = D_EVENTS) -> str:
+def portfolio_stats_sql(day: str = D_EVENTS, src: dict | None = None) -> str:
     s = "sum(" + units("s.total_value", 4) + ")"
     c = "count(s.total_value)"
     avg6 = half_up(f"{s} * 100", c)
     avg4 = half_up(avg6, "100")
-    return with_sources("users", "summary") + f"""
+    return with_sources("users", "summary", src=src) + f"""
 SELECT DATE '{day}' AS snapshot_date, u.id AS user_id, u.name AS user_name,
        CASE WHEN {c} > 0 THEN {from_units(avg4, 4)} END AS avg_portfolio_value,
        CAST(min(s.total_value) AS DECIMAL(38,4)) AS min_portfolio_value,
@@ -115,8 +118,8 @@ WHERE CAST(s."timestamp" AS DATE) = DATE '{day}'
 GROUP BY u.id, u.name"""
 
 
-def cashflow_sql(day: str = D_EVENTS) -> str:
-    return with_sources("users", "income", "expense", "fixed_pay", "fixed_exp") + f""",
+def cashflow_sql(day: str = D_EVENTS, src: dict | None = None) -> str:
+    return with_sources("users", "income", "expense", "fixed_pay", "fixed_exp", src=src) + f""",
 inc AS (SELECT user_id, sum(amount) AS inc_amt FROM income WHERE date = DATE '{day}' GROUP BY user_id),
 exp AS (SELECT user_id, sum(amount) AS exp_amt FROM expense WHERE date = DATE '{day}' GROUP BY user_id),
 fix AS (SELECT f.user_id, sum(p.amount) AS fix_amt FROM fixed_pay p JOIN fixed_exp f ON p.expense_id = f.id
@@ -137,9 +140,9 @@ SELECT DATE '{day}' AS summary_date, user_id, user_name,
 FROM k"""
 
 
-def budget_sql(day: str = D_ORDERS) -> str:
+def budget_sql(day: str = D_ORDERS, src: dict | None = None) -> str:
     month = day[:8] + "01"
-    return with_sources("budgets", "categories", "cat_expense") + f""",
+    return with_sources("budgets", "categories", "cat_expense", src=src) + f""",
 spent AS (SELECT user_id, category_id, sum(amount) AS actual_spent FROM cat_expense
           WHERE date >= DATE '{month}' AND date <= DATE '{day}' GROUP BY user_id, category_id),
 j AS (SELECT b.user_id, b.category_id, c.name AS category_name,
@@ -154,28 +157,34 @@ SELECT DATE '{month}' AS budget_month, user_id, category_id, category_name, budg
 FROM j"""
 
 
-def price_summary_sql(day: str = D_EVENTS) -> str:
+def price_summary_sql(day: str = D_EVENTS, src: dict | None = None) -> str:
+    """Aggregate per asset first, then join the asset table (as the original does:
+    a duplicated asset row duplicates the summary row)."""
     spread = "(p.sell_price - p.buy_price)"
     s = "sum(" + units(spread, 4) + ")"
     c = f"count({spread})"
     a13 = half_up(f"{s} * {pow10(9)}", c)
     a8 = half_up(a13, "100000")
     a4 = half_up(a8, "10000")
-    return with_sources("assets", "prices") + f"""
-SELECT DATE '{day}' AS price_date, a.asset_id, a.asset_symbol, a.asset_type,
-       CAST(first(p.buy_price ORDER BY p."timestamp", p.price_id) AS DECIMAL(18,4)) AS open_buy_price,
-       CAST(first(p.buy_price ORDER BY p."timestamp" DESC, p.price_id DESC) AS DECIMAL(18,4)) AS close_buy_price,
-       CAST(min(p.buy_price) AS DECIMAL(18,4)) AS min_buy_price,
-       CAST(max(p.buy_price) AS DECIMAL(18,4)) AS max_buy_price,
-       CASE WHEN {c} > 0 THEN {from_units(a4, 4, 18)} END AS avg_spread,
-       count(p."timestamp") AS sample_points
-FROM prices p JOIN assets a ON p.asset_id = a.asset_id
-WHERE CAST(p."timestamp" AS DATE) = DATE '{day}'
-GROUP BY a.asset_id, a.asset_symbol, a.asset_type"""
-
-
-def goal_sql(day: str = D_ORDERS) -> str:
-    return with_sources("users", "goals") + f""",
+    return with_sources("assets", "prices", src=src) + f""",
+agg AS (
+  SELECT p.asset_id,
+         CAST(first(p.buy_price ORDER BY p."timestamp", p.price_id) AS DECIMAL(18,4)) AS open_buy_price,
+         CAST(first(p.buy_price ORDER BY p."timestamp" DESC, p.price_id DESC) AS DECIMAL(18,4)) AS close_buy_price,
+         CAST(min(p.buy_price) AS DECIMAL(18,4)) AS min_buy_price,
+         CAST(max(p.buy_price) AS DECIMAL(18,4)) AS max_buy_price,
+         CASE WHEN {c} > 0 THEN {from_units(a4, 4, 18)} END AS avg_spread,
+         count(p."timestamp") AS sample_points
+  FROM prices p
+  WHERE CAST(p."timestamp" AS DATE) = DATE '{day}'
+  GROUP BY p.asset_id)
+SELECT DATE '{day}' AS price_date, a.asset_id, a.asset_symbol, a.asset_type, g.open_buy_price,
+       g.close_buy_price, g.min_buy_price, g.max_buy_price, g.avg_spread, g.sample_points
+FROM agg g JOIN assets a ON g.asset_id = a.asset_id"""
+
+
+def goal_sql(day: str = D_ORDERS, src: dict | None = None) -> str:
+    return with_sources("users", "goals", src=src) + f""",
 j AS (SELECT g.id AS goal_id, g.user_id, u.name AS user_name, g.title AS goal_title,
              CAST(g.target_amount AS DECIMAL(18,2)) AS target_amount,
              CAST(coalesce(g.current_amount, 0) AS DECIMAL(18,2)) AS current_amount,
