@@ -1,0 +1,94 @@
+"""Operators against brute-force equivalents on small fixtures."""
+
+import datetime as dt
+import os
+from decimal import ROUND_HALF_UP
+from decimal import Decimal as D
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from conftest import SF_SMALL
+from ledgerline import registry
+from ledgerline.operators import aggregates, joins, sorting, windows
+from ledgerline.plans import daily_run
+from ledgerline.session import fresh_path, work_root
+from ledgerline.sources import finance
+from ledgerline.sources import files as file_source
+from ledgerline.sources.tables import TableSet
+
+
+def test_first_by_time_equals_window_first(spark):
+    rows = []
+    for i in range(400):                       # key 0 is hot: a third of the rows
+        k = 0 if i % 3 == 0 else (None if i % 17 == 0 else i % 11)
+        rows.append((i, k, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=(i * 7) % 50),
+                     None if i % 13 == 0 else float(i)))
+    df = spark.createDataFrame(rows, "id long, k long, t timestamp, v double")
+    for desc in (False, True):
+        got = windows.first_by_time(df, ["k"], "t", "v", "id", "first_v", descending=desc)
+        order = [F.col("t").desc(), F.col("id").desc()] if desc else [F.col("t"), F.col("id")]
+        w = Window.partitionBy("k").orderBy(*order)
+        want = df.withColumn("first_v", F.first("v").over(w))
+        assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_left_anti_with_duplicate_right_keys(spark):
+    left = spark.createDataFrame([(1,), (2,), (3,)], "a long")
+    right = spark.createDataFrame([(2,)] * 50 + [(9,)], "b long")
+    assert sorted(r.a for r in joins.left_anti(left, right, "a", "b").collect()) == [1, 3]
+
+
+def test_ordered_string_agg_respects_order_not_arrival(spark):
+    df = spark.createDataFrame([("r", 3, "c"), ("r", 1, "a"), ("r", 2, "b"), ("s", 1, "x")],
+                               "k string, o int, v string").repartition(3)
+    got = {r.k: r.s for r in aggregates.ordered_string_agg(df, ["k"], "o", "v", "s").collect()}
+    assert got == {"r": "a, b, c", "s": "x"}
+
+
+def test_top_rows_is_ordered_prefix(spark):
+    df = spark.range(1000).withColumn("v", (F.col("id") * 7919) % 1009)
+    got = [r.id for r in sorting.top_rows(df, [F.col("v").desc(), F.col("id")], 5).collect()]
+    want = [r.id for r in sorted(df.collect(), key=lambda r: (-r.v, r.id))[:5]]
+    assert got == want
+
+
+def test_daily_run_write_modes(spark):
+    src = finance.from_tables(TableSet(spark, SF_SMALL))
+    root = fresh_path(spark, "daily")
+    day = "2024-01-15"
+    for _ in range(2):
+        daily_run.run_daily(src, root, day, run_ts="2024-01-15 21:00:00")
+    counts = {n: spark.read.parquet(f"{root}/{n}").count() for n in os.listdir(root.replace("file:", ""))
+              if not n.startswith(".")}
+    single = {n: df.count() for n, df in daily_run.build_marts(src, day).items()}
+    for name, c in counts.items():
+        expected = single[name] if name in daily_run.OVERWRITES_BY_DEFAULT else 2 * single[name]
+        assert c == expected, name
+    root2 = fresh_path(spark, "daily_idem")
+    for _ in range(2):
+        daily_run.run_daily(src, root2, day, idempotent=True)
+    for name, c in single.items():
+        assert spark.read.parquet(f"{root2}/{name}").count() == c
+
+
+def test_work_root_comes_from_session(spark):
+    assert work_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    assert fresh_path(spark, "x").startswith(work_root(spark))
+
+
+def test_file_inventory_matches_os_listing(spark):
+    inv = {r.key: r for r in file_source.file_inventory(spark, SF_SMALL).collect()}
+    names = sorted(os.listdir(SF_SMALL))
+    assert sorted(inv) == names
+    for n in names:
+        size = os.stat(os.path.join(SF_SMALL, n)).st_size
+        assert inv[n].size_bytes == size
+        assert inv[n].size_kb == float((D(size) / 1024).quantize(D("0.01"), rounding=ROUND_HALF_UP))
+        assert inv[n].bucket == os.path.basename(SF_SMALL)
+
+
+def test_fn_now_is_constant_within_query(spark):
+    df = registry.QUERIES["fn_now"](spark, SF_SMALL)
+    assert df.select(F.countDistinct("created_at")).first()[0] == 1
+    assert df.count() == spark.read.parquet(f"{SF_SMALL}/events.parquet").count()
