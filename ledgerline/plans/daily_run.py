@@ -8,6 +8,7 @@ day's partition for every mart, so a rerun of the same day stores it once.
 from __future__ import annotations
 
 import datetime as _dt
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 
@@ -38,16 +39,31 @@ def build_marts(src: FinanceSources, day, run_ts=None) -> dict[str, DataFrame]:
 
 
 def run_daily(src: FinanceSources, root: str, target_date=None, run_ts=None,
-              idempotent: bool = False) -> dict[str, str]:
-    """Write every mart for ``target_date`` (default: today); returns mart -> path."""
+              idempotent: bool = False, parallel: bool = True) -> dict[str, str]:
+    """Write every mart for ``target_date`` (default: today); returns mart -> path.
+
+    With ``parallel`` the six writes are submitted as concurrent Spark jobs
+    (from driver threads, no data passes through them), so small marts fill
+    the slots a large one leaves idle. A failure of any mart is raised after
+    the others have finished; each write is atomic per partition.
+    """
     d = as_date(target_date or _dt.date.today())
-    paths = {}
+    root = root.rstrip("/")
+    jobs = []
     for name, df in build_marts(src, d, run_ts).items():
-        path = f"{root.rstrip('/')}/{name}"
-        part = MART_PARTITION[name]
+        path, part = f"{root}/{name}", MART_PARTITION[name]
         if idempotent or name in OVERWRITES_BY_DEFAULT:
-            sinks.overwrite_partitions(df, path, part)
+            jobs.append((name, path, lambda df=df, path=path, part=part:
+                         sinks.overwrite_partitions(df, path, part)))
         else:
-            sinks.append(df, path, part)
-        paths[name] = path
-    return paths
+            jobs.append((name, path, lambda df=df, path=path, part=part: sinks.append(df, path, part)))
+    if parallel:
+        with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+            futures = [pool.submit(write) for _, _, write in jobs]
+        errors = [f.exception() for f in futures if f.exception() is not None]
+        if errors:
+            raise errors[0]
+    else:
+        for _, _, write in jobs:
+            write()
+    return {name: path for name, path, _ in jobs}

@@ -7,13 +7,23 @@ columns because they differ per run.
 
 from __future__ import annotations
 
+import datetime as _dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ledgerline import functions as fn
+from ledgerline.functions.money import MONEY, PORTFOLIO, PRICE, QUANTITY
+from ledgerline.operators import aggregates, filters, joins, sorting, windows
 from ledgerline.oracle import D_EVENTS, D_ORDERS
-from ledgerline.plans import marts
-from ledgerline.sources import finance
+from ledgerline.plans import access, daily_run, maintenance, marts
+from ledgerline.plans.schemas import MART_DDL, MART_PARTITION
+from ledgerline.session import fresh_path
+from ledgerline.sources import audit, catalog, finance, sinks
+from ledgerline.sources import files as file_source
 from ledgerline.sources.tables import TableSet, rows_with_schema
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,9 +31,9 @@ QUERIES: dict[str, Query] = {}
 
 
 def register(name: str):
-    def deco(fn):
-        QUERIES[name] = fn
-        return fn
+    def deco(query):
+        QUERIES[name] = query
+        return query
     return deco
 
 
@@ -75,16 +85,8 @@ def q_goal(spark, sf_dir):
 # single operators (one step each over the mapped tables)
 # ---------------------------------------------------------------------------
 
-import datetime as _dt  # noqa: E402
 
-from pyspark.sql import functions as F  # noqa: E402
-from pyspark.sql import types as T  # noqa: E402
 
-from ledgerline import functions as fn  # noqa: E402
-from ledgerline.functions.money import MONEY, PORTFOLIO, PRICE, QUANTITY  # noqa: E402
-from ledgerline.operators import aggregates, filters, joins, sorting, windows  # noqa: E402
-from ledgerline.plans import access, maintenance  # noqa: E402
-from ledgerline.sources import audit  # noqa: E402
 
 FIXED_RUN_TS = "2024-01-15 21:00:00"
 
@@ -442,13 +444,7 @@ def q_access_matrix(spark, sf_dir):
 
 # ---- sources, sinks and DDL (write under the session's work root, read back) ----
 
-import uuid  # noqa: E402
 
-from ledgerline.plans import daily_run  # noqa: E402
-from ledgerline.plans.schemas import MART_DDL, MART_PARTITION  # noqa: E402
-from ledgerline.session import fresh_path  # noqa: E402
-from ledgerline.sources import catalog, sinks  # noqa: E402
-from ledgerline.sources import files as file_source  # noqa: E402
 
 GIVEN_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                 "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]

@@ -77,3 +77,16 @@ def test_rows_with_schema_rejects_nulls(spark):
     with pytest.raises(Exception):
         rows_with_schema(bad, schema).collect()
     assert F is not None
+
+
+def test_jdbc_options_partitioned_and_plain():
+    from ledgerline.sources.jdbc import jdbc_options
+
+    plain = jdbc_options("jdbc:postgresql://db/x", "public.users")
+    assert plain["dbtable"] == "public.users" and "partitionColumn" not in plain
+    part = jdbc_options("jdbc:postgresql://db/x", "public.users", partition_column="id",
+                        lower_bound=0, upper_bound=1000, num_partitions=8, user="u")
+    assert (part["partitionColumn"], part["lowerBound"], part["upperBound"], part["numPartitions"]) == \
+        ("id", "0", "1000", "8")
+    with pytest.raises(ValueError):
+        jdbc_options("jdbc:x", "t", partition_column="id")
