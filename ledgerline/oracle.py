@@ -267,10 +267,10 @@ def single_operator_sql() -> dict[str, str]:
                              "SELECT b.user_id, b.category_id, c.name AS category_name, b.amount "
                              "FROM budgets b JOIN categories c ON b.category_id = c.id")
     totals = (with_sources("users", "income", "expense", "fixed_pay", "fixed_exp") + """,
-inc AS (SELECT user_id, sum(amount) AS inc_amt FROM income GROUP BY user_id),
-exp AS (SELECT user_id, sum(amount) AS exp_amt FROM expense GROUP BY user_id),
-fix AS (SELECT f.user_id, sum(p.amount) AS fix_amt FROM fixed_pay p JOIN fixed_exp f ON p.expense_id = f.id
-        GROUP BY f.user_id)
+inc AS (SELECT user_id, CAST(sum(amount) AS DECIMAL(28,2)) AS inc_amt FROM income GROUP BY user_id),
+exp AS (SELECT user_id, CAST(sum(amount) AS DECIMAL(28,2)) AS exp_amt FROM expense GROUP BY user_id),
+fix AS (SELECT f.user_id, CAST(sum(p.amount) AS DECIMAL(28,2)) AS fix_amt
+        FROM fixed_pay p JOIN fixed_exp f ON p.expense_id = f.id GROUP BY f.user_id)
 """)
     q["join_left_chain"] = totals + (
         "SELECT u.id AS user_id, u.name AS user_name, inc.inc_amt, exp.exp_amt, fix.fix_amt FROM users u "
@@ -278,7 +278,7 @@ fix AS (SELECT f.user_id, sum(p.amount) AS fix_amt FROM fixed_pay p JOIN fixed_e
         "LEFT JOIN fix ON u.id = fix.user_id")
     q["join_header_detail"] = totals + "SELECT user_id, fix_amt FROM fix"
     q["join_left_composite"] = with_sources("budgets", "cat_expense") + f""",
-spent AS (SELECT user_id, category_id, sum(amount) AS actual_spent FROM cat_expense
+spent AS (SELECT user_id, category_id, CAST(sum(amount) AS DECIMAL(28,2)) AS actual_spent FROM cat_expense
           WHERE date >= DATE '{d_o[:8]}01' AND date <= DATE '{d_o}' GROUP BY user_id, category_id)
 SELECT b.user_id, b.category_id, b.amount AS budget_amount, s.actual_spent FROM budgets b
 LEFT JOIN spent s ON b.user_id = s.user_id AND b.category_id = s.category_id"""
@@ -296,7 +296,7 @@ FROM lookup l LEFT JOIN privs p ON l.catalog_role = p.catalog_role"""
                          f"WHERE o_orderdate < TIMESTAMP '{d_o} 00:00:00' - INTERVAL 1 DAY "
                          f"AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL)")
     q["agg_sum_by_key"] = with_sources("income") + (
-        "SELECT user_id, sum(amount) AS total_income FROM income GROUP BY user_id")
+        "SELECT user_id, CAST(sum(amount) AS DECIMAL(28,2)) AS total_income FROM income GROUP BY user_id")
     q["agg_sum_composite"] = with_sources("cat_expense") + (
         "SELECT user_id, category_id, CAST(sum(amount) AS DECIMAL(18,2)) AS total_spent "
         "FROM cat_expense GROUP BY user_id, category_id")
@@ -400,7 +400,7 @@ def sink_sql() -> dict[str, str]:
     q["partition_overwrite_sink"] = (f"({price_summary_sql(_prev(D_EVENTS))}) UNION ALL "
                                      f"({price_summary_sql(D_EVENTS)})")
     q["overwrite_sink"] = goal
-    q["compact_table"] = ("SELECT source, count(*) AS n_docs, sum(n_chars) AS total_chars, "
+    q["compact_table"] = ("SELECT source, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS total_chars, "
                           "count(DISTINCT doc_id) AS n_ids FROM documents GROUP BY source")
     builders = [("daily_user_asset_holdings", asset_holdings_sql, "snapshot_date"),
                 ("daily_user_portfolio_stats", portfolio_stats_sql, "snapshot_date"),

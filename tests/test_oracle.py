@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF_ORACLE, SF_SMALL
+from ledgerline.typecheck import mismatched_types
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -51,6 +52,7 @@ def test_query_matches_oracle(spark, key):
     cur = duck(sf_dir).execute(SQL[key])
     dcols = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(dcols)
+    assert mismatched_types(df.schema, cur.description) == []
     order = [dcols.index(c) for c in df.columns]
     drows = sorted(tuple(norm(r[i]) for i in order) for r in cur.fetchall())
     assert srows == drows
