@@ -105,3 +105,24 @@ def orphan_files(files: DataFrame, referenced: DataFrame, path_col: str, ref_col
     # combined map-side instead of landing whole on one task of the anti join
     refs = referenced.select(F.col(ref_col).alias("__ref")).distinct()
     return aged.join(refs, aged[path_col] == refs["__ref"], "left_anti")
+
+
+def table_upkeep(spark: SparkSession, path: str, partition_col: str,
+                 snapshots: DataFrame | None = None, files: DataFrame | None = None, now=None,
+                 threshold: int = COMPACT_THRESHOLD) -> dict[str, DataFrame]:
+    """The nightly order for one table: compaction, then snapshot expiry, then
+    the orphan-file report. Returns the applied compaction plan and the two
+    reports; nothing is deleted.
+
+    ``snapshots``: table_name, snapshot_id, committed_at. ``files``: path,
+    modified_at of every object stored under the table (e.g. an object-store
+    inventory); it is compared with the table's live data files, listed here
+    *after* compaction (a file listing is fixed when its DataFrame is made).
+    """
+    out = {"compaction": compact_table(spark, path, partition_col, threshold)}
+    if snapshots is not None:
+        out["expired_snapshots"] = snapshot_retention(snapshots, now=now)
+    if files is not None:
+        live = file_source.parquet_files(spark, path, partition_col).select("path")
+        out["orphan_files"] = orphan_files(files, live, "path", "path", "modified_at", now=now)
+    return out

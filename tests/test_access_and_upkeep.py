@@ -91,3 +91,22 @@ def test_file_inventory_lists_given_tables(spark):
     assert "orders.parquet" in keys and all(r.bucket == "sf0.001" for r in inv)
     r = [x for x in inv if x.key == "orders.parquet"][0]
     assert r.size_kb == round(r.size_bytes / 1024, 2)
+
+
+def test_table_upkeep_order_and_reports(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "source", "n_chars")
+    path = fresh_path(spark, "upkeep")
+    docs.repartition(4, "doc_id").write.partitionBy("source").parquet(path)
+    listing = file_source.parquet_files(spark, path, "source").select(
+        "path", F.lit(dt.datetime(2024, 1, 1)).alias("modified_at"))
+    snaps = spark.createDataFrame([("t", 1, dt.datetime(2024, 1, 1)), ("t", 2, dt.datetime(2024, 1, 9))],
+                                  "table_name string, snapshot_id long, committed_at timestamp")
+    frozen = listing.checkpoint(eager=True)          # files before compaction
+    out = maintenance.table_upkeep(spark, path, "source", snapshots=snaps, files=frozen,
+                                   now=dt.datetime(2024, 1, 10))
+    assert out["compaction"].count() > 0
+    assert [r.snapshot_id for r in out["expired_snapshots"].collect()] == [1]
+    # every pre-compaction file was replaced, so all of them are reported as orphans
+    assert out["orphan_files"].count() == frozen.count()
+    live = file_source.parquet_files(spark, path, "source")
+    assert 0 < live.count() < frozen.count()
