@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import as_date
-from ledgerline.functions.money import MONEY, PCT, PORTFOLIO, PRICE, QUANTITY, safe_pct, spark_avg
+from ledgerline.functions.money import MONEY, PORTFOLIO, PRICE, QUANTITY, safe_pct, spark_avg
 from ledgerline.operators import filters
 from ledgerline.plans.schemas import MART_COLUMNS
 
@@ -25,7 +25,7 @@ def stamp(df: DataFrame, date_col: str, day, run_ts=None) -> DataFrame:
     return df.withColumn(date_col, F.lit(as_date(day)).cast("date")).withColumn("created_at", ts)
 
 
-def _users(users: DataFrame) -> DataFrame:
+def user_names(users: DataFrame) -> DataFrame:
     return users.select(F.col("id").alias("user_id"), F.col("name").alias("user_name"))
 
 
@@ -40,7 +40,7 @@ def asset_holdings(holdings: DataFrame, users: DataFrame, assets: DataFrame, as_
                .groupBy("user_id", "asset_id", "asset_sub_type")
                .agg(F.sum("quantity").alias("quantity")))
     a = assets.select("asset_id", "asset_symbol", "asset_name", "asset_type")
-    out = (per_key.join(_users(users), "user_id").join(a, "asset_id")
+    out = (per_key.join(user_names(users), "user_id").join(a, "asset_id")
            # regroup: duplicate dimension rows multiply exactly as a join-first plan would
            .groupBy("user_id", "user_name", "asset_id", "asset_symbol", "asset_name",
                     "asset_type", "asset_sub_type")
@@ -55,7 +55,7 @@ def portfolio_stats(summary: DataFrame, users: DataFrame, day, run_ts=None) -> D
                 .groupBy("user_id")
                 .agg(F.sum("total_value").alias("s"), F.count("total_value").alias("c"),
                      F.min("total_value").alias("lo"), F.max("total_value").alias("hi")))
-    out = (per_user.join(_users(users), "user_id")
+    out = (per_user.join(user_names(users), "user_id")
            .groupBy("user_id", "user_name")
            .agg(F.sum("s").alias("s"), F.sum("c").alias("c"),
                 F.min("lo").alias("lo"), F.max("hi").alias("hi"))
@@ -93,7 +93,7 @@ def cashflow(users: DataFrame, income: DataFrame, expense: DataFrame, fixed_paym
                      F.sum("fix").alias("fix_amt"))
                 .na.fill(0, subset=["inc_amt", "exp_amt", "fix_amt"]))
     active = filters.any_positive(per_user, ["inc_amt", "exp_amt", "fix_amt"])
-    out = (active.join(_users(users), "user_id")
+    out = (active.join(user_names(users), "user_id")
            .withColumn("total_income", F.col("inc_amt").cast(MONEY))
            .withColumn("total_variable_expense", F.col("exp_amt").cast(MONEY))
            .withColumn("total_fixed_expense", F.col("fix_amt").cast(MONEY))
@@ -164,7 +164,7 @@ def goal_progress(goals: DataFrame, users: DataFrame, day, run_ts=None) -> DataF
     d = as_date(day)
     g = goals.select(F.col("id").alias("goal_id"), "user_id", F.col("title").alias("goal_title"),
                      "target_amount", "current_amount", "deadline", "status")
-    out = (g.join(_users(users), "user_id", "inner")
+    out = (g.join(user_names(users), "user_id", "inner")
            .withColumn("target_amount", F.col("target_amount").cast(MONEY))
            .withColumn("current_amount", F.coalesce(F.col("current_amount"), F.lit(0)).cast(MONEY))
            .withColumn("completion_rate_pct", safe_pct("current_amount", "target_amount"))

@@ -124,12 +124,12 @@ def q_filter_any_positive(spark, sf_dir):
 
 @register("project_rename")
 def q_project_rename(spark, sf_dir):
-    return marts._users(finance.users(TableSet(spark, sf_dir)))
+    return marts.user_names(finance.users(TableSet(spark, sf_dir)))
 
 
 @register("stamp_columns")
 def q_stamp(spark, sf_dir):
-    u = marts._users(finance.users(TableSet(spark, sf_dir)))
+    u = marts.user_names(finance.users(TableSet(spark, sf_dir)))
     return marts.stamp(u, "snapshot_date", D_ORDERS, FIXED_RUN_TS)
 
 
@@ -180,7 +180,7 @@ def _per_user_totals(t: TableSet):
 def q_join_left_chain(spark, sf_dir):
     t = TableSet(spark, sf_dir)
     inc, exp, fix = _per_user_totals(t)
-    return joins.left_chain(marts._users(finance.users(t)), [inc, exp, fix], "user_id")
+    return joins.left_chain(marts.user_names(finance.users(t)), [inc, exp, fix], "user_id")
 
 
 @register("join_left_composite")
