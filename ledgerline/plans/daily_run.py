@@ -67,3 +67,43 @@ def run_daily(src: FinanceSources, root: str, target_date=None, run_ts=None,
         for _, _, write in jobs:
             write()
     return {name: path for name, path, _ in jobs}
+
+
+def main(argv=None) -> dict[str, str]:
+    """spark-submit entry: ``python -m ledgerline.plans.daily_run --target-root PATH
+    [--target-date YYYY-MM-DD] [--idempotent] (--tables-dir DIR | --jdbc-url URL)``.
+
+    ``--tables-dir`` holds the twelve source tables as ``<name>`` Parquet folders;
+    with ``--jdbc-url`` they are read from ``<schema>.<name>``, credentials from
+    LEDGERLINE_JDBC_USER / LEDGERLINE_JDBC_PASSWORD.
+    """
+    import argparse
+    import os
+
+    from ledgerline.session import build_session
+    from ledgerline.sources import finance, jdbc
+
+    ap = argparse.ArgumentParser(description="Write the six daily marts for one date.")
+    ap.add_argument("--target-date", default=str(_dt.date.today()))
+    ap.add_argument("--target-root", required=True)
+    ap.add_argument("--idempotent", action="store_true")
+    group = ap.add_mutually_exclusive_group(required=True)
+    group.add_argument("--tables-dir")
+    group.add_argument("--jdbc-url")
+    ap.add_argument("--jdbc-schema", default="public")
+    args, _ = ap.parse_known_args(argv)
+    day = as_date(args.target_date)                  # malformed dates fail here
+    spark = build_session()
+    if args.tables_dir:
+        def read(name):
+            return spark.read.parquet(f"{args.tables_dir.rstrip('/')}/{name}")
+    else:
+        def read(name):
+            return jdbc.jdbc_scan(spark, args.jdbc_url, f"{args.jdbc_schema}.{name}",
+                                  user=os.environ.get("LEDGERLINE_JDBC_USER"),
+                                  password=os.environ.get("LEDGERLINE_JDBC_PASSWORD"))
+    return run_daily(finance.from_named_tables(read), args.target_root, day, idempotent=args.idempotent)
+
+
+if __name__ == "__main__":
+    main()

@@ -138,3 +138,87 @@ def from_tables(t: TableSet) -> FinanceSources:
         budgets=budgets(t), expense_categories=expense_categories(t),
         category_expenses=category_expenses(t), price_history=price_history(t), goals=goals(t),
     )
+
+
+# ---- the real source tables ---------------------------------------------------------
+
+# Names of the twelve source tables and of the two price columns
+# (buy, sell) in the original schema.
+SOURCE_TABLE_NAMES = [
+    "users", "assets", "portfolio_holdings", "portfolio_summary", "income_transactions",
+    "expense_transactions", "fixed_expense_payments", "fixed_expenses", "budgets",
+    "expense_categories", "price_history", "goals",
+]
+BUY_PRICE_COLUMN = "alis_price"
+SELL_PRICE_COLUMN = "satis_price"
+
+
+def _ids(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("bigint") for c in cols})
+
+
+def from_named_tables(read) -> FinanceSources:
+    """Sources from the original tables; ``read(name) -> DataFrame`` may be a
+    JDBC scan, a catalog read or a Parquet path read.
+
+    Types are normalised once here: identifiers BIGINT, money DECIMAL(18,2),
+    quantities DECIMAL(38,8), portfolio values DECIMAL(38,4), prices
+    DECIMAL(18,4), income/expense/goal dates DATE. ``price_history`` has no id
+    column, so a hash of the row content orders equal timestamps (rows that tie
+    on it are identical, so the chosen price is the same either way).
+    """
+    t = {n: read(n) for n in SOURCE_TABLE_NAMES}
+    prices = t["price_history"]
+    return FinanceSources(
+        users=_ids(t["users"].select("id", "name"), "id"),
+        assets=_ids(t["assets"].select("asset_id", "asset_symbol", "asset_name", "asset_type"), "asset_id"),
+        portfolio_holdings=_ids(t["portfolio_holdings"].select(
+            "user_id", "asset_id", "asset_sub_type", F.col("quantity").cast(QUANTITY).alias("quantity"),
+            "record_date"), "user_id", "asset_id"),
+        portfolio_summary=_ids(t["portfolio_summary"].select(
+            "user_id", "timestamp", F.col("total_value").cast(PORTFOLIO).alias("total_value")), "user_id"),
+        income_transactions=_ids(t["income_transactions"].select(
+            "user_id", F.col("date").cast("date").alias("date"),
+            F.col("amount").cast(MONEY).alias("amount")), "user_id"),
+        expense_transactions=_ids(t["expense_transactions"].select(
+            "user_id", F.col("category_id").cast("int").alias("category_id"),
+            F.col("date").cast("date").alias("date"), F.col("amount").cast(MONEY).alias("amount")), "user_id"),
+        fixed_expense_payments=_ids(t["fixed_expense_payments"].select(
+            "expense_id", "payment_date", F.col("amount").cast(MONEY).alias("amount")), "expense_id"),
+        fixed_expenses=_ids(t["fixed_expenses"].select("id", "user_id"), "id", "user_id"),
+        budgets=_ids(t["budgets"].select(
+            "user_id", F.col("category_id").cast("int").alias("category_id"),
+            F.col("amount").cast(MONEY).alias("amount")), "user_id"),
+        expense_categories=t["expense_categories"].select(F.col("id").cast("int").alias("id"), "name"),
+        category_expenses=_ids(t["expense_transactions"].select(
+            "user_id", F.col("category_id").cast("int").alias("category_id"),
+            F.col("date").cast("date").alias("date"), F.col("amount").cast(MONEY).alias("amount")), "user_id"),
+        price_history=_ids(prices.select(
+            F.xxhash64(*[F.col(c) for c in prices.columns]).alias("price_id"),
+            "asset_id", "timestamp",
+            F.col(BUY_PRICE_COLUMN).cast(PRICE).alias("buy_price"),
+            F.col(SELL_PRICE_COLUMN).cast(PRICE).alias("sell_price")), "asset_id"),
+        goals=_ids(t["goals"].select(
+            "id", "user_id", "title", F.col("target_amount").cast(MONEY).alias("target_amount"),
+            F.col("current_amount").cast(MONEY).alias("current_amount"),
+            F.col("deadline").cast("date").alias("deadline"), "status"), "id", "user_id"),
+    )
+
+
+def export_named_tables(src: FinanceSources, write) -> None:
+    """Inverse of ``from_named_tables`` for the mapped test data: ``write(name, df)``
+    receives each source table under its original name and columns."""
+    write("users", src.users)
+    write("assets", src.assets)
+    write("portfolio_holdings", src.portfolio_holdings)
+    write("portfolio_summary", src.portfolio_summary)
+    write("income_transactions", src.income_transactions)
+    write("expense_transactions", src.category_expenses)
+    write("fixed_expense_payments", src.fixed_expense_payments)
+    write("fixed_expenses", src.fixed_expenses)
+    write("budgets", src.budgets)
+    write("expense_categories", src.expense_categories)
+    write("price_history", src.price_history.select(
+        "asset_id", "timestamp", F.col("buy_price").alias(BUY_PRICE_COLUMN),
+        F.col("sell_price").alias(SELL_PRICE_COLUMN)))
+    write("goals", src.goals)
