@@ -73,3 +73,41 @@ def access_matrix(principals: DataFrame, principal_roles: DataFrame,
         F.coalesce("catalog_role", F.lit(NO_ROLE)).alias("catalog_role"),
         privileges.alias("privileges"))
         .orderBy(*MATRIX_ORDER))
+
+
+# List keys of the catalog's REST listings, in lookup order.
+PRINCIPAL_ROLE_KEYS = ("principalRoles", "roles", "entities")
+CATALOG_ROLE_KEYS = ("catalogRoles", "roles", "entities")
+
+_GRANTS = "struct<grants:array<struct<type:string,privilege:string>>>"
+
+
+def listings_from_payloads(principal_docs: DataFrame, role_docs: DataFrame,
+                           grant_docs: DataFrame):
+    """Listing tables from captured listing responses (one JSON document per row).
+
+    principal_docs  principal_name, payload  (roles of one principal)
+    role_docs       principal_role, payload  (catalog roles of one principal role)
+    grant_docs      catalog_role, payload    (``{"grants": [{type, privilege}]}``)
+
+    Returns (principals, principal_roles, role_catalog_roles, grants) for
+    ``access_matrix``. An empty or missing list yields no rows, so the matrix
+    falls back to its sentinels; grant order is the order in the document.
+    """
+    from ledgerline.functions.text import first_present_names
+
+    principals = principal_docs.select("principal_name")
+    principal_roles = (principal_docs
+                       .select("principal_name",
+                               F.explode(first_present_names("payload", PRINCIPAL_ROLE_KEYS))
+                               .alias("principal_role")))
+    role_catalog_roles = (role_docs
+                          .select("principal_role",
+                                  F.explode(first_present_names("payload", CATALOG_ROLE_KEYS))
+                                  .alias("catalog_role")))
+    grants = (grant_docs
+              .select("catalog_role",
+                      F.posexplode(F.from_json("payload", _GRANTS)["grants"]).alias("grant_order", "g"))
+              .select("catalog_role", F.col("g.type").alias("grant_type"),
+                      F.col("g.privilege").alias("privilege"), "grant_order"))
+    return principals, principal_roles, role_catalog_roles, grants

@@ -110,3 +110,29 @@ def test_table_upkeep_order_and_reports(spark):
     assert out["orphan_files"].count() == frozen.count()
     live = file_source.parquet_files(spark, path, "source")
     assert 0 < live.count() < frozen.count()
+
+
+def test_matrix_from_listing_payloads(spark):
+    pdocs = spark.createDataFrame([
+        ("ann", '{"principalRoles": [{"name": "analyst"}]}'),
+        ("bob", '{"principalRoles": [], "roles": [{"name": "etl"}, {"name": "ghost"}]}'),
+        ("cid", '{}'),
+    ], "principal_name string, payload string")
+    rdocs = spark.createDataFrame([
+        ("analyst", '{"catalogRoles": [{"name": "reader"}]}'),
+        ("etl", '{"entities": [{"name": "writer"}, {"name": "reader"}]}'),
+        ("ghost", '{"catalogRoles": []}'),
+    ], "principal_role string, payload string")
+    gdocs = spark.createDataFrame([
+        ("reader", '{"grants": [{"type": "table", "privilege": "READ"}, {"privilege": "LIST"}]}'),
+        ("writer", '{"grants": []}'),
+    ], "catalog_role string, payload string")
+    listings = access.listings_from_payloads(pdocs, rdocs, gdocs)
+    rows = [tuple(r) for r in access.access_matrix(*listings, "cat").collect()]
+    assert rows == [
+        ("ann", "analyst", "cat", "reader", "table:READ, None:LIST"),
+        ("bob", "etl", "cat", "reader", "table:READ, None:LIST"),
+        ("bob", "etl", "cat", "writer", "NO_GRANTS"),
+        ("bob", "ghost", "cat", "NONE", "NULL"),
+        ("cid", "NONE", "cat", "NONE", "NULL"),
+    ]
