@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import datetime as _dt
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ledgerline.functions.dates import as_date
@@ -39,16 +41,31 @@ def build_marts(src: FinanceSources, day, run_ts=None) -> dict[str, DataFrame]:
 
 
 def run_daily(src: FinanceSources, root: str, target_date=None, run_ts=None,
-              idempotent: bool = False, parallel: bool = True) -> dict[str, str]:
+              idempotent: bool = False, parallel: bool = True,
+              persist_dimensions: bool = False) -> dict[str, str]:
     """Write every mart for ``target_date`` (default: today); returns mart -> path.
 
     With ``parallel`` the six writes are submitted as concurrent Spark jobs
     (from driver threads, no data passes through them), so small marts fill
     the slots a large one leaves idle. A failure of any mart is raised after
     the others have finished; each write is atomic per partition.
+
+    ``persist_dimensions`` keeps users and assets (read by four and two marts)
+    for the run: worth it for JDBC sources, where every re-read is a full
+    remote scan; pointless for column-pruned Parquet. Lost cached blocks are
+    recomputed from the source.
     """
     d = as_date(target_date or _dt.date.today())
     root = root.rstrip("/")
+    if persist_dimensions:
+        users = src.users.persist(StorageLevel.MEMORY_AND_DISK)
+        assets = src.assets.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return run_daily(replace(src, users=users, assets=assets), root, d, run_ts,
+                             idempotent, parallel, persist_dimensions=False)
+        finally:
+            users.unpersist()
+            assets.unpersist()
     jobs = []
     for name, df in build_marts(src, d, run_ts).items():
         path, part = f"{root}/{name}", MART_PARTITION[name]
@@ -102,7 +119,8 @@ def main(argv=None) -> dict[str, str]:
             return jdbc.jdbc_scan(spark, args.jdbc_url, f"{args.jdbc_schema}.{name}",
                                   user=os.environ.get("LEDGERLINE_JDBC_USER"),
                                   password=os.environ.get("LEDGERLINE_JDBC_PASSWORD"))
-    return run_daily(finance.from_named_tables(read), args.target_root, day, idempotent=args.idempotent)
+    return run_daily(finance.from_named_tables(read), args.target_root, day, idempotent=args.idempotent,
+                     persist_dimensions=bool(args.jdbc_url))
 
 
 if __name__ == "__main__":

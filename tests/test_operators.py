@@ -66,8 +66,8 @@ def test_daily_run_write_modes(spark):
         expected = single[name] if name in daily_run.OVERWRITES_BY_DEFAULT else 2 * single[name]
         assert c == expected, name
     root2 = fresh_path(spark, "daily_idem")
-    for _ in range(2):
-        daily_run.run_daily(src, root2, day, idempotent=True)
+    for persist in (False, True):
+        daily_run.run_daily(src, root2, day, idempotent=True, persist_dimensions=persist)
     for name, c in single.items():
         assert spark.read.parquet(f"{root2}/{name}").count() == c
 
