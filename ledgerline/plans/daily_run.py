@@ -88,7 +88,8 @@ def run_daily(src: FinanceSources, root: str, target_date=None, run_ts=None,
 
 def main(argv=None) -> dict[str, str]:
     """spark-submit entry: ``python -m ledgerline.plans.daily_run --target-root PATH
-    [--target-date YYYY-MM-DD] [--idempotent] (--tables-dir DIR | --jdbc-url URL)``.
+    [--target-date YYYY-MM-DD] [--idempotent] (--tables-dir DIR | --jdbc-url URL
+    [--jdbc-partitions N])``.
 
     ``--tables-dir`` holds the twelve source tables as ``<name>`` Parquet folders;
     with ``--jdbc-url`` they are read from ``<schema>.<name>``, credentials from
@@ -108,6 +109,8 @@ def main(argv=None) -> dict[str, str]:
     group.add_argument("--tables-dir")
     group.add_argument("--jdbc-url")
     ap.add_argument("--jdbc-schema", default="public")
+    ap.add_argument("--jdbc-partitions", type=int, default=1,
+                    help="parallel range reads per source table (1 = one connection per table)")
     args, _ = ap.parse_known_args(argv)
     day = as_date(args.target_date)                  # malformed dates fail here
     spark = build_session()
@@ -117,6 +120,8 @@ def main(argv=None) -> dict[str, str]:
     else:
         def read(name):
             return jdbc.jdbc_scan(spark, args.jdbc_url, f"{args.jdbc_schema}.{name}",
+                                  partition_column=finance.JDBC_SPLIT_COLUMN.get(name),
+                                  num_partitions=args.jdbc_partitions,
                                   user=os.environ.get("LEDGERLINE_JDBC_USER"),
                                   password=os.environ.get("LEDGERLINE_JDBC_PASSWORD"))
     return run_daily(finance.from_named_tables(read), args.target_root, day, idempotent=args.idempotent,

@@ -152,6 +152,15 @@ SOURCE_TABLE_NAMES = [
 BUY_PRICE_COLUMN = "alis_price"
 SELL_PRICE_COLUMN = "satis_price"
 
+# Numeric column each source table is range-split on for parallel JDBC reads.
+JDBC_SPLIT_COLUMN = {
+    "users": "id", "assets": "asset_id", "portfolio_holdings": "user_id",
+    "portfolio_summary": "user_id", "income_transactions": "user_id",
+    "expense_transactions": "user_id", "fixed_expense_payments": "expense_id",
+    "fixed_expenses": "id", "budgets": "user_id", "expense_categories": None,
+    "price_history": "asset_id", "goals": "id",
+}
+
 
 def _ids(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("bigint") for c in cols})

@@ -30,6 +30,31 @@ def jdbc_options(url: str, table: str, user: str | None = None, password: str |
     return opts
 
 
-def jdbc_scan(spark: SparkSession, url: str, table: str, **kwargs) -> DataFrame:
-    """Full table scan; credentials come from the caller (never from code)."""
-    return spark.read.format("jdbc").options(**jdbc_options(url, table, **kwargs)).load()
+def bounds_query(table: str, column: str) -> str:
+    """One-row query for the range of ``column`` (evaluated by the database)."""
+    return f"SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {table}"
+
+
+def jdbc_scan(spark: SparkSession, url: str, table: str, partition_column: str | None = None,
+              num_partitions: int | None = None, lower_bound=None, upper_bound=None,
+              **kwargs) -> DataFrame:
+    """Table scan; credentials come from the caller (never from code).
+
+    With ``partition_column`` and ``num_partitions`` > 1 the scan is split into
+    that many range queries. Missing bounds are read first with one aggregate
+    query; the bounds only shape the ranges (rows outside them still land in
+    the first/last range), so they need not be exact.
+    """
+    if partition_column and num_partitions and num_partitions > 1:
+        if lower_bound is None or upper_bound is None:
+            b = (spark.read.format("jdbc")
+                 .options(**jdbc_options(url, f"({bounds_query(table, partition_column)}) b", **kwargs))
+                 .load().first())
+            if b is None or b[0] is None:            # empty table: one plain scan
+                return spark.read.format("jdbc").options(**jdbc_options(url, table, **kwargs)).load()
+            lower_bound, upper_bound = b[0], b[1]
+        opts = jdbc_options(url, table, partition_column=partition_column, lower_bound=lower_bound,
+                            upper_bound=upper_bound, num_partitions=num_partitions, **kwargs)
+    else:
+        opts = jdbc_options(url, table, **kwargs)
+    return spark.read.format("jdbc").options(**opts).load()

@@ -88,3 +88,11 @@ def test_jdbc_options_partitioned_and_plain():
         ("id", "0", "1000", "8")
     with pytest.raises(ValueError):
         jdbc_options("jdbc:x", "t", partition_column="id")
+
+
+def test_jdbc_bounds_query_and_split_columns():
+    from ledgerline.sources import finance
+    from ledgerline.sources.jdbc import bounds_query
+
+    assert bounds_query("public.goals", "id") == "SELECT MIN(id) AS lo, MAX(id) AS hi FROM public.goals"
+    assert set(finance.JDBC_SPLIT_COLUMN) == set(finance.SOURCE_TABLE_NAMES)
