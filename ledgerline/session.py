@@ -17,7 +17,6 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
-    "spark.sql.ui.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -42,7 +41,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     for k, v in conf.items():
-        if not k.startswith("spark.ui") and not k.startswith("spark.sql.ui"):
+        if not k.startswith("spark.ui"):
             try:
                 spark.conf.set(k, v)
             except Exception:  # static conf of an already running session
@@ -69,3 +68,21 @@ def work_root(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused location below the work root (one per call)."""
     return os.path.join(work_root(spark), "ledgerline", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024,
+                 max_partitions: int = 100_000) -> dict:
+    """Shuffle sizing for a cluster run over ``input_bytes`` of source data.
+
+    Starts with about one shuffle partition per ``target_partition_bytes`` of
+    input (AQE then coalesces partitions that come out small and splits skewed
+    ones), and lets file scans read splits of the same size. Pass the result
+    as ``build_session(extra=...)``.
+    """
+    parts = max(200, min(max_partitions, -(-input_bytes // target_partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }

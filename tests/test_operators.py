@@ -118,3 +118,13 @@ def test_daily_run_from_original_table_names(spark):
             # tie-break ids differ (content hash vs event id); compare where timestamps do not tie
             mine, back = mine.drop("open_buy_price", "close_buy_price"), back.drop("open_buy_price", "close_buy_price")
         assert sorted(back.select(*mine.columns).collect()) == sorted(mine.collect()), name
+
+
+def test_cluster_conf_sizing():
+    from ledgerline.session import cluster_conf
+
+    tb = 1024 ** 4
+    c = cluster_conf(100 * tb)
+    assert c["spark.sql.shuffle.partitions"] == str(100_000)
+    assert cluster_conf(10 * tb)["spark.sql.shuffle.partitions"] == str(40_960)
+    assert cluster_conf(1024)["spark.sql.shuffle.partitions"] == "200"
