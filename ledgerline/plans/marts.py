@@ -19,10 +19,18 @@ from ledgerline.operators import filters
 from ledgerline.plans.schemas import MART_COLUMNS
 
 
+def audit_time(run_ts=None):
+    """Audit timestamp: ``run_ts`` pins it, else the query's current time."""
+    return (F.current_timestamp() if run_ts is None else F.lit(run_ts).cast("timestamp")).alias("created_at")
+
+
+def report_date(name: str, day):
+    return F.lit(as_date(day)).cast("date").alias(name)
+
+
 def stamp(df: DataFrame, date_col: str, day, run_ts=None) -> DataFrame:
-    """Constant report date plus audit time (``run_ts`` pins it, else now)."""
-    ts = F.current_timestamp() if run_ts is None else F.lit(run_ts).cast("timestamp")
-    return df.withColumn(date_col, F.lit(as_date(day)).cast("date")).withColumn("created_at", ts)
+    """Constant report date plus audit time."""
+    return df.select("*", report_date(date_col, day), audit_time(run_ts))
 
 
 def user_names(users: DataFrame) -> DataFrame:
@@ -93,14 +101,16 @@ def cashflow(users: DataFrame, income: DataFrame, expense: DataFrame, fixed_paym
                      F.sum("fix").alias("fix_amt"))
                 .na.fill(0, subset=["inc_amt", "exp_amt", "fix_amt"]))
     active = filters.any_positive(per_user, ["inc_amt", "exp_amt", "fix_amt"])
-    out = (active.join(user_names(users), "user_id")
-           .withColumn("total_income", F.col("inc_amt").cast(MONEY))
-           .withColumn("total_variable_expense", F.col("exp_amt").cast(MONEY))
-           .withColumn("total_fixed_expense", F.col("fix_amt").cast(MONEY))
-           .withColumn("net_cashflow",
-                       (F.col("inc_amt") - (F.col("exp_amt") + F.col("fix_amt"))).cast(MONEY))
-           .withColumn("savings_rate_pct", safe_pct("net_cashflow", "inc_amt")))
-    return stamp(out, "summary_date", d, run_ts).select(*MART_COLUMNS["daily_user_cashflow"])
+    inc_amt, exp_amt, fix_amt = F.col("inc_amt"), F.col("exp_amt"), F.col("fix_amt")
+    net = (inc_amt - (exp_amt + fix_amt)).cast(MONEY)
+    return active.join(user_names(users), "user_id").select(
+        report_date("summary_date", d), "user_id", "user_name",
+        inc_amt.cast(MONEY).alias("total_income"),
+        exp_amt.cast(MONEY).alias("total_variable_expense"),
+        fix_amt.cast(MONEY).alias("total_fixed_expense"),
+        net.alias("net_cashflow"),
+        safe_pct(net, inc_amt).alias("savings_rate_pct"),     # ratio of the rounded net
+        audit_time(run_ts))
 
 
 def budget_performance(budgets: DataFrame, categories: DataFrame, expense: DataFrame, day,
@@ -116,17 +126,16 @@ def budget_performance(budgets: DataFrame, categories: DataFrame, expense: DataF
              .agg(F.sum("amount").alias("actual_spent")))
     b = budgets.select("user_id", "category_id", F.col("amount").alias("budget_amount"))
     cats = categories.select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
-    out = (b.join(cats, "category_id", "inner")
-           .join(spent, ["user_id", "category_id"], "left")
-           .na.fill(0, subset=["actual_spent"])
-           .withColumn("budget_amount", F.col("budget_amount").cast(MONEY))
-           .withColumn("actual_spent", F.col("actual_spent").cast(MONEY))
-           .withColumn("remaining_amount",
-                       (F.col("budget_amount") - F.col("actual_spent")).cast(MONEY))
-           .withColumn("utilization_rate_pct", safe_pct("actual_spent", "budget_amount"))
-           .withColumn("is_over_budget", F.col("actual_spent") > F.col("budget_amount")))
-    return stamp(out, "budget_month", d.replace(day=1), run_ts).select(
-        *MART_COLUMNS["monthly_budget_performance"])
+    budget = F.col("budget_amount").cast(MONEY)
+    used = F.coalesce(F.col("actual_spent"), F.lit(0)).cast(MONEY)
+    return (b.join(cats, "category_id", "inner")
+            .join(spent, ["user_id", "category_id"], "left")
+            .select(report_date("budget_month", d.replace(day=1)), "user_id", "category_id",
+                    "category_name", budget.alias("budget_amount"), used.alias("actual_spent"),
+                    (budget - used).cast(MONEY).alias("remaining_amount"),
+                    safe_pct(used, budget).alias("utilization_rate_pct"),
+                    (used > budget).alias("is_over_budget"),
+                    audit_time(run_ts)))
 
 
 def price_summary(prices: DataFrame, assets: DataFrame, day, run_ts=None) -> DataFrame:
@@ -162,17 +171,17 @@ def goal_status(current, target, days_remaining, status):
 def goal_progress(goals: DataFrame, users: DataFrame, day, run_ts=None) -> DataFrame:
     """Completion rate, days to deadline and derived status per goal."""
     d = as_date(day)
-    g = goals.select(F.col("id").alias("goal_id"), "user_id", F.col("title").alias("goal_title"),
-                     "target_amount", "current_amount", "deadline", "status")
-    out = (g.join(user_names(users), "user_id", "inner")
-           .withColumn("target_amount", F.col("target_amount").cast(MONEY))
-           .withColumn("current_amount", F.coalesce(F.col("current_amount"), F.lit(0)).cast(MONEY))
-           .withColumn("completion_rate_pct", safe_pct("current_amount", "target_amount"))
-           .withColumn("deadline", F.col("deadline").cast("date"))
-           .withColumn("days_remaining", F.datediff(F.col("deadline"), F.lit(d)))
-           .withColumn("status", goal_status(F.col("current_amount"), F.col("target_amount"),
-                                             F.col("days_remaining"), F.col("status"))))
-    return stamp(out, "snapshot_date", d, run_ts).select(*MART_COLUMNS["daily_goal_progress_stats"])
+    target = F.col("target_amount").cast(MONEY)
+    current = F.coalesce(F.col("current_amount"), F.lit(0)).cast(MONEY)
+    deadline = F.col("deadline").cast("date")
+    days_left = F.datediff(deadline, F.lit(d))
+    return goals.join(user_names(users), "user_id", "inner").select(
+        report_date("snapshot_date", d), F.col("id").alias("goal_id"), "user_id", "user_name",
+        F.col("title").alias("goal_title"), target.alias("target_amount"),
+        current.alias("current_amount"), safe_pct(current, target).alias("completion_rate_pct"),
+        deadline.alias("deadline"), days_left.alias("days_remaining"),
+        goal_status(current, target, days_left, F.col("status")).alias("status"),
+        audit_time(run_ts))
 
 
 def previous_day(day) -> _dt.date:

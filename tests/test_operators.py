@@ -128,3 +128,17 @@ def test_cluster_conf_sizing():
     assert c["spark.sql.shuffle.partitions"] == str(100_000)
     assert cluster_conf(10 * tb)["spark.sql.shuffle.partitions"] == str(40_960)
     assert cluster_conf(1024)["spark.sql.shuffle.partitions"] == "200"
+
+
+def test_mart_columns_follow_ddl_order(spark):
+    from ledgerline.plans.schemas import MART_COLUMNS, MART_DDL
+
+    src = finance.from_tables(TableSet(spark, SF_SMALL))
+    for name, df in daily_run.build_marts(src, "2024-01-15").items():
+        assert df.columns == MART_COLUMNS[name], name
+        ddl_types = [p.strip().split(" ", 1)[1].replace(" ", "").lower()
+                     for p in MART_DDL[name][0].split(", ")]
+        got = [f.dataType.simpleString().replace("bigint", "bigint") for f in df.schema.fields]
+        norm = {"int": "int", "integer": "int", "timestamp": "timestamp", "string": "string",
+                "boolean": "boolean", "date": "date", "bigint": "bigint"}
+        assert [norm.get(t, t) for t in got] == [norm.get(t, t) for t in ddl_types], name
