@@ -86,6 +86,19 @@ def run_daily(src: FinanceSources, root: str, target_date=None, run_ts=None,
     return {name: path for name, path, _ in jobs}
 
 
+def register_marts(spark, namespace: str, paths: dict[str, str]) -> None:
+    """Expose written marts as catalog tables ``<namespace>.<mart>`` for SQL
+    (``SHOW TABLES IN ns``, ``SELECT ... FROM ns.daily_user_cashflow``)."""
+    from ledgerline.plans.schemas import MART_DDL
+    from ledgerline.sources import catalog
+
+    catalog.create_namespace(spark, namespace)
+    for name, path in paths.items():
+        ddl, part = MART_DDL[name]
+        catalog.register_partitioned(spark, f"{namespace}.{name}", ddl, part, path)
+        spark.sql(f"REFRESH TABLE {namespace}.{name}")
+
+
 def main(argv=None) -> dict[str, str]:
     """spark-submit entry: ``python -m ledgerline.plans.daily_run --target-root PATH
     [--target-date YYYY-MM-DD] [--idempotent] (--tables-dir DIR | --jdbc-url URL

@@ -57,3 +57,12 @@ def list_tables(spark: SparkSession, namespace: str) -> DataFrame:
 def insert_values(spark: SparkSession, table: str, rows_sql: str) -> None:
     """``INSERT INTO table <rows_sql>`` where rows_sql is ``VALUES (...), ...`` or a query."""
     spark.sql(f"INSERT INTO {table} {rows_sql}")
+
+
+def register_partitioned(spark: SparkSession, name: str, columns_ddl: str, partition_col: str,
+                         path: str) -> None:
+    """Catalog entry over an existing partitioned Parquet folder; the partition
+    folders already on storage are added to the catalog."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns_ddl}) USING parquet "
+              f"PARTITIONED BY ({partition_col}) LOCATION '{path}'")
+    spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")

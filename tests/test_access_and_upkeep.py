@@ -136,3 +136,18 @@ def test_matrix_from_listing_payloads(spark):
         ("bob", "ghost", "cat", "NONE", "NULL"),
         ("cid", "NONE", "cat", "NONE", "NULL"),
     ]
+
+
+def test_compaction_leaves_unplanned_partitions_alone(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "source", "n_chars")
+    path = fresh_path(spark, "partial")
+    many = docs.filter(F.col("source") == "src0")
+    one = docs.filter(F.col("source") == "src1")
+    many.repartition(5, "doc_id").write.partitionBy("source").parquet(path)
+    one.coalesce(1).write.mode("append").partitionBy("source").parquet(path)
+    before = {r.path for r in file_source.parquet_files(spark, path, "source").filter("source = 'src1'").collect()}
+    plan = maintenance.compact_table(spark, path, "source").collect()
+    assert [r.source for r in plan] == ["src0"]
+    after = {r.path for r in file_source.parquet_files(spark, path, "source").filter("source = 'src1'").collect()}
+    assert after == before
+    assert spark.read.parquet(path).count() == many.count() + one.count()

@@ -142,3 +142,22 @@ def test_mart_columns_follow_ddl_order(spark):
         norm = {"int": "int", "integer": "int", "timestamp": "timestamp", "string": "string",
                 "boolean": "boolean", "date": "date", "bigint": "bigint"}
         assert [norm.get(t, t) for t in got] == [norm.get(t, t) for t in ddl_types], name
+
+
+def test_marts_queryable_by_sql_after_registration(spark):
+    import uuid
+
+    src = finance.from_tables(TableSet(spark, SF_SMALL))
+    root = fresh_path(spark, "sqlmarts")
+    paths = daily_run.run_daily(src, root, "2024-01-14", idempotent=True)
+    ns = f"m_{uuid.uuid4().hex[:8]}"
+    daily_run.register_marts(spark, ns, paths)
+    names = {r.tableName for r in spark.sql(f"SHOW TABLES IN {ns}").collect()}
+    assert names == set(paths)
+    daily_run.run_daily(src, root, "2024-01-15", idempotent=True)     # a later day
+    daily_run.register_marts(spark, ns, paths)                         # picks up the new partition
+    top = spark.sql(f"SELECT price_date, asset_id, close_buy_price FROM {ns}.daily_asset_price_summary "
+                    f"ORDER BY price_date DESC, asset_id LIMIT 10").collect()
+    assert 0 < len(top) <= 10 and top[0].price_date == dt.date(2024, 1, 15)
+    days = {r.price_date for r in spark.sql(f"SELECT DISTINCT price_date FROM {ns}.daily_asset_price_summary").collect()}
+    assert days == {dt.date(2024, 1, 14), dt.date(2024, 1, 15)}
