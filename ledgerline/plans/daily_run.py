@@ -92,7 +92,9 @@ def register_marts(spark, namespace: str, paths: dict[str, str]) -> None:
     from ledgerline.plans.schemas import MART_DDL
     from ledgerline.sources import catalog
 
-    catalog.create_namespace(spark, namespace)
+    from ledgerline.session import fresh_path
+
+    catalog.create_namespace(spark, namespace, fresh_path(spark, namespace))   # no local warehouse dir
     for name, path in paths.items():
         ddl, part = MART_DDL[name]
         catalog.register_partitioned(spark, f"{namespace}.{name}", ddl, part, path)
