@@ -55,13 +55,15 @@ def work_root(spark: SparkSession) -> str:
     Only when the session names none (local tests) a private temporary folder
     is created and registered as the checkpoint dir.
     """
+    sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
+        root = sc.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="ledgerline-")
         spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)          # so DataFrame.checkpoint() writes to the same place
     return root.rstrip("/")
 
 
