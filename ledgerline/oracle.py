@@ -287,7 +287,7 @@ LEFT JOIN spent s ON b.user_id = s.user_id AND b.category_id = s.category_id"""
         "coalesce(catalog_role, 'NONE') AS catalog_role FROM lookup")
     q["access_matrix"] = AUDIT_WITH + """
 SELECT l.principal_name, coalesce(l.principal_role, 'NONE') AS principal_role,
-       'lakehouse' AS catalog_name, coalesce(l.catalog_role, 'NONE') AS catalog_role,
+       'main' AS catalog_name, coalesce(l.catalog_role, 'NONE') AS catalog_role,
        CASE WHEN l.principal_role IS NULL OR l.catalog_role IS NULL THEN 'NULL'
             ELSE coalesce(p.privileges, 'NO_GRANTS') END AS privileges
 FROM lookup l LEFT JOIN privs p ON l.catalog_role = p.catalog_role"""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.sources.tables import TableSet
 
-CATALOG_NAME = "lakehouse"
+CATALOG_NAME = "main"
 ROLE_CUTOFF = "1996-01-01"
 
 # Principal role -> catalog role (GHOST is a catalog role without grants).
