@@ -6,6 +6,8 @@ at scale); the other types are those of the original marts.
 
 from __future__ import annotations
 
+# Mart table names, column names/order and types of the original marts
+# (identifiers widened to BIGINT as noted above).
 MART_DDL = {
     "daily_user_asset_holdings": (
         "snapshot_date DATE, user_id BIGINT, user_name STRING, asset_id BIGINT, "
