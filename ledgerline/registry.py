@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ledgerline import functions as fn
 from ledgerline.functions.money import MONEY, PORTFOLIO, PRICE, QUANTITY
 from ledgerline.operators import aggregates, filters, joins, sorting, windows
-from ledgerline.oracle import D_EVENTS, D_ORDERS
+from ledgerline.oracle import D_EVENTS, D_ORDERS, FIXED_RUN_TS
 from ledgerline.plans import access, daily_run, maintenance, marts
 from ledgerline.plans.schemas import MART_DDL, MART_PARTITION
 from ledgerline.session import fresh_path
@@ -86,11 +86,6 @@ def q_goal(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 
-
-
-FIXED_RUN_TS = "2024-01-15 21:00:00"
-
-
 @register("filter_asof_day")
 def q_filter_asof(spark, sf_dir):
     li = TableSet(spark, sf_dir)("lineitem").select(
@@ -445,7 +440,6 @@ def q_access_matrix(spark, sf_dir):
 # ---- sources, sinks and DDL (write under the session's work root, read back) ----
 
 
-
 GIVEN_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                 "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
