@@ -111,3 +111,35 @@ def listings_from_payloads(principal_docs: DataFrame, role_docs: DataFrame,
               .select("catalog_role", F.col("g.type").alias("grant_type"),
                       F.col("g.privilege").alias("privilege"), "grant_order"))
     return principals, principal_roles, role_catalog_roles, grants
+
+
+def main(argv=None) -> DataFrame:
+    """``python -m ledgerline.plans.access --principals P --roles R --grants G
+    [--catalog NAME] [--out PATH]``: JSON-lines files of captured listing
+    responses (fields principal_name|principal_role|catalog_role and payload)
+    -> access matrix, printed like the original (first 20 rows, untruncated)
+    and optionally written as Parquet."""
+    import argparse
+
+    from ledgerline.session import build_session
+
+    ap = argparse.ArgumentParser(description="Principal / role / privilege matrix.")
+    ap.add_argument("--principals", required=True)
+    ap.add_argument("--roles", required=True)
+    ap.add_argument("--grants", required=True)
+    ap.add_argument("--catalog", default="main")
+    ap.add_argument("--out")
+    args = ap.parse_args(argv)
+    spark = build_session()
+    docs = [spark.read.schema(f"{key} string, payload string").json(path)
+            for key, path in (("principal_name", args.principals), ("principal_role", args.roles),
+                              ("catalog_role", args.grants))]
+    matrix = access_matrix(*listings_from_payloads(*docs), args.catalog)
+    matrix.show(20, truncate=False)
+    if args.out:
+        matrix.write.mode("overwrite").parquet(args.out)
+    return matrix
+
+
+if __name__ == "__main__":
+    main()

@@ -151,3 +151,22 @@ def test_compaction_leaves_unplanned_partitions_alone(spark):
     after = {r.path for r in file_source.parquet_files(spark, path, "source").filter("source = 'src1'").collect()}
     assert after == before
     assert spark.read.parquet(path).count() == many.count() + one.count()
+
+
+def test_access_entry_point_reads_json_lines(spark, tmp_path):
+    import json
+
+    def lines(name, rows):
+        p = tmp_path / name
+        p.write_text("\n".join(json.dumps(r) for r in rows) + "\n")
+        return str(p)
+
+    pr = lines("p.jsonl", [{"principal_name": "ann", "payload": json.dumps({"roles": [{"name": "etl"}]})},
+                           {"principal_name": "bob", "payload": "{}"}])
+    rr = lines("r.jsonl", [{"principal_role": "etl", "payload": json.dumps({"catalogRoles": [{"name": "w"}]})}])
+    gr = lines("g.jsonl", [{"catalog_role": "w", "payload": json.dumps({"grants": [{"type": "table", "privilege": "WRITE"}]})}])
+    out = fresh_path(spark, "matrix")
+    m = access.main(["--principals", pr, "--roles", rr, "--grants", gr, "--out", out])
+    assert [tuple(r) for r in m.collect()] == [("ann", "etl", "main", "w", "table:WRITE"),
+                                               ("bob", "NONE", "main", "NONE", "NULL")]
+    assert spark.read.parquet(out).count() == 2
