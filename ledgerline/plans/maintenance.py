@@ -126,3 +126,34 @@ def table_upkeep(spark: SparkSession, path: str, partition_col: str,
         live = file_source.parquet_files(spark, path, partition_col).select("path")
         out["orphan_files"] = orphan_files(files, live, "path", "path", "modified_at", now=now)
     return out
+
+
+def main(argv=None) -> dict[str, DataFrame]:
+    """``python -m ledgerline.plans.maintenance --table PATH --partition-col C
+    [--threshold-mb 128] [--snapshots PARQUET] [--inventory PARQUET]``:
+    compaction, then the snapshot-expiry and orphan-file reports (printed)."""
+    import argparse
+
+    from ledgerline.session import build_session
+
+    ap = argparse.ArgumentParser(description="Nightly upkeep of one Parquet table.")
+    ap.add_argument("--table", required=True)
+    ap.add_argument("--partition-col", required=True)
+    ap.add_argument("--threshold-mb", type=int, default=COMPACT_THRESHOLD // MB)
+    ap.add_argument("--snapshots", help="Parquet: table_name, snapshot_id, committed_at")
+    ap.add_argument("--inventory", help="Parquet: path, modified_at of stored objects")
+    args = ap.parse_args(argv)
+    spark = build_session()
+    out = table_upkeep(
+        spark, args.table, args.partition_col,
+        snapshots=spark.read.parquet(args.snapshots) if args.snapshots else None,
+        files=spark.read.parquet(args.inventory) if args.inventory else None,
+        threshold=args.threshold_mb * MB)
+    for name, df in out.items():
+        print(f"== {name}")
+        df.show(20, truncate=False)
+    return out
+
+
+if __name__ == "__main__":
+    main()

@@ -170,3 +170,12 @@ def test_access_entry_point_reads_json_lines(spark, tmp_path):
     assert [tuple(r) for r in m.collect()] == [("ann", "etl", "main", "w", "table:WRITE"),
                                                ("bob", "NONE", "main", "NONE", "NULL")]
     assert spark.read.parquet(out).count() == 2
+
+
+def test_upkeep_entry_point(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "source", "n_chars")
+    path = fresh_path(spark, "cli_upkeep")
+    docs.repartition(3, "doc_id").write.partitionBy("source").parquet(path)
+    out = maintenance.main(["--table", path, "--partition-col", "source"])
+    assert out["compaction"].count() == docs.select("source").distinct().count()
+    assert spark.read.parquet(path).count() == docs.count()
