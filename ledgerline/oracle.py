@@ -291,6 +291,7 @@ SELECT l.principal_name, coalesce(l.principal_role, 'NONE') AS principal_role,
        CASE WHEN l.principal_role IS NULL OR l.catalog_role IS NULL THEN 'NULL'
             ELSE coalesce(p.privileges, 'NO_GRANTS') END AS privileges
 FROM lookup l LEFT JOIN privs p ON l.catalog_role = p.catalog_role"""
+    q["access_matrix_from_listings"] = q["access_matrix"]
     q["agg_privilege_list"] = AUDIT_WITH + "SELECT catalog_role, privileges FROM privs"
     q["orphan_files"] = (f"SELECT o_orderkey AS file_id, o_orderdate AS modified_at FROM orders "
                          f"WHERE o_orderdate < TIMESTAMP '{d_o} 00:00:00' - INTERVAL 1 DAY "

@@ -613,3 +613,27 @@ def q_daily_marts_run(spark, sf_dir):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+@register("access_matrix_from_listings")
+def q_access_matrix_from_listings(spark, sf_dir):
+    """The matrix through the listing-response path: the audit listings are
+    rendered as JSON documents (as the catalog service returns them, one per
+    principal / principal role / catalog role) and parsed back."""
+    p, pr, rc, g = _audit_inputs(spark, sf_dir)
+    roles = pr.groupBy("principal_name").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("principal_role").alias("name")))).alias("items"))
+    principal_docs = (p.join(roles, "principal_name", "left")
+                      .select("principal_name",
+                              F.to_json(F.struct(F.coalesce("items", F.array().cast("array<struct<name:string>>"))
+                                                 .alias("principalRoles"))).alias("payload")))
+    role_docs = (rc.groupBy("principal_role")
+                 .agg(F.to_json(F.struct(F.array_sort(F.collect_list(
+                     F.struct(F.col("catalog_role").alias("name")))).alias("catalogRoles"))).alias("payload")))
+    grant_docs = (g.groupBy("catalog_role")
+                  .agg(F.to_json(F.struct(F.transform(
+                      F.array_sort(F.collect_list(F.struct("grant_order", "grant_type", "privilege"))),
+                      lambda x: F.struct(x["grant_type"].alias("type"), x["privilege"].alias("privilege")))
+                      .alias("grants"))).alias("payload")))
+    listings = access.listings_from_payloads(principal_docs, role_docs, grant_docs)
+    return access.access_matrix(*listings, audit.CATALOG_NAME)
