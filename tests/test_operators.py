@@ -161,3 +161,14 @@ def test_marts_queryable_by_sql_after_registration(spark):
     assert 0 < len(top) <= 10 and top[0].price_date == dt.date(2024, 1, 15)
     days = {r.price_date for r in spark.sql(f"SELECT DISTINCT price_date FROM {ns}.daily_asset_price_summary").collect()}
     assert days == {dt.date(2024, 1, 14), dt.date(2024, 1, 15)}
+
+
+def test_file_inventory_tolerates_empty_buckets(spark, tmp_path):
+    import shutil
+
+    (tmp_path / "empty_bucket").mkdir()
+    (tmp_path / "full_bucket" / "sub").mkdir(parents=True)
+    shutil.copy(f"{SF_SMALL}/nation.parquet", tmp_path / "full_bucket" / "sub" / "nation.parquet")
+    rows = file_source.file_inventory(spark, str(tmp_path)).collect()
+    assert [(r.bucket, r.key) for r in rows] == [("full_bucket", "sub/nation.parquet")]
+    assert file_source.file_inventory(spark, str(tmp_path / "empty_bucket")).count() == 0
