@@ -43,6 +43,7 @@ def _no_audit(df: DataFrame) -> DataFrame:
 
 @register("asset_holdings_asof")
 def q_asset_holdings(spark, sf_dir):
+    """Holdings = lineitem x orders (user = customer, asset = part); as of 1998-06-15."""
     t = TableSet(spark, sf_dir)
     return _no_audit(marts.asset_holdings(finance.portfolio_holdings(t), finance.users(t),
                                           finance.assets(t), D_ORDERS))
@@ -50,12 +51,14 @@ def q_asset_holdings(spark, sf_dir):
 
 @register("portfolio_day_stats")
 def q_portfolio(spark, sf_dir):
+    """Portfolio values = events (user, ts, value); day 2024-01-15."""
     t = TableSet(spark, sf_dir)
     return _no_audit(marts.portfolio_stats(finance.portfolio_summary(t), finance.users(t), D_EVENTS))
 
 
 @register("user_cashflow")
 def q_cashflow(spark, sf_dir):
+    """Income = purchase, expense = click, fixed payments = error events (owner via orders)."""
     t = TableSet(spark, sf_dir)
     return _no_audit(marts.cashflow(finance.users(t), finance.income_transactions(t),
                                     finance.expense_transactions(t), finance.fixed_expense_payments(t),
@@ -64,6 +67,7 @@ def q_cashflow(spark, sf_dir):
 
 @register("budget_performance")
 def q_budget(spark, sf_dir):
+    """Budgets = customer balances per nation; spend = orders in June 1998 up to the 15th."""
     t = TableSet(spark, sf_dir)
     return _no_audit(marts.budget_performance(finance.budgets(t), finance.expense_categories(t),
                                               finance.category_expenses(t), D_ORDERS))
@@ -71,12 +75,14 @@ def q_budget(spark, sf_dir):
 
 @register("asset_price_summary")
 def q_price(spark, sf_dir):
+    """Prices = events (asset = user_id, buy = value, sell = props.k); day 2024-01-15."""
     t = TableSet(spark, sf_dir)
     return _no_audit(marts.price_summary(finance.price_history(t), finance.assets(t), D_EVENTS))
 
 
 @register("goal_progress")
 def q_goal(spark, sf_dir):
+    """Goals = orders (target = total price, deadline = order date, current = balance)."""
     t = TableSet(spark, sf_dir)
     return _no_audit(marts.goal_progress(finance.goals(t), finance.users(t), D_ORDERS))
 
@@ -208,6 +214,7 @@ def q_join_lookup_default(spark, sf_dir):
 
 @register("orphan_files")
 def q_orphan_files(spark, sf_dir):
+    """Files = orders (modified = order date), references = lineitem keys; now = 1998-06-15."""
     t = TableSet(spark, sf_dir)
     files = t("orders").select(F.col("o_orderkey").alias("file_id"),
                                F.col("o_orderdate").alias("modified_at"))
@@ -251,6 +258,7 @@ def q_agg_privilege_list(spark, sf_dir):
 
 @register("compaction_plan")
 def q_compaction_plan(spark, sf_dir):
+    """Files = documents per source, size = n_chars; threshold and target 4,000."""
     docs = TableSet(spark, sf_dir)("documents").select("source", "n_chars")
     return maintenance.compaction_plan(docs, "source", "n_chars", 4000, 4000)
 
@@ -262,6 +270,7 @@ def _daily_prices(spark, sf_dir):
 
 @register("window_first_asc")
 def q_window_first_asc(spark, sf_dir):
+    """Open (first buy price) of every (asset, day), attached to each price row."""
     p = _daily_prices(spark, sf_dir)
     out = windows.first_by_time(p, ["asset_id", "price_day"], "timestamp", "buy_price", "price_id",
                                 "open_buy_price")
@@ -270,6 +279,7 @@ def q_window_first_asc(spark, sf_dir):
 
 @register("window_first_desc")
 def q_window_first_desc(spark, sf_dir):
+    """Close (last buy price) of every (asset, day), attached to each price row."""
     p = _daily_prices(spark, sf_dir)
     out = windows.first_by_time(p, ["asset_id", "price_day"], "timestamp", "buy_price", "price_id",
                                 "close_buy_price", descending=True)
@@ -278,6 +288,7 @@ def q_window_first_desc(spark, sf_dir):
 
 @register("snapshot_retention")
 def q_snapshot_retention(spark, sf_dir):
+    """Snapshots = events (table = user, snapshot = event, committed = ts); now = newest ts."""
     ev = TableSet(spark, sf_dir)("events").select(
         F.col("user_id").alias("table_name"), F.col("event_id").alias("snapshot_id"),
         F.col("ts").alias("committed_at"))
@@ -417,6 +428,7 @@ def role_payloads(t: TableSet):
 
 @register("fn_json_fallback")
 def q_fn_json_fallback(spark, sf_dir):
+    """Role names parsed back from per-customer JSON role listings."""
     p = role_payloads(TableSet(spark, sf_dir))
     return p.select("principal_id",
                     F.explode_outer(fn.first_present_names("payload", ROLE_LIST_KEYS))
@@ -433,6 +445,7 @@ def q_fn_bytes_to_kb(spark, sf_dir):
 
 @register("access_matrix")
 def q_access_matrix(spark, sf_dir):
+    """Principals = customers, roles from 1995 F orders, catalog roles fixed, grants = nations."""
     p, pr, rc, g = _audit_inputs(spark, sf_dir)
     return access.access_matrix(p, pr, rc, g, audit.CATALOG_NAME)
 
@@ -472,6 +485,7 @@ def _register_given(spark, sf_dir, ns):
 
 @register("table_scan")
 def q_table_scan(spark, sf_dir):
+    """Catalog table over the customer file, read back whole."""
     ns = _namespace(spark)
     catalog.register_external(spark, f"{ns}.customer", TableSet(spark, sf_dir).path("customer"))
     return spark.read.table(f"{ns}.customer")
@@ -479,6 +493,7 @@ def q_table_scan(spark, sf_dir):
 
 @register("rows_with_schema")
 def q_rows_with_schema(spark, sf_dir):
+    """Part names and sizes under an explicit non-nullable schema."""
     schema = T.StructType([T.StructField("ITEM_NAME", T.StringType(), False),
                            T.StructField("QUANTITY", T.IntegerType(), False)])
     p = TableSet(spark, sf_dir)("part").select(F.col("p_name").alias("ITEM_NAME"),
@@ -488,11 +503,13 @@ def q_rows_with_schema(spark, sf_dir):
 
 @register("file_inventory")
 def q_file_inventory(spark, sf_dir):
+    """bucket, key and size of every file of the data folder (modification time left out)."""
     return file_source.file_inventory(spark, sf_dir).drop("modified_at")
 
 
 @register("create_namespace")
 def q_create_namespace(spark, sf_dir):
+    """Namespace created twice (idempotent) holding the supplied tables; its table names."""
     ns = _namespace(spark)
     catalog.create_namespace(spark, ns)            # second call is a no-op
     _register_given(spark, sf_dir, ns)
@@ -502,6 +519,7 @@ def q_create_namespace(spark, sf_dir):
 
 @register("catalog_listing")
 def q_catalog_listing(spark, sf_dir):
+    """The supplied tables registered in a namespace, listed with their row counts."""
     ns = _namespace(spark)
     _register_given(spark, sf_dir, ns)
     names = [r.tableName for r in catalog.list_tables(spark, ns).filter(~F.col("isTemporary")).collect()]
@@ -522,6 +540,7 @@ def _mart_table(spark, ns, name):
 
 @register("create_table")
 def q_create_table(spark, sf_dir):
+    """Partitioned mart table created twice (idempotent), goal mart inserted, read back."""
     ns = _namespace(spark)
     full, sql = _mart_table(spark, ns, "daily_goal_progress_stats")
     spark.sql(sql)
@@ -532,6 +551,7 @@ def q_create_table(spark, sf_dir):
 
 @register("ensure_table")
 def q_ensure_table(spark, sf_dir):
+    """ensure_table creates once then finds the table; goal mart appended, read back."""
     ns = _namespace(spark)
     full, sql = _mart_table(spark, ns, "daily_goal_progress_stats")
     created = catalog.ensure_table(spark, full, sql)
@@ -544,6 +564,7 @@ def q_ensure_table(spark, sf_dir):
 
 @register("insert_values")
 def q_insert_values(spark, sf_dir):
+    """INSERT INTO ... SELECT from the customer table, read back."""
     ns = _namespace(spark)
     catalog.register_external(spark, f"{ns}.customer", TableSet(spark, sf_dir).path("customer"))
     catalog.create_table(spark, f"{ns}.users", "id BIGINT, name STRING, job STRING",
@@ -555,6 +576,7 @@ def q_insert_values(spark, sf_dir):
 
 @register("append_sink")
 def q_append_sink(spark, sf_dir):
+    """Goal mart appended twice: every row twice."""
     name = "daily_goal_progress_stats"
     path = fresh_path(spark, name)
     batch = _goal_mart(spark, sf_dir)
@@ -565,6 +587,7 @@ def q_append_sink(spark, sf_dir):
 
 @register("partition_overwrite_sink")
 def q_partition_overwrite_sink(spark, sf_dir):
+    """Two days written, the second rewritten and an empty batch written: each day once."""
     name = "daily_asset_price_summary"
     path, part = fresh_path(spark, name), MART_PARTITION[name]
     before, day = marts.previous_day(D_EVENTS), D_EVENTS
@@ -577,6 +600,7 @@ def q_partition_overwrite_sink(spark, sf_dir):
 
 @register("overwrite_sink")
 def q_overwrite_sink(spark, sf_dir):
+    """Goal mart overwritten twice: once."""
     name = "daily_goal_progress_stats"
     path = fresh_path(spark, name)
     sinks.overwrite(_goal_mart(spark, sf_dir), path, MART_PARTITION[name])
@@ -586,6 +610,7 @@ def q_overwrite_sink(spark, sf_dir):
 
 @register("compact_table")
 def q_compact_table(spark, sf_dir):
+    """Documents written as many small files per source, compacted, read back per source."""
     path = fresh_path(spark, "documents")
     docs = TableSet(spark, sf_dir)("documents")
     # many small files per partition: every task writes into every source folder
@@ -599,6 +624,7 @@ def q_compact_table(spark, sf_dir):
 
 @register("daily_marts_run")
 def q_daily_marts_run(spark, sf_dir):
+    """All six marts for two days (one of them twice, idempotent mode): rows per mart and day."""
     root = fresh_path(spark, "marts")
     src = finance.from_tables(TableSet(spark, sf_dir))
     for day in (D_ORDERS, D_EVENTS, D_EVENTS):     # the repeated day must not duplicate rows
