@@ -57,18 +57,23 @@ def compact_table(spark: SparkSession, path: str, partition_col: str,
             .withColumn("n_files", F.greatest(F.lit(1), F.ceil(F.col("partition_bytes") / target))
                         .cast("int"))
             .checkpoint(eager=True))
-    n_out = plan.agg(F.sum("n_files")).first()[0]
-    if not n_out:
+    # One row per partition to rewrite: file metadata, not data. It becomes a
+    # partition filter on the read, so only those folders are scanned.
+    chosen = [(str(r[partition_col]), int(r["n_files"]))
+              for r in plan.select(partition_col, "n_files").collect()]
+    if not chosen:
         return plan
     data = spark.read.parquet(path)
     cols = data.columns
     data_cols = [c for c in cols if c != partition_col]
-    chosen = plan.select(F.col(partition_col).cast(data.schema[partition_col].dataType)
-                         .alias(partition_col), "n_files")
-    rows = data.join(chosen, partition_col, "inner")
+    part_type = data.schema[partition_col].dataType
+    targets = (spark.createDataFrame(chosen, f"{partition_col} string, n_files int")
+               .select(F.col(partition_col).cast(part_type).alias(partition_col), "n_files"))
+    rows = (data.filter(F.col(partition_col).cast("string").isin([v for v, _ in chosen]))
+            .join(F.broadcast(targets), partition_col, "inner"))      # len(chosen) rows, known here
     bucket = F.pmod(F.xxhash64(*[F.col(c) for c in data_cols]), F.col("n_files"))
     out = (rows.withColumn("__bucket", bucket)
-           .repartition(int(n_out), F.col(partition_col), F.col("__bucket"))
+           .repartition(sum(n for _, n in chosen), F.col(partition_col), F.col("__bucket"))
            .select(*cols))
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition_col).parquet(path))
