@@ -7,6 +7,7 @@ Spark jobs over file listings and snapshot tables. Reports never delete.
 from __future__ import annotations
 
 import datetime as _dt
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from ledgerline.session import work_root
 from ledgerline.sources import files as file_source
 
 MB = 1024 * 1024
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"   # Spark's folder name for a NULL partition value
 COMPACT_THRESHOLD = 128 * MB   # files below this size are rewritten
 SNAPSHOT_RETENTION = _dt.timedelta(days=3)
 ORPHAN_MIN_AGE = _dt.timedelta(days=1)
@@ -59,18 +61,23 @@ def compact_table(spark: SparkSession, path: str, partition_col: str,
             .checkpoint(eager=True))
     # One row per partition to rewrite: file metadata, not data. It becomes a
     # partition filter on the read, so only those folders are scanned.
-    chosen = [(str(r[partition_col]), int(r["n_files"]))
+    # Folder names escape special characters as %XX and hold NULL as a marker.
+    chosen = [(None if r[partition_col] == NULL_PARTITION else unquote(r[partition_col]), int(r["n_files"]))
               for r in plan.select(partition_col, "n_files").collect()]
     if not chosen:
         return plan
     data = spark.read.parquet(path)
     cols = data.columns
     data_cols = [c for c in cols if c != partition_col]
-    part_type = data.schema[partition_col].dataType
-    targets = (spark.createDataFrame(chosen, f"{partition_col} string, n_files int")
-               .select(F.col(partition_col).cast(part_type).alias(partition_col), "n_files"))
-    rows = (data.filter(F.col(partition_col).cast("string").isin([v for v, _ in chosen]))
-            .join(F.broadcast(targets), partition_col, "inner"))      # len(chosen) rows, known here
+    part = F.col(partition_col)
+    values = [v for v, _ in chosen if v is not None]
+    keep = part.cast("string").isin(values)
+    if len(values) < len(chosen):
+        keep = keep | part.isNull()
+    targets = (spark.createDataFrame(chosen, "__part string, n_files int")
+               .select(F.col("__part").cast(data.schema[partition_col].dataType).alias("__part"), "n_files"))
+    rows = (data.filter(keep)
+            .join(F.broadcast(targets), part.eqNullSafe(targets["__part"]), "inner"))  # len(chosen) rows
     bucket = F.pmod(F.xxhash64(*[F.col(c) for c in data_cols]), F.col("n_files"))
     out = (rows.withColumn("__bucket", bucket)
            .repartition(sum(n for _, n in chosen), F.col(partition_col), F.col("__bucket"))

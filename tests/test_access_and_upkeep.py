@@ -179,3 +179,18 @@ def test_upkeep_entry_point(spark):
     out = maintenance.main(["--table", path, "--partition-col", "source"])
     assert out["compaction"].count() == docs.select("source").distinct().count()
     assert spark.read.parquet(path).count() == docs.count()
+
+
+def test_compaction_handles_escaped_and_null_partition_values(spark):
+    rows = [(i, v, i * 10) for i, v in enumerate(["a/b c", "a/b c", "x=1%", "x=1%", None, None, "plain"] * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_chars long")
+    path = fresh_path(spark, "escaped")
+    df.repartition(3, "doc_id").write.partitionBy("source").parquet(path)
+    before = {r.source: r["count"] for r in file_source.parquet_files(spark, path, "source").groupBy("source").count().collect()}
+    assert all(c > 1 for k, c in before.items() if k != "plain")
+    plan = maintenance.compact_table(spark, path, "source").collect()
+    assert len(plan) == len([k for k, c in before.items() if c > 1])
+    after = file_source.parquet_files(spark, path, "source").groupBy("source").count().collect()
+    assert all(r["count"] == 1 for r in after)
+    back = sorted((r.doc_id, r.source, r.n_chars) for r in spark.read.parquet(path).collect())
+    assert back == sorted(rows)
