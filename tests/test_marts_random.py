@@ -1,5 +1,6 @@
 """Marts on random source tables (duplicates, unknown keys, NULLs, ties,
 negative and zero amounts) against the join-first oracle SQL.
+LEDGERLINE_RANDOM_SEEDS (default 3) sets how many random datasets are drawn.
 
 The Spark plans pre-aggregate before joining, union the cash-flow sources and
 take open/close with min_by/max_by; the SQL joins first and uses ordered
@@ -115,7 +116,8 @@ def norm(v):
     return str(v)
 
 
-@pytest.fixture(scope="module", params=[1, 2, 3])
+@pytest.fixture(scope="module",
+                params=list(range(1, 1 + int(os.environ.get("LEDGERLINE_RANDOM_SEEDS", "3")))))
 def random_sources(request, spark):
     root = tempfile.mkdtemp(prefix="ll-random-")
     src = {}
