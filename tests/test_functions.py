@@ -4,6 +4,7 @@ import datetime as dt
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline import functions as fn
 from ledgerline.operators import filters
@@ -96,3 +97,34 @@ def test_jdbc_bounds_query_and_split_columns():
 
     assert bounds_query("public.goals", "id") == "SELECT MIN(id) AS lo, MAX(id) AS hi FROM public.goals"
     assert set(finance.JDBC_SPLIT_COLUMN) == set(finance.SOURCE_TABLE_NAMES)
+
+
+def test_safe_pct_matches_oracle_emulation_on_many_pairs(spark):
+    """Spark's guarded percentage vs the oracle's integer HALF_UP emulation on
+    ~500k (numerator, denominator) cent pairs incl. zero/negative denominators
+    and overflowing ratios."""
+    import duckdb
+
+    from ledgerline.oracle import safe_pct_sql
+
+    n_vals, d_vals = 1001, 501
+    grid = (spark.range(n_vals * d_vals)
+            .select((F.col("id") % n_vals * 37 - 18500).alias("nc"),
+                    (F.col("id") / n_vals).cast("long").alias("dc"))
+            .select("nc", (F.col("dc") * 13 - 250).alias("dc"))
+            .select("nc", "dc", (F.col("nc") / 100).cast("decimal(18,2)").alias("n"),
+                    (F.col("dc") / 100).cast("decimal(18,2)").alias("d")))
+    got = grid.select("nc", "dc", fn.safe_pct("n", "d").cast("string").alias("p"))
+    spark_rows = {(r.nc, r.dc): r.p for r in got.collect()}
+    con = duckdb.connect()
+    sql = f"""
+        WITH g AS (SELECT nc, dc, CAST(nc AS DECIMAL(18,0)) * 0.01 AS n0, CAST(dc AS DECIMAL(18,0)) * 0.01 AS d0
+                   FROM (SELECT (i % {n_vals}) * 37 - 18500 AS nc, (i // {n_vals}) * 13 - 250 AS dc
+                         FROM range({n_vals * d_vals}) t(i))),
+             h AS (SELECT nc, dc, CAST(n0 AS DECIMAL(18,2)) AS n, CAST(d0 AS DECIMAL(18,2)) AS d FROM g)
+        SELECT nc, dc, CAST({safe_pct_sql('n', 'd')} AS VARCHAR) AS p FROM h"""
+    duck_rows = {(a, b): c for a, b, c in con.execute(sql).fetchall()}
+    assert len(spark_rows) == len(duck_rows) == n_vals * d_vals
+    diff = [(k, spark_rows[k], duck_rows[k]) for k in spark_rows if spark_rows[k] != duck_rows[k]]
+    assert diff == []
+    assert sum(v is None for v in spark_rows.values()) > 0          # overflow cases present
