@@ -40,7 +40,8 @@ def ensure_table(spark: SparkSession, name: str, create_sql: str) -> bool:
         spark.table(name).schema
         return False
     except AnalysisException as e:
-        if "TABLE_OR_VIEW_NOT_FOUND" not in str(e) and "not found" not in str(e).lower():
+        condition = e.getCondition() if hasattr(e, "getCondition") else None
+        if condition != "TABLE_OR_VIEW_NOT_FOUND" and "TABLE_OR_VIEW_NOT_FOUND" not in str(e):
             raise
     spark.sql(create_sql)
     return True

@@ -76,3 +76,12 @@ def test_ensure_table_creates_once_and_insert_values(spark):
     assert sorted(r.id for r in spark.table(name).collect()) == [1, 2]
     tables = [r.tableName for r in catalog.list_tables(spark, ns).collect()]
     assert "users" in tables
+
+
+def test_ensure_table_surfaces_failures(spark):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    with pytest.raises(AnalysisException):
+        # the table is missing and so is its namespace: the failure surfaces, nothing is swallowed
+        catalog.ensure_table(spark, "no_such_namespace_x.t", "CREATE TABLE no_such_namespace_x.t (a INT) USING parquet")
