@@ -59,20 +59,23 @@ def lookup_with_defaults(lookup: DataFrame) -> DataFrame:
 
 def access_matrix(principals: DataFrame, principal_roles: DataFrame,
                   role_catalog_roles: DataFrame, grants: DataFrame,
-                  catalog_name: str) -> DataFrame:
+                  catalog_name: str, ordered: bool = True) -> DataFrame:
+    """One row per principal x role x catalog role with the privilege list.
+    ``ordered`` sorts by principal, role, catalog role (the report's order; a
+    range shuffle) - leave it off when the matrix is only stored."""
     lookup = role_lookup(principals, principal_roles, role_catalog_roles)
     privs = privilege_lists(grants)
     joined = lookup.join(privs, "catalog_role", "left")
     privileges = (F.when(F.col("principal_role").isNull() | F.col("catalog_role").isNull(),
                          F.lit(NO_PRIVILEGES))
                   .otherwise(F.coalesce("privileges", F.lit(NO_GRANTS))))
-    return (joined.select(
+    matrix = joined.select(
         "principal_name",
         F.coalesce("principal_role", F.lit(NO_ROLE)).alias("principal_role"),
         F.lit(catalog_name).alias("catalog_name"),
         F.coalesce("catalog_role", F.lit(NO_ROLE)).alias("catalog_role"),
         privileges.alias("privileges"))
-        .orderBy(*MATRIX_ORDER))
+    return matrix.orderBy(*MATRIX_ORDER) if ordered else matrix
 
 
 # List keys of the catalog's REST listings, in lookup order.
@@ -134,10 +137,11 @@ def main(argv=None) -> DataFrame:
     docs = [spark.read.schema(f"{key} string, payload string").json(path)
             for key, path in (("principal_name", args.principals), ("principal_role", args.roles),
                               ("catalog_role", args.grants))]
-    matrix = access_matrix(*listings_from_payloads(*docs), args.catalog)
+    listings = listings_from_payloads(*docs)
+    matrix = access_matrix(*listings, args.catalog)
     matrix.show(20, truncate=False)
-    if args.out:
-        matrix.write.mode("overwrite").parquet(args.out)
+    if args.out:       # stored unsorted: no range shuffle just for file order
+        access_matrix(*listings, args.catalog, ordered=False).write.mode("overwrite").parquet(args.out)
     return matrix
 
 
