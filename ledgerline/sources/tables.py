@@ -25,7 +25,11 @@ class TableSet:
 
     def __call__(self, name: str) -> DataFrame:
         path = self.path(name)
-        key = (self.spark.sparkContext.applicationId, path)
+        try:
+            app = self.spark.sparkContext.applicationId
+        except Exception:               # sessions without a local SparkContext (Spark Connect)
+            app = id(self.spark)
+        key = (app, path)
         schema = TableSet._schemas.get(key)
         if schema is not None:
             return self.spark.read.schema(schema).parquet(path)
