@@ -63,3 +63,24 @@ def test_access_lookup_hot_principal_is_split(skew_conf):
     plan = executed(lookup)
     assert "SortMergeJoin(skew=true)" in plan
     assert lookup.count() == 30000 + principals.join(roles, "principal_name", "left_anti").count()
+
+
+def test_holdings_hot_user_is_split(skew_conf):
+    from ledgerline.plans import marts
+
+    spark = skew_conf
+    n = 90000
+    holdings = (spark.range(n)
+                .select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 1999 + 1).alias("user_id"),
+                        (F.col("id") % 30011).alias("asset_id"),
+                        F.lit(None).cast("string").alias("asset_sub_type"),
+                        F.lit(1).cast("decimal(38,8)").alias("quantity"),
+                        F.timestamp_seconds(F.lit(1_700_000_000)).alias("record_date")))
+    users = spark.range(2000).select(F.col("id"), F.concat(F.lit("u"), F.col("id").cast("string")).alias("name"))
+    assets = spark.range(30011).select(F.col("id").alias("asset_id"), F.lit("S").alias("asset_symbol"),
+                                       F.lit("n").alias("asset_name"), F.lit("t").alias("asset_type"))
+    out = marts.asset_holdings(holdings, users, assets, "2024-01-01")
+    plan = executed(out)
+    assert "SortMergeJoin(skew=true)" in plan
+    total = out.agg(F.sum("total_quantity")).first()[0]
+    assert int(total) == n
