@@ -60,7 +60,9 @@ def append_table(df: DataFrame, table: str) -> None:
 
 def overwrite_table_partitions(df: DataFrame, table: str) -> None:
     """Dynamic partition overwrite of a catalog table. The writer option is
-    ignored by ``insertInto``, so the session setting is switched for the call."""
+    ignored by ``insertInto``, so the session setting is switched for the call
+    (other writes running concurrently in the same session would see it; the
+    path-based ``overwrite_partitions`` carries the mode per write instead)."""
     spark = df.sparkSession
     cols = spark.table(table).columns
     with _session_conf(spark, "spark.sql.sources.partitionOverwriteMode", DYNAMIC):
