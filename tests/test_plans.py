@@ -53,3 +53,14 @@ def test_scans_read_only_needed_columns(spark, key, table, columns):
                for line in plan.split("\n") if "FileScan" in line and f"{table}.parquet" in line]
     read = [{c.split(":")[0] for c in s.split(",")} for s in schemas]
     assert read and all(r <= columns for r in read), read
+
+
+@pytest.mark.parametrize("key", ["asset_holdings_asof", "portfolio_day_stats", "user_cashflow",
+                                 "budget_performance", "asset_price_summary", "goal_progress",
+                                 "access_matrix", "snapshot_retention", "orphan_files"])
+def test_work_runs_in_whole_stage_codegen(spark, key):
+    plan = final_plan(spark, key)
+    codegen = re.findall(r"\*\(\d+\) (\w+)", plan)
+    # scans, filters, projections, hash aggregates and joins are compiled stages
+    assert {"ColumnarToRow", "Project"} & set(codegen) or "HashAggregate" in codegen, codegen
+    assert any(op in codegen for op in ("HashAggregate", "BroadcastHashJoin", "SortMergeJoin", "Project"))
