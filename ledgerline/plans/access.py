@@ -1,8 +1,9 @@
 """Access audit: principal x principal role x catalog role with privileges.
 
 The original audit walks the catalog's REST listings in driver loops; here
-the listings are tables and the walk is a chain of left joins, so the
-matrix is built by executors however many principals there are.
+the listings are tables and the walk is a chain of joins (principal -> role
+as inner + anti join, then left lookups of catalog roles and privilege
+lists), so the matrix is built by executors however many principals there are.
 
 Inputs
   principals          principal_name
