@@ -94,7 +94,8 @@ def _cutoff(ts_source: DataFrame, ts_col: str, now, age: _dt.timedelta) -> Colum
         ref = ts_source.select(F.max(ts_col)).scalar()
     else:
         ref = F.lit(now).cast(ts_source.schema[ts_col].dataType)
-    return ref - F.make_dt_interval(F.lit(age.days), F.lit(0), F.lit(0), F.lit(age.seconds))
+    secs = F.lit(f"{age.seconds}.{age.microseconds:06d}").cast("decimal(18,6)")
+    return ref - F.make_dt_interval(F.lit(age.days), F.lit(0), F.lit(0), secs)
 
 
 def snapshot_retention(snapshots: DataFrame, table_col: str = "table_name",
