@@ -1,7 +1,8 @@
 """Time the headline queries; print one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_REPEAT (default 3; median reported after one warm-up run).
+BENCH_REPEAT (default 3; median reported after one warm-up run),
+BENCH_QUERIES (comma list, or "all" for every registered query).
 Each query runs to completion into Spark's ``noop`` sink (no collect);
 ``daily_run_write`` writes all six marts for one day as Parquet below the
 session's checkpoint dir (BENCH_DAILY_RUN=0 skips it).
@@ -36,7 +37,8 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
-    keys = [k for k in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if k]
+    wanted = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE))
+    keys = sorted(registry.QUERIES) if wanted == "all" else [k for k in wanted.split(",") if k]
     spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus * 2,
                           extra={"spark.driver.memory": "8g",
                                  "spark.sql.files.maxPartitionBytes": str(32 * 1024 * 1024)})
