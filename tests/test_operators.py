@@ -172,3 +172,10 @@ def test_file_inventory_tolerates_empty_buckets(spark, tmp_path):
     rows = file_source.file_inventory(spark, str(tmp_path)).collect()
     assert [(r.bucket, r.key) for r in rows] == [("full_bucket", "sub/nation.parquet")]
     assert file_source.file_inventory(spark, str(tmp_path / "empty_bucket")).count() == 0
+
+
+def test_command_dispatcher_usage(capsys):
+    from ledgerline.__main__ import main
+
+    assert main([]) == 2 and main(["no-such-command"]) == 2
+    assert "daily-run" in capsys.readouterr().out
