@@ -42,7 +42,7 @@ def build_marts(src: FinanceSources, day, run_ts=None) -> dict[str, DataFrame]:
 
 def run_daily(src: FinanceSources, root: str, target_date=None, run_ts=None,
               idempotent: bool = False, parallel: bool = True,
-              persist_dimensions: bool = False) -> dict[str, str]:
+              persist_dimensions: bool = False, marts: list[str] | None = None) -> dict[str, str]:
     """Write every mart for ``target_date`` (default: today); returns mart -> path.
 
     With ``parallel`` the six writes are submitted as concurrent Spark jobs
@@ -53,7 +53,8 @@ def run_daily(src: FinanceSources, root: str, target_date=None, run_ts=None,
     ``persist_dimensions`` keeps users and assets (read by four and two marts)
     for the run: worth it for JDBC sources, where every re-read is a full
     remote scan; pointless for column-pruned Parquet. Lost cached blocks are
-    recomputed from the source.
+    recomputed from the source. ``marts`` restricts the run to some marts
+    (e.g. only holdings and portfolio stats, as the original's second job).
     """
     d = as_date(target_date or _dt.date.today())
     root = root.rstrip("/")
@@ -62,12 +63,18 @@ def run_daily(src: FinanceSources, root: str, target_date=None, run_ts=None,
         assets = src.assets.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             return run_daily(replace(src, users=users, assets=assets), root, d, run_ts,
-                             idempotent, parallel, persist_dimensions=False)
+                             idempotent, parallel, persist_dimensions=False, marts=marts)
         finally:
             users.unpersist()
             assets.unpersist()
     jobs = []
-    for name, df in build_marts(src, d, run_ts).items():
+    built = build_marts(src, d, run_ts)
+    unknown = set(marts or []) - set(built)
+    if unknown:
+        raise ValueError(f"unknown marts: {sorted(unknown)}")
+    for name, df in built.items():
+        if marts and name not in marts:
+            continue
         path, part = f"{root}/{name}", MART_PARTITION[name]
         if idempotent or name in OVERWRITES_BY_DEFAULT:
             jobs.append((name, path, lambda df=df, path=path, part=part:
@@ -120,6 +127,7 @@ def main(argv=None) -> dict[str, str]:
     ap.add_argument("--target-date", default=str(_dt.date.today()))
     ap.add_argument("--target-root", required=True)
     ap.add_argument("--idempotent", action="store_true")
+    ap.add_argument("--marts", help="comma-separated subset of the six marts (default: all)")
     group = ap.add_mutually_exclusive_group(required=True)
     group.add_argument("--tables-dir")
     group.add_argument("--jdbc-url")
@@ -140,7 +148,8 @@ def main(argv=None) -> dict[str, str]:
                                   user=os.environ.get("LEDGERLINE_JDBC_USER"),
                                   password=os.environ.get("LEDGERLINE_JDBC_PASSWORD"))
     return run_daily(finance.from_named_tables(read), args.target_root, day, idempotent=args.idempotent,
-                     persist_dimensions=bool(args.jdbc_url))
+                     persist_dimensions=bool(args.jdbc_url),
+                     marts=args.marts.split(",") if args.marts else None)
 
 
 if __name__ == "__main__":

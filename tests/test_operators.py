@@ -179,3 +179,15 @@ def test_command_dispatcher_usage(capsys):
 
     assert main([]) == 2 and main(["no-such-command"]) == 2
     assert "daily-run" in capsys.readouterr().out
+
+
+def test_daily_run_subset_of_marts(spark):
+    import pytest
+
+    src = finance.from_tables(TableSet(spark, SF_SMALL))
+    root = fresh_path(spark, "subset")
+    two = ["daily_user_asset_holdings", "daily_user_portfolio_stats"]
+    paths = daily_run.run_daily(src, root, "2024-01-15", idempotent=True, marts=two)
+    assert sorted(paths) == sorted(two)
+    with pytest.raises(ValueError):
+        daily_run.run_daily(src, root, "2024-01-15", marts=["no_such_mart"])
