@@ -128,6 +128,7 @@ def main(argv=None) -> dict[str, str]:
     ap.add_argument("--target-root", required=True)
     ap.add_argument("--idempotent", action="store_true")
     ap.add_argument("--marts", help="comma-separated subset of the six marts (default: all)")
+    ap.add_argument("--namespace", help="also register the marts as catalog tables <namespace>.<mart>")
     group = ap.add_mutually_exclusive_group(required=True)
     group.add_argument("--tables-dir")
     group.add_argument("--jdbc-url")
@@ -147,9 +148,12 @@ def main(argv=None) -> dict[str, str]:
                                   num_partitions=args.jdbc_partitions,
                                   user=os.environ.get("LEDGERLINE_JDBC_USER"),
                                   password=os.environ.get("LEDGERLINE_JDBC_PASSWORD"))
-    return run_daily(finance.from_named_tables(read), args.target_root, day, idempotent=args.idempotent,
-                     persist_dimensions=bool(args.jdbc_url),
-                     marts=args.marts.split(",") if args.marts else None)
+    paths = run_daily(finance.from_named_tables(read), args.target_root, day, idempotent=args.idempotent,
+                      persist_dimensions=bool(args.jdbc_url),
+                      marts=args.marts.split(",") if args.marts else None)
+    if args.namespace:
+        register_marts(spark, args.namespace, paths)
+    return paths
 
 
 if __name__ == "__main__":

@@ -103,8 +103,12 @@ def test_daily_run_from_original_table_names(spark):
     finance.export_named_tables(mapped, lambda name, df: df.write.parquet(f"{tables_dir}/{name}"))
     out_root = fresh_path(spark, "job_out")
     day = "2024-01-15"
+    import uuid
+
+    ns = f"cli_{uuid.uuid4().hex[:8]}"
     paths = daily_run.main(["--tables-dir", tables_dir, "--target-root", out_root,
-                            "--target-date", day, "--idempotent"])
+                            "--target-date", day, "--idempotent", "--namespace", ns])
+    assert {r.tableName for r in spark.sql(f"SHOW TABLES IN {ns}").collect()} == set(paths)
     assert set(paths) == set(daily_run.build_marts(mapped, day))
     from dataclasses import replace
 
