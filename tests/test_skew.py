@@ -84,3 +84,21 @@ def test_holdings_hot_user_is_split(skew_conf):
     assert "SortMergeJoin(skew=true)" in plan
     total = out.agg(F.sum("total_quantity")).first()[0]
     assert int(total) == n
+
+
+def test_cashflow_hot_expense_is_split(skew_conf):
+    from ledgerline.plans import marts
+
+    spark = skew_conf
+    n = 60000
+    day = F.timestamp_seconds(F.lit(1_705_320_000))            # 2024-01-15 12:00 UTC
+    pay = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 4999 + 1).alias("expense_id"),
+        day.alias("payment_date"), F.lit(1).cast("decimal(18,2)").alias("amount"))
+    exp = spark.range(5000).select(F.col("id"), (F.col("id") % 700).alias("user_id"))
+    users = spark.range(700).select(F.col("id"), F.concat(F.lit("u"), F.col("id").cast("string")).alias("name"))
+    empty = spark.createDataFrame([], "user_id long, category_id int, date date, amount decimal(18,2)")
+    out = marts.cashflow(users, empty.drop("category_id"), empty, pay, exp, "2024-01-15")
+    plan = executed(out)
+    assert "SortMergeJoin(skew=true)" in plan
+    assert int(out.agg(F.sum("total_fixed_expense")).first()[0]) == n
