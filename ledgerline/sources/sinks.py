@@ -14,21 +14,31 @@ from pyspark.sql import DataFrame, SparkSession
 DYNAMIC = "dynamic"
 
 
-def append(df: DataFrame, path: str, partition_col: str | None = None) -> None:
+def _grouped(df: DataFrame, partition_col: str | None, rebalance: bool) -> DataFrame:
+    """With ``rebalance`` rows of one partition value are brought together
+    before the write (REBALANCE hint: AQE keeps the shuffle partitions near the
+    advisory size and splits a hot value), so a batch spanning many dates does
+    not leave every task writing one small file into every date folder."""
+    return df.hint("rebalance", partition_col) if (rebalance and partition_col) else df
+
+
+def append(df: DataFrame, path: str, partition_col: str | None = None,
+           rebalance: bool = False) -> None:
     """Add the batch; running it twice stores the rows twice."""
-    w = df.write.mode("append")
+    w = _grouped(df, partition_col, rebalance).write.mode("append")
     if partition_col:
         w = w.partitionBy(partition_col)
     w.parquet(path)
 
 
-def overwrite_partitions(df: DataFrame, path: str, partition_col: str) -> None:
+def overwrite_partitions(df: DataFrame, path: str, partition_col: str,
+                         rebalance: bool = False) -> None:
     """Replace only the partitions present in the batch; others stay, and an
     empty batch changes nothing. Idempotent for a rerun of the same day."""
     if partition_col not in df.columns:
         raise ValueError(f"batch lacks partition column {partition_col!r}")
-    (df.write.mode("overwrite").option("partitionOverwriteMode", DYNAMIC)
-     .partitionBy(partition_col).parquet(path))
+    (_grouped(df, partition_col, rebalance).write.mode("overwrite")
+     .option("partitionOverwriteMode", DYNAMIC).partitionBy(partition_col).parquet(path))
 
 
 def overwrite(df: DataFrame, path: str, partition_col: str | None = None) -> None:

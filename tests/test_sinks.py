@@ -85,3 +85,19 @@ def test_ensure_table_surfaces_failures(spark):
     with pytest.raises(AnalysisException):
         # the table is missing and so is its namespace: the failure surfaces, nothing is swallowed
         catalog.ensure_table(spark, "no_such_namespace_x.t", "CREATE TABLE no_such_namespace_x.t (a INT) USING parquet")
+
+
+def test_rebalanced_backfill_writes_few_files_per_date(spark):
+    from ledgerline.sources import files as file_source
+
+    days = [dt.date(2024, 1, d) for d in range(1, 6)]
+    df = (spark.range(5000).repartition(8)
+          .select(F.col("id"), F.element_at(F.array(*[F.lit(d) for d in days]),
+                                            (F.col("id") % 5 + 1).cast("int")).alias("d")))
+    plain, grouped = fresh_path(spark, "bf_plain"), fresh_path(spark, "bf_grouped")
+    sinks.overwrite_partitions(df, plain, "d")
+    sinks.overwrite_partitions(df, grouped, "d", rebalance=True)
+    def files_per_day(p):
+        return {r.d: r["count"] for r in file_source.parquet_files(spark, p, "d").groupBy("d").count().collect()}
+    assert max(files_per_day(grouped).values()) < max(files_per_day(plain).values())
+    assert spark.read.parquet(grouped).count() == spark.read.parquet(plain).count() == 5000
