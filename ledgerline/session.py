@@ -87,4 +87,11 @@ def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 10
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
         "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        # Broadcast decided on *measured* sizes only (after the small side ran):
+        # a day's aggregate of a few tens of MB joins the huge users table
+        # without shuffling it. The plan-time (estimated) threshold stays default.
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        # Larger aggregates still prune the big side before its shuffle through
+        # a runtime bloom filter built from them.
+        "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": str(128 * 1024 * 1024),
     }
