@@ -91,7 +91,7 @@ def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 10
         # a day's aggregate of a few tens of MB joins the huge users table
         # without shuffling it. The plan-time (estimated) threshold stays default.
         "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
-        # Larger aggregates still prune the big side before its shuffle through
-        # a runtime bloom filter built from them.
+        # Runtime bloom filters (built where the small side is a filtered scan,
+        # e.g. a day's payments pruning the fixed-expense table) from up to 128 MB.
         "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": str(128 * 1024 * 1024),
     }
