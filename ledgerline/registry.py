@@ -376,24 +376,28 @@ def q_fn_safe_pct(spark, sf_dir):
 @register("fn_decimal_cast")
 def q_fn_decimal_cast(spark, sf_dir):
     m = _money_lines(spark, sf_dir)
-    amount = F.col("price") * F.col("discount")          # decimal(37,4), exact
-    return m.select("l_orderkey", "l_linenumber",
-                    amount.cast(MONEY).alias("disc_money"),
-                    amount.cast(PRICE).alias("disc_price"),
-                    amount.cast(QUANTITY).alias("disc_quantity"),
-                    amount.cast(PORTFOLIO).alias("disc_portfolio"),
-                    F.col("price").try_cast("decimal(5,2)").alias("price_pct_type"))
+    # the exact product once (decimal(37,4)), then each rounding of it
+    amounts = m.select("l_orderkey", "l_linenumber", "price",
+                       (F.col("price") * F.col("discount")).alias("amount"))
+    amount = F.col("amount")
+    return amounts.select("l_orderkey", "l_linenumber",
+                          amount.cast(MONEY).alias("disc_money"),
+                          amount.cast(PRICE).alias("disc_price"),
+                          amount.cast(QUANTITY).alias("disc_quantity"),
+                          amount.cast(PORTFOLIO).alias("disc_portfolio"),
+                          F.col("price").try_cast("decimal(5,2)").alias("price_pct_type"))
 
 
 @register("fn_arithmetic")
 def q_fn_arithmetic(spark, sf_dir):
     m = _money_lines(spark, sf_dir)
     p, d, t, q = F.col("price"), F.col("discount"), F.col("tax"), F.col("qty")
-    return m.select("l_orderkey", "l_linenumber",
-                    (p * d).alias("disc_amount"),
-                    (p - p * d).alias("net_price"),
-                    (p + p * t).alias("gross_price"),
-                    (p / q).cast(PRICE).alias("unit_price"))
+    parts = m.select("l_orderkey", "l_linenumber", "price", "qty",
+                     (p * d).alias("disc_amount"), (p * t).alias("tax_amount"))
+    return parts.select("l_orderkey", "l_linenumber", "disc_amount",
+                        (p - F.col("disc_amount")).alias("net_price"),
+                        (p + F.col("tax_amount")).alias("gross_price"),
+                        (p / q).cast(PRICE).alias("unit_price"))
 
 
 @register("fn_concat_colon")
