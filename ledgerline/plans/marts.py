@@ -1,9 +1,11 @@
 """The six dated finance marts as pure DataFrame functions.
 
-Shape of every plan: filter the fact table to the report day (pushed to the
-scan as a range), aggregate it by its own keys first (map-side combine), and
-only then join the dimensions, so the joins see one row per key instead of
-every fact row. Output columns follow the mart DDL in ``plans.schemas``.
+Shape of the plans: filter the fact table to the report period (day, month to
+date, or everything up to the day; pushed to the scan as a range), aggregate
+it by its own keys first (map-side combine), and only then join the
+dimensions, so the joins see one row per key instead of every fact row. Goal
+progress has no aggregation and is a single join. Output columns follow the
+mart DDL in ``plans.schemas``.
 """
 
 from __future__ import annotations
