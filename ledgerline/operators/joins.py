@@ -1,7 +1,7 @@
 """Equi-joins. The physical strategy is Spark's: a side is broadcast only when
-its measured size is under ``spark.sql.autoBroadcastJoinThreshold`` (also
-re-checked at run time by AQE); otherwise both sides shuffle on the key and
-AQE splits skewed partitions."""
+its estimated size is under ``spark.sql.autoBroadcastJoinThreshold`` at plan
+time, or its measured size under the adaptive threshold once AQE has run it;
+otherwise both sides shuffle on the key and AQE splits skewed partitions."""
 
 from __future__ import annotations
 
