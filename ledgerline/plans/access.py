@@ -17,14 +17,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from ledgerline.functions.text import concat_colon
 from ledgerline.operators.aggregates import ordered_string_agg
+from ledgerline.sources.tables import rows_with_schema
 
 # Fixed values of the audit output.
 NO_ROLE = "NONE"          # principal without role / role without catalog role
 NO_PRIVILEGES = "NULL"    # the text NULL, written when no catalog role applies
 NO_GRANTS = "NO_GRANTS"   # catalog role that holds no grant
 MATRIX_ORDER = ["principal_name", "principal_role", "catalog_role"]
+# Output schema: every field but the privilege list is required.
+MATRIX_SCHEMA = T.StructType([
+    T.StructField("principal_name", T.StringType(), False),
+    T.StructField("principal_role", T.StringType(), False),
+    T.StructField("catalog_name", T.StringType(), False),
+    T.StructField("catalog_role", T.StringType(), False),
+    T.StructField("privileges", T.StringType(), True),
+])
 
 
 def privilege_lists(grants: DataFrame) -> DataFrame:
@@ -70,12 +81,12 @@ def access_matrix(principals: DataFrame, principal_roles: DataFrame,
     privileges = (F.when(F.col("principal_role").isNull() | F.col("catalog_role").isNull(),
                          F.lit(NO_PRIVILEGES))
                   .otherwise(F.coalesce("privileges", F.lit(NO_GRANTS))))
-    matrix = joined.select(
+    matrix = rows_with_schema(joined.select(
         "principal_name",
         F.coalesce("principal_role", F.lit(NO_ROLE)).alias("principal_role"),
         F.lit(catalog_name).alias("catalog_name"),
         F.coalesce("catalog_role", F.lit(NO_ROLE)).alias("catalog_role"),
-        privileges.alias("privileges"))
+        privileges.alias("privileges")), MATRIX_SCHEMA)      # a NULL principal name fails the job
     return matrix.orderBy(*MATRIX_ORDER) if ordered else matrix
 
 

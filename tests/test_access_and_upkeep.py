@@ -194,3 +194,14 @@ def test_compaction_handles_escaped_and_null_partition_values(spark):
     assert all(r["count"] == 1 for r in after)
     back = sorted((r.doc_id, r.source, r.n_chars) for r in spark.read.parquet(path).collect())
     assert back == sorted(rows)
+
+
+def test_access_matrix_rejects_null_principal_name(spark):
+    import pytest
+
+    principals = spark.createDataFrame([("ann",), (None,)], "principal_name string")
+    empty_roles = spark.createDataFrame([], "principal_name string, principal_role string")
+    rc = spark.createDataFrame([], "principal_role string, catalog_role string")
+    grants = spark.createDataFrame([], "catalog_role string, grant_type string, privilege string, grant_order int")
+    with pytest.raises(Exception):
+        access.access_matrix(principals, empty_roles, rc, grants, "cat").collect()
