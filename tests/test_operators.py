@@ -195,3 +195,36 @@ def test_daily_run_subset_of_marts(spark):
     assert sorted(paths) == sorted(two)
     with pytest.raises(ValueError):
         daily_run.run_daily(src, root, "2024-01-15", marts=["no_such_mart"])
+
+
+def test_named_source_tables_are_normalised(spark):
+    """Original tables as a JDBC read might type them (INT ids, DOUBLE money,
+    a TIMESTAMP in the date column) come out with the build types."""
+    ts = dt.datetime
+    tables = {
+        "users": spark.createDataFrame([(1, "ann")], "id int, name string"),
+        "assets": spark.createDataFrame([(7, "S", "n", "t")], "asset_id int, asset_symbol string, asset_name string, asset_type string"),
+        "portfolio_holdings": spark.createDataFrame([(1, 7, None, 1.5, ts(2024, 1, 1))],
+                                                    "user_id int, asset_id int, asset_sub_type string, quantity double, record_date timestamp"),
+        "portfolio_summary": spark.createDataFrame([(1, ts(2024, 1, 1), 10.12345)], "user_id int, timestamp timestamp, total_value double"),
+        "income_transactions": spark.createDataFrame([(1, ts(2024, 1, 1, 9), 3.456)], "user_id int, date timestamp, amount double"),
+        "expense_transactions": spark.createDataFrame([(1, 2, ts(2024, 1, 1, 9), 1.0)], "user_id int, category_id long, date timestamp, amount double"),
+        "fixed_expense_payments": spark.createDataFrame([(5, ts(2024, 1, 1), 2.0)], "expense_id int, payment_date timestamp, amount double"),
+        "fixed_expenses": spark.createDataFrame([(5, 1)], "id int, user_id int"),
+        "budgets": spark.createDataFrame([(1, 2, 100.0)], "user_id int, category_id long, amount double"),
+        "expense_categories": spark.createDataFrame([(2, "food")], "id long, name string"),
+        "price_history": spark.createDataFrame([(7, ts(2024, 1, 1), 1.23456, 2.5)],
+                                               "asset_id int, timestamp timestamp, alis_price double, satis_price double"),
+        "goals": spark.createDataFrame([(3, 1, "car", 100.0, None, ts(2024, 2, 1), "active")],
+                                       "id int, user_id int, title string, target_amount double, current_amount double, deadline timestamp, status string"),
+    }
+    src = finance.from_named_tables(lambda name: tables[name])
+    assert dict(src.users.dtypes)["id"] == "bigint"
+    assert dict(src.portfolio_holdings.dtypes)["quantity"] == "decimal(38,8)"
+    assert dict(src.portfolio_summary.dtypes)["total_value"] == "decimal(38,4)"
+    inc = src.income_transactions.first()
+    assert inc.date == dt.date(2024, 1, 1) and str(inc.amount) == "3.46"
+    assert dict(src.price_history.dtypes)["buy_price"] == "decimal(18,4)"
+    assert dict(src.expense_categories.dtypes)["id"] == "int"
+    assert src.goals.first().deadline == dt.date(2024, 2, 1)
+    assert src.price_history.select("price_id").first()[0] is not None
