@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import sharding
+from . import language_id, quality_rules, sharding
 from ._util import read
 
 
+def op6_language_id(spark, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
+    judged = quality_rules.apply_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept", "stratum")
+
+
 def op9_feistel_shards(spark, sf_dir: str) -> DataFrame:
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = read(spark, sf_dir, "documents").select(
@@ -19,6 +29,8 @@ def op9_feistel_shards(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_language_id": op6_language_id,
+    "op7_quality_rules": op7_quality_rules,
     "op9_feistel_shards": op9_feistel_shards,
 }
 

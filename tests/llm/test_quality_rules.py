@@ -1,0 +1,78 @@
+import math
+import re
+from collections import Counter
+from decimal import Decimal, getcontext
+
+from ledgerline.llm import quality_rules as Q
+from ledgerline.llm import queries
+from ledgerline.llm._util import read
+
+
+def brute(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i:i + 8]) for i in range(len(words) - 7)]
+    seen, covered = Counter(windows), set()
+    for i, w in enumerate(windows):
+        if seen[w] > 1:
+            covered.update(range(i, i + 8))
+    return (len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered))
+
+
+def largest_k(n, p, level):
+    """Largest k with binomial cdf <= level, in 60-digit decimals."""
+    getcontext().prec = 60
+    p = Decimal(repr(p))
+    total, k = Decimal(0), -1
+    for i in range(n + 1):
+        total += math.comb(n, i) * p**i * (1 - p) ** (n - i)
+        if total > Decimal(repr(level)):
+            return k
+        k = i
+    return k
+
+
+def test_counts_match_brute_force(spark):
+    texts = {r["doc_id"]: r["text"] for r in read(spark, "/root/testdata/sf0.01", "documents").collect()}
+    rows = queries.op7_quality_rules(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = brute(texts[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0])
+        assert not (r["kept"] and r["base_failed"])
+
+
+def test_odd_texts(spark):
+    w = " ".join(f"w{i}" for i in range(9))
+    texts = [None, "", " \t\n\x0b", "a b", w, f"{w} {w}", f"{w}\n{w}\n{w}", "x " * 30, "é# 𝄞| z\n\n\n", w + " q " + w[:-3],
+             "a\nb\na\n \nb\n a", " ".join(str(i) for i in range(30_000)), "ab cd " * 20_000]
+    df = spark.createDataFrame([(i, t, "q", 1) for i, t in enumerate(texts)] + [(None, w, None, 2)],
+                               "doc_id long, text string, lang string, n_words int")
+    got = {r["doc_id"]: r for r in Q.measure(df).collect()}
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute(t), i
+    assert got[None]["n_words"] == 9
+    assert Q.measure(df.limit(0)).collect() == []
+
+
+def test_exact_binomial(spark):
+    cases = [(10, 0.1, 0.05), (500, 0.02, 0.01), (2000, 0.004, 0.0025), (1, 0.5, 0.9), (3000, 0.004, 0.0025), (0, 0.1, 0.05)]
+    for n, alpha, level in cases:
+        k = spark.range(1).select(Q.allowed_rejections(f"{n}", alpha, f"{level!r}D").alias("k")).collect()[0]["k"]
+        assert k == largest_k(n, alpha, level), (n, alpha, level)
+
+
+def test_cutoffs_control_false_rejections(spark):
+    good = " ".join(f"word{i}" for i in range(40))
+    bad = " ".join(f"word{i}###" for i in range(40))
+    rows = [(i, good, "en") for i in range(3000)] + [(3000 + i, bad, "en") for i in range(300)] + [(9000 + i, bad, "de") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(3003)] + [(9000 + i, 1) for i in range(50)], "doc_id long, quality int")
+    kept = Counter((r["stratum"], r["kept"]) for r in Q.apply_rules(docs, labels).collect())
+    # three labelled good texts with symbols are within the bound, the rest of their kind goes; de has too few labels
+    assert kept == {("en", True): 3000, ("en", False): 300, ("de", True): 50}
+    none = Q.apply_rules(docs, labels.limit(0)).where("not kept").count()
+    assert none == 0
