@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import language_id, quality_rules, sharding
+from . import decontamination, language_id, quality_rules, sharding
 from ._util import read
 
 
+def op3_decontamination(spark, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ def op9_feistel_shards(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_decontamination": op3_decontamination,
     "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op9_feistel_shards": op9_feistel_shards,
