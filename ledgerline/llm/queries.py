@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, quality_rules, sharding
+from . import decontamination, language_id, near_dedup, quality_rules, sharding
 from ._util import read
 
 
@@ -13,6 +13,10 @@ def op3_decontamination(spark, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_minmax_near_dedup(spark, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op9_feistel_shards(spark, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_decontamination": op3_decontamination,
+    "op4_minmax_near_dedup": op4_minmax_near_dedup,
     "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op9_feistel_shards": op9_feistel_shards,
