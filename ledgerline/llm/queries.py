@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, near_dedup, quality_rules, sharding
+from . import decontamination, language_id, near_dedup, quality_rules, sharding, toxicity
 from ._util import read
 
 
+def op2_toxicity(spark, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score_texts(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -37,6 +42,7 @@ def op9_feistel_shards(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
     "op4_minmax_near_dedup": op4_minmax_near_dedup,
     "op6_language_id": op6_language_id,
