@@ -16,6 +16,9 @@ from ledgerline.session import fresh_path
 HELD_OUT_FOLD = 2
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def ship(spark) -> None:
     """Make this package importable in Python workers wherever the driver was
     started: its source files are added to the session once, as a zip."""
@@ -38,10 +41,20 @@ def read(spark, sf_dir: str, name: str) -> DataFrame:
 
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new folder in the shared work root and read it back:
-    cuts the lineage and gives later joins a plain scan on either side."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    cuts the lineage and gives later joins a plain scan on either side. The
+    shuffle files of the write are removed when it is done."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark) -> int:

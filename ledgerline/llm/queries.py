@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, near_dedup, quality_rules, sharding, toxicity
+from . import decontamination, language_id, near_dedup, quality_rules, sharding, suffix_dedup, toxicity
 from ._util import read
 
 
+def op1_run_length_dedup(spark, sf_dir: str) -> DataFrame:
+    cleaned = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.score_texts(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
@@ -42,6 +47,7 @@ def op9_feistel_shards(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_run_length_dedup": op1_run_length_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
     "op4_minmax_near_dedup": op4_minmax_near_dedup,
