@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, near_dedup, quality_rules, sharding, suffix_dedup, toxicity
+from . import decontamination, language_id, line_dedup, near_dedup, quality_rules, sharding, suffix_dedup, toxicity
 from ._util import read
 
 
@@ -27,6 +27,12 @@ def op4_minmax_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select(
+        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_gone").alias("n_removed"), "text")
+
+
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
@@ -51,6 +57,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
     "op4_minmax_near_dedup": op4_minmax_near_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op9_feistel_shards": op9_feistel_shards,
