@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, near_dedup, quality_rules, sharding, suffix_dedup, toxicity
+from . import decontamination, language_id, line_dedup, near_dedup, piece_coding, quality_rules, sharding, suffix_dedup, toxicity
 from ._util import read
 
 
@@ -43,6 +43,16 @@ def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
                          "base_failed", "kept", "stratum")
 
 
+def op8_piece_coding(spark, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("source_hash"))
+    vocabulary = piece_coding.load_vocabulary()
+    coded = piece_coding.encode(docs, vocabulary, keep=("source_hash",))
+    back = piece_coding.decoder(spark, vocabulary)("ids")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                        (F.xxhash64(back) == F.col("source_hash")).alias("round_trip"))
+
+
 def op9_feistel_shards(spark, sf_dir: str) -> DataFrame:
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = read(spark, sf_dir, "documents").select(
@@ -60,6 +70,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
+    "op8_piece_coding": op8_piece_coding,
     "op9_feistel_shards": op9_feistel_shards,
 }
 
