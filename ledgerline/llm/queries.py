@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, near_dedup, piece_coding, quality_rules, sharding, suffix_dedup, toxicity
+from . import decontamination, language_id, license_scan, line_dedup, near_dedup, piece_coding, quality_rules, sharding, suffix_dedup, toxicity
 from ._util import read
 
 
@@ -62,6 +62,10 @@ def op9_feistel_shards(spark, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_license_scan(spark, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_run_length_dedup": op1_run_length_dedup,
     "op2_toxicity": op2_toxicity,
@@ -72,6 +76,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_piece_coding": op8_piece_coding,
     "op9_feistel_shards": op9_feistel_shards,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
