@@ -178,5 +178,6 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col="do
 
 def drop_near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col="doc_id", text_col="text") -> DataFrame:
     """The rows of ``df`` whose document is the one kept of its component."""
-    gone = save(near_duplicates(df, width, percent, id_col, text_col).where("not kept").select(id_col).distinct(), "gone")
-    return df.join(gone, id_col, "left_anti")
+    gone = save(near_duplicates(df, width, percent, id_col, text_col).where("not kept")
+                .select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
