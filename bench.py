@@ -30,6 +30,7 @@ HEADLINE = [
     "asset_holdings_asof", "portfolio_day_stats", "user_cashflow", "budget_performance",
     "asset_price_summary", "goal_progress", "access_matrix", "snapshot_retention",
     "orphan_files", "compaction_plan", "window_first_asc", "join_left_chain",
+    "compact_table", "access_matrix_from_listings",
 ]
 
 

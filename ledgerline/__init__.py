@@ -4,4 +4,4 @@ Every public function takes and returns DataFrames (columns for ``functions``);
 the physical plan is left to Catalyst and AQE.
 """
 
-__all__ = ["session", "functions", "operators", "sources", "plans", "streaming"]
+__all__ = ["session", "functions", "operators", "sources", "plans"]

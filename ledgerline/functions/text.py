@@ -17,6 +17,7 @@ def concat_colon(left, right) -> Column:
                        F.coalesce(_col(right), F.lit("None")))
 
 
+FAIL_ON_BAD_JSON = {"mode": "FAILFAST"}
 _NAMED = T.ArrayType(T.StructType([T.StructField("name", T.StringType())]))
 
 
@@ -24,13 +25,16 @@ def first_present_names(payload, keys: tuple[str, ...]) -> Column:
     """Names of the first key of ``keys`` that holds a non-empty array of ``{name}``.
 
     A missing key, a JSON null and an empty array all fall through to the next
-    key; with none left the result is an empty array.
+    key; with none left the result is an empty array, as for a NULL payload.
+    A payload that is no valid JSON, and an entry without a name, fail the job:
+    a truncated listing must not read as "has nothing".
     """
     schema = T.StructType([T.StructField(k, _NAMED) for k in keys])
-    parsed = F.from_json(_col(payload), schema)
+    parsed = F.from_json(_col(payload), schema, FAIL_ON_BAD_JSON)
     arrays = [F.when(F.size(parsed[k]) > 0, parsed[k]) for k in keys]
     chosen = F.coalesce(*arrays, F.array().cast(_NAMED))
-    return F.transform(chosen, lambda x: x["name"])
+    return F.transform(chosen, lambda x: F.when(x["name"].isNull(), F.raise_error(F.lit("listing entry without a name")))
+                       .otherwise(x["name"]))
 
 
 def bytes_to_kb(c) -> Column:

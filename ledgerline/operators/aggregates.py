@@ -26,9 +26,9 @@ def stats_by(df: DataFrame, keys: list[str], value: str, dtype: str | None = Non
     )
 
 
-def first_constant(df: DataFrame, keys: list[str], col: str, alias: str) -> DataFrame:
-    """Value of a column that is constant within each group."""
-    return df.groupBy(*keys).agg(F.any_value(col).alias(alias))
+def first_constant(df: DataFrame, keys: list[str], col: str, alias: str, count_alias: str) -> DataFrame:
+    """Value of a column that is constant within each group, and the group's rows."""
+    return df.groupBy(*keys).agg(F.any_value(col).alias(alias), F.count(F.lit(1)).alias(count_alias))
 
 
 def ordered_string_agg(df: DataFrame, keys: list[str], order_col: str, value_col: str,

@@ -217,10 +217,10 @@ MONEY_LINES = ("SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL
                "CAST(l_quantity AS DECIMAL(18,2)) AS qty, CAST(l_discount AS DECIMAL(18,2)) AS discount, "
                "CAST(l_tax AS DECIMAL(18,2)) AS tax FROM lineitem")
 AUDIT_SRC = {
-    "principals": "SELECT c_name AS principal_name FROM customer",
+    "principals": ("SELECT c_name AS principal_name FROM customer UNION ALL "
+                   "SELECT s_name AS principal_name FROM supplier"),
     "principal_roles": ("SELECT c.c_name AS principal_name, r.o_orderpriority AS principal_role FROM "
-                        "(SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F' "
-                        "AND o_orderdate < TIMESTAMP '1996-01-01 00:00:00') r "
+                        "(SELECT DISTINCT o_custkey, o_orderpriority FROM orders) r "
                         "JOIN customer c ON r.o_custkey = c.c_custkey"),
     "role_catalog_roles": ("SELECT * FROM (VALUES ('1-URGENT', 'AFRICA'), ('1-URGENT', 'ASIA'), "
                            "('2-HIGH', 'EUROPE'), ('3-MEDIUM', 'GHOST')) v(principal_role, catalog_role)"),
@@ -341,6 +341,7 @@ WHERE s.committed_at < (SELECT max(committed_at) FROM s) - INTERVAL 3 DAY
     q["fn_month_start"] = "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS order_month FROM orders"
     q["fn_parse_date"] = ("SELECT o_orderkey, CAST(strptime(strftime(o_orderdate, '%Y-%m-%d'), '%Y-%m-%d') AS DATE) "
                           "AS order_day FROM orders")
+    q["fn_now"] = "SELECT event_id, true AS one_value, true AS not_before_event FROM events"
     q["fn_coalesce"] = with_sources("goals") + (
         "SELECT id AS goal_id, CAST(coalesce(current_amount, 0) AS DECIMAL(18,2)) AS current_amount FROM goals")
     q["fn_when_chain"] = with_sources("goals") + f"""
@@ -377,8 +378,22 @@ FROM ({MONEY_LINES})"""
 
 # ---- sinks, DDL and the daily run -------------------------------------------------
 
-GIVEN_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-                "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+# supplied table -> its key column
+TABLE_KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey",
+              "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id",
+              "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id",
+              "labels": "doc_id", "conversations": "conv_id"}
+GIVEN_TABLES = list(TABLE_KEYS)
+
+# mart -> its key column and the decimal columns whose exact sums are compared
+MART_DIGEST = {
+    "daily_user_asset_holdings": ("user_id", ["total_quantity", "total_quantity", "total_quantity"]),
+    "daily_user_portfolio_stats": ("user_id", ["avg_portfolio_value", "min_portfolio_value", "max_portfolio_value"]),
+    "daily_user_cashflow": ("user_id", ["total_income", "total_variable_expense", "net_cashflow"]),
+    "monthly_budget_performance": ("user_id", ["actual_spent", "remaining_amount", "utilization_rate_pct"]),
+    "daily_asset_price_summary": ("asset_id", ["open_buy_price", "close_buy_price", "avg_spread"]),
+    "daily_goal_progress_stats": ("goal_id", ["target_amount", "current_amount", "completion_rate_pct"]),
+}
 
 
 def _prev(day: str) -> str:
@@ -391,18 +406,25 @@ def sink_sql() -> dict[str, str]:
     goal = goal_sql()
     q["table_scan"] = "SELECT * FROM customer"
     q["rows_with_schema"] = "SELECT p_name AS ITEM_NAME, p_size AS QUANTITY FROM part"
-    q["create_namespace"] = " UNION ALL ".join(f"SELECT '{n}' AS table_name" for n in GIVEN_TABLES)
+    q["create_namespace"] = " UNION ALL ".join(
+        f"SELECT '{n}' AS table_name, count(*) AS n_rows, count(DISTINCT {key}) AS n_keys FROM {n}"
+        for n, key in TABLE_KEYS.items())
+    q["file_inventory"] = " UNION ALL ".join(
+        f"SELECT '{n}.parquet' AS key, count(*) AS n_rows, true AS sizes_agree FROM {n}" for n in GIVEN_TABLES)
     q["catalog_listing"] = " UNION ALL ".join(
-        f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in GIVEN_TABLES)
+        f"SELECT '{n}' AS table_name, count(*) AS n_rows, true AS namespace_listed FROM {n}" for n in GIVEN_TABLES)
     q["create_table"] = goal
     q["ensure_table"] = goal
-    q["insert_values"] = "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS job FROM customer"
+    q["insert_values"] = ("SELECT c_custkey AS id, c_name AS name, c_mktsegment AS job FROM customer UNION ALL "
+                          "VALUES (-1, 'Ann', 'Engineer'), (-2, 'Bob', NULL)")
     q["append_sink"] = f"({goal}) UNION ALL ({goal})"
     q["partition_overwrite_sink"] = (f"({price_summary_sql(_prev(D_EVENTS))}) UNION ALL "
                                      f"({price_summary_sql(D_EVENTS)})")
     q["overwrite_sink"] = goal
     q["compact_table"] = ("SELECT source, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS total_chars, "
-                          "count(DISTINCT doc_id) AS n_ids FROM documents GROUP BY source")
+                          "count(DISTINCT doc_id) AS n_ids, CAST(sum(length(text)) AS BIGINT) AS text_chars, "
+                          "count(DISTINCT md5(text)) AS n_texts, min(md5(concat_ws('|', doc_id, lang, text))) AS least_row, "
+                          "max(md5(concat_ws('|', doc_id, lang, text))) AS greatest_row FROM documents GROUP BY source")
     builders = [("daily_user_asset_holdings", asset_holdings_sql, "snapshot_date"),
                 ("daily_user_portfolio_stats", portfolio_stats_sql, "snapshot_date"),
                 ("daily_user_cashflow", cashflow_sql, "summary_date"),
@@ -412,9 +434,13 @@ def sink_sql() -> dict[str, str]:
     parts = []
     for name, build, date_col in builders:
         for day in (D_ORDERS, D_EVENTS):
-            parts.append(f"SELECT '{name}' AS mart, {date_col} AS report_date, count(*) AS n_rows "
-                         f"FROM ({build(day)}) GROUP BY {date_col}")
+            key, sums = MART_DIGEST[name]
+            totals = ", ".join(f"CAST(sum(CAST({c} AS DECIMAL(28,8))) AS DECIMAL(38,8)) AS sum_{k}"
+                               for k, c in enumerate(sums))
+            parts.append(f"SELECT '{name}' AS mart, {date_col} AS report_date, count(*) AS n_rows, "
+                         f"count(DISTINCT {key}) AS n_keys, {totals} FROM ({build(day)}) GROUP BY {date_col}")
     q["daily_marts_run"] = " UNION ALL ".join(f"({p})" for p in parts)
+    q["daily_marts_tables"] = q["daily_marts_run"]
     return q
 
 

@@ -44,24 +44,34 @@ def privilege_lists(grants: DataFrame) -> DataFrame:
     return ordered_string_agg(entries, ["catalog_role"], "grant_order", "entry", "privileges")
 
 
-def role_lookup(principals: DataFrame, principal_roles: DataFrame,
-                role_catalog_roles: DataFrame) -> DataFrame:
-    """principal -> principal role -> catalog role, NULL where a level is missing."""
-    p = principals.select("principal_name")
-    pr = principal_roles.select("principal_name", "principal_role")
-    rc = role_catalog_roles.select("principal_role", "catalog_role")
+def _with_role(principals: DataFrame, principal_roles: DataFrame, role_catalog_roles: DataFrame) -> DataFrame:
+    """principal x role x catalog role (NULL if the role has none) of principals with a role."""
     # principals LEFT JOIN roles, written as inner join + anti join: in the
     # left-join form a principal holding a huge share of all role rows sits
     # on the unsplittable side; here both sides of the inner join can be split
     # by AQE and the anti join only sees distinct names.
-    with_role = p.join(pr, "principal_name", "inner")
-    no_role = (p.join(pr.select("principal_name").distinct(), "principal_name", "left_anti")
-               .withColumn("principal_role", F.lit(None).cast("string")))
-    return (with_role.unionByName(no_role)
-            .join(rc, "principal_role", "left")
+    held = principals.select("principal_name").join(
+        principal_roles.select("principal_name", "principal_role"), "principal_name", "inner")
+    return (held.join(role_catalog_roles.select("principal_role", "catalog_role"), "principal_role", "left")
             .select("principal_name", "principal_role", "catalog_role"))
 
 
+def _without_role(principals: DataFrame, principal_roles: DataFrame) -> DataFrame:
+    """Principals without a role. They never travel through the role joins,
+    where their NULL keys would meet in one partition."""
+    missing = F.lit(None).cast("string")
+    return (principals.select("principal_name")
+            .join(principal_roles.select("principal_name").distinct(), "principal_name", "left_anti")
+            .select("principal_name", missing.alias("principal_role"), missing.alias("catalog_role")))
+
+
+def role_lookup(principals: DataFrame, principal_roles: DataFrame,
+                role_catalog_roles: DataFrame) -> DataFrame:
+    """principal -> principal role -> catalog role, NULL where a level is missing."""
+    return _with_role(principals, principal_roles, role_catalog_roles).unionByName(
+        _without_role(principals, principal_roles))
+
+
 def lookup_with_defaults(lookup: DataFrame) -> DataFrame:
     """Missing role levels replaced by the ``NONE`` sentinel."""
     return lookup.select("principal_name",
@@ -75,9 +85,13 @@ def access_matrix(principals: DataFrame, principal_roles: DataFrame,
     """One row per principal x role x catalog role with the privilege list.
     ``ordered`` sorts by principal, role, catalog role (the report's order; a
     range shuffle) - leave it off when the matrix is only stored."""
-    lookup = role_lookup(principals, principal_roles, role_catalog_roles)
-    privs = privilege_lists(grants)
-    joined = lookup.join(privs, "catalog_role", "left")
+    lookup = _with_role(principals, principal_roles, role_catalog_roles)
+    privs = privilege_lists(grants).withColumnRenamed("catalog_role", "granted_role")
+    # null-safe keys: the join then shuffles both sides itself instead of reusing
+    # the lists' grouping, so AQE can split a catalog role held by very many
+    joined = lookup.join(privs, lookup["catalog_role"].eqNullSafe(privs["granted_role"]), "left").drop("granted_role")
+    joined = joined.unionByName(_without_role(principals, principal_roles)
+                                .withColumn("privileges", F.lit(None).cast("string")))
     privileges = (F.when(F.col("principal_role").isNull() | F.col("catalog_role").isNull(),
                          F.lit(NO_PRIVILEGES))
                   .otherwise(F.coalesce("privileges", F.lit(NO_GRANTS))))
@@ -106,10 +120,11 @@ def listings_from_payloads(principal_docs: DataFrame, role_docs: DataFrame,
     grant_docs      catalog_role, payload    (``{"grants": [{type, privilege}]}``)
 
     Returns (principals, principal_roles, role_catalog_roles, grants) for
-    ``access_matrix``. An empty or missing list yields no rows, so the matrix
-    falls back to its sentinels; grant order is the order in the document.
+    ``access_matrix``. A NULL payload and an empty or missing list yield no
+    rows, so the matrix falls back to its sentinels; a payload that does not
+    parse fails the job. Grant order is the order in the document.
     """
-    from ledgerline.functions.text import first_present_names
+    from ledgerline.functions.text import FAIL_ON_BAD_JSON, first_present_names
 
     principals = principal_docs.select("principal_name")
     principal_roles = (principal_docs
@@ -122,7 +137,7 @@ def listings_from_payloads(principal_docs: DataFrame, role_docs: DataFrame,
                                   .alias("catalog_role")))
     grants = (grant_docs
               .select("catalog_role",
-                      F.posexplode(F.from_json("payload", _GRANTS)["grants"]).alias("grant_order", "g"))
+                      F.posexplode(F.from_json("payload", _GRANTS, FAIL_ON_BAD_JSON)["grants"]).alias("grant_order", "g"))
               .select("catalog_role", F.col("g.type").alias("grant_type"),
                       F.col("g.privilege").alias("privilege"), "grant_order"))
     return principals, principal_roles, role_catalog_roles, grants
@@ -136,7 +151,7 @@ def main(argv=None) -> DataFrame:
     and optionally written as Parquet."""
     import argparse
 
-    from ledgerline.session import build_session
+    from ledgerline.session import build_session, input_bytes, size_session
 
     ap = argparse.ArgumentParser(description="Principal / role / privilege matrix.")
     ap.add_argument("--principals", required=True)
@@ -146,6 +161,7 @@ def main(argv=None) -> DataFrame:
     ap.add_argument("--out")
     args = ap.parse_args(argv)
     spark = build_session()
+    size_session(spark, input_bytes(spark, args.principals, args.roles, args.grants))
     docs = [spark.read.schema(f"{key} string, payload string").json(path)
             for key, path in (("principal_name", args.principals), ("principal_role", args.roles),
                               ("catalog_role", args.grants))]

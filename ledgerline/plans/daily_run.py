@@ -93,6 +93,16 @@ def run_daily(src: FinanceSources, root: str, target_date=None, run_ts=None,
     return {name: path for name, path, _ in jobs}
 
 
+def run_into_tables(src: FinanceSources, tables: dict[str, str], target_date, run_ts=None,
+                    idempotent: bool = False) -> None:
+    """Write every mart for one day into its catalog table (mart -> table name)."""
+    for name, df in build_marts(src, target_date, run_ts).items():
+        if idempotent or name in OVERWRITES_BY_DEFAULT:
+            sinks.overwrite_table_partitions(df, tables[name])
+        else:
+            sinks.append_table(df, tables[name])
+
+
 def register_marts(spark, namespace: str, paths: dict[str, str]) -> None:
     """Expose written marts as catalog tables ``<namespace>.<mart>`` for SQL
     (``SHOW TABLES IN ns``, ``SELECT ... FROM ns.daily_user_cashflow``)."""
@@ -120,13 +130,17 @@ def main(argv=None) -> dict[str, str]:
     import argparse
     import os
 
-    from ledgerline.session import build_session
+    from ledgerline.session import build_session, input_bytes, size_session
     from ledgerline.sources import finance, jdbc
 
     ap = argparse.ArgumentParser(description="Write the six daily marts for one date.")
     ap.add_argument("--target-date", default=str(_dt.date.today()))
     ap.add_argument("--target-root", required=True)
-    ap.add_argument("--idempotent", action="store_true")
+    ap.add_argument("--idempotent", action="store_true",
+                    help="replace the day in every mart; recommended: without it, as in the original, five marts "
+                         "append, so repeating a day that failed half way stores the others twice")
+    ap.add_argument("--input-gb", type=float, default=None,
+                    help="size of the source data, to size shuffles of JDBC runs (measured for --tables-dir)")
     ap.add_argument("--marts", help="comma-separated subset of the six marts (default: all)")
     ap.add_argument("--namespace", help="also register the marts as catalog tables <namespace>.<mart>")
     group = ap.add_mutually_exclusive_group(required=True)
@@ -134,10 +148,13 @@ def main(argv=None) -> dict[str, str]:
     group.add_argument("--jdbc-url")
     ap.add_argument("--jdbc-schema", default="public")
     ap.add_argument("--jdbc-partitions", type=int, default=1,
-                    help="parallel range reads per source table (1 = one connection per table)")
+                    help="parallel range reads per source table; with the default of 1 each table comes through one "
+                         "connection and one task, so raise it for large tables")
     args, _ = ap.parse_known_args(argv)
     day = as_date(args.target_date)                  # malformed dates fail here
     spark = build_session()
+    if args.input_gb or args.tables_dir:
+        size_session(spark, int(args.input_gb * 1e9) if args.input_gb else input_bytes(spark, args.tables_dir))
     if args.tables_dir:
         def read(name):
             return spark.read.parquet(f"{args.tables_dir.rstrip('/')}/{name}")

@@ -1,23 +1,26 @@
 """Table upkeep: compaction plan and rewrite, snapshot expiry, orphan-file report.
 
 The original runs these as catalog procedures; here they are user-level
-Spark jobs over file listings and snapshot tables. Reports never delete.
+Spark jobs over file listings and snapshot tables. Reports never delete;
+``delete_files`` is the separate, explicit step for reported orphans.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-from urllib.parse import unquote
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerline.session import work_root
+from ledgerline.session import fresh_path
 from ledgerline.sources import files as file_source
 
 MB = 1024 * 1024
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"   # Spark's folder name for a NULL partition value
 COMPACT_THRESHOLD = 128 * MB   # files below this size are rewritten
+TARGET_FACTOR = 4              # rewritten files are this many thresholds large
 SNAPSHOT_RETENTION = _dt.timedelta(days=3)
 ORPHAN_MIN_AGE = _dt.timedelta(days=1)
 
@@ -38,62 +41,109 @@ def compaction_plan(files: DataFrame, partition_col: str, size_col: str,
             .withColumn("target_files", F.ceil(F.col("small_bytes") / F.lit(target)).cast("bigint")))
 
 
+def _folder_value(col: str) -> Column:
+    """Partition value of a folder name: %XX unescaped, the NULL marker as NULL."""
+    text = F.col(col)
+    return F.when(text != NULL_PARTITION, F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))))
+
+
+def _text_partitions(spark: SparkSession, path: str) -> DataFrame:
+    """The table with the columns of all its files and partition values as the
+    folders spell them (``007`` stays ``007``)."""
+    key = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return spark.read.option("mergeSchema", "true").parquet(path)
+    finally:
+        spark.conf.set(key, before)
+
+
+def _content(df: DataFrame, partition_col: str, columns: list[str]) -> DataFrame:
+    """Rows and an order-free checksum over all columns per partition."""
+    return df.groupBy(F.col(partition_col).alias("part")).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(F.xxhash64(*[F.to_json(F.struct(F.col(c))) if c in _maps(df) else F.col(c) for c in columns])
+              .cast("decimal(20,0)")).alias("checksum"))
+
+
+def _maps(df: DataFrame) -> set[str]:
+    """Columns that cannot be hashed directly."""
+    return {f.name for f in df.schema.fields if "map<" in f.dataType.simpleString()}
+
+
 def compact_table(spark: SparkSession, path: str, partition_col: str,
                   threshold: int = COMPACT_THRESHOLD, target: int | None = None) -> DataFrame:
     """Rewrite the partitions of a Parquet table at ``path`` that hold more than
-    one small file into about ``bytes / target`` files each. Rows are unchanged.
-
-    Runs in dynamic partition-overwrite mode only, so untouched partitions
-    survive. The chosen partitions are rewritten whole (plain Parquet has no
-    per-file delete). Rows go to files by a hash of their content, so a
-    retried task writes the same rows again. Returns the plan that was applied.
+    one file under ``threshold`` into files of about ``target`` bytes each
+    (default: four times the threshold, so that none comes out small again and
+    a further run chooses nothing). Rows and columns are unchanged.
+
+    A partition is chosen only if its file count drops. Chosen partitions are
+    read with the columns of all files, and written whole (plain Parquet has no
+    per-file delete) to a staging folder inside the table that readers skip.
+    Rows go to the planned files by their place in the old files, which a
+    retried task reproduces and which spreads identical rows. Row counts and
+    checksums of every partition are compared before the old folders are
+    replaced one by one; a difference raises and leaves the table as it was.
+    No other job may write the table meanwhile. Returns the plan that was applied.
     """
-    target = target or threshold
-    work_root(spark)                       # makes sure a checkpoint dir is set
+    target = target or TARGET_FACTOR * threshold
     inv = file_source.parquet_files(spark, path, partition_col)
     sizes = inv.groupBy(partition_col).agg(F.sum("length").alias("partition_bytes"))
-    # The listing changes once files are rewritten: freeze the plan first
-    # (reliable checkpoint in the shared checkpoint dir, survives executor loss).
-    plan = (compaction_plan(inv, partition_col, "length", threshold, target)
-            .join(sizes, partition_col)
-            .withColumn("n_files", F.greatest(F.lit(1), F.ceil(F.col("partition_bytes") / target))
-                        .cast("int"))
-            .checkpoint(eager=True))
-    # One row per partition to rewrite: file metadata, not data. It becomes a
-    # partition filter on the read, so only those folders are scanned.
-    # Folder names escape special characters as %XX and hold NULL as a marker.
-    chosen = [(None if r[partition_col] == NULL_PARTITION else unquote(r[partition_col]), int(r["n_files"]))
-              for r in plan.select(partition_col, "n_files").collect()]
-    if not chosen:
-        return plan
-    data = spark.read.parquet(path)
-    cols = data.columns
-    data_cols = [c for c in cols if c != partition_col]
-    part = F.col(partition_col)
-    values = [v for v, _ in chosen if v is not None]
-    keep = part.cast("string").isin(values)
-    if len(values) < len(chosen):
-        keep = keep | part.isNull()
-    targets = (spark.createDataFrame(chosen, "__part string, n_files int")
-               .select(F.col("__part").cast(data.schema[partition_col].dataType).alias("__part"), "n_files"))
-    rows = (data.filter(keep)
-            .join(F.broadcast(targets), part.eqNullSafe(targets["__part"]), "inner"))  # len(chosen) rows
-    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in data_cols]), F.col("n_files"))
-    out = (rows.withColumn("__bucket", bucket)
-           .repartition(sum(n for _, n in chosen), F.col(partition_col), F.col("__bucket"))
-           .select(*cols))
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(partition_col).parquet(path))
-    return plan
+    n_files = F.greatest(F.lit(1), F.ceil(F.col("partition_bytes") / target)).cast("int")
+    # the listing changes once files are replaced: freeze the plan (one row per chosen partition)
+    plan_path = fresh_path(spark, "compaction-plan")
+    first_file = F.sum("n_files").over(W.orderBy(partition_col).rowsBetween(W.unboundedPreceding, -1))
+    (compaction_plan(inv, partition_col, "length", threshold, target)
+     .join(sizes, partition_col).withColumn("n_files", n_files)
+     .where("n_files < total_files")
+     .withColumn("first_file", F.coalesce(first_file, F.lit(0)).cast("int"))
+     .write.parquet(plan_path))
+    plan = spark.read.parquet(plan_path)
+    files = plan.agg(F.sum("n_files")).first()[0]
+    if not files:
+        return plan.drop("first_file")
+    table = _text_partitions(spark, path)
+    columns = table.columns
+    todo = plan.select(_folder_value(partition_col).alias("__part"), "n_files", "first_file")
+    rows = (table.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("__place"))
+            .join(todo, table[partition_col].eqNullSafe(F.col("__part")), "inner"))
+    stage = f"{path.rstrip('/')}/_compaction-{uuid.uuid4().hex[:12]}"
+    (rows.withColumn("__file", F.col("first_file") + F.pmod("__place", F.col("n_files")).cast("int"))
+     .repartitionById(int(files), F.col("__file"))
+     .select(*columns).write.partitionBy(partition_col).parquet(stage))
+    old = _content(rows, partition_col, columns)
+    new = _content(_text_partitions(spark, stage).select(*columns), partition_col, columns)
+    differs = (old.alias("o").join(new.alias("n"), F.col("o.part").eqNullSafe(F.col("n.part")), "full")
+               .where(~(F.col("o.n_rows").eqNullSafe(F.col("n.n_rows")) & F.col("o.checksum").eqNullSafe(F.col("n.checksum")))))
+    if not differs.isEmpty():
+        raise RuntimeError(f"compaction of {path}: the rewritten rows differ, the table is unchanged (see {stage})")
+    _swap(spark, plan, path, stage, partition_col)
+    spark.catalog.refreshByPath(path)
+    return plan.drop("first_file")
+
+
+def _swap(spark: SparkSession, plan: DataFrame, path: str, stage: str, partition_col: str) -> None:
+    """Replace the folders of the chosen partitions by the staged ones: the old
+    folder moves aside inside the staging area, the new one takes its place, and
+    the staging area is deleted at the end. File-system metadata only."""
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = to_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(to_path(f"{stage}/_old"))
+    for row in plan.select(partition_col).toLocalIterator():
+        folder = f"{partition_col}={row[0]}"
+        live, fresh, aside = (to_path(f"{base}/{folder}") for base in (path.rstrip("/"), stage, f"{stage}/_old"))
+        if not (fs.rename(live, aside) and fs.rename(fresh, live)):
+            raise RuntimeError(f"could not replace {folder} of {path}; its rows are in {stage}")
+    fs.delete(to_path(stage), True)
 
 
 def _cutoff(ts_source: DataFrame, ts_col: str, now, age: _dt.timedelta) -> Column:
-    """``now - age``; with ``now`` None the newest timestamp in the data stands
-    for now (a scalar subquery, evaluated once)."""
-    if now is None:
-        ref = ts_source.select(F.max(ts_col)).scalar()
-    else:
-        ref = F.lit(now).cast(ts_source.schema[ts_col].dataType)
+    """``now - age``; ``now`` None is the clock at query time, else a timestamp
+    or a column (e.g. a scalar subquery)."""
+    ref = F.current_timestamp() if now is None else now if isinstance(now, Column) else F.lit(now)
+    ref = ref.cast(ts_source.schema[ts_col].dataType)
     secs = F.lit(f"{age.seconds}.{age.microseconds:06d}").cast("decimal(18,6)")
     return ref - F.make_dt_interval(F.lit(age.days), F.lit(0), F.lit(0), secs)
 
@@ -141,13 +191,34 @@ def table_upkeep(spark: SparkSession, path: str, partition_col: str,
     return out
 
 
+def delete_files(orphans: DataFrame, path_col: str = "path") -> DataFrame:
+    """Explicit second step after an ``orphan_files`` report: delete the listed
+    files through the file system client, reading the report as a stream.
+    Returns path, deleted (False: it was gone already). Pass a written report,
+    so that what is deleted is what was looked at."""
+    spark = orphans.sparkSession
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    done = []
+    out = fresh_path(spark, "deleted")
+    for row in orphans.select(path_col).toLocalIterator():
+        p = to_path(row[0])
+        done.append((row[0], bool(p.getFileSystem(conf).delete(p, False))))
+        if len(done) == 10_000:
+            spark.createDataFrame(done, "path string, deleted boolean").write.mode("append").parquet(out)
+            done = []
+    spark.createDataFrame(done, "path string, deleted boolean").write.mode("append").parquet(out)
+    return spark.read.parquet(out)
+
+
 def main(argv=None) -> dict[str, DataFrame]:
     """``python -m ledgerline.plans.maintenance --table PATH --partition-col C
-    [--threshold-mb 128] [--snapshots PARQUET] [--inventory PARQUET]``:
-    compaction, then the snapshot-expiry and orphan-file reports (printed)."""
+    [--threshold-mb 128] [--snapshots PARQUET] [--inventory PARQUET] [--out PATH]``:
+    compaction, then the snapshot-expiry and orphan-file reports. With ``--out``
+    each is written whole below it; the row counts are printed."""
     import argparse
 
-    from ledgerline.session import build_session
+    from ledgerline.session import build_session, input_bytes, size_session
 
     ap = argparse.ArgumentParser(description="Nightly upkeep of one Parquet table.")
     ap.add_argument("--table", required=True)
@@ -155,16 +226,20 @@ def main(argv=None) -> dict[str, DataFrame]:
     ap.add_argument("--threshold-mb", type=int, default=COMPACT_THRESHOLD // MB)
     ap.add_argument("--snapshots", help="Parquet: table_name, snapshot_id, committed_at")
     ap.add_argument("--inventory", help="Parquet: path, modified_at of stored objects")
+    ap.add_argument("--out", help="folder for the reports: compaction, expired_snapshots, orphan_files")
     args = ap.parse_args(argv)
     spark = build_session()
+    size_session(spark, input_bytes(spark, args.table))
     out = table_upkeep(
         spark, args.table, args.partition_col,
         snapshots=spark.read.parquet(args.snapshots) if args.snapshots else None,
         files=spark.read.parquet(args.inventory) if args.inventory else None,
         threshold=args.threshold_mb * MB)
+    root = args.out.rstrip("/") if args.out else fresh_path(spark, "upkeep")
     for name, df in out.items():
-        print(f"== {name}")
-        df.show(20, truncate=False)
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        out[name] = spark.read.parquet(f"{root}/{name}")
+        print(f"{name}: {out[name].count()} rows in {root}/{name}")
     return out
 
 

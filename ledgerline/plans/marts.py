@@ -51,6 +51,9 @@ def asset_holdings(holdings: DataFrame, users: DataFrame, assets: DataFrame, as_
                .agg(F.sum("quantity").alias("quantity")))
     a = assets.select("asset_id", "asset_symbol", "asset_name", "asset_type")
     out = (per_key.join(user_names(users), "user_id").join(a, "asset_id")
+           # an exchange of its own for the regroup: on the asset join's partitioning AQE
+           # could not split an asset that very many users hold
+           .repartition("user_id", "asset_id")
            # regroup: duplicate dimension rows multiply exactly as a join-first plan would
            .groupBy("user_id", "user_name", "asset_id", "asset_symbol", "asset_name",
                     "asset_type", "asset_sub_type")

@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from ledgerline import functions as fn
 from ledgerline.functions.money import MONEY, PORTFOLIO, PRICE, QUANTITY
-from ledgerline.operators import aggregates, filters, joins, sorting, windows
-from ledgerline.oracle import D_EVENTS, D_ORDERS, FIXED_RUN_TS
+from ledgerline.operators import aggregates, columns, filters, joins, sorting, windows
+from ledgerline.oracle import D_EVENTS, D_ORDERS, FIXED_RUN_TS, GIVEN_TABLES, MART_DIGEST, TABLE_KEYS
 from ledgerline.plans import access, daily_run, maintenance, marts
 from ledgerline.plans.schemas import MART_DDL, MART_PARTITION
 from ledgerline.session import fresh_path
@@ -138,14 +138,13 @@ def q_stamp(spark, sf_dir):
 def q_fill_nulls(spark, sf_dir):
     t = TableSet(spark, sf_dir)
     d = t("documents").select("doc_id")
-    return d.join(t("labels"), "doc_id", "left").na.fill(0, subset=["quality", "toxic"])
+    return columns.fill_missing(d.join(t("labels"), "doc_id", "left"), 0, ["quality", "toxic"])
 
 
 @register("derive_flag")
 def q_derive_flag(spark, sf_dir):
     li = TableSet(spark, sf_dir)("lineitem")
-    return li.select("l_orderkey", "l_linenumber",
-                     (F.col("l_tax") > F.col("l_discount")).alias("tax_over_discount"))
+    return columns.flag_greater(li, ["l_orderkey", "l_linenumber"], "l_tax", "l_discount", "tax_over_discount")
 
 
 @register("join_inner_expr")
@@ -247,8 +246,7 @@ def q_agg_first_constant(spark, sf_dir):
     c = t("customer").select("c_custkey", "c_nationkey")
     n = t("nation").select("n_nationkey", "n_name")
     j = c.join(n, c["c_nationkey"] == n["n_nationkey"], "inner")
-    return j.groupBy("c_nationkey").agg(F.any_value("n_name").alias("nation_name"),
-                                        F.count(F.lit(1)).alias("n_customers"))
+    return aggregates.first_constant(j, ["c_nationkey"], "n_name", "nation_name", "n_customers")
 
 
 @register("agg_privilege_list")
@@ -288,11 +286,11 @@ def q_window_first_desc(spark, sf_dir):
 
 @register("snapshot_retention")
 def q_snapshot_retention(spark, sf_dir):
-    """Snapshots = events (table = user, snapshot = event, committed = ts); now = newest ts."""
+    """Snapshots = events (table = user, snapshot = event, committed = ts); now given: the newest ts."""
     ev = TableSet(spark, sf_dir)("events").select(
         F.col("user_id").alias("table_name"), F.col("event_id").alias("snapshot_id"),
         F.col("ts").alias("committed_at"))
-    return maintenance.snapshot_retention(ev)
+    return maintenance.snapshot_retention(ev, now=ev.select(F.max("committed_at")).scalar())
 
 
 @register("sort_multi_key")
@@ -338,8 +336,11 @@ def q_fn_parse_date(spark, sf_dir):
 
 @register("fn_now")
 def q_fn_now(spark, sf_dir):
+    """The query time: one value for the whole query, and not before any event."""
     ev = TableSet(spark, sf_dir)("events")
-    return ev.select("event_id", fn.now().alias("created_at"))
+    stamped = ev.select("event_id", fn.now().alias("a"), fn.now().alias("b"), F.col("ts").cast("timestamp").alias("ts"))
+    return stamped.select("event_id", (F.col("a") == F.col("b")).alias("one_value"),
+                          (F.col("a") >= F.col("ts")).alias("not_before_event"))
 
 
 @register("fn_coalesce")
@@ -390,14 +391,8 @@ def q_fn_decimal_cast(spark, sf_dir):
 
 @register("fn_arithmetic")
 def q_fn_arithmetic(spark, sf_dir):
-    m = _money_lines(spark, sf_dir)
-    p, d, t, q = F.col("price"), F.col("discount"), F.col("tax"), F.col("qty")
-    parts = m.select("l_orderkey", "l_linenumber", "price", "qty",
-                     (p * d).alias("disc_amount"), (p * t).alias("tax_amount"))
-    return parts.select("l_orderkey", "l_linenumber", "disc_amount",
-                        (p - F.col("disc_amount")).alias("net_price"),
-                        (p + F.col("tax_amount")).alias("gross_price"),
-                        (p / q).cast(PRICE).alias("unit_price"))
+    return columns.price_arithmetic(_money_lines(spark, sf_dir), ["l_orderkey", "l_linenumber"],
+                                    "price", "discount", "tax", "qty")
 
 
 @register("fn_concat_colon")
@@ -449,7 +444,7 @@ def q_fn_bytes_to_kb(spark, sf_dir):
 
 @register("access_matrix")
 def q_access_matrix(spark, sf_dir):
-    """Principals = customers, roles from 1995 F orders, catalog roles fixed, grants = nations."""
+    """Principals = customers and suppliers, roles from all orders, catalog roles fixed, grants = nations."""
     p, pr, rc, g = _audit_inputs(spark, sf_dir)
     return access.access_matrix(p, pr, rc, g, audit.CATALOG_NAME)
 
@@ -457,10 +452,6 @@ def q_access_matrix(spark, sf_dir):
 # ---- sources, sinks and DDL (write under the session's work root, read back) ----
 
 
-GIVEN_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-                "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-
-
 def _read_mart(spark, name: str, path: str):
     return spark.read.schema(MART_DDL[name][0]).parquet(path)
 
@@ -507,25 +498,34 @@ def q_rows_with_schema(spark, sf_dir):
 
 @register("file_inventory")
 def q_file_inventory(spark, sf_dir):
-    """bucket, key and size of every file of the data folder (modification time left out)."""
-    return file_source.file_inventory(spark, sf_dir).drop("modified_at")
+    """Every file of the supplied tables: its key, the rows a scan finds in it, and
+    whether the listed size is the one the reader saw."""
+    return file_source.table_files(spark, sf_dir, GIVEN_TABLES)
 
 
 @register("create_namespace")
 def q_create_namespace(spark, sf_dir):
-    """Namespace created twice (idempotent) holding the supplied tables; its table names."""
+    """Namespace created twice (idempotent) holding the supplied tables, which are
+    read through it: rows and distinct keys of every table."""
     ns = _namespace(spark)
     catalog.create_namespace(spark, ns)            # second call is a no-op
     _register_given(spark, sf_dir, ns)
-    return (catalog.list_tables(spark, ns).filter(~F.col("isTemporary"))
-            .select(F.col("tableName").alias("table_name")))
+    out = None
+    for name, key in TABLE_KEYS.items():
+        part = spark.read.table(f"{ns}.{name}").agg(
+            F.count(F.lit(1)).alias("n_rows"), F.count_distinct(key).alias("n_keys")).select(
+            F.lit(name).alias("table_name"), "n_rows", "n_keys")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @register("catalog_listing")
 def q_catalog_listing(spark, sf_dir):
-    """The supplied tables registered in a namespace, listed with their row counts."""
+    """The supplied tables registered in a namespace, listed with their row counts,
+    and whether the namespace itself is listed."""
     ns = _namespace(spark)
     _register_given(spark, sf_dir, ns)
+    listed = catalog.list_namespaces(spark).filter(F.col("namespace") == ns).count() == 1
     names = [r.tableName for r in catalog.list_tables(spark, ns).filter(~F.col("isTemporary")).collect()]
     counts = [spark.read.table(f"{ns}.{n}").select(F.lit(n).alias("table_name"),
                                                    F.count(F.lit(1)).alias("n_rows"))
@@ -533,7 +533,7 @@ def q_catalog_listing(spark, sf_dir):
     out = counts[0]
     for c in counts[1:]:
         out = out.unionByName(c)
-    return out
+    return out.withColumn("namespace_listed", F.lit(listed))
 
 
 def _mart_table(spark, ns, name):
@@ -568,13 +568,14 @@ def q_ensure_table(spark, sf_dir):
 
 @register("insert_values")
 def q_insert_values(spark, sf_dir):
-    """INSERT INTO ... SELECT from the customer table, read back."""
+    """INSERT INTO ... SELECT from the customer table and INSERT INTO ... VALUES, read back."""
     ns = _namespace(spark)
     catalog.register_external(spark, f"{ns}.customer", TableSet(spark, sf_dir).path("customer"))
     catalog.create_table(spark, f"{ns}.users", "id BIGINT, name STRING, job STRING",
                          location=fresh_path(spark, "users"))
     catalog.insert_values(spark, f"{ns}.users",
                           f"SELECT c_custkey, c_name, c_mktsegment FROM {ns}.customer")
+    catalog.insert_values(spark, f"{ns}.users", "VALUES (-1, 'Ann', 'Engineer'), (-2, 'Bob', NULL)")
     return spark.read.table(f"{ns}.users")
 
 
@@ -614,7 +615,8 @@ def q_overwrite_sink(spark, sf_dir):
 
 @register("compact_table")
 def q_compact_table(spark, sf_dir):
-    """Documents written as many small files per source, compacted, read back per source."""
+    """Documents written as many small files per source, compacted, read back whole: per
+    source the rows, ids, text lengths, distinct texts and the extreme row digests."""
     path = fresh_path(spark, "documents")
     docs = TableSet(spark, sf_dir)("documents")
     # many small files per partition: every task writes into every source folder
@@ -623,7 +625,11 @@ def q_compact_table(spark, sf_dir):
     back = spark.read.parquet(path)
     return back.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"),
                                       F.sum("n_chars").alias("total_chars"),
-                                      F.count_distinct("doc_id").alias("n_ids"))
+                                      F.count_distinct("doc_id").alias("n_ids"),
+                                      F.sum(F.length("text")).cast("bigint").alias("text_chars"),
+                                      F.count_distinct(F.md5("text")).alias("n_texts"),
+                                      F.min(F.md5(F.concat_ws("|", "doc_id", "lang", "text"))).alias("least_row"),
+                                      F.max(F.md5(F.concat_ws("|", "doc_id", "lang", "text"))).alias("greatest_row"))
 
 
 @register("daily_marts_run")
@@ -633,18 +639,37 @@ def q_daily_marts_run(spark, sf_dir):
     src = finance.from_tables(TableSet(spark, sf_dir))
     for day in (D_ORDERS, D_EVENTS, D_EVENTS):     # the repeated day must not duplicate rows
         daily_run.run_daily(src, root, day, FIXED_RUN_TS, idempotent=True)
-    parts = []
-    for name in MART_DDL:
-        df = _read_mart(spark, name, f"{root}/{name}")
-        parts.append(df.groupBy(F.col(MART_PARTITION[name]).alias("report_date"))
-                     .agg(F.count(F.lit(1)).alias("n_rows"))
-                     .select(F.lit(name).alias("mart"), "report_date", "n_rows"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    return _mart_digest({name: _read_mart(spark, name, f"{root}/{name}") for name in MART_DDL})
+
+
+def _mart_digest(tables):
+    """Rows, distinct keys and exact sums of the decimal columns per mart and day."""
+    out = None
+    for name, (key, sums) in MART_DIGEST.items():
+        totals = [F.sum(F.col(c).cast("decimal(28,8)")).alias(f"sum_{k}") for k, c in enumerate(sums)]
+        part = (tables[name].groupBy(F.col(MART_PARTITION[name]).alias("report_date"))
+                .agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(key).alias("n_keys"), *totals)
+                .select(F.lit(name).alias("mart"), "*"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
+@register("daily_marts_tables")
+def q_daily_marts_tables(spark, sf_dir):
+    """The daily job into the six catalog tables of the mart DDL: one day appended,
+    one day written by partition overwrite twice; digest of what the tables hold."""
+    ns = _namespace(spark)
+    tables = {}
+    for name in MART_DDL:
+        tables[name], sql = _mart_table(spark, ns, name)
+        catalog.ensure_table(spark, tables[name], sql)
+    src = finance.from_tables(TableSet(spark, sf_dir))
+    daily_run.run_into_tables(src, tables, D_ORDERS, FIXED_RUN_TS)
+    for _ in range(2):
+        daily_run.run_into_tables(src, tables, D_EVENTS, FIXED_RUN_TS, idempotent=True)
+    return _mart_digest({name: spark.read.table(full) for name, full in tables.items()})
+
+
 @register("access_matrix_from_listings")
 def q_access_matrix_from_listings(spark, sf_dir):
     """The matrix through the listing-response path: the audit listings are

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 # Settings every job relies on. ANSI stays on (Spark 4 default); overflow is
@@ -44,22 +45,30 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         if not k.startswith("spark.ui"):
             try:
                 spark.conf.set(k, v)
-            except Exception:  # static conf of an already running session
-                pass
+            except AnalysisException as e:      # a static setting of an already running session stays
+                if "CANNOT_MODIFY" not in str(e):
+                    raise
     return spark
 
 
+def _single_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def work_root(spark: SparkSession) -> str:
     """Shared folder for written tables: the cluster's ``spark.checkpoint.dir``.
 
-    Only when the session names none (local tests) a private temporary folder
-    is created and registered as the checkpoint dir.
+    Only a session in local mode (tests, a laptop) that names none gets a
+    private temporary folder, registered as the checkpoint dir. On a cluster a
+    folder of one machine would lose data, so a missing setting is an error.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = sc.getCheckpointDir()
     if not root:
+        if not _single_machine(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="ledgerline-")
         spark.conf.set("spark.checkpoint.dir", root)
     if not sc.getCheckpointDir():
@@ -72,8 +81,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return os.path.join(work_root(spark), "ledgerline", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024,
-                 max_partitions: int = 100_000) -> dict:
+def input_bytes(spark: SparkSession, *paths: str) -> int:
+    """Bytes stored below the paths, summed by the file system."""
+    total = 0
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return total
+
+
+def size_session(spark: SparkSession, stored_bytes: int) -> None:
+    """Apply ``cluster_conf`` to a running session (a cluster run's entry points)."""
+    if not _single_machine(spark.sparkContext.master):
+        for k, v in cluster_conf(stored_bytes).items():
+            spark.conf.set(k, v)
+
+
+def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024) -> dict:
     """Shuffle sizing for a cluster run over ``input_bytes`` of source data.
 
     Starts with about one shuffle partition per ``target_partition_bytes`` of
@@ -81,7 +105,7 @@ def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 10
     ones), and lets file scans read splits of the same size. Pass the result
     as ``build_session(extra=...)``.
     """
-    parts = max(200, min(max_partitions, -(-input_bytes // target_partition_bytes)))
+    parts = max(200, -(-input_bytes // target_partition_bytes))
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),

@@ -1,7 +1,7 @@
 """Access-audit listings as tables, mapped from the supplied tables (test-data adapter).
 
-principals          customers (name)
-principal_roles     distinct (customer, order priority) of orders with status F before 1996
+principals          customers and suppliers (name); suppliers have no order, so no role
+principal_roles     distinct (customer, order priority) of all orders
 role_catalog_roles  the fixed mapping below
 grants              one grant per nation, held by the catalog role named after its region
 """
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ledgerline.sources.tables import TableSet
 
 CATALOG_NAME = "main"
-ROLE_CUTOFF = "1996-01-01"
 
 # Principal role -> catalog role (GHOST is a catalog role without grants).
 ROLE_TO_CATALOG_ROLE = [
@@ -27,14 +26,12 @@ GRANT_TYPE = "namespace"
 
 
 def principals(t: TableSet) -> DataFrame:
-    return t("customer").select(F.col("c_name").alias("principal_name"))
+    return (t("customer").select(F.col("c_name").alias("principal_name"))
+            .unionAll(t("supplier").select(F.col("s_name").alias("principal_name"))))
 
 
 def principal_roles(t: TableSet) -> DataFrame:
-    o = (t("orders")
-         .filter((F.col("o_orderstatus") == "F")
-                 & (F.col("o_orderdate") < F.lit(ROLE_CUTOFF).cast("timestamp_ntz")))
-         .select("o_custkey", "o_orderpriority").distinct())
+    o = t("orders").select("o_custkey", "o_orderpriority").distinct()
     c = t("customer").select("c_custkey", "c_name")
     return (o.join(c, o["o_custkey"] == c["c_custkey"], "inner")
             .select(F.col("c_name").alias("principal_name"),

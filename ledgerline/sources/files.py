@@ -1,8 +1,10 @@
 """Object/file inventory through the ``binaryFile`` source.
 
 Only ``path``, ``length`` and ``modificationTime`` are selected, so file
-contents are never read; the listing itself runs on executors when the
-directory tree is large (parallel partition discovery).
+contents are never read. Large directory trees are listed by executors in
+parallel, but all file statuses end in the driver's file index: for buckets of
+many millions of objects pass a stored inventory table instead (as
+``plans.maintenance.table_upkeep(files=...)`` takes one).
 """
 
 from __future__ import annotations
@@ -44,6 +46,23 @@ def file_inventory(spark: SparkSession, root: str) -> DataFrame:
                     F.col("modificationTime").alias("modified_at")))
 
 
+def table_files(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """Inventory of the given Parquet tables below ``root`` joined with a scan of
+    them: key, rows read from the file, and whether the listed size is the one
+    that the reader saw."""
+    plain = "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?"
+    scans = None
+    for name in names:
+        seen = (spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
+                .groupBy(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("seen_bytes"))
+                .agg(F.count(F.lit(1)).alias("n_rows")))
+        scans = seen if scans is None else scans.unionAll(seen)
+    listed = list_files(spark, root).select(F.regexp_replace("path", plain, "").alias("p"), "path", "length")
+    keyed = listed.select("p", "length", F.regexp_extract("p", re.escape(_strip_scheme(root)) + "/(.*)$", 1).alias("key"))
+    return (keyed.join(scans.withColumn("p", F.regexp_replace("p", plain, "")), "p")
+            .select("key", "n_rows", (F.col("length") == F.col("seen_bytes")).alias("sizes_agree")))
+
+
 def parquet_files(spark: SparkSession, table_path: str, partition_col: str) -> DataFrame:
     """Data files of a Parquet table: partition value (from ``col=value`` in the
     path), path and length."""

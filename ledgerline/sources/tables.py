@@ -8,40 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 class TableSet:
     """``<root>/<name>.parquet`` tables; columns are pruned by Catalyst.
 
-    The schema of each table is inferred once per session and then given to
-    the reader, which saves the footer-reading job Spark runs for every
+    The schema of each table is inferred once per ``TableSet`` and then given
+    to the reader, which saves the footer-reading job Spark runs for every
     schema-less Parquet read (catalog tables carry their schema already).
-    Meant for tables that are not rewritten while the session runs.
+    Make a new ``TableSet`` after tables were rewritten with other columns.
     """
 
-    _schemas: dict = {}
-
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._schemas: dict = {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}.parquet"
 
     def __call__(self, name: str) -> DataFrame:
         path = self.path(name)
-        try:
-            app = self.spark.sparkContext.applicationId
-        except Exception:               # sessions without a local SparkContext (Spark Connect)
-            app = id(self.spark)
-        key = (app, path)
-        schema = TableSet._schemas.get(key)
+        schema = self._schemas.get(name)
         if schema is not None:
             return self.spark.read.schema(schema).parquet(path)
         df = self.spark.read.parquet(path)
-        TableSet._schemas[key] = df.schema
+        self._schemas[name] = df.schema
         return df
 
-    def register(self, names) -> None:
-        """Expose tables as temporary views for SQL."""
-        for n in names:
-            self(n).createOrReplaceTempView(n)
-
 
 def rows_with_schema(df: DataFrame, schema) -> DataFrame:
     """Impose an explicit schema: field order, names and types; a NULL in a

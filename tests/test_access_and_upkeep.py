@@ -17,7 +17,7 @@ def test_access_matrix_sentinel_classes_at_sf001(spark):
         .when(F.col("catalog_role") == "NONE", "role_only") \
         .when(F.col("privileges") == "NO_GRANTS", "no_grants").otherwise("granted")
     got = {r["c"]: r["n"] for r in m.groupBy(cls.alias("c")).agg(F.count("*").alias("n")).collect()}
-    assert got == {"granted": 434, "no_grants": 137, "role_only": 267, "none": 923}
+    assert got == {"granted": 3889, "no_grants": 1304, "role_only": 2574, "none": 100}
 
 
 def test_access_matrix_edges(spark):
@@ -69,8 +69,10 @@ def test_snapshot_retention_keeps_current(spark):
         ("t1", 1, ts(2024, 1, 1)), ("t1", 2, ts(2024, 1, 9)), ("t1", 3, ts(2024, 1, 10)),
         ("t2", 7, ts(2024, 1, 1)),                       # old but current: kept
     ], "table_name string, snapshot_id long, committed_at timestamp")
-    got = sorted(r.snapshot_id for r in maintenance.snapshot_retention(snaps).collect())
-    assert got == [1]
+    newest = snaps.select(F.max("committed_at")).scalar()
+    assert [r.snapshot_id for r in maintenance.snapshot_retention(snaps, now=newest).collect()] == [1]
+    # by default the clock decides: all but the current ones of a table that is no longer written expire
+    assert sorted(r.snapshot_id for r in maintenance.snapshot_retention(snaps).collect()) == [1, 2]
     got_now = sorted(r.snapshot_id for r in
                      maintenance.snapshot_retention(snaps, now=dt.datetime(2024, 1, 20)).collect())
     assert got_now == [1, 2]
@@ -205,3 +207,116 @@ def test_access_matrix_rejects_null_principal_name(spark):
     grants = spark.createDataFrame([], "catalog_role string, grant_type string, privilege string, grant_order int")
     with pytest.raises(Exception):
         access.access_matrix(principals, empty_roles, rc, grants, "cat").collect()
+
+
+def _files(spark, path, col):
+    return {r[0]: r["count"] for r in file_source.parquet_files(spark, path, col).groupBy(col).count().collect()}
+
+
+def test_compaction_keeps_columns_added_later(spark):
+    path = fresh_path(spark, "evolved")
+    spark.range(100).selectExpr("id", "'a' k").repartition(3).write.partitionBy("k").parquet(path)
+    spark.range(100, 200).selectExpr("id", "id * 2 extra", "'a' k").repartition(3).write.mode("append").partitionBy("k").parquet(path)
+    maintenance.compact_table(spark, path, "k")
+    back = spark.read.parquet(path)
+    assert back.count() == 200 and back.where("extra is not null").count() == 100
+    assert back.selectExpr("sum(extra)").first()[0] == 2 * sum(range(100, 200))
+    assert _files(spark, path, "k") == {"a": 1}
+
+
+def test_compaction_keeps_the_spelling_of_partitions(spark):
+    path = fresh_path(spark, "padded")
+    spark.range(80).selectExpr("id", "if(id % 2 = 0, '007', '1e3') k").repartition(4, "id").write.partitionBy("k").parquet(path)
+    plan = maintenance.compact_table(spark, path, "k").collect()
+    assert sorted(r.k for r in plan) == ["007", "1e3"]
+    assert _files(spark, path, "k") == {"007": 1, "1e3": 1}
+
+
+def test_compaction_converges(spark):
+    path = fresh_path(spark, "converging")
+    df = spark.range(20_000).selectExpr("id", "sha2(cast(id as string), 256) body", "concat('p', id % 4) k")
+    df.repartition(6, "id").write.partitionBy("k").parquet(path)
+    size = file_source.parquet_files(spark, path, "k").selectExpr("max(length)").first()[0]
+    first = maintenance.compact_table(spark, path, "k", threshold=int(size * 1.2)).collect()
+    assert len(first) == 4
+    after = _files(spark, path, "k")
+    assert all(after[r.k] == r.n_files for r in first)
+    for _ in range(2):
+        assert maintenance.compact_table(spark, path, "k", threshold=int(size * 1.2)).collect() == []
+    back = spark.read.parquet(path)
+    assert back.count() == 20_000 and back.select("id", "body").distinct().count() == 20_000
+
+
+def test_compaction_gives_the_planned_even_files(spark):
+    path = fresh_path(spark, "even")
+    df = spark.range(70_000).selectExpr("id", "if(id < 30000, 'same', sha2(cast(id as string), 256)) body", "'x' k")
+    df.repartition(40, "id").write.partitionBy("k").parquet(path)
+    total = file_source.parquet_files(spark, path, "k").selectExpr("sum(length)").first()[0]
+    plan = maintenance.compact_table(spark, path, "k", threshold=total // 10, target=total // 7 + 1).collect()
+    assert [r.n_files for r in plan] == [7]
+    sizes = [r.length for r in file_source.parquet_files(spark, path, "k").collect()]
+    assert len(sizes) == 7 and max(sizes) <= 2 * min(sizes)
+
+
+def test_compaction_leaves_the_table_alone_if_rows_differ(spark, monkeypatch):
+    import pytest
+
+    path = fresh_path(spark, "guarded")
+    spark.range(60).selectExpr("id", "'a' k").repartition(3).write.partitionBy("k").parquet(path)
+    before = {r.path for r in file_source.parquet_files(spark, path, "k").collect()}
+    real = maintenance._content
+    calls = []
+
+    def damaged(df, part, cols):
+        calls.append(1)
+        return real(df.where("id <> 7") if len(calls) == 2 else df, part, cols)
+
+    monkeypatch.setattr(maintenance, "_content", damaged)
+    with pytest.raises(RuntimeError, match="differ"):
+        maintenance.compact_table(spark, path, "k")
+    assert {r.path for r in file_source.parquet_files(spark, path, "k").collect()} == before
+
+
+def test_upkeep_reports_are_written_whole(spark):
+    path = fresh_path(spark, "reported")
+    spark.range(30).selectExpr("id", "'a' k").repartition(2).write.partitionBy("k").parquet(path)
+    snaps = spark.range(60).selectExpr("'t' table_name", "id snapshot_id", "timestamp'2020-01-01' + make_dt_interval(int(id)) committed_at")
+    files = spark.range(45).selectExpr("concat('gone-', id) path", "timestamp'2020-01-01' modified_at")
+    snaps_path, files_path, out = (fresh_path(spark, n) for n in ("snaps", "inventory", "reports"))
+    snaps.write.parquet(snaps_path)
+    files.write.parquet(files_path)
+    got = maintenance.main(["--table", path, "--partition-col", "k", "--snapshots", snaps_path, "--inventory", files_path, "--out", out])
+    assert got["expired_snapshots"].count() == 59 and spark.read.parquet(f"{out}/expired_snapshots").count() == 59
+    assert spark.read.parquet(f"{out}/orphan_files").count() == 45
+    assert spark.read.parquet(f"{out}/compaction").count() == 1
+
+
+def test_reported_orphans_are_deleted_in_an_explicit_step(spark, tmp_path):
+    for n in "abc":
+        (tmp_path / n).write_text(n)
+    report = spark.createDataFrame([(f"file:{tmp_path}/a",), (f"file:{tmp_path}/c",), (f"file:{tmp_path}/none",)], "path string")
+    done = {r.path.rsplit("/", 1)[1]: r.deleted for r in maintenance.delete_files(report).collect()}
+    assert done == {"a": True, "c": True, "none": False}
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["b"]
+
+
+def test_broken_listings_fail_the_audit(spark):
+    import pytest
+
+    roles = spark.createDataFrame([("r", '{"roles": []}')], "principal_role string, payload string")
+    grants = spark.createDataFrame([("c", '{"grants": []}')], "catalog_role string, payload string")
+
+    def matrix(payload):
+        p = spark.createDataFrame([("ann", payload)], "principal_name string, payload string")
+        return [tuple(r) for r in access.access_matrix(*access.listings_from_payloads(p, roles, grants), "m").collect()]
+
+    for fine in (None, "{}", '{"roles": []}', '{"roles": null}'):
+        assert matrix(fine) == [("ann", "NONE", "m", "NONE", "NULL")]
+    for broken in ('{"roles": [{"name": "et', "not json", '{"roles": [{"title": "x"}]}'):
+        with pytest.raises(Exception):
+            matrix(broken)
+    p = spark.createDataFrame([("ann", '{"roles": [{"name": "r"}]}')], "principal_name string, payload string")
+    held = spark.createDataFrame([("r", '{"catalogRoles": [{"name": "c"}]}')], "principal_role string, payload string")
+    cut = spark.createDataFrame([("c", '{"grants": [{"type": "ta')], "catalog_role string, payload string")
+    with pytest.raises(Exception):
+        access.access_matrix(*access.listings_from_payloads(p, held, cut), "m").collect()

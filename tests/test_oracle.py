@@ -8,11 +8,12 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF_ORACLE, SF_SMALL
+from ledgerline import oracle, registry
 from ledgerline.typecheck import mismatched_types
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-SQL = entry.oracle_sql()
+SQL = oracle.oracle_sql()
 # heavier keys are checked at sf0.01 (the driver's scale), the rest at sf0.001
 AT_SF001 = {"asset_holdings_asof", "user_cashflow", "budget_performance", "goal_progress",
             "access_matrix", "portfolio_day_stats", "asset_price_summary"}
@@ -59,17 +60,10 @@ def test_query_matches_oracle(spark, key):
 
 
 def test_every_query_has_oracle_or_is_listed(spark):
-    rows_only = {"fn_now", "file_inventory"}
-    assert set(entry.queries()) - set(SQL) == rows_only
+    assert set(registry.QUERIES) == set(oracle.oracle_sql())
     assert set(SQL) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("key", ["fn_now", "file_inventory"])
-def test_rows_only_queries_run(spark, key):
-    df = entry.queries()[key](spark, SF_SMALL)
-    assert df.count() > 0
-
-
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() > 0

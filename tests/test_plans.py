@@ -4,8 +4,8 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from conftest import SF_SMALL
+from ledgerline import registry
 
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "MapInPandas", "FlatMapGroupsInPandas"]
@@ -15,13 +15,13 @@ _plans = {}
 def final_plan(spark, key):
     if key not in _plans:
         spark.conf.set("spark.sql.maxMetadataStringLength", "4000")   # untruncated filter lists
-        df = entry.queries()[key](spark, SF_SMALL)
+        df = registry.QUERIES[key](spark, SF_SMALL)
         df.collect()
         _plans[key] = df._jdf.queryExecution().executedPlan().toString()
     return _plans[key]
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(registry.QUERIES))
 def test_no_cartesian_nested_loop_or_python(spark, key):
     plan = final_plan(spark, key)
     assert [f for f in FORBIDDEN if f in plan] == []
