@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, license_scan, line_dedup, near_dedup, piece_coding, quality_rules, sharding, suffix_dedup, toxicity
+from . import (
+    decontamination, language_id, license_scan, line_dedup, near_dedup, oracle, piece_coding, quality_rules, sharding,
+    suffix_dedup, toxicity,
+)
 from ._util import read
 
 
@@ -79,4 +82,8 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_minmax_near_dedup": oracle.near_dedup_sql(),
+    "op5_line_dedup": oracle.line_dedup_sql(),
+    "op7_quality_rules": oracle.quality_sql(),
+}
