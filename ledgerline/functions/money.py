@@ -23,10 +23,6 @@ def to_type(c, dtype: str) -> Column:
     return _col(c).cast(dtype)
 
 
-def to_money(c) -> Column:
-    return to_type(c, MONEY)
-
-
 def safe_pct(numerator, denominator, dtype: str = PCT) -> Column:
     """``denominator > 0 ? numerator / denominator * 100 : 0``.
 
