@@ -33,7 +33,10 @@ from ._util import held_out, save
 
 #: Bounds of the fitted sample: rows of either label.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
-MAX_VOTERS, MIN_SUPPORT, MIN_LIFT = 400, 4, 30.0
+MAX_VOTERS, MIN_SUPPORT, MIN_LIFT = 400, 5, 30.0
+#: A proposal's log likelihood ratio statistic: with it, a million features that have
+#: nothing to do with the label bring less than one voter by chance.
+MIN_EVIDENCE = 22.0
 PREFIXES = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 
@@ -101,6 +104,12 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def evidence(t: int, c: int, n_toxic: int, n_clean: int) -> float:
+    """Log likelihood ratio statistic of a feature being independent of the label."""
+    share = n_toxic / (n_toxic + n_clean)
+    return 2 * (t * np.log(t / ((t + c) * share)) + (c * np.log(c / ((t + c) * (1 - share))) if c else 0.0)) if t else 0.0
+
+
 def propose(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> list[str]:
     """Voters from (feature, toxic texts, clean texts): frequent enough and
     much likelier in toxic texts, best first; a beginning that is proposed
@@ -108,7 +117,7 @@ def propose(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> l
     rated = []
     for f, t, c in counts:
         lift = ((t + 0.5) / (n_toxic + 1)) / ((c + 0.5) / (n_clean + 1))
-        if t >= MIN_SUPPORT and lift >= MIN_LIFT:
+        if t >= MIN_SUPPORT and lift >= MIN_LIFT and evidence(t, c, n_toxic, n_clean) >= MIN_EVIDENCE:
             rated.append((-t * np.log(lift), len(f), f))
     chosen: list[str] = []
     begins: set[str] = set()

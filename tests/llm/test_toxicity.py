@@ -34,7 +34,7 @@ def test_label_model_recovers_accuracies():
 
 
 def test_proposals_prefer_the_covering_beginning():
-    counts = [("^lowe", 90, 0), ("^lowei", 85, 0), ("=loweix", 20, 0), ("=idiot", 50, 0), ("=the", 100, 800), ("=rare", 2, 0)]
+    counts = [("^lowe", 90, 0), ("^lowei", 85, 0), ("=loweix", 20, 0), ("=idiot", 50, 0), ("=the", 100, 800), ("=rare", 5, 0)]
     assert X.propose(counts, 100, 1000) == ["^lowe", "=idiot"]
 
 
