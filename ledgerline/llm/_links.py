@@ -17,81 +17,99 @@ from ._util import save
 
 #: Rounds of one comparison per member and bucket before all pairs that still
 #: lie in different components are compared.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+
+
+def _same(left: str, right: str):
+    """Null-safe key comparison. The join then has exchanges of its own instead of
+    reusing the partitioning of an aggregation below it, so AQE can split a key
+    that holds a large share of the rows."""
+    return F.col(left).eqNullSafe(F.col(right))
 
 
 def components(edges: DataFrame, a="a", b="b") -> DataFrame:
     """(id, component): the smallest reachable id, for every id in ``edges``.
 
-    Alternating large-star and small-star rounds, each written to the shared
-    work root; the edge set shrinks towards a star per component. A node's
+    Alternating large-star and small-star rounds, written to the shared work
+    root; the edge set shrinks towards a star per component. A node's
     neighbours are never gathered: each round joins edges with the smallest
     neighbour of each node, found by a partial aggregation.
     """
-    cur = save(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+    cur = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     while True:
         # large star: every larger neighbour of a node points to the node's smallest neighbour (or itself)
         both = cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = save(large.distinct(), "large")
+        low = both.groupBy(F.col("u").alias("x")).agg(F.least(F.min("v"), F.col("x")).alias("m"))
+        large = both.where("v > u").join(low, _same("u", "x")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = save(large.where("u <> v").distinct(), "large")
         # small star: a node and its smaller neighbours point to the smallest of them
-        low = save(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        cur = save(moved.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
-        if now == before:
+        low = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
+        moved = large.join(low, _same("u", "x")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        cur = save(moved.unionAll(low.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
+        # stars: every node has one edge, and none of them leads to a node that has one itself
+        ends = cur.select(F.col("u").alias("id"), F.lit(1).alias("out")).unionAll(
+            cur.select(F.col("v").alias("id"), F.lit(0).alias("out")))
+        open_ends = ends.groupBy("id").agg(F.sum("out").alias("n"), F.min("out").alias("goal")).where("n > 1 or (n = 1 and goal = 0)")
+        if open_ends.isEmpty():
             break
-        before = now
     return cur.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(
         cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float) -> DataFrame:
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float, far: int | None = None) -> DataFrame:
     """(id, component) of every linked id.
 
     ``members``: (bucket, id, size), a written table of distinct rows.
     ``verify`` returns the linked ones of a table of pairs (a, b), a < b.
     Pairs whose sizes differ by more than ``ratio`` (smaller / larger) cannot
-    be linked. First every member is compared with one member of its bucket,
+    be linked, nor, where ``members`` has a ``sketch`` (array of longs) and
+    ``far`` is given, pairs whose sketches differ in more bits. First every member is compared with one member of its bucket,
     in STAR_ROUNDS rounds with other centres; then all pairs of a bucket that
     lie in different components, each in the first bucket that they share. The
     result is that of comparing all pairs of every bucket.
     """
     fits = F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * F.lit(ratio)
+    if far is None:
+        members = members.withColumn("sketch", F.array().cast("array<bigint>"))
+    else:
+        bits = F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        fits = fits & (F.aggregate(bits, F.lit(0), lambda s, x: s + x) <= far)
     live = members.withColumn("component", F.col("id"))
     edges = None
     for turn in range(STAR_ROUNDS + 1):
         if turn < STAR_ROUNDS:
             rank = F.struct(F.col("id")) if turn == 0 else F.struct(F.xxhash64("bucket", "id", F.lit(turn)), F.col("id"))
-            centre = live.groupBy("bucket").agg(F.min(F.struct(rank.alias("r"), "id", "size", "component")).alias("c"))
-            centre = save(centre.select("bucket", F.col("c.id").alias("c_id"), F.col("c.size").alias("a_size"),
-                                        F.col("c.component").alias("c_component")), "centres")
-            pairs = (live.withColumnRenamed("size", "b_size").join(centre, "bucket")
-                     .where(F.col("component") != F.col("c_component")).where(fits)
+            centre = live.groupBy("bucket").agg(F.min(F.struct(rank.alias("r"), "id", "size", "component", "sketch")).alias("c"))
+            centre = centre.select(F.col("bucket").alias("c_bucket"), F.col("c.id").alias("c_id"),
+                                   F.col("c.size").alias("a_size"), F.col("c.component").alias("c_component"),
+                                   F.col("c.sketch").alias("a_sketch"))
+            pairs = (live.withColumnsRenamed({"size": "b_size", "sketch": "b_sketch"})
+                     .join(centre, _same("bucket", "c_bucket") & (F.col("component") != F.col("c_component")) & fits)
                      .select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")).distinct())
         else:
-            buckets = live.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))
-            rich = save(live.join(buckets, "id"), "live")
+            buckets = live.groupBy(F.col("id").alias("x")).agg(F.collect_set("bucket").alias("buckets"))
+            rich = save(live.join(buckets, _same("id", "x")).drop("x"), "live")
             left = rich.select("bucket", F.col("id").alias("a"), F.col("size").alias("a_size"),
-                               F.col("component").alias("a_component"), F.col("buckets").alias("a_buckets"))
+                               F.col("component").alias("a_component"), F.col("buckets").alias("a_buckets"),
+                               F.col("sketch").alias("a_sketch"))
             right = rich.select("bucket", F.col("id").alias("b"), F.col("size").alias("b_size"),
-                                F.col("component").alias("b_component"), F.col("buckets").alias("b_buckets"))
+                                F.col("component").alias("b_component"), F.col("buckets").alias("b_buckets"),
+                                F.col("sketch").alias("b_sketch"))
             first = F.array_min(F.array_intersect("a_buckets", "b_buckets"))
             pairs = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a") < F.col("b"))
                               & (F.col("a_component") != F.col("b_component")) & fits
                               & (first == left["bucket"])).select("a", "b").distinct()
-        linked = save(verify(save(pairs, "pairs")), "linked")
+        linked = save(verify(pairs), "linked")
         edges = linked if edges is None else edges.unionAll(linked)
-        found = save(components(edges), "components")
+        found = components(edges)
         if turn == STAR_ROUNDS:
             break
-        named = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        named = save(named.select("bucket", "id", "size", "component"), "named")
+        named = members.join(found.withColumnRenamed("id", "x"), _same("id", "x"), "left").select(
+            "bucket", "id", "size", "sketch", F.coalesce("component", "id").alias("component"))
         # buckets whose members still lie in different components
-        several = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        live = save(named.join(several.where("lo <> hi").select("bucket"), "bucket"), "live")
+        several = named.groupBy(F.col("bucket").alias("y")).agg(
+            F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("y")
+        live = save(named.join(several, _same("bucket", "y")).drop("y"), "live")
         if live.isEmpty():
             break
     return found
