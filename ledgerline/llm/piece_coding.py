@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -39,7 +40,7 @@ CHUNK, BLOCK = 1 << 16, 64
 MARK = "▁"
 _LITERAL = "\ud800"              # stands for a literal mark inside: no valid text holds it
 _NEVER = -(1 << 60)
-_REMEMBERED = 200_000            # words remembered by a worker
+_REMEMBERED = 200_000            # words remembered by a worker in each of two generations
 
 
 def load_vocabulary(path: str = VOCABULARY) -> dict:
@@ -71,6 +72,8 @@ class Coder:
         self.pieces = vocabulary["pieces"]
         self.raw = vocabulary["bytes"]
         self.longest = max(map(len, self.pieces))
+        # every beginning of a piece: (id, score) if it is a piece itself, else None
+        self.tree = {p[:n]: None for p in self.pieces for n in range(1, len(p))} | self.pieces
         self.text_of: dict[int, bytes] = {i: p.replace(MARK, " ").encode() for p, (i, _) in self.pieces.items()}
         for b, (i, _) in enumerate(self.raw):
             self.text_of[i] = bytes([b])
@@ -80,6 +83,7 @@ class Coder:
         # words: forced places lie between them; the whole text if pieces hold inner marks
         self.words = re.compile("(?s:.+)" if inner else f"{MARK}+[^{stop}]*|[^{stop}]+" + ("" if line else "|\n"))
         self.known: dict[str, tuple[int, bytes]] = {}
+        self.before: dict[str, tuple[int, bytes]] = {}
 
     @staticmethod
     def marked(text: str) -> str:
@@ -91,42 +95,59 @@ class Coder:
 
     def _edges(self, s: str, i: int):
         """(end, score, ids) of the pieces of s that start at i."""
-        single = False
-        for n in range(1, min(self.longest, len(s) - i) + 1):
-            hit = self.pieces.get(s[i: i + n])
+        tree = self.tree
+        for j in range(i + 1, min(i + self.longest, len(s)) + 1):
+            p = s[i:j]
+            if p not in tree:
+                break
+            hit = tree[p]
             if hit:
-                single = single or n == 1
-                yield i + n, hit[1], [hit[0]]
-        if not single:
+                yield j, hit[1], [hit[0]]
+        if not self.pieces.get(s[i]):
             ids, score = self._fallback(s[i])
             yield i + 1, score, ids
 
     def path(self, s: str, start: int, end: int) -> tuple[int, list[int]]:
         """Best segmentation of s[start:end] (ties: the longer last piece)."""
         part = s[start:end]
-        best = [_NEVER] * (len(part) + 1)
-        back: list = [None] * (len(part) + 1)
+        size, longest, tree = len(part), self.longest, self.tree
+        best = [_NEVER] * (size + 1)
+        back, coded = [0] * (size + 1), [None] * (size + 1)
         best[0] = 0
-        for i in range(len(part)):
-            if best[i] > _NEVER:
-                for j, score, ids in self._edges(part, i):
-                    if best[i] + score > best[j]:
-                        best[j], back[j] = best[i] + score, (i, ids)
-        out, j = [], len(part)
+        for i in range(size):                         # every place can be reached: each character has an edge
+            here, single = best[i], False
+            for j in range(i + 1, min(i + longest, size) + 1):
+                p = part[i:j]
+                if p not in tree:
+                    break
+                hit = tree[p]
+                if hit:
+                    single = single or j == i + 1
+                    score = here + hit[1]
+                    if score > best[j]:
+                        best[j], back[j], coded[j] = score, i, hit[0]
+            if not single:
+                ids, score = self._fallback(part[i])
+                if here + score > best[i + 1]:
+                    best[i + 1], back[i + 1], coded[i + 1] = here + score, i, ids
+        out, j = [], size
         while j:
-            j, ids = back[j]
-            out.append(ids)
-        return best[-1], [x for ids in reversed(out) for x in ids]
+            ids = coded[j]
+            out.extend(ids[::-1] if isinstance(ids, list) else (ids,))
+            j = back[j]
+        return best[-1], out[::-1]
 
     def word(self, w: str) -> tuple[int, bytes]:
         """(score, packed ids) of a word, remembered."""
         hit = self.known.get(w)
         if hit is None:
-            score, ids = self.path(w, 0, len(w))
-            hit = score, np.array(ids, np.int32).tobytes()
+            hit = self.before.get(w)
+            if hit is None:
+                score, ids = self.path(w, 0, len(w))
+                hit = score, array("i", ids).tobytes()
             if len(w) <= 64:
-                if len(self.known) >= _REMEMBERED:
-                    self.known.clear()
+                if len(self.known) >= _REMEMBERED:    # words not met for that many new ones are forgotten
+                    self.known, self.before = {}, self.known
                 self.known[w] = hit
         return hit
 
