@@ -40,7 +40,8 @@ CHUNK, BLOCK = 1 << 16, 64
 MARK = "▁"
 _LITERAL = "\ud800"              # stands for a literal mark inside: no valid text holds it
 _NEVER = -(1 << 60)
-_REMEMBERED = 200_000            # words remembered by a worker in each of two generations
+_ROWS = 256                      # texts coded at once
+_REMEMBERED = 100_000            # words remembered by a worker in each of two generations
 
 
 def load_vocabulary(path: str = VOCABULARY) -> dict:
@@ -274,22 +275,36 @@ def _send(spark, vocabulary):
 
 
 def encode(df: DataFrame, vocabulary: dict | None = None, id_col="doc_id", text_col="text", chunk: int = CHUNK,
-           block: int = BLOCK, keep: tuple = ()) -> DataFrame:
-    """id, the columns in ``keep`` and ids (array of int) for every row."""
+           block: int = BLOCK, keep: tuple = (), verify: bool = False) -> DataFrame:
+    """id, the columns in ``keep`` and ids (array of int) for every row; with
+    ``verify`` also round_trip: decoding gives back the text."""
     spark = df.sparkSession
     sent, key, longest = _send(spark, vocabulary)
     if chunk < 2 * longest:
         raise ValueError("chunks must be longer than two pieces")
     text = F.coalesce(F.col(text_col), F.lit(""))
 
-    @F.pandas_udf("array<int>")
-    def whole(texts):
-        import pandas as pd
+    def whole(batches):
+        import pyarrow as pa
 
-        code = _coder(sent, key).encode
-        return pd.Series([code(t) for t in texts])
-
-    short = df.where(F.length(text) < chunk).select(F.col(id_col), *keep, whole(text).alias("ids"))
+        coder = _coder(sent, key)
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):        # few rows at a time: ids outweigh their text
+                part = batch.slice(at, _ROWS)
+                texts = part.column(part.num_columns - 1).to_pylist()
+                ids = [coder.encode(t) for t in texts]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                out = [part.column(k) for k in range(part.num_columns - 1)]
+                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))))
+                if verify:
+                    out.append(pa.array([(coder.decode(x.tolist()) if len(x) else "") == t for x, t in zip(ids, texts)]))
+                yield pa.RecordBatch.from_arrays(out, names)
+
+    head = df.select(F.col(id_col), *keep)
+    schema = T.StructType([*head.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]
+                          + [T.StructField("round_trip", T.BooleanType())] * verify)
+    names = schema.names
+    short = df.where(F.length(text) < chunk).select(F.col(id_col), *keep, text.alias("_text")).mapInArrow(whole, schema)
     named = df.where(F.length(text) >= chunk).select(
         F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("k"),
         F.xxhash64(F.col(id_col).isNull(), text).alias("t"), text.alias("text"),
@@ -367,8 +382,18 @@ def encode(df: DataFrame, vocabulary: dict | None = None, id_col="doc_id", text_
     traced = save(chunks.join(resolved, ["k", "t", "c"]).select("k", "t", "c", trace("piece", "entry", "leave").alias("ids")), "traced")
     joined = traced.groupBy("k", "t").agg(F.sort_array(F.collect_list(F.struct("c", "ids"))).alias("parts"))
     joined = joined.select("k", "t", F.flatten("parts.ids").alias("ids"))
-    long = named.select("id", "k", "t", "keep").join(joined, ["k", "t"]).select(
-        F.col("id").alias(id_col), *[F.col("keep")[c].alias(c) for c in keep], "ids")
+    long = named.join(joined, ["k", "t"])
+    if verify:
+        @F.pandas_udf("boolean")
+        def same(ids, texts):
+            import pandas as pd
+
+            back = _coder(sent, key).decode
+            return pd.Series([back(x.tolist()) == t for x, t in zip(ids, texts)], dtype=bool)
+
+        long = long.withColumn("round_trip", same("ids", "text"))
+    long = long.select(F.col("id").alias(id_col), *[F.col("keep")[c].alias(c) for c in keep], "ids",
+                       *["round_trip"] * verify)
     return short.unionByName(long)
 
 

@@ -47,13 +47,8 @@ def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def op8_piece_coding(spark, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select(
-        "doc_id", "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("source_hash"))
-    vocabulary = piece_coding.load_vocabulary()
-    coded = piece_coding.encode(docs, vocabulary, keep=("source_hash",))
-    back = piece_coding.decoder(spark, vocabulary)("ids")
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                        (F.xxhash64(back) == F.col("source_hash")).alias("round_trip"))
+    coded = piece_coding.encode(read(spark, sf_dir, "documents"), verify=True)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 def op9_feistel_shards(spark, sf_dir: str) -> DataFrame:
