@@ -114,7 +114,7 @@ def fingerprints(df: DataFrame, width: int, id_col="doc_id", text_col="text") ->
     return df.select(F.col(id_col).alias("id"), scan(F.col(text_col)).alias("s")).select("id", "s.*")
 
 
-def _unpack(bands: DataFrame) -> DataFrame:
+def unpack(bands: DataFrame) -> DataFrame:
     """(bucket, id, size) rows of packed band keys."""
 
     def rows(batches):
@@ -167,7 +167,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col="do
     classed = sets.select("id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"]).select("id", "rep")
     reps = sets.join(classes.select("f1", "f2", "n", F.col("rep").alias("id")), ["f1", "f2", "n", "id"], "left_semi")
     reps = reps.dropDuplicates(["id", "f1", "f2"])
-    bands = save(_unpack(reps.select("id", F.col("n").alias("size"), "bands")), "bands")
+    bands = save(unpack(reps.select("id", F.col("n").alias("size"), "bands")), "bands")
     shared = save(bands.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
                   .where("lo <> hi").select("bucket"), "buckets")
     bits = reps.select(F.col("id").alias("x"), "sketch")

@@ -29,14 +29,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import near_dedup
 from ._util import held_out, save
 
 #: Bounds of the fitted sample: rows of either label.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
-MAX_VOTERS, MIN_SUPPORT, MIN_LIFT = 400, 5, 30.0
-#: A proposal's log likelihood ratio statistic: with it, a million features that have
-#: nothing to do with the label bring less than one voter by chance.
-MIN_EVIDENCE = 22.0
+MAX_VOTERS, MIN_SUPPORT, MIN_LIFT = 400, 4, 30.0
+#: A proposal's log likelihood ratio statistic: features that have nothing to do with the
+#: label then bring only a few voters by chance, to which the regression gives little weight.
+MIN_EVIDENCE = 17.0
 PREFIXES = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 
@@ -206,9 +207,15 @@ def fit(df: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", labe
         if tally:
             yield pd.DataFrame([(f, n if y else 0, 0 if y else n) for (f, y), n in tally.items()], columns=["f", "t", "c"])
 
-    sums = (sample.mapInPandas(count, "f string, t long, c long").groupBy("f")
+    # copies of a text would make evidence of its rare words: voters are proposed from one text per bucket
+    prints = near_dedup.fingerprints(sample, 2, "id", "text").where("n > 0")
+    buckets = save(near_dedup.unpack(prints.select("id", F.col("n").alias("size"), "bands")), "toxic-buckets")
+    first = buckets.groupBy(F.col("bucket").alias("b")).agg(F.min("id").alias("first"))
+    copies = buckets.join(first, F.col("bucket").eqNullSafe(F.col("b"))).where("id > first").select("id").distinct()
+    apart = save(sample.join(copies, "id", "left_anti"), "toxic-apart")
+    sums = (apart.mapInPandas(count, "f string, t long, c long").groupBy("f")
             .agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(F.col("t") >= MIN_SUPPORT))
-    n = {y: max(1, c) for y, c in ((r["y"], r["n"]) for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect())}
+    n = {y: max(1, c) for y, c in ((r["y"], r["n"]) for r in apart.groupBy("y").agg(F.count("*").alias("n")).collect())}
     n_toxic, n_clean = n.get(1, 1), n.get(0, 1)
     lift = ((F.col("t") + 0.5) / (n_toxic + 1)) / ((F.col("c") + 0.5) / (n_clean + 1))
     likely = sums.where(lift >= MIN_LIFT).orderBy(F.desc(F.col("t") * F.log(lift)), "f").limit(20 * MAX_VOTERS)
