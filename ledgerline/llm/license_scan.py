@@ -1,9 +1,13 @@
 """Licence scan by sentence rules.
 
-A text is split into fragments at line ends and at sentence ends; fragments
-and runs of up to ``JOIN`` fragments that were only wrapped at a line end are
-normalised (lower case, comment marks and punctuation dropped, one blank between
-words) and looked up among the known licence sentences, the longest run first.
+A text is split into fragments at line ends and after punctuation; fragments
+and runs of them are normalised (lower case, comment marks and punctuation
+dropped, one blank between words) and looked up among the known licence
+sentences. Known sentences have punctuation inside ("free software; you can",
+"v. 2.0"), so a run may go on behind any split, as long as a known sentence
+begins with it. The longest run that is a known sentence counts. A sentence with
+"*" takes the shortest run, of at most ``_longest`` characters, and none in
+which another known sentence begins.
 That gives a sequence of sentence identifiers. Rules are tried in their order;
 each is a sequence of identifiers that must occur one after the other (other
 fragments may lie between); what a rule matched is used up, and rules apply as
@@ -18,12 +22,11 @@ rows with a null id are each reported.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-JOIN = 14
-
 # fixed values: licence sentences after normalisation, by identifier; "*" stands for any words in between
 SENTENCES = [
     ("apache2-brief", "licensed under the apache license version 2 0"),
@@ -78,7 +81,7 @@ SENTENCES = [
     ("lgpl3-brief", "licensed under the gnu lesser general public license version 3"),
     ("agpl3-brief", "licensed under the gnu affero general public license version 3"),
     ("mpl2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("mpl2-copy", "if a copy of the mpl was not distributed with this file you can obtain one at * license *"),
+    ("mpl2-copy", "if a copy of the mpl was not distributed with this file you can obtain one at *"),
     ("isc-grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
                   "granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
@@ -127,12 +130,14 @@ RULES = [
 ]
 
 #: every known sentence holds one of these
-TRIGGERS = "licen|copyright|warrant|permission|redistribut|free software|public domain|liab"
+TRIGGERS = "licen|copyright|warrant|permission|distribut|free software|public domain|liab|unencumbered"
 _WORDS = re.compile(r"[a-z0-9]+")
 
 _exact: dict[str, str] = {s: i for i, s in SENTENCES if "*" not in s}
 _open: list[tuple[re.Pattern, str]] = [
     (re.compile(re.escape(s).replace(r"\ \*\ ", " (?:.* )?").replace(r"\ \*", "(?: .*)?")), i) for i, s in SENTENCES if "*" in s]
+_sorted = sorted(_exact)
+_heads = [s.split(" *", 1)[0] for _, s in SENTENCES if "*" in s]
 _starts = {s.split(" ", 1)[0] for _, s in SENTENCES}
 _longest = max(len(s) for _, s in SENTENCES) + 200
 
@@ -151,37 +156,45 @@ def sentence_id(form: str) -> str | None:
     return found
 
 
-def fragments(text: str) -> list[tuple[str, bool]]:
-    """(normalised fragment, whether it ended at a mere line end)."""
-    out = []
-    for line in re.split(r"\n", text):
-        pieces = re.split(r"(?<=[.!?;:])\s+", line)
-        for k, piece in enumerate(pieces):
-            form = normalise(piece)
-            if form:
-                wrapped = k == len(pieces) - 1 and not re.search(r"[.!?;:]\s*[*/#\-]*\s*$", piece)
-                out.append((form, wrapped))
-    return out
+def may_go_on(form: str) -> bool:
+    """Whether a known sentence begins with this run and another word."""
+    more = f"{form} "
+    at = bisect_left(_sorted, more)
+    if at < len(_sorted) and _sorted[at].startswith(more):
+        return True
+    return len(form) <= _longest and any(more.startswith(f"{h} ") or h.startswith(more) for h in _heads)
+
+
+def fragments(text: str) -> list[str]:
+    """Normalised fragments."""
+    forms = (normalise(piece) for line in text.split("\n") for piece in re.split(r"(?<=[.!?;:])\s+", line))
+    return [form for form in forms if form]
 
 
 def identify(text: str) -> list[str]:
     """Identifiers of the known sentences in order of the text."""
     parts = fragments(text)
+    hits: list[tuple[str, int] | None] = [None] * len(parts)     # (identifier, fragments used) of what begins here
+    for i in range(len(parts) - 1, -1, -1):
+        form = parts[i]
+        if form.split(" ", 1)[0] not in _starts:
+            continue
+        for n in range(1, len(parts) - i + 1):
+            hit = sentence_id(form)
+            if hit and form in _exact:
+                hits[i] = hit, n
+            elif hit:
+                if not any(hits[i + 1: i + n]):
+                    hits[i] = hit, n
+                break
+            if i + n == len(parts) or not may_go_on(form):
+                break
+            form = f"{form} {parts[i + n]}"
     out, i = [], 0
     while i < len(parts):
-        found, used = None, 1
-        if parts[i][0].split(" ", 1)[0] in _starts:
-            form = parts[i][0]
-            for n in range(1, JOIN + 1):
-                hit = sentence_id(form)
-                if hit:
-                    found, used = hit, n
-                if i + n >= len(parts) or not parts[i + n - 1][1] or len(form) > _longest:
-                    break
-                form = f"{form} {parts[i + n][0]}"
-        if found:
-            out.append(found)
-        i += used
+        if hits[i]:
+            out.append(hits[i][0])
+        i += hits[i][1] if hits[i] else 1
     return out
 
 
