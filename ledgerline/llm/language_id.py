@@ -1,7 +1,7 @@
 """Language ID by cross-parsing entropy.
 
-Training text of each language (a bounded sample of whole documents) is
-indexed by a suffix automaton. A document is parsed greedily into phrases, each
+Training text of each language (the same number of first characters of every
+document of a bounded sample) is indexed by a suffix automaton. A document is parsed greedily into phrases, each
 the longest match that occurs in the training text; the entropy estimate of a
 language is ``phrases * log2(training length) / characters`` and the language
 with the lowest one wins (ties: the alphabetically first).
@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import held_out
+from ._util import held_out, save
 
 #: Bounds of the fitted sample: documents per language, characters per language
 #: (after normalisation), characters in total (shared when languages are many).
@@ -92,14 +92,30 @@ def build_automaton(codes: list[int], alphabet: int) -> np.ndarray:
     return table
 
 
+def language_share(languages: int) -> int:
+    """Characters per language."""
+    return min(TRAIN_CHARS, TRAIN_TOTAL // max(1, languages))
+
+
+def equal_cut(lengths: list[int], total: int) -> int:
+    """Largest cut with which texts of these lengths, each cut to it and with a
+    space behind, have at most ``total`` characters: what short texts leave
+    goes to the longer ones."""
+    left = total - len(lengths)
+    for k, n in enumerate(sorted(lengths)):
+        if n * (len(lengths) - k) >= left:
+            return max(0, left // (len(lengths) - k))
+        left -= n
+    return max(lengths, default=0)
+
+
 class CrossParser:
     """Automata of all languages in one table, built from training texts."""
 
     def __init__(self, training: dict[str, str]):
         self.languages = sorted(training)
         texts = [normalise(training[x]) for x in self.languages]
-        share = min(TRAIN_CHARS, TRAIN_TOTAL // max(1, len(texts)))
-        texts = [t[:share] for t in texts]
+        texts = [t[:language_share(len(texts))] for t in texts]
         points = np.unique(np.concatenate(texts)) if texts else np.zeros(0, np.uint32)
         self.code = np.zeros(0x110000, np.int32)            # 0: in no training text
         self.code[points] = np.arange(1, len(points) + 1)
@@ -169,20 +185,32 @@ class CrossParser:
 
 
 def training_texts(df: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> dict[str, str]:
-    """At most ``TRAIN_DOCUMENTS`` whole documents per language, joined by
-    spaces: of each language's rows in every one of that many hash buckets the
-    one with the smallest hash. Only rows outside the held-out fold, with id, text
-    and language. The result is bounded by the number of languages."""
+    """The beginnings of at most ``TRAIN_DOCUMENTS`` documents per language,
+    joined by spaces: of each language's rows in every one of that many hash
+    buckets the one with the smallest hash. Only rows outside the held-out fold,
+    with id, text and language. Runs of other characters than letters and digits
+    are one space. All documents of a language are cut to one length, so that together
+    they have at most its share of characters; they are cut before they are
+    collected. The result is bounded by the number of languages."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where("id is not null and text is not null and lang is not null").where(~held_out("id"))
     spread = F.xxhash64(F.col("id"))
     picks = (rows.select("lang", "id", F.pmod(spread, F.lit(TRAIN_DOCUMENTS)).alias("bucket"), spread.alias("h"))
              .groupBy("lang", "bucket").agg(F.min(F.struct("h", "id")).alias("m")).select("lang", F.col("m.id").alias("id")))
     wanted = [r["id"] for r in picks.collect()]             # <= TRAIN_DOCUMENTS ids per language
-    found = (rows.where(F.col("id").isin(wanted)).groupBy("id", "lang").agg(F.min("text").alias("text")).collect()
-             if wanted else [])
+    if not wanted:
+        return {}
+    found = rows.where(F.col("id").isin(wanted)).groupBy("id", "lang").agg(F.min("text").alias("text"))
+    found = save(found.select("id", "lang", F.regexp_replace("text", r"[^\p{L}\p{N}]+", " ").alias("text")), "language-training")
+    lengths: dict[str, list[int]] = {}
+    for r in found.select("lang", F.length("text").alias("n")).collect():
+        lengths.setdefault(r["lang"], []).append(r["n"])
+    total = language_share(len(lengths))
+    cuts = [(lang, equal_cut(n, total)) for lang, n in lengths.items()]
+    cut = F.element_at(F.create_map(*[F.lit(x) for pair in cuts for x in pair]), F.col("lang"))
     out: dict[str, list[str]] = {}
-    for r in sorted(found, key=lambda r: (r["lang"], r["id"], r["text"])):
+    for r in sorted(found.select("id", "lang", F.substring("text", F.lit(1), cut).alias("text")).collect(),
+                    key=lambda r: (r["lang"], r["id"], r["text"])):
         out.setdefault(r["lang"], []).append(r["text"])
     return {lang: " ".join(texts) for lang, texts in out.items()}
 

@@ -54,6 +54,25 @@ def test_learns_only_from_allowed_rows(spark):
     assert used and all(i % 2 and zlib.crc32(str(i).encode()) % 4 != 2 for i in used) and set(got) == {"en"}
 
 
+def test_every_picked_document_is_learned_from(spark):
+    words = ["".join(chr(97 + int(c)) for c in f"{i:03d}") for i in range(400)]     # document i repeats word i
+    rows = [(i, f"{w} -- " * (30_000 if i % 7 == 0 else 3 if i % 7 == 1 else 500), "en") for i, w in enumerate(words)]
+    text = L.training_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["en"]
+    flat = "".join(map(chr, L.normalise(text)))
+    assert 0.99 * L.TRAIN_CHARS < len(flat) <= L.TRAIN_CHARS and len(text) <= L.TRAIN_CHARS
+    used = {w: flat.count(f"{w} ") for w in words if f"{w} " in flat}
+    assert len(used) > 0.8 * L.TRAIN_DOCUMENTS and max(used.values()) < 2000
+
+
+def test_equal_cut():
+    rng = random.Random(3)
+    for _ in range(300):
+        lengths = [rng.randrange(60) for _ in range(rng.randint(1, 8))]
+        total = rng.randrange(300)
+        fits = [c for c in range(max(lengths) + 1) if sum(min(n, c) + 1 for n in lengths) <= total]
+        assert L.equal_cut(lengths, total) == (max(fits) if fits else 0), (lengths, total)
+
+
 def test_odd_rows(spark):
     schema = "doc_id long, text string, lang string, score string, held_out string"
     rows = [(1, "the cat and the dog", "en", "x", "y"), (1, "the cat and the dog", "en", "x", "y"), (3, None, "en", None, None),
