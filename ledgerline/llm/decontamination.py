@@ -11,13 +11,20 @@ bands of width 2(e + 1), step e + 1; only bands reaching the threshold are kept,
 alignment of the segment against the
 band's part of the document.
 
-A row is returned per (document, item) with at least one verified segment.
+A quote of part of an item may cover no segment. So any verbatim run of at least
+``VERBATIM`` normalised bytes of an item, wherever it lies in the item, is found
+as well: q-gram hits at consecutive places of document and item. Shorter
+parts of an item, and parts with edits that cover no segment, are not found.
+
+A row is returned per (document, item) with at least one verified segment or run.
 Segments of fewer than ``MIN_BYTES`` bytes carry no evidence: such items, like
 null and empty ones, never match. Null and empty texts match nothing. Repeated
 rows are each searched.
 
 The benchmark is the stated query set. Its segments are sent to the executors
-in blocks of at most ``BLOCK_BYTES``; every block is searched over all rows.
+in blocks of at most ``BLOCK_BYTES``; every block is searched over all rows. A
+block that starts inside an item repeats the segment before, so that every two
+neighbours, which hold every run of ``VERBATIM`` bytes, are in one block.
 """
 
 from __future__ import annotations
@@ -29,6 +36,7 @@ from pyspark.sql import functions as F
 from ._util import PrefixHash
 
 Q, SEGMENT, EDITS, MIN_BYTES = 8, 120, 0.1, 32
+VERBATIM = 80               # at most SEGMENT
 BLOCK_BYTES = 8 << 20
 _PIECE = 4 << 20            # bytes of a document searched at once
 _BITS = 22
@@ -97,6 +105,9 @@ class Searcher:
     def __init__(self, block: list[tuple[int, int, bytes]]):
         """block: (item number, offset in the item, segment)."""
         self.item = np.array([b[0] for b in block], np.int64)
+        self.offset = np.array([b[1] for b in block], np.int64)
+        same = (self.item[1:] == self.item[:-1]) & (self.offset[1:] > self.offset[:-1])
+        self.row = np.cumsum(np.concatenate(([True], ~same))) - 1      # texts of one item number are kept apart
         self.bytes = [np.frombuffer(b[2], np.uint8) for b in block]
         self.size = np.array([len(b) for b in self.bytes], np.int64)
         self.edits = np.array([budget(len(b)) for b in self.bytes], np.int64)
@@ -112,29 +123,68 @@ class Searcher:
 
     def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item number, edits, start, end) of the best verified segment of
-        each item; start and end are offsets in the normalised text."""
+        each item, or of its first verbatim run if no segment is met; start and
+        end are offsets in the normalised text."""
         data = normalise(text)
         overlap = 2 * SEGMENT + 4 * (int(EDITS * SEGMENT) + 1)
         best: dict[int, tuple[int, int, int]] = {}
+        runs: dict[int, tuple[int, int, int]] = {}
         for begin in range(0, max(1, len(data)), _PIECE):
-            for item, edits, s, e in self._search(data[begin: begin + _PIECE + overlap]):
+            piece = data[begin: begin + _PIECE + overlap]
+            hits = self._hits(piece)
+            if hits is None:
+                continue
+            for item, edits, s, e in self._search(piece, *hits):
                 if item not in best or (edits, begin + s) < best[item][:2]:
                     best[item] = (edits, begin + s, begin + e)
+            for item, s, e in self._runs(piece, *hits):
+                runs.setdefault(item, (0, begin + s, begin + e))
+        best = runs | best
         return [(item, *best[item]) for item in sorted(best)]
 
-    def _search(self, data: np.ndarray):
+    def _hits(self, data: np.ndarray):
+        """All (position, segment, offset) of common q-grams, by position."""
         if len(data) < MIN_BYTES - int(EDITS * MIN_BYTES):
-            return
+            return None
         hashes = PrefixHash(data).windows(Q)
         maybe = np.flatnonzero(self.seen[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)])
         low = np.searchsorted(self.grams, hashes[maybe], "left")
         high = np.searchsorted(self.grams, hashes[maybe], "right")
         times = high - low
         if not times.sum():
-            return
-        pos = np.repeat(maybe, times)                          # all (position, segment, offset) hits
+            return None
+        pos = np.repeat(maybe, times)
         hit = np.arange(len(pos)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
-        seg, off = self.owner[hit], self.at[hit]
+        return pos, self.owner[hit], self.at[hit]
+
+    def _runs(self, data: np.ndarray, pos, seg, off):
+        """(item number, start, end) of the verbatim runs of at least VERBATIM bytes, by start."""
+        long = VERBATIM - Q + 1                                 # q-grams of such a run
+        new = np.diff(pos, prepend=-2)                          # 0: another hit of the position, 1: of the next one
+        stretch = np.cumsum(new > 1) - 1
+        places = np.bincount(stretch, new > 0)
+        keep = (places >= long)[stretch]
+        if not keep.any():
+            return
+        pos, seg, off = pos[keep], seg[keep], off[keep]
+        row, at = self.row[seg], self.offset[seg] + off
+        order = np.lexsort((seg, pos, at - pos, row))
+        pos, seg, off, row, diag = pos[order], seg[order], off[order], row[order], (at - pos)[order]
+        fresh = np.ones(len(pos), bool)                         # a q-gram may lie in two segments
+        fresh[1:] = (row[1:] != row[:-1]) | (diag[1:] != diag[:-1]) | (pos[1:] != pos[:-1])
+        pos, seg, off, row, diag = pos[fresh], seg[fresh], off[fresh], row[fresh], diag[fresh]
+        starts = np.ones(len(pos), bool)
+        starts[1:] = (row[1:] != row[:-1]) | (diag[1:] != diag[:-1]) | (pos[1:] != pos[:-1] + 1)
+        first = np.flatnonzero(starts)
+        size = np.diff(first, append=len(pos))
+        first, size = first[size >= long], size[size >= long]
+        for k in np.argsort(pos[first], kind="stable"):
+            f, n = int(first[k]), int(size[k])
+            grams = range(f, f + n)
+            if all(data[pos[g]: pos[g] + Q].tobytes() == self.bytes[seg[g]][off[g]: off[g] + Q].tobytes() for g in grams):
+                yield int(self.item[seg[f]]), int(pos[f]), int(pos[f]) + n + Q - 1
+
+    def _search(self, data: np.ndarray, pos, seg, off):
         step = self.edits[seg] + 1
         diag = pos - off                                        # where the segment would start
         # at most e insertions and deletions: the hits of an occurrence span at most e + 1 diagonals, and those
@@ -172,11 +222,12 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
     rows = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
     for r in rows.toLocalIterator():
         for offset, piece in segments(normalise(r["t"])):
-            block.append((r["i"], offset, piece.tobytes()))
-            held += len(piece)
             if held >= BLOCK_BYTES:
                 yield block
-                block, held = [], 0
+                block = block[-1:] if offset else []
+                held = sum(len(b[2]) for b in block)
+            block.append((r["i"], offset, piece.tobytes()))
+            held += len(piece)
     if block:
         yield block
 

@@ -59,6 +59,38 @@ def test_search_is_the_brute_force_answer():
         assert {m[0] for m in searcher.search(text)} == want, case
 
 
+def test_verbatim_parts_at_any_place():
+    local = random.Random(5)
+    items = ["".join(local.choice("abcdefghijklmnop ") for _ in range(n)) for n in (394, 110, 81)]
+    flat = [D.normalise(t) for t in items]
+    searcher = D.Searcher([(i, o, s.tobytes()) for i, t in enumerate(flat) for o, s in D.segments(t)])
+    for i, t in enumerate(flat):
+        whole = t.tobytes().decode()
+        for size in (D.VERBATIM, D.VERBATIM + 27):
+            for at in range(len(whole) - size + 1):
+                part = whole[at: at + size]
+                if part == part.strip():
+                    found = searcher.search(f"ZZ 77 {part} 88 ZZ " * 2)
+                    assert [f[0] for f in found] == [i], (i, at, size)
+    assert searcher.search(f"zz {flat[0].tobytes().decode()[63:63 + D.VERBATIM - 4]} zz") == []
+    # neither two texts of one number nor two places of one text make up a run
+    mixed = D.Searcher([(7, o, s.tobytes()) for t in (flat[0][:200], flat[0][150:]) for o, s in D.segments(t)])
+    assert mixed.search(flat[0][70:130].tobytes().decode() + "x" + flat[0][300:350].tobytes().decode()) == []
+
+
+def test_runs_over_block_ends(spark, monkeypatch):
+    item = words(300)
+    flat = D.normalise(item).tobytes().decode()
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for size in (1, 120, 500):
+        monkeypatch.setattr(D, "BLOCK_BYTES", size)
+        searchers = [D.Searcher(b) for b in D._blocks(bench, "item_id", "text")]
+        assert len(searchers) > 2
+        for at in range(0, len(flat) - D.VERBATIM + 1, 7):
+            assert any(s.search("9 " + flat[at: at + D.VERBATIM].strip() + " 9") for s in searchers) or flat[at] == " " or \
+                flat[at + D.VERBATIM - 1] == " ", (size, at)
+
+
 def test_leaks_of_the_table(spark):
     docs = {r["doc_id"]: D.normalise(r["text"]).tobytes() for r in read(spark, "/root/testdata/sf0.01", "documents").collect()}
     items = {r["item_id"]: D.normalise(r["text"]).tobytes() for r in read(spark, "/root/testdata/sf0.01", "benchmark").collect()}
