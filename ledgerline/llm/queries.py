@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import (
-    decontamination, language_id, license_scan, line_dedup, near_dedup, oracle, piece_coding, quality_rules, sharding,
+    decontamination, fill_in_middle, language_id, license_scan, line_dedup, near_dedup, oracle, piece_coding, quality_rules, sharding,
     suffix_dedup, toxicity,
 )
 from ._util import read
@@ -64,6 +64,13 @@ def op10_license_scan(spark, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
 
+def op12_fill_in_middle(spark, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(read(spark, sf_dir, "documents"))
+    restored = fill_in_middle.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(restored, 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_run_length_dedup": op1_run_length_dedup,
     "op2_toxicity": op2_toxicity,
@@ -75,10 +82,12 @@ QUERIES = {
     "op8_piece_coding": op8_piece_coding,
     "op9_feistel_shards": op9_feistel_shards,
     "op10_license_scan": op10_license_scan,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_minmax_near_dedup": oracle.near_dedup_sql(),
     "op5_line_dedup": oracle.line_dedup_sql(),
     "op7_quality_rules": oracle.quality_sql(),
+    "op12_fill_in_middle": oracle.fill_in_middle_sql(),
 }
