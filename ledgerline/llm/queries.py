@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import (
-    decontamination, fill_in_middle, language_id, license_scan, line_dedup, near_dedup, oracle, piece_coding, quality_rules, sharding,
+    decontamination, edit_embedding, fill_in_middle, language_id, license_scan, line_dedup, near_dedup, oracle, piece_coding, quality_rules, sharding,
     suffix_dedup, toxicity,
 )
 from ._util import read
@@ -64,6 +64,10 @@ def op10_license_scan(spark, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
 
+def op11_edit_fingerprints(spark, sf_dir: str) -> DataFrame:
+    return edit_embedding.compare_with_next(read(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark, sf_dir: str) -> DataFrame:
     made = fill_in_middle.fill_in_middle(read(spark, sf_dir, "documents"))
     restored = fill_in_middle.restore(F.col("output"), F.col("form"))
@@ -82,6 +86,7 @@ QUERIES = {
     "op8_piece_coding": op8_piece_coding,
     "op9_feistel_shards": op9_feistel_shards,
     "op10_license_scan": op10_license_scan,
+    "op11_edit_fingerprints": op11_edit_fingerprints,
     "op12_fill_in_middle": op12_fill_in_middle,
 }
 
