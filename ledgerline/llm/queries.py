@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import (
-    decontamination, edit_embedding, fill_in_middle, language_id, license_scan, line_dedup, near_dedup, oracle, piece_coding, quality_rules, sharding,
+    decontamination, edit_embedding, fill_in_middle, hard_negatives, language_id, license_scan, line_dedup, near_dedup, oracle, piece_coding, quality_rules, sharding,
     suffix_dedup, toxicity,
 )
 from ._util import read
@@ -75,6 +75,11 @@ def op12_fill_in_middle(spark, sf_dir: str) -> DataFrame:
                        F.sha2(restored, 256).alias("restored_sha256"))
 
 
+def op13_hard_negatives(spark, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 QUERIES = {
     "op1_run_length_dedup": op1_run_length_dedup,
     "op2_toxicity": op2_toxicity,
@@ -88,6 +93,7 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
     "op11_edit_fingerprints": op11_edit_fingerprints,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -95,4 +101,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": oracle.line_dedup_sql(),
     "op7_quality_rules": oracle.quality_sql(),
     "op12_fill_in_middle": oracle.fill_in_middle_sql(),
+    "op13_hard_negatives": oracle.hard_negatives_sql(),
 }
