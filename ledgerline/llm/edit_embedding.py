@@ -30,7 +30,7 @@ than id and text are neither read nor returned.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -46,8 +46,10 @@ ROWS = 8                                # digits of a band
 MAX_EDITS = 0.1
 PERIOD = 1 << 13                        # steps after which the coins repeat
 CLASSES = 128                           # the coins know a character by its lowest bits
-GROUP_CHARS, GROUP_TEXTS = 1 << 20, 512  # texts that walk side by side
-BLOCK = 4096                            # characters walked before samples are taken
+GROUP_CHARS, GROUP_TEXTS = 1 << 23, 512  # texts that walk side by side
+PIECE_CHARS, PIECE_TEXTS = 1 << 23, 8192  # texts that a stream holds at once, about
+NARROW = 24                             # fewer texts than these walk one by one
+BLOCK = 2048                            # characters walked before samples are taken
 _END = 0x110000                         # emitted by an empty text
 _SALT = mix64(np.arange(1, WALKS * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
@@ -63,10 +65,16 @@ def _coins() -> np.ndarray:
         move[:, 0] = True               # a move within every period
         at = np.where(np.tile(move, 2), np.arange(2 * PERIOD, dtype=np.int32), np.int32(4 * PERIOD))
         following = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :PERIOD]
-        out.append((following - np.arange(PERIOD, dtype=np.int32) + 1).astype(np.int16).ravel())
+        out.append((following - np.arange(PERIOD, dtype=np.int32) + 1).astype(np.uint8).ravel())
     return np.concatenate(out)
 
 
+@cache
+def _coin_bytes() -> list[bytes]:
+    """The same by walk, for a walk in plain Python."""
+    return [part.tobytes() for part in _coins().reshape(WALKS, -1)]
+
+
 @cache
 def _records() -> np.ndarray:
     """Sampled steps by walk, sample and turn, ascending: the sample of a walk
@@ -108,20 +116,26 @@ def _walk(group: list[np.ndarray]) -> list[bytes]:
         classes = np.zeros((live, steps), np.int64)
         for k in range(live):
             part = group[k][start: start + steps]
-            classes[k, : len(part)] = part & (CLASSES - 1)
-        classes = np.ascontiguousarray(classes.T) * PERIOD
+            classes[k, : len(part)] = (part & (CLASSES - 1)) * PERIOD
         active = (lengths[:live, None] > start + np.arange(steps)[None, :]).sum(axis=0)
+        together = int((active >= NARROW).sum())
         ends = np.empty((steps, WALKS, live), np.int64)
         began = time[:, :live].copy()
         now = began.copy()
-        for i in range(steps):
+        columns = np.ascontiguousarray(classes[:, :together].T)
+        for i in range(together):
             if active[i] < now.shape[1]:            # ended texts stand still, at the right
                 now = now[:, : active[i]].copy()
             at = now & (PERIOD - 1)
-            at += classes[i, : active[i]]
+            at += columns[i, : active[i]]
             at += offset
             now += coins[at]
             ends[i, :, : active[i]] = now
+        for k in range(int(active[together]) if together < steps else 0):
+            rest = classes[k, together: int(lengths[k]) - start].tolist()
+            for w, moves in enumerate(_coin_bytes()):
+                t = int(now[w, k])
+                ends[together: together + len(rest), w, k] = [t := t + moves[c + (t & (PERIOD - 1))] for c in rest]
         for k in range(live):
             n = min(int(lengths[k]) - start, steps)
             own = ends[:n, :, k].T
@@ -138,15 +152,15 @@ def _walk(group: list[np.ndarray]) -> list[bytes]:
 
 def fingerprint_texts(texts: list[str]) -> list[str]:
     """Fingerprint of each text: WALKS * SAMPLES hex digits."""
-    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-    order = sorted((i for i, c in enumerate(codes) if len(c)), key=lambda i: -len(codes[i]))
+    order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: -len(texts[i]))
     blank = _digits(np.full(WALKS * SAMPLES, _END)).decode()
     out = [blank] * len(texts)
     start = 0
     while start < len(order):
-        widest = len(codes[order[start]])
+        widest = len(texts[order[start]])
         group = order[start: start + max(1, min(GROUP_TEXTS, GROUP_CHARS // widest))]
-        for i, made in zip(group, _walk([codes[i] for i in group])):
+        codes = [np.frombuffer(texts[i].encode("utf-32-le", "surrogatepass"), np.uint32) for i in group]
+        for i, made in zip(group, _walk(codes)):
             out[i] = made.decode()
         start += len(group)
     return out
@@ -268,6 +282,18 @@ def half_replaced(text: str, other: str) -> str:
 _MADE = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def _pieces(texts) -> Iterator[slice]:
+    """Neighbouring texts of about PIECE_CHARS characters, at most PIECE_TEXTS."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= PIECE_CHARS or i + 1 - start >= PIECE_TEXTS:
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def _compare(texts: list[str], others: list[str], prints: list[str], other_prints: list[str], edit: Callable[[str, str], str]):
     import pandas as pd
 
@@ -316,11 +342,9 @@ def compare_with_next(df: DataFrame, edit: Callable[[str, str], str] = half_repl
 
         held = None                                       # (id, text, fingerprint)
         for pdf in batches:
-            for start in range(0, len(pdf), 1024):
-                piece = pdf.iloc[start: start + 1024]
-                texts = piece["text"].tolist()
+            for piece in _pieces(pdf["text"]):
+                ids, texts = pdf["id"].iloc[piece].tolist(), pdf["text"].iloc[piece].tolist()
                 prints = fingerprint_texts(texts)
-                ids = piece["id"].tolist()
                 if held is None:
                     yield edge(ids[0], texts[0], prints[0], "head")
                 else:
@@ -332,7 +356,9 @@ def compare_with_next(df: DataFrame, edit: Callable[[str, str], str] = half_repl
         if held is not None:
             yield edge(*held, "tail")
 
-    table = save(ranged.mapInPandas(pass_by, schema), "neighbours")
+    hexed = ("fingerprint", "edited_fingerprint")
+    table = save(ranged.mapInPandas(pass_by, schema).withColumns({c: F.unhex(c) for c in hexed}), "neighbours")
+    table = table.withColumns({c: F.lower(F.hex(c)) for c in hexed})
     parts = sorted(r["part"] for r in table.where("role = 'head'").select("part").collect())   # one row per partition
     follows = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, next_part int")
     heads = table.where("role = 'head'").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"),
