@@ -46,10 +46,10 @@ ROWS = 8                                # digits of a band
 MAX_EDITS = 0.1
 PERIOD = 1 << 13                        # steps after which the coins repeat
 CLASSES = 128                           # the coins know a character by its lowest bits
-GROUP_CHARS, GROUP_TEXTS = 1 << 23, 512  # texts that walk side by side
-PIECE_CHARS, PIECE_TEXTS = 1 << 23, 8192  # texts that a stream holds at once, about
+GROUP_CHARS, GROUP_TEXTS = 1 << 22, 512  # texts that walk side by side
+PIECE_CHARS, PIECE_TEXTS = 1 << 22, 4096  # texts that a stream holds at once, about
 NARROW = 24                             # fewer texts than these walk one by one
-BLOCK = 2048                            # characters walked before samples are taken
+BLOCK = 1024                            # characters walked before samples are taken
 _END = 0x110000                         # emitted by an empty text
 _SALT = mix64(np.arange(1, WALKS * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
@@ -113,10 +113,10 @@ def _walk(group: list[np.ndarray]) -> list[bytes]:
     for start in range(0, int(lengths[0]), BLOCK):
         live = int((lengths > start).sum())
         steps = min(BLOCK, int(lengths[0]) - start)
-        classes = np.zeros((live, steps), np.int64)
+        classes = np.zeros((live, steps), np.int32)
         for k in range(live):
             part = group[k][start: start + steps]
-            classes[k, : len(part)] = (part & (CLASSES - 1)) * PERIOD
+            classes[k, : len(part)] = (part & (CLASSES - 1)) * np.uint32(PERIOD)
         active = (lengths[:live, None] > start + np.arange(steps)[None, :]).sum(axis=0)
         together = int((active >= NARROW).sum())
         ends = np.empty((steps, WALKS, live), np.int64)
