@@ -296,6 +296,7 @@ FROM lookup l LEFT JOIN privs p ON l.catalog_role = p.catalog_role"""
     q["orphan_files"] = (f"SELECT o_orderkey AS file_id, o_orderdate AS modified_at FROM orders "
                          f"WHERE o_orderdate < TIMESTAMP '{d_o} 00:00:00' - INTERVAL 1 DAY "
                          f"AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL)")
+    q["orphan_addresses"] = q["orphan_files"]
     q["agg_sum_by_key"] = with_sources("income") + (
         "SELECT user_id, CAST(sum(amount) AS DECIMAL(28,2)) AS total_income FROM income GROUP BY user_id")
     q["agg_sum_composite"] = with_sources("cat_expense") + (
@@ -317,6 +318,14 @@ SELECT source, count(*) AS total_files, count(*) FILTER (WHERE n_chars < 4000) A
        CAST(coalesce(sum(n_chars) FILTER (WHERE n_chars < 4000), 0) AS BIGINT) AS small_bytes,
        CAST(ceil(coalesce(sum(n_chars) FILTER (WHERE n_chars < 4000), 0) / 4000) AS BIGINT) AS target_files
 FROM documents GROUP BY source HAVING count(*) FILTER (WHERE n_chars < 4000) > 1"""
+    q["compaction_bins"] = """
+WITH small AS (SELECT source, doc_id, n_chars FROM documents WHERE n_chars < 4000),
+line AS (SELECT *, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING
+                AND 1 PRECEDING), 0) AS before FROM small),
+bins AS (SELECT *, CAST(before // 16000 AS BIGINT) AS bin FROM line),
+packs AS (SELECT source, bin, count(*) AS bin_files, CAST(sum(n_chars) AS BIGINT) AS bin_bytes FROM bins GROUP BY source, bin)
+SELECT b.source, b.doc_id, b.n_chars, b.bin, p.bin_files, p.bin_bytes
+FROM bins b JOIN packs p ON b.source IS NOT DISTINCT FROM p.source AND b.bin = p.bin WHERE p.bin_files > 1"""
     for key, alias, order in (("window_first_asc", "open_buy_price", "\"timestamp\", price_id"),
                               ("window_first_desc", "close_buy_price",
                                "\"timestamp\" DESC, price_id DESC")):
@@ -331,6 +340,29 @@ cur AS (SELECT table_name, first(snapshot_id ORDER BY committed_at DESC, snapsho
 SELECT s.table_name, s.snapshot_id, s.committed_at FROM s
 WHERE s.committed_at < (SELECT max(committed_at) FROM s) - INTERVAL 3 DAY
   AND NOT EXISTS (SELECT 1 FROM cur WHERE cur.table_name = s.table_name AND cur.snapshot_id = s.snapshot_id)"""
+    expiry = """
+WITH s AS (SELECT user_id AS table_name, event_id AS snapshot_id, ts AS committed_at FROM events),
+m AS (SELECT table_name, snapshot_id, unnest([CAST(CAST(committed_at AS DATE) - CAST(k AS INTEGER) AS VARCHAR) FOR k IN range(0, 5)]
+             || ['own-' || CAST(snapshot_id AS VARCHAR)]) AS name FROM s),
+files AS (SELECT table_name, snapshot_id, '/wh/' || CAST(table_name AS VARCHAR) || '/' || name AS path,
+                 CAST(length(name) * 100 AS BIGINT) AS length FROM m),
+old AS (SELECT s.* FROM s WHERE committed_at < (SELECT max(committed_at) FROM s) - INTERVAL 3 DAY
+        AND snapshot_id <> (SELECT first(x.snapshot_id ORDER BY x.committed_at DESC, x.snapshot_id DESC) FROM s x
+                            WHERE x.table_name = s.table_name)),
+dead AS (SELECT f.table_name, f.path, max(f.length) AS length, count(DISTINCT f.snapshot_id) AS held_by
+         FROM files f JOIN old USING (table_name, snapshot_id)
+         WHERE f.path NOT IN (SELECT path FROM files g WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.snapshot_id = g.snapshot_id))
+         GROUP BY f.table_name, f.path)"""
+    q["expired_files"] = expiry + " SELECT table_name, path, length, held_by FROM dead"
+    q["snapshot_expiry"] = expiry + """
+SELECT s.table_name, count(DISTINCT s.snapshot_id) AS n_snapshots, count(DISTINCT old.snapshot_id) AS n_expired,
+       coalesce(any_value(d.n), 0) AS files_freed, CAST(coalesce(any_value(d.b), 0) AS BIGINT) AS bytes_freed,
+       coalesce(any_value(t.n), 0) - coalesce(any_value(d.n), 0) AS files_shared
+FROM s LEFT JOIN old USING (snapshot_id)
+LEFT JOIN (SELECT table_name, count(*) AS n, sum(length) AS b FROM dead GROUP BY table_name) d ON d.table_name = s.table_name
+LEFT JOIN (SELECT f.table_name, count(DISTINCT f.path) AS n FROM files f JOIN old USING (table_name, snapshot_id) GROUP BY f.table_name) t
+  ON t.table_name = s.table_name
+GROUP BY s.table_name"""
     q["sort_multi_key"] = ("SELECT c_nationkey, c_mktsegment, c_name, c_custkey FROM customer "
                            "ORDER BY c_nationkey, c_mktsegment, c_name")
     q["limit_rows"] = ("SELECT o_orderkey, o_custkey, o_totalprice FROM orders "

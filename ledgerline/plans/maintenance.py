@@ -1,144 +1,35 @@
-"""Table upkeep: compaction plan and rewrite, snapshot expiry, orphan-file report.
+"""Table upkeep: compaction, snapshot expiry with the files that only expired
+snapshots hold, and the orphan-file report.
 
 The original runs these as catalog procedures; here they are user-level
 Spark jobs over file listings and snapshot tables. Reports never delete;
-``delete_files`` is the separate, explicit step for reported orphans.
+``delete_files`` is the separate step for reported files, and refuses a report
+that names a live file. Addresses are compared in canonical form
+(``functions.addresses``), so a listing may spell them in any way.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-import uuid
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ledgerline.functions.addresses import ANY_SPELLING, canonical, default_filesystem, folder
+from ledgerline.plans.compaction import (  # noqa: F401  (compaction is part of upkeep)
+    COMPACT_THRESHOLD, MB, compact_table, compaction_bins, compaction_plan, recover,
+)
 from ledgerline.session import fresh_path
 from ledgerline.sources import files as file_source
 
-MB = 1024 * 1024
-NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"   # Spark's folder name for a NULL partition value
-COMPACT_THRESHOLD = 128 * MB   # files below this size are rewritten
-TARGET_FACTOR = 4              # rewritten files are this many thresholds large
 SNAPSHOT_RETENTION = _dt.timedelta(days=3)
 ORPHAN_MIN_AGE = _dt.timedelta(days=1)
 
 
-def compaction_plan(files: DataFrame, partition_col: str, size_col: str,
-                    threshold: int = COMPACT_THRESHOLD, target: int | None = None) -> DataFrame:
-    """Per partition: files, files under ``threshold``, their bytes and the
-    file count they compact to (``ceil(bytes / target)``). Only partitions with
-    more than one small file need work."""
-    target = target or threshold
-    small = F.col(size_col) < threshold
-    return (files.groupBy(partition_col)
-            .agg(F.count(F.lit(1)).alias("total_files"),
-                 F.count(F.when(small, 1)).alias("small_files"),
-                 F.coalesce(F.sum(F.when(small, F.col(size_col))), F.lit(0)).cast("bigint")
-                 .alias("small_bytes"))
-            .filter(F.col("small_files") > 1)
-            .withColumn("target_files", F.ceil(F.col("small_bytes") / F.lit(target)).cast("bigint")))
-
-
-def _folder_value(col: str) -> Column:
-    """Partition value of a folder name: %XX unescaped, the NULL marker as NULL."""
-    text = F.col(col)
-    return F.when(text != NULL_PARTITION, F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))))
-
-
-def _text_partitions(spark: SparkSession, path: str) -> DataFrame:
-    """The table with the columns of all its files and partition values as the
-    folders spell them (``007`` stays ``007``)."""
-    key = "spark.sql.sources.partitionColumnTypeInference.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        return spark.read.option("mergeSchema", "true").parquet(path)
-    finally:
-        spark.conf.set(key, before)
-
-
-def _content(df: DataFrame, partition_col: str, columns: list[str]) -> DataFrame:
-    """Rows and an order-free checksum over all columns per partition."""
-    return df.groupBy(F.col(partition_col).alias("part")).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum(F.xxhash64(*[F.to_json(F.struct(F.col(c))) if c in _maps(df) else F.col(c) for c in columns])
-              .cast("decimal(20,0)")).alias("checksum"))
-
-
-def _maps(df: DataFrame) -> set[str]:
-    """Columns that cannot be hashed directly."""
-    return {f.name for f in df.schema.fields if "map<" in f.dataType.simpleString()}
-
-
-def compact_table(spark: SparkSession, path: str, partition_col: str,
-                  threshold: int = COMPACT_THRESHOLD, target: int | None = None) -> DataFrame:
-    """Rewrite the partitions of a Parquet table at ``path`` that hold more than
-    one file under ``threshold`` into files of about ``target`` bytes each
-    (default: four times the threshold, so that none comes out small again and
-    a further run chooses nothing). Rows and columns are unchanged.
-
-    A partition is chosen only if its file count drops. Chosen partitions are
-    read with the columns of all files, and written whole (plain Parquet has no
-    per-file delete) to a staging folder inside the table that readers skip.
-    Rows go to the planned files by their place in the old files, which a
-    retried task reproduces and which spreads identical rows. Row counts and
-    checksums of every partition are compared before the old folders are
-    replaced one by one; a difference raises and leaves the table as it was.
-    No other job may write the table meanwhile. Returns the plan that was applied.
-    """
-    target = target or TARGET_FACTOR * threshold
-    inv = file_source.parquet_files(spark, path, partition_col)
-    sizes = inv.groupBy(partition_col).agg(F.sum("length").alias("partition_bytes"))
-    n_files = F.greatest(F.lit(1), F.ceil(F.col("partition_bytes") / target)).cast("int")
-    # the listing changes once files are replaced: freeze the plan (one row per chosen partition)
-    plan_path = fresh_path(spark, "compaction-plan")
-    first_file = F.sum("n_files").over(W.orderBy(partition_col).rowsBetween(W.unboundedPreceding, -1))
-    (compaction_plan(inv, partition_col, "length", threshold, target)
-     .join(sizes, partition_col).withColumn("n_files", n_files)
-     .where("n_files < total_files")
-     .withColumn("first_file", F.coalesce(first_file, F.lit(0)).cast("int"))
-     .write.parquet(plan_path))
-    plan = spark.read.parquet(plan_path)
-    files = plan.agg(F.sum("n_files")).first()[0]
-    if not files:
-        return plan.drop("first_file")
-    table = _text_partitions(spark, path)
-    columns = table.columns
-    todo = plan.select(_folder_value(partition_col).alias("__part"), "n_files", "first_file")
-    rows = (table.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("__place"))
-            .join(todo, table[partition_col].eqNullSafe(F.col("__part")), "inner"))
-    stage = f"{path.rstrip('/')}/_compaction-{uuid.uuid4().hex[:12]}"
-    (rows.withColumn("__file", F.col("first_file") + F.pmod("__place", F.col("n_files")).cast("int"))
-     .repartitionById(int(files), F.col("__file"))
-     .select(*columns).write.partitionBy(partition_col).parquet(stage))
-    old = _content(rows, partition_col, columns)
-    new = _content(_text_partitions(spark, stage).select(*columns), partition_col, columns)
-    differs = (old.alias("o").join(new.alias("n"), F.col("o.part").eqNullSafe(F.col("n.part")), "full")
-               .where(~(F.col("o.n_rows").eqNullSafe(F.col("n.n_rows")) & F.col("o.checksum").eqNullSafe(F.col("n.checksum")))))
-    if not differs.isEmpty():
-        raise RuntimeError(f"compaction of {path}: the rewritten rows differ, the table is unchanged (see {stage})")
-    _swap(spark, plan, path, stage, partition_col)
-    spark.catalog.refreshByPath(path)
-    return plan.drop("first_file")
-
-
-def _swap(spark: SparkSession, plan: DataFrame, path: str, stage: str, partition_col: str) -> None:
-    """Replace the folders of the chosen partitions by the staged ones: the old
-    folder moves aside inside the staging area, the new one takes its place, and
-    the staging area is deleted at the end. File-system metadata only."""
-    to_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = to_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(to_path(f"{stage}/_old"))
-    for row in plan.select(partition_col).toLocalIterator():
-        folder = f"{partition_col}={row[0]}"
-        live, fresh, aside = (to_path(f"{base}/{folder}") for base in (path.rstrip("/"), stage, f"{stage}/_old"))
-        if not (fs.rename(live, aside) and fs.rename(fresh, live)):
-            raise RuntimeError(f"could not replace {folder} of {path}; its rows are in {stage}")
-    fs.delete(to_path(stage), True)
-
-
 def _cutoff(ts_source: DataFrame, ts_col: str, now, age: _dt.timedelta) -> Column:
     """``now - age``; ``now`` None is the clock at query time, else a timestamp
     or a column (e.g. a scalar subquery)."""
@@ -160,62 +51,177 @@ def snapshot_retention(snapshots: DataFrame, table_col: str = "table_name",
             .select(table_col, id_col, ts_col))
 
 
+def _key(df: DataFrame, col: str) -> Column:
+    """What a file is compared by: its canonical address, or the value itself
+    where files are named by numbers. Escapes are undone as often as they may
+    have been applied: a file taken for a live one by mistake is only kept."""
+    if not isinstance(df.schema[col].dataType, T.StringType):
+        return df[col]
+    return canonical(df[col], ANY_SPELLING, *default_filesystem(df.sparkSession))
+
+
+class ForeignListing(ValueError):
+    """A listing that cannot be one of the files it is compared with."""
+
+
+def _check_same_place(files: DataFrame, refs: DataFrame) -> None:
+    """Raise unless some listed file lies in a folder that holds a referenced one.
+
+    Compared with a listing of another place (or spelt in a way that
+    ``canonical`` does not know) every file would come out as an orphan."""
+    if files.isEmpty():
+        return
+    there = refs.select(folder(F.col("__ref")).alias("__folder")).distinct()
+    shared = files.select(folder(F.col("__key")).alias("__folder")).join(there, "__folder", "left_semi")
+    if shared.isEmpty():
+        one, other = files.first()["__key"], refs.first()
+        raise ForeignListing(f"no listed file is in a folder of a referenced one: {one!r} against "
+                             f"{other['__ref'] if other else 'nothing'!r}")
+
+
 def orphan_files(files: DataFrame, referenced: DataFrame, path_col: str, ref_col: str,
                  modified_col: str, min_age: _dt.timedelta = ORPHAN_MIN_AGE, now=None) -> DataFrame:
-    """Files no live snapshot references and older than ``now - min_age``."""
-    aged = files.filter(F.col(modified_col) < _cutoff(files, modified_col, now, min_age))
+    """Files no live snapshot references and older than ``now - min_age``.
+
+    Text addresses are compared in canonical form. Two sides that share no folder
+    raise ``ForeignListing`` (also if nothing is referenced at all): the check reads both listings once before the report."""
+    keyed = files.select("*", _key(files, path_col).alias("__key"))
     # distinct first: a path referenced by a third of all manifest rows is
     # combined map-side instead of landing whole on one task of the anti join
-    refs = referenced.select(F.col(ref_col).alias("__ref")).distinct()
-    return aged.join(refs, aged[path_col] == refs["__ref"], "left_anti")
+    refs = referenced.select(_key(referenced, ref_col).alias("__ref")).distinct()
+    if isinstance(files.schema[path_col].dataType, T.StringType):
+        _check_same_place(keyed, refs)
+    aged = keyed.filter(F.col(modified_col) < _cutoff(files, modified_col, now, min_age))
+    return aged.join(refs, F.col("__key") == F.col("__ref"), "left_anti").drop("__key")
+
+
+def _held(manifest: DataFrame, expired: DataFrame, table_col: str, id_col: str) -> DataFrame:
+    """Manifest rows with the mark whether their snapshot is expired."""
+    gone = expired.select(F.col(table_col).alias("__t"), F.col(id_col).alias("__s"), F.lit(True).alias("__gone")).distinct()
+    return manifest.join(gone, manifest[table_col].eqNullSafe(F.col("__t")) & manifest[id_col].eqNullSafe(F.col("__s")),
+                         "left").withColumn("__gone", F.coalesce("__gone", F.lit(False))).drop("__t", "__s")
+
+
+def expired_files(manifest: DataFrame, expired: DataFrame, table_col: str = "table_name", id_col: str = "snapshot_id",
+                  path_col: str = "path", size_col: str | None = "length") -> DataFrame:
+    """Files that only expired snapshots hold: table, path, (size,) snapshots that held them.
+
+    ``manifest``: one row per snapshot and file; ``expired``: rows of
+    ``snapshot_retention``. A file that any live snapshot of any table holds, under any
+    spelling of its address, stays. Files held by a snapshot that is not in
+    ``expired`` count as live, so an unknown snapshot loses nothing.
+    """
+    rows = _held(manifest.select("*", _key(manifest, path_col).alias("__key")), expired, table_col, id_col)
+    sizes = [F.max(size_col).alias(size_col)] if size_col else []
+    dead = (rows.where("__gone").groupBy(table_col, "__key")
+            .agg(F.min(path_col).alias(path_col), *sizes, F.count_distinct(id_col).alias("held_by")))
+    live = rows.where("not __gone").select(F.col("__key").alias("__live")).distinct()
+    return dead.join(live, F.col("__key") == F.col("__live"), "left_anti").drop("__key")
+
+
+def live_files(manifest: DataFrame, expired: DataFrame, table_col: str = "table_name", id_col: str = "snapshot_id",
+               path_col: str = "path") -> DataFrame:
+    """Paths that a snapshot outside ``expired`` holds."""
+    return _held(manifest, expired, table_col, id_col).where("not __gone").select(path_col).distinct()
+
+
+def expiry_summary(snapshots: DataFrame, manifest: DataFrame, expired: DataFrame, table_col: str = "table_name",
+                   id_col: str = "snapshot_id", path_col: str = "path", size_col: str = "length") -> DataFrame:
+    """Per table: snapshots, expired snapshots, files that go with them and their
+    bytes, files that an expired snapshot shares with a live one."""
+    every = snapshots.groupBy(table_col).agg(F.count_distinct(id_col).alias("n_snapshots"))
+    old = expired.groupBy(table_col).agg(F.count_distinct(id_col).alias("n_expired"))
+    gone = (expired_files(manifest, expired, table_col, id_col, path_col, size_col).groupBy(table_col)
+            .agg(F.count(F.lit(1)).alias("files_freed"), F.sum(size_col).cast("bigint").alias("bytes_freed")))
+    rows = _held(manifest.select(table_col, id_col, _key(manifest, path_col).alias("__key")), expired, table_col, id_col)
+    touched = (rows.where("__gone").select(table_col, "__key").distinct().groupBy(table_col)
+               .agg(F.count(F.lit(1)).alias("__touched")))
+    out = every.join(old, table_col, "left").join(gone, table_col, "left").join(touched, table_col, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    return out.select(table_col, "n_snapshots", zero("n_expired").alias("n_expired"), zero("files_freed").alias("files_freed"),
+                      zero("bytes_freed").alias("bytes_freed"),
+                      (zero("__touched") - zero("files_freed")).alias("files_shared"))
 
 
 def table_upkeep(spark: SparkSession, path: str, partition_col: str,
                  snapshots: DataFrame | None = None, files: DataFrame | None = None, now=None,
-                 threshold: int = COMPACT_THRESHOLD) -> dict[str, DataFrame]:
+                 threshold: int = COMPACT_THRESHOLD, manifest: DataFrame | None = None) -> dict[str, DataFrame]:
     """The nightly order for one table: compaction, then snapshot expiry, then
-    the orphan-file report. Returns the applied compaction plan and the two
-    reports; nothing is deleted.
+    the orphan-file report. Returns the applied compaction plan and the
+    reports; nothing else is deleted.
 
-    ``snapshots``: table_name, snapshot_id, committed_at. ``files``: path,
-    modified_at of every object stored under the table (e.g. an object-store
-    inventory); it is compared with the table's live data files, listed here
+    ``snapshots``: table_name, snapshot_id, committed_at. ``manifest``: table_name,
+    snapshot_id, path, length; with it the files that go with the expired snapshots are
+    reported. ``files``: path, modified_at of every object stored under the table (e.g. an object-store
+    inventory, addresses in any spelling); it is compared with the table's live data files, listed here
     *after* compaction (a file listing is fixed when its DataFrame is made).
     """
     out = {"compaction": compact_table(spark, path, partition_col, threshold)}
     if snapshots is not None:
         out["expired_snapshots"] = snapshot_retention(snapshots, now=now)
+        if manifest is not None:
+            out["expired_files"] = expired_files(manifest, out["expired_snapshots"])
     if files is not None:
         live = file_source.parquet_files(spark, path, partition_col).select("path")
         out["orphan_files"] = orphan_files(files, live, "path", "path", "modified_at", now=now)
     return out
 
 
-def delete_files(orphans: DataFrame, path_col: str = "path") -> DataFrame:
-    """Explicit second step after an ``orphan_files`` report: delete the listed
-    files through the file system client, reading the report as a stream.
-    Returns path, deleted (False: it was gone already). Pass a written report,
+def _chunks(rows: Iterator, size: int) -> Iterator[list]:
+    while chunk := list(islice(rows, size)):
+        yield chunk
+
+
+def delete_files(report: DataFrame, live: DataFrame, path_col: str = "path", live_col: str = "path",
+                 threads: int = 16) -> DataFrame:
+    """Explicit second step after ``orphan_files`` or ``expired_files``: delete
+    the reported files through the file system client, reading the report as a
+    stream. Returns path, deleted (False: it was gone already).
+
+    ``live`` lists the files in use *now* (list them again before this step). A report that
+    names one of them under any spelling is refused as a whole, before anything is deleted. Pass a written report,
     so that what is deleted is what was looked at."""
-    spark = orphans.sparkSession
+    held = report.select(path_col, _key(report, path_col).alias("__key")).join(
+        live.select(_key(live, live_col).alias("__key")).distinct(), "__key", "left_semi").select(path_col).take(3)
+    if held:
+        raise ValueError(f"the report names live files, nothing was deleted: {[r[0] for r in held]}")
+    spark = report.sparkSession
     to_path = spark._jvm.org.apache.hadoop.fs.Path
     conf = spark._jsc.hadoopConfiguration()
-    done = []
     out = fresh_path(spark, "deleted")
-    for row in orphans.select(path_col).toLocalIterator():
-        p = to_path(row[0])
-        done.append((row[0], bool(p.getFileSystem(conf).delete(p, False))))
-        if len(done) == 10_000:
-            spark.createDataFrame(done, "path string, deleted boolean").write.mode("append").parquet(out)
-            done = []
-    spark.createDataFrame(done, "path string, deleted boolean").write.mode("append").parquet(out)
+
+    def delete(name: str) -> tuple[str, bool]:
+        p = to_path(name)
+        return name, bool(p.getFileSystem(conf).delete(p, False))
+
+    schema = "path string, deleted boolean"
+    spark.createDataFrame([], schema).write.parquet(out)
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        for chunk in _chunks((r[0] for r in report.select(path_col).toLocalIterator()), 10_000):
+            spark.createDataFrame(list(pool.map(delete, chunk)), schema).write.mode("append").parquet(out)
     return spark.read.parquet(out)
 
 
+def remove_orphans(spark: SparkSession, path: str, partition_col: str, files: DataFrame,
+                   min_age: _dt.timedelta = ORPHAN_MIN_AGE, now=None) -> DataFrame:
+    """The orphan report of a table, written, compared again with the files
+    listed after it, and deleted: safe to run unattended. Files outside the
+    table's folder are never deleted."""
+    inside = canonical(F.lit(path), ANY_SPELLING, *default_filesystem(spark))
+    own = files.where(F.startswith(_key(files, "path"), F.concat(inside, F.lit("/"))))
+    listed = file_source.parquet_files(spark, path, partition_col).select("path")
+    where = fresh_path(spark, "orphans")
+    orphan_files(own, listed, "path", "path", "modified_at", min_age, now).write.parquet(where)
+    again = file_source.parquet_files(spark, path, partition_col).select("path")
+    return delete_files(spark.read.parquet(where), again)
+
+
 def main(argv=None) -> dict[str, DataFrame]:
     """``python -m ledgerline.plans.maintenance --table PATH --partition-col C
-    [--threshold-mb 128] [--snapshots PARQUET] [--inventory PARQUET] [--out PATH]``:
-    compaction, then the snapshot-expiry and orphan-file reports. With ``--out``
-    each is written whole below it; the row counts are printed."""
+    [--threshold-mb 128] [--snapshots PARQUET] [--manifest PARQUET] [--inventory PARQUET]
+    [--delete-orphans] [--out PATH]``: compaction, then the snapshot-expiry and orphan-file
+    reports. With ``--out`` each is written whole below it; the row counts are printed.
+    ``--delete-orphans`` deletes what the orphan report names, after a second look at the live files."""
     import argparse
 
     from ledgerline.session import build_session, input_bytes, size_session
@@ -226,20 +232,29 @@ def main(argv=None) -> dict[str, DataFrame]:
     ap.add_argument("--threshold-mb", type=int, default=COMPACT_THRESHOLD // MB)
     ap.add_argument("--snapshots", help="Parquet: table_name, snapshot_id, committed_at")
     ap.add_argument("--inventory", help="Parquet: path, modified_at of stored objects")
-    ap.add_argument("--out", help="folder for the reports: compaction, expired_snapshots, orphan_files")
+    ap.add_argument("--manifest", help="Parquet: table_name, snapshot_id, path, length of the files each snapshot holds")
+    ap.add_argument("--delete-orphans", action="store_true", help="delete the reported orphans (needs --inventory)")
+    ap.add_argument("--out", help="folder for the reports: compaction, expired_snapshots, expired_files, orphan_files, deleted")
     args = ap.parse_args(argv)
+    if args.delete_orphans and not args.inventory:
+        ap.error("--delete-orphans needs --inventory")
     spark = build_session()
     size_session(spark, input_bytes(spark, args.table))
     out = table_upkeep(
         spark, args.table, args.partition_col,
         snapshots=spark.read.parquet(args.snapshots) if args.snapshots else None,
         files=spark.read.parquet(args.inventory) if args.inventory else None,
+        manifest=spark.read.parquet(args.manifest) if args.manifest else None,
         threshold=args.threshold_mb * MB)
     root = args.out.rstrip("/") if args.out else fresh_path(spark, "upkeep")
     for name, df in out.items():
         df.write.mode("overwrite").parquet(f"{root}/{name}")
         out[name] = spark.read.parquet(f"{root}/{name}")
         print(f"{name}: {out[name].count()} rows in {root}/{name}")
+    if args.delete_orphans:
+        out["deleted"] = remove_orphans(spark, args.table, args.partition_col, spark.read.parquet(args.inventory))
+        out["deleted"].write.mode("overwrite").parquet(f"{root}/deleted")
+        print(f"deleted: {out['deleted'].where('deleted').count()} files")
     return out
 
 

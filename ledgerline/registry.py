@@ -222,6 +222,26 @@ def q_orphan_files(spark, sf_dir):
                                     now=D_ORDERS)
 
 
+def _spelt(key, turn):
+    """The address of file ``key``, spelt as one of five kinds of listing would."""
+    name = F.concat(F.lit("store/part="), F.pmod(key, F.lit(50)).cast("string"))
+    plain = F.concat(name, F.lit("/day=a b%c/file-"), key.cast("string"))
+    escaped = F.concat(name, F.lit("/day=a%20b%25c/file-"), key.cast("string"))
+    kinds = [F.concat(F.lit("/"), plain), F.concat(F.lit("file:/"), plain), F.concat(F.lit("file:///"), escaped),
+             F.concat(F.lit("FILE:///./"), plain), F.concat(F.lit("file://///"), escaped)]
+    return F.get(F.array(*kinds), F.pmod(key + turn, F.lit(5)).cast("int"))
+
+
+@register("orphan_addresses")
+def q_orphan_addresses(spark, sf_dir):
+    """As orphan_files, by address: inventory and references spell each file differently."""
+    t = TableSet(spark, sf_dir)
+    files = t("orders").select(_spelt(F.col("o_orderkey"), F.lit(0)).alias("path"), F.col("o_orderkey").alias("file_id"),
+                               F.col("o_orderdate").alias("modified_at"))
+    refs = t("lineitem").select(_spelt(F.col("l_orderkey"), F.col("l_linenumber")).alias("ref"))
+    return maintenance.orphan_files(files, refs, "path", "ref", "modified_at", now=D_ORDERS).select("file_id", "modified_at")
+
+
 @register("agg_sum_by_key")
 def q_agg_sum_by_key(spark, sf_dir):
     return aggregates.sum_by(finance.income_transactions(TableSet(spark, sf_dir)), ["user_id"],
@@ -261,6 +281,14 @@ def q_compaction_plan(spark, sf_dir):
     return maintenance.compaction_plan(docs, "source", "n_chars", 4000, 4000)
 
 
+@register("compaction_bins")
+def q_compaction_bins(spark, sf_dir):
+    """Files = documents per source, size = n_chars, small under 4,000; bins of about 16,000."""
+    docs = TableSet(spark, sf_dir)("documents").select("source", "n_chars", "doc_id")
+    return maintenance.compaction_bins(docs, "source", "doc_id", "n_chars", 4000, 16000).select(
+        "source", "doc_id", "n_chars", "bin", "bin_files", "bin_bytes")
+
+
 def _daily_prices(spark, sf_dir):
     return finance.price_history(TableSet(spark, sf_dir)).withColumn(
         "price_day", F.to_date("timestamp"))
@@ -293,6 +321,32 @@ def q_snapshot_retention(spark, sf_dir):
     return maintenance.snapshot_retention(ev, now=ev.select(F.max("committed_at")).scalar())
 
 
+def _event_snapshots(spark, sf_dir):
+    """Snapshots = events (table = user), each holding one file for its own day and each
+    of the four days before (so neighbouring snapshots share files) and one of its own."""
+    ev = TableSet(spark, sf_dir)("events").select(
+        F.col("user_id").alias("table_name"), F.col("event_id").alias("snapshot_id"), F.col("ts").alias("committed_at"))
+    days = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.date_sub(F.col("committed_at").cast("date"), k).cast("string"))
+    names = F.concat(days, F.array(F.concat(F.lit("own-"), F.col("snapshot_id").cast("string"))))
+    manifest = ev.select("table_name", "snapshot_id", F.explode(names).alias("name")).select(
+        "table_name", "snapshot_id", F.concat(F.lit("/wh/"), F.col("table_name").cast("string"), F.lit("/"), F.col("name")).alias("path"),
+        (F.length("name") * 100).cast("bigint").alias("length"))
+    return ev, manifest, maintenance.snapshot_retention(ev, now=ev.select(F.max("committed_at")).scalar())
+
+
+@register("expired_files")
+def q_expired_files(spark, sf_dir):
+    """Files that only expired snapshots hold."""
+    _, manifest, expired = _event_snapshots(spark, sf_dir)
+    return maintenance.expired_files(manifest, expired)
+
+
+@register("snapshot_expiry")
+def q_snapshot_expiry(spark, sf_dir):
+    """Per table: snapshots, expired ones, files and bytes that go, files that are shared and stay."""
+    return maintenance.expiry_summary(*_event_snapshots(spark, sf_dir))
+
+
 @register("sort_multi_key")
 def q_sort_multi_key(spark, sf_dir):
     c = TableSet(spark, sf_dir)("customer").select("c_nationkey", "c_mktsegment", "c_name", "c_custkey")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_ORACLE, SF_SMALL
 from ledgerline import registry
-from ledgerline.plans import access, maintenance
+from ledgerline.plans import access, compaction, maintenance
 from ledgerline.session import fresh_path
 from ledgerline.sources import files as file_source
 
@@ -264,14 +264,8 @@ def test_compaction_leaves_the_table_alone_if_rows_differ(spark, monkeypatch):
     path = fresh_path(spark, "guarded")
     spark.range(60).selectExpr("id", "'a' k").repartition(3).write.partitionBy("k").parquet(path)
     before = {r.path for r in file_source.parquet_files(spark, path, "k").collect()}
-    real = maintenance._content
-    calls = []
-
-    def damaged(df, part, cols):
-        calls.append(1)
-        return real(df.where("id <> 7") if len(calls) == 2 else df, part, cols)
-
-    monkeypatch.setattr(maintenance, "_content", damaged)
+    real = compaction._written
+    monkeypatch.setattr(compaction, "_written", lambda back, cols: real(back.where("id <> 7"), cols))
     with pytest.raises(RuntimeError, match="differ"):
         maintenance.compact_table(spark, path, "k")
     assert {r.path for r in file_source.parquet_files(spark, path, "k").collect()} == before
@@ -281,7 +275,7 @@ def test_upkeep_reports_are_written_whole(spark):
     path = fresh_path(spark, "reported")
     spark.range(30).selectExpr("id", "'a' k").repartition(2).write.partitionBy("k").parquet(path)
     snaps = spark.range(60).selectExpr("'t' table_name", "id snapshot_id", "timestamp'2020-01-01' + make_dt_interval(int(id)) committed_at")
-    files = spark.range(45).selectExpr("concat('gone-', id) path", "timestamp'2020-01-01' modified_at")
+    files = spark.range(45).selectExpr(f"concat('{path}/k=a/gone-', id) path", "timestamp'2020-01-01' modified_at")
     snaps_path, files_path, out = (fresh_path(spark, n) for n in ("snaps", "inventory", "reports"))
     snaps.write.parquet(snaps_path)
     files.write.parquet(files_path)
@@ -295,7 +289,8 @@ def test_reported_orphans_are_deleted_in_an_explicit_step(spark, tmp_path):
     for n in "abc":
         (tmp_path / n).write_text(n)
     report = spark.createDataFrame([(f"file:{tmp_path}/a",), (f"file:{tmp_path}/c",), (f"file:{tmp_path}/none",)], "path string")
-    done = {r.path.rsplit("/", 1)[1]: r.deleted for r in maintenance.delete_files(report).collect()}
+    live = spark.createDataFrame([(f"{tmp_path}/b",)], "path string")
+    done = {r.path.rsplit("/", 1)[1]: r.deleted for r in maintenance.delete_files(report, live).collect()}
     assert done == {"a": True, "c": True, "none": False}
     assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["b"]
 
