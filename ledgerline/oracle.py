@@ -202,6 +202,7 @@ FROM j"""
 def mart_sql() -> dict[str, str]:
     return {
         "asset_holdings_asof": asset_holdings_sql(),
+        "holdings_incremental": asset_holdings_sql(),
         "portfolio_day_stats": portfolio_stats_sql(),
         "user_cashflow": cashflow_sql(),
         "budget_performance": budget_sql(),
@@ -473,6 +474,7 @@ def sink_sql() -> dict[str, str]:
                          f"count(DISTINCT {key}) AS n_keys, {totals} FROM ({build(day)}) GROUP BY {date_col}")
     q["daily_marts_run"] = " UNION ALL ".join(f"({p})" for p in parts)
     q["daily_marts_tables"] = q["daily_marts_run"]
+    q["daily_marts_published"] = q["daily_marts_run"]
     return q
 
 

@@ -31,6 +31,11 @@ from pyspark.sql import functions as F
 
 from ledgerline.session import fresh_path
 from ledgerline.sources import files as file_source
+from ledgerline.sources.storage import children, data_files
+from ledgerline.sources.storage import filesystem as _fs
+from ledgerline.sources.storage import move as _move
+from ledgerline.sources.storage import read_text as _read_text
+from ledgerline.sources.storage import write_text as _write_text
 
 MB = 1024 * 1024
 COMPACT_THRESHOLD = 128 * MB   # files below this size are rewritten
@@ -82,44 +87,6 @@ def compaction_bins(files: DataFrame, partition_col: str, path_col: str, size_co
             .withColumn("bin_bytes", F.sum(size_col).over(one).cast("bigint")).where("bin_files > 1"))
 
 
-# ---------------------------------------------------------------- file system
-
-def _fs(spark: SparkSession, path: str):
-    to_path = spark._jvm.org.apache.hadoop.fs.Path
-    return to_path(path).getFileSystem(spark._jsc.hadoopConfiguration()), to_path
-
-
-def _move(fs, source, target) -> None:
-    """Rename unless it was done before. If both exist (a store that copies was
-    interrupted), the copy is discarded and made again."""
-    if not fs.exists(source):
-        return
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.mkdirs(target.getParent())
-    if not fs.rename(source, target):
-        raise RuntimeError(f"could not rename {source} to {target}")
-
-
-def _write_text(fs, to_path, path: str, text: str) -> None:
-    """The file appears whole or not at all."""
-    part = to_path(path + ".part")
-    out = fs.create(part, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    if not fs.rename(part, to_path(path)):
-        raise RuntimeError(f"could not write {path}")
-
-
-def _read_text(fs, to_path, path: str) -> str:
-    size = fs.getFileStatus(to_path(path)).getLen()
-    data = fs.open(to_path(path))
-    try:
-        return bytes(data.readNBytes(size)).decode()
-    finally:
-        data.close()
-
-
 # ---------------------------------------------------------------- journal
 
 def _replay(spark: SparkSession, run: str, threads: int) -> None:
@@ -155,10 +122,7 @@ def recover(spark: SparkSession, path: str, threads: int = 8) -> dict[str, int]:
     that have none: {"finished": n, "discarded": n}."""
     fs, to_path = _fs(spark, path)
     done = {"finished": 0, "discarded": 0}
-    if not fs.exists(to_path(path)):
-        return done
-    for status in fs.listStatus(to_path(path)):
-        name = status.getPath().getName()
+    for name in children(fs, to_path, path):
         if not name.startswith(RUN):
             continue
         run = f"{path.rstrip('/')}/{name}"
@@ -228,12 +192,11 @@ def _compact_batch(spark: SparkSession, path: str, bins: list[list[str]], thread
     fs, to_path = _fs(spark, run)
     entries = []
     for k, old in enumerate(bins if n_rows else []):
-        staged = to_path(f"{run}/new/{bin_col}={k}")
-        if not fs.exists(staged):          # only empty files: they stay
-            continue
-        made = [s.getPath() for s in fs.listStatus(staged) if not s.getPath().getName().startswith(("_", "."))]
+        staged = f"{run}/new/{bin_col}={k}"
         home = to_path(old[0]).getParent().toString()
-        entries.append({"bin": k, "old": old, "new": [[p.toString(), f"{home}/compact-{uuid.uuid4().hex[:8]}-{p.getName()}"] for p in made]})
+        made = [[f"{staged}/{name}", f"{home}/compact-{uuid.uuid4().hex[:8]}-{name}"] for name in data_files(fs, to_path, staged)]
+        if made:                           # else only empty files: they stay
+            entries.append({"bin": k, "old": old, "new": made})
     if not entries:
         fs.delete(to_path(run), True)
         return

@@ -45,10 +45,15 @@ def asset_holdings(holdings: DataFrame, users: DataFrame, assets: DataFrame, as_
 
     Unknown users/assets drop out (inner joins); a NULL sub-type is its own group.
     """
-    d = as_date(as_of)
-    per_key = (filters.on_or_before_day(holdings, "record_date", d)
+    per_key = (filters.on_or_before_day(holdings, "record_date", as_date(as_of))
                .groupBy("user_id", "asset_id", "asset_sub_type")
                .agg(F.sum("quantity").alias("quantity")))
+    return holdings_from_sums(per_key, users, assets, as_of, run_ts)
+
+
+def holdings_from_sums(per_key: DataFrame, users: DataFrame, assets: DataFrame, as_of, run_ts=None) -> DataFrame:
+    """The holdings mart from one quantity per user, asset and sub-type."""
+    d = as_date(as_of)
     a = assets.select("asset_id", "asset_symbol", "asset_name", "asset_type")
     out = (per_key.join(user_names(users), "user_id").join(a, "asset_id")
            # an exchange of its own for the regroup: on the asset join's partitioning AQE

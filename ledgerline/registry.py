@@ -19,7 +19,7 @@ from ledgerline import functions as fn
 from ledgerline.functions.money import MONEY, PORTFOLIO, PRICE, QUANTITY
 from ledgerline.operators import aggregates, columns, filters, joins, sorting, windows
 from ledgerline.oracle import D_EVENTS, D_ORDERS, FIXED_RUN_TS, GIVEN_TABLES, MART_DIGEST, TABLE_KEYS
-from ledgerline.plans import access, daily_run, maintenance, marts
+from ledgerline.plans import access, daily_run, holdings_state, maintenance, marts, run_ledger
 from ledgerline.plans.schemas import MART_DDL, MART_PARTITION
 from ledgerline.session import fresh_path
 from ledgerline.sources import audit, catalog, finance, sinks
@@ -49,6 +49,25 @@ def q_asset_holdings(spark, sf_dir):
                                           finance.assets(t), D_ORDERS))
 
 
+@register("holdings_incremental")
+def q_holdings_incremental(spark, sf_dir):
+    """The holdings mart from stored daily sums, in one folder a month: the records of some pairs of user and
+    asset come late, one month is rewritten, and every refresh recomputes the changed folders only."""
+    t = TableSet(spark, sf_dir)
+    src = finance.from_tables(t)
+    records = src.portfolio_holdings.withColumn("late", F.pmod(F.xxhash64("user_id", "asset_id"), F.lit(7)) == 0)
+    source, state = fresh_path(spark, "holdings"), fresh_path(spark, "holdings-state")
+    holdings_state.store_by_day(records.where("not late").drop("late"), source, grain="month")
+    holdings_state.refresh(spark, source, state)
+    holdings_state.store_by_day(records.where("late").drop("late"), source, grain="month")          # late rows
+    month = F.trunc("record_date", "month") == F.trunc(F.lit(D_ORDERS).cast("date"), "month")
+    holdings_state.store_by_day(src.portfolio_holdings.where(month), source, "overwrite", "month")   # a correction
+    holdings_state.refresh(spark, source, state)
+    if holdings_state.refresh(spark, source, state):
+        raise RuntimeError("a refresh without changes must find none")
+    return _no_audit(holdings_state.asset_holdings(spark, state, src.users, src.assets, D_ORDERS, FIXED_RUN_TS))
+
+
 @register("portfolio_day_stats")
 def q_portfolio(spark, sf_dir):
     """Portfolio values = events (user, ts, value); day 2024-01-15."""
@@ -696,6 +715,23 @@ def q_daily_marts_run(spark, sf_dir):
     return _mart_digest({name: _read_mart(spark, name, f"{root}/{name}") for name in MART_DDL})
 
 
+@register("daily_marts_published")
+def q_daily_marts_published(spark, sf_dir):
+    """All six marts for two days through the run ledger, appending: one day's fourth mart fails
+    its audit, the day is repeated, and repeated once more: rows per mart and day."""
+    root = fresh_path(spark, "published")
+    src = finance.from_tables(TableSet(spark, sf_dir))
+    broken = run_ledger.Audit(("user_id",), {"stop": "true"})
+    run_ledger.publish_day(src, root, D_ORDERS, FIXED_RUN_TS)
+    try:
+        run_ledger.publish_day(src, root, D_EVENTS, FIXED_RUN_TS, audits={"monthly_budget_performance": broken})
+    except run_ledger.AuditFailed:
+        pass
+    for _ in range(2):
+        run_ledger.publish_day(src, root, D_EVENTS, FIXED_RUN_TS)
+    return _mart_digest({name: _read_mart(spark, name, f"{root}/{name}") for name in MART_DDL})
+
+
 def _mart_digest(tables):
     """Rows, distinct keys and exact sums of the decimal columns per mart and day."""
     out = None
