@@ -3,7 +3,8 @@
 DataFrame operations only. A bucket is a set of ids that share a signature
 band; ids of one bucket are candidates. Comparing all pairs of a bucket would
 square a large group of near copies, so pairs inside a component that is
-already connected are never compared: they cannot change the result.
+already connected are never compared: they cannot change the result. What is left of a group is
+joined on the elements that its sets do not share with their centre.
 """
 
 from __future__ import annotations
@@ -56,7 +57,64 @@ def components(edges: DataFrame, a="a", b="b") -> DataFrame:
         cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float, far: int | None = None) -> DataFrame:
+def _clusters(live: DataFrame) -> DataFrame:
+    """(id, cluster): ids that are connected by shared buckets; cluster is the smallest of them."""
+    first = live.groupBy("bucket").agg(F.min("id").alias("lo"))
+    edges = live.select("bucket", "id").join(first.withColumnRenamed("bucket", "y"), _same("bucket", "y"))
+    found = components(edges.select(F.col("id").alias("a"), F.col("lo").alias("b")))
+    return save(found.withColumnRenamed("component", "cluster"), "clusters")
+
+
+def _remaining(live: DataFrame, items: Callable[[DataFrame], DataFrame], ratio: float) -> DataFrame:
+    """Pairs (a, b) of ids in different components that may still be linked: all
+    linked pairs of a cluster that no earlier comparison joined are among them.
+
+    Let C be the set of the cluster's centre and D(a) the symmetric difference of a
+    and C. Two sets reach the similarity s iff |D(a) ^ D(b)| <= t (|a| + |b|), t = (1 - s) / (1 + s), so
+    they must share at least ``(e(a) + e(b)) / 2`` elements of their differences, e(a) = |D(a)| - t |a|.
+    Sets that reach s with the centre are joined through it; any other has e > t |C|.
+    So a pair that is not joined has a member of the latter kind, and, the elements of every
+    difference lined up from rare to frequent, shares one among the first few of the other. In a large group of near copies the
+    rare ones are what each copy has for itself, so hardly any pair is left, whereas the
+    copies share nearly all buckets.
+    """
+    t = (1 - ratio) / (1 + ratio)
+    clusters = _clusters(live)
+    members = live.groupBy("id").agg(F.first("component").alias("component"))
+    sets = items(members.select("id"))                                   # (id, items)
+    sets = save(sets.join(clusters.withColumnRenamed("id", "x"), _same("id", "x")).drop("x")
+                .join(members.withColumnRenamed("id", "x"), _same("id", "x")).drop("x"), "sets")
+    centres = sets.where("id = cluster").groupBy(F.col("cluster").alias("y")).agg(F.first("items").alias("centre"))
+    apart = F.array_union(F.array_except("items", "centre"), F.array_except("centre", "items"))
+    differing = save(sets.join(centres, _same("cluster", "y")).select(
+        "cluster", "id", "component", apart.alias("apart"), F.size("items").alias("n"), F.size("centre").alias("c"))
+        .withColumn("d", F.size("apart")).withColumn("e", F.col("d") - F.lit(t) * F.col("n"))
+        .withColumn("direct", F.col("e") <= F.lit(t) * F.col("c") + 1e-9), "differing")
+    places = differing.select("cluster", "id", F.explode("apart").alias("x"))
+    counted = places.groupBy(F.col("cluster").alias("k"), F.col("x").alias("z")).agg(F.count(F.lit(1)).alias("often"))
+    lined = (places.join(counted, _same("cluster", "k") & _same("x", "z")).groupBy("id")
+             .agg(F.sort_array(F.collect_list(F.struct("often", "x"))).alias("line")))
+    few = F.floor(F.col("d") - (F.col("e") + F.lit(t) * F.col("c")) / 2 + 1e-6) + 1
+    ranked = save(differing.drop("apart").join(lined.withColumnRenamed("id", "y"), _same("id", "y"))
+                  .select("*", few.alias("few"), F.posexplode("line").alias("at", "o"))
+                  .select("cluster", "id", "component", "direct", "d", "e", "at", (F.col("at") < F.col("few")).alias("early"),
+                          F.col("o.x").alias("x")), "ranked")
+    one, other = ranked.where("early").alias("l"), ranked.where("not direct").alias("r")
+    need = (F.col("l.e") + F.col("r.e")) / 2 - 1e-6
+    shared = one.join(other, (F.col("l.cluster") == F.col("r.cluster")) & (F.col("l.x") == F.col("r.x"))
+                      & (F.col("l.component") != F.col("r.component"))
+                      & (F.col("l.direct") | (F.col("r.early") & (F.col("l.id") < F.col("r.id"))))
+                      & (F.col("l.at") + need <= F.col("l.d")) & (F.col("r.at") + need <= F.col("r.d")))
+    met = shared.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
+    # one that reaches the similarity with the centre but met it in no bucket
+    homes = differing.where("id = cluster").select(F.col("id").alias("y"), F.col("component").alias("home"))
+    late = (differing.where("direct and id <> cluster").join(homes, _same("cluster", "y")).where("component <> home")
+            .select(F.col("cluster").alias("a"), F.col("id").alias("b")))
+    return met.unionAll(late).distinct()
+
+
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float, far: int | None = None,
+         items: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, component) of every linked id.
 
     ``members``: (bucket, id, size), a written table of distinct rows.
@@ -64,9 +122,10 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: fl
     Pairs whose sizes differ by more than ``ratio`` (smaller / larger) cannot
     be linked, nor, where ``members`` has a ``sketch`` (array of longs) and
     ``far`` is given, pairs whose sketches differ in more bits. First every member is compared with one member of its bucket,
-    in STAR_ROUNDS rounds with other centres; then all pairs of a bucket that
-    lie in different components, each in the first bucket that they share. The
-    result is that of comparing all pairs of every bucket.
+    in STAR_ROUNDS rounds with other centres; then the pairs that lie in
+    different components. With ``items`` (ids -> (id, items), the hashed elements of the sets whose
+    Jaccard similarity ``ratio`` is) these are the few of ``_remaining``, else all pairs of a bucket,
+    each in the first bucket that they share. Either way every linked pair of a bucket is joined.
     """
     fits = F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * F.lit(ratio)
     if far is None:
@@ -78,27 +137,11 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: fl
     edges = None
     for turn in range(STAR_ROUNDS + 1):
         if turn < STAR_ROUNDS:
-            rank = F.struct(F.col("id")) if turn == 0 else F.struct(F.xxhash64("bucket", "id", F.lit(turn)), F.col("id"))
-            centre = live.groupBy("bucket").agg(F.min(F.struct(rank.alias("r"), "id", "size", "component", "sketch")).alias("c"))
-            centre = centre.select(F.col("bucket").alias("c_bucket"), F.col("c.id").alias("c_id"),
-                                   F.col("c.size").alias("a_size"), F.col("c.component").alias("c_component"),
-                                   F.col("c.sketch").alias("a_sketch"))
-            pairs = (live.withColumnsRenamed({"size": "b_size", "sketch": "b_sketch"})
-                     .join(centre, _same("bucket", "c_bucket") & (F.col("component") != F.col("c_component")) & fits)
-                     .select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")).distinct())
+            pairs = _with_centres(live, turn, fits)
+        elif items is not None:
+            pairs = _remaining(live, items, ratio)
         else:
-            buckets = live.groupBy(F.col("id").alias("x")).agg(F.collect_set("bucket").alias("buckets"))
-            rich = save(live.join(buckets, _same("id", "x")).drop("x"), "live")
-            left = rich.select("bucket", F.col("id").alias("a"), F.col("size").alias("a_size"),
-                               F.col("component").alias("a_component"), F.col("buckets").alias("a_buckets"),
-                               F.col("sketch").alias("a_sketch"))
-            right = rich.select("bucket", F.col("id").alias("b"), F.col("size").alias("b_size"),
-                                F.col("component").alias("b_component"), F.col("buckets").alias("b_buckets"),
-                                F.col("sketch").alias("b_sketch"))
-            first = F.array_min(F.array_intersect("a_buckets", "b_buckets"))
-            pairs = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a") < F.col("b"))
-                              & (F.col("a_component") != F.col("b_component")) & fits
-                              & (first == left["bucket"])).select("a", "b").distinct()
+            pairs = _all_pairs(live, fits)
         linked = save(verify(pairs), "linked")
         edges = linked if edges is None else edges.unionAll(linked)
         found = components(edges)
@@ -113,3 +156,28 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: fl
         if live.isEmpty():
             break
     return found
+
+
+def _with_centres(live: DataFrame, turn: int, fits) -> DataFrame:
+    """Every member beside the centre of its bucket, another one each turn."""
+    rank = F.struct(F.col("id")) if turn == 0 else F.struct(F.xxhash64("bucket", "id", F.lit(turn)), F.col("id"))
+    centre = live.groupBy("bucket").agg(F.min(F.struct(rank.alias("r"), "id", "size", "component", "sketch")).alias("c"))
+    centre = centre.select(F.col("bucket").alias("c_bucket"), F.col("c.id").alias("c_id"),
+                           F.col("c.size").alias("a_size"), F.col("c.component").alias("c_component"),
+                           F.col("c.sketch").alias("a_sketch"))
+    return (live.withColumnsRenamed({"size": "b_size", "sketch": "b_sketch"})
+            .join(centre, _same("bucket", "c_bucket") & (F.col("component") != F.col("c_component")) & fits)
+            .select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")).distinct())
+
+
+def _all_pairs(live: DataFrame, fits) -> DataFrame:
+    """All pairs of a bucket that lie in different components."""
+    buckets = live.groupBy(F.col("id").alias("x")).agg(F.collect_set("bucket").alias("buckets"))
+    rich = save(live.join(buckets, _same("id", "x")).drop("x"), "live")
+    left, right = (rich.select("bucket", F.col("id").alias(k), F.col("size").alias(f"{k}_size"),
+                               F.col("component").alias(f"{k}_component"), F.col("buckets").alias(f"{k}_buckets"),
+                               F.col("sketch").alias(f"{k}_sketch")) for k in "ab")
+    first = F.array_min(F.array_intersect("a_buckets", "b_buckets"))
+    return left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a") < F.col("b"))
+                     & (F.col("a_component") != F.col("b_component")) & fits
+                     & (first == left["bucket"])).select("a", "b").distinct()

@@ -157,6 +157,23 @@ def _verifier(texts: DataFrame, width: int, percent: int):
     return verify
 
 
+def _sets_of(texts: DataFrame, width: int):
+    """Ids -> their shingle hashes; an id with several texts has those of all."""
+
+    @F.pandas_udf("array<long>")
+    def hashes(text):
+        import pandas as pd
+
+        return pd.Series([shingle_hashes(t, width).view(np.int64) for t in text], dtype=object)
+
+    def items(ids: DataFrame) -> DataFrame:
+        wanted = ids.select(F.col("id").alias("x")).distinct()
+        found = texts.join(wanted, F.col("id").eqNullSafe(F.col("x"))).select("id", hashes("text").alias("items"))
+        return found.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+    return items
+
+
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col="doc_id", text_col="text") -> DataFrame:
     """id, n_shingles, component_id, kept for every row of ``df``."""
     spark = df.sparkSession
@@ -177,7 +194,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col="do
     # the text of a candidate: one row per class (an id with several texts is compared by each of them)
     texts = save(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
                  .join(wanted, F.col("id").eqNullSafe(F.col("x"))).drop("x"), "texts")
-    linked = _links.link(members, _verifier(texts, width, percent), percent / 100, FAR)
+    linked = _links.link(members, _verifier(texts, width, percent), percent / 100, FAR, _sets_of(texts, width))
     edges = classed.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct().unionAll(
         linked.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")))
     final = _links.components(edges)

@@ -95,3 +95,38 @@ def test_components_of_long_chains(spark):
 @pytest.mark.parametrize("text,width,size", [("a b a b", 2, 2), ("a", 2, 1), ("", 2, 0), ("a b c", 5, 1), (None, 2, 0)])
 def test_shingle_sets(text, width, size):
     assert len(N.shingle_set(text, width)) == size == len(N.shingle_hashes(text, width))
+
+
+def test_large_group_below_the_threshold_makes_few_pairs(spark):
+    """Copies that differ from each other by more than the threshold allows share most
+    buckets; linked are only some of them, and no pair of the group must be missed."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+
+    def variant(words, edits):
+        words = list(words)
+        for at in rng.sample(range(len(words)), edits):
+            words[at] = f"x{rng.randrange(10**6)}"
+        return words
+
+    texts = {0: " ".join(base)}
+    for i in range(1, 260):
+        texts[i] = " ".join(variant(base, rng.randint(9, 20)))
+    for i in range(260, 300):                              # linked with one far copy, not with the centre
+        texts[i] = " ".join(variant(texts[i - 100].split(), rng.randint(1, 9)))
+    members, pairs = {}, []
+    real = _links._remaining
+
+    def counted(*args):
+        out = save(real(*args), "counted")
+        pairs.append(out.count())
+        return out
+
+    _links._remaining = counted
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(
+            spark.createDataFrame(list(texts.items()), "doc_id long, text string"), width=2).collect()}
+    finally:
+        _links._remaining = real
+    assert got == brute(texts, 2) and len(set(got.values())) > 50
+    assert pairs and pairs[0] < 2_000                      # of 44,850
