@@ -22,7 +22,7 @@ from ledgerline.oracle import D_EVENTS, D_ORDERS, FIXED_RUN_TS, GIVEN_TABLES, MA
 from ledgerline.plans import access, daily_run, holdings_state, maintenance, marts, run_ledger
 from ledgerline.plans.schemas import MART_DDL, MART_PARTITION
 from ledgerline.session import fresh_path
-from ledgerline.sources import audit, catalog, finance, sinks
+from ledgerline.sources import audit, catalog, finance, jdbc, sinks
 from ledgerline.sources import files as file_source
 from ledgerline.sources.tables import TableSet, rows_with_schema
 
@@ -195,6 +195,32 @@ def _per_user_totals(t: TableSet):
     return inc, exp, fix
 
 
+@register("join_bucketed")
+def q_join_bucketed(spark, sf_dir):
+    """Orders and customers stored in buckets of the customer key, joined and summed per customer without an exchange."""
+    t, ns = TableSet(spark, sf_dir), _namespace(spark)
+    stored = {"customers": (t("customer").select("c_custkey", "c_name"), "c_custkey", "c_custkey BIGINT, c_name STRING"),
+              "orders": (t("orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast(MONEY).alias("o_totalprice")),
+                         "o_custkey", "o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DECIMAL(18,2)")}
+    for name, (df, key, ddl) in stored.items():
+        catalog.create_bucketed_table(spark, f"{ns}.{name}", ddl, [key], 16, fresh_path(spark, name), [key])
+        catalog.write_bucketed(df, f"{ns}.{name}")
+    joined = joins.join_inner_expr(spark.table(f"{ns}.orders"), spark.table(f"{ns}.customers"), "o_custkey", "c_custkey")
+    return joined.groupBy("o_custkey", "c_name").agg(F.count(F.lit(1)).alias("n_orders"), F.sum("o_totalprice").alias("total"))
+
+
+@register("jdbc_splits")
+def q_jdbc_splits(spark, sf_dir):
+    """Rows of lineitem in each of the predicates of an equi-depth split of a skewed column (the order key
+    squared), every row counted once: parts, all rows, and whether the parts are within a factor of 2."""
+    lines = TableSet(spark, sf_dir)("lineitem").select((F.col("l_orderkey") * F.col("l_orderkey")).alias("k"), "l_linenumber")
+    low, high = lines.agg(F.min("k"), F.max("k")).first()
+    predicates = jdbc.equi_depth_predicates(jdbc.frame_histogram(lines, "k"), "k", low, high, 16, "l_linenumber")
+    counts = lines.agg(*[F.count_if(F.expr(p)).alias(f"n{i}") for i, p in enumerate(predicates)])
+    parts = counts.select(F.explode(F.array(*counts.columns)).alias("n"))
+    return parts.agg(F.sum("n").alias("n_rows"), (F.max("n") <= 2 * F.min("n")).alias("even"), (F.count(F.lit(1)) >= 16).alias("enough"))
+
+
 @register("join_left_chain")
 def q_join_left_chain(spark, sf_dir):
     t = TableSet(spark, sf_dir)
