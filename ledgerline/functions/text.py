@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def _col(c) -> Column:
@@ -17,8 +16,7 @@ def concat_colon(left, right) -> Column:
                        F.coalesce(_col(right), F.lit("None")))
 
 
-FAIL_ON_BAD_JSON = {"mode": "FAILFAST"}
-_NAMED = T.ArrayType(T.StructType([T.StructField("name", T.StringType())]))
+_NAMED = "array<struct<name: string>>"
 
 
 def first_present_names(payload, keys: tuple[str, ...]) -> Column:
@@ -29,10 +27,10 @@ def first_present_names(payload, keys: tuple[str, ...]) -> Column:
     A payload that is no valid JSON, and an entry without a name, fail the job:
     a truncated listing must not read as "has nothing".
     """
-    schema = T.StructType([T.StructField(k, _NAMED) for k in keys])
-    parsed = F.from_json(_col(payload), schema, FAIL_ON_BAD_JSON)
-    arrays = [F.when(F.size(parsed[k]) > 0, parsed[k]) for k in keys]
-    chosen = F.coalesce(*arrays, F.array().cast(_NAMED))
+    # parsed once, into a VARIANT; anything but an object fails the cast to a map
+    fields = F.variant_get(F.parse_json(_col(payload)), "$", "map<string, variant>")
+    arrays = F.filter(F.transform(F.array(*map(F.lit, keys)), lambda k: F.try_element_at(fields, k).cast(_NAMED)), lambda a: F.size(a) > 0)
+    chosen = F.coalesce(F.get(arrays, F.lit(0)), F.array().cast(_NAMED))
     return F.transform(chosen, lambda x: F.when(x["name"].isNull(), F.raise_error(F.lit("listing entry without a name")))
                        .otherwise(x["name"]))
 

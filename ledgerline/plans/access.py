@@ -124,7 +124,7 @@ def listings_from_payloads(principal_docs: DataFrame, role_docs: DataFrame,
     rows, so the matrix falls back to its sentinels; a payload that does not
     parse fails the job. Grant order is the order in the document.
     """
-    from ledgerline.functions.text import FAIL_ON_BAD_JSON, first_present_names
+    from ledgerline.functions.text import first_present_names
 
     principals = principal_docs.select("principal_name")
     principal_roles = (principal_docs
@@ -137,7 +137,7 @@ def listings_from_payloads(principal_docs: DataFrame, role_docs: DataFrame,
                                   .alias("catalog_role")))
     grants = (grant_docs
               .select("catalog_role",
-                      F.posexplode(F.from_json("payload", _GRANTS, FAIL_ON_BAD_JSON)["grants"]).alias("grant_order", "g"))
+                      F.posexplode(F.from_json("payload", _GRANTS, {"mode": "FAILFAST"})["grants"]).alias("grant_order", "g"))
               .select("catalog_role", F.col("g.type").alias("grant_type"),
                       F.col("g.privilege").alias("privilege"), "grant_order"))
     return principals, principal_roles, role_catalog_roles, grants
