@@ -40,3 +40,35 @@ def left_anti(left: DataFrame, right: DataFrame, left_key: str, right_key: str)
     """Rows of ``left`` whose key has no match in ``right`` (only the key of right is read)."""
     r = right.select(F.col(right_key).alias("__rk")).distinct()   # pre-aggregated: hot keys collapse map-side
     return left.join(r, left[left_key] == r["__rk"], "left_anti")
+
+
+BITMAP_BITS = 32768                    # bits of one bitmap of bitmap_construct_agg: 4 KB
+
+
+def key_bitmaps(df: DataFrame, key: str, bitmaps: int = 1024) -> DataFrame:
+    """(__bucket, __bits): a hashed bitmap of the keys, at most ``bitmaps`` rows of 4 KB."""
+    slot = F.pmod(F.xxhash64(key), F.lit(bitmaps * BITMAP_BITS))
+    return (df.where(F.col(key).isNotNull()).select(slot.alias("__slot"))
+            .groupBy(F.floor(F.col("__slot") / BITMAP_BITS).cast("int").alias("__bucket"))
+            .agg(F.bitmap_construct_agg(F.col("__slot") % BITMAP_BITS).alias("__bits")))
+
+
+def maybe_in(df: DataFrame, key: str, bitmaps_df: DataFrame, bitmaps: int = 1024) -> DataFrame:
+    """Rows of ``df`` whose key may be among those of the bitmaps: all that are,
+    and few others while the keys are few for the bits. No row is shuffled: the bitmaps are sent
+    to every task, 4 MB by default whatever the size of the table."""
+    slot = F.pmod(F.xxhash64(key), F.lit(bitmaps * BITMAP_BITS))
+    at = slot % BITMAP_BITS
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    found = (df.withColumn("__at", at).withColumn("__in", F.floor(slot / BITMAP_BITS).cast("int"))
+             .join(F.broadcast(bitmaps_df), F.col("__in") == F.col("__bucket")))
+    return found.where(F.bit_get(byte, (F.col("__at") % 8).cast("int")) == 1).select(*df.columns)
+
+
+def left_anti_prefiltered(left: DataFrame, right: DataFrame, left_key: str, right_key: str, bitmaps: int = 1024) -> DataFrame:
+    """``left_anti`` for a right side that is much larger than the left: only the
+    right rows whose key may occur on the left reach the exact join. The keys must be of one type. Reads the left twice."""
+    if left.schema[left_key].dataType != right.schema[right_key].dataType:
+        raise ValueError(f"keys of different types: {left_key}, {right_key}")
+    near = maybe_in(right.select(F.col(right_key).alias("__rk")), "__rk", key_bitmaps(left, left_key, bitmaps), bitmaps)
+    return left_anti(left, near, left_key, "__rk")

@@ -298,6 +298,7 @@ FROM lookup l LEFT JOIN privs p ON l.catalog_role = p.catalog_role"""
                          f"WHERE o_orderdate < TIMESTAMP '{d_o} 00:00:00' - INTERVAL 1 DAY "
                          f"AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL)")
     q["orphan_addresses"] = q["orphan_files"]
+    q["anti_join_prefiltered"] = q["orphan_files"]
     q["join_bucketed"] = ("SELECT o_custkey, c_name, count(*) AS n_orders, "
                           "CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total "
                           "FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey, c_name")

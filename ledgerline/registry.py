@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline import functions as fn
+from ledgerline.functions.dates import as_date
 from ledgerline.functions.money import MONEY, PORTFOLIO, PRICE, QUANTITY
 from ledgerline.operators import aggregates, columns, filters, joins, sorting, windows
 from ledgerline.oracle import D_EVENTS, D_ORDERS, FIXED_RUN_TS, GIVEN_TABLES, MART_DIGEST, TABLE_KEYS
@@ -267,6 +268,15 @@ def q_orphan_files(spark, sf_dir):
                                     now=D_ORDERS)
 
 
+@register("anti_join_prefiltered")
+def q_anti_join_prefiltered(spark, sf_dir):
+    """As orphan_files: old orders without lines, the lines cut down by a bitmap of those orders' keys first."""
+    t = TableSet(spark, sf_dir)
+    old = filters.on_or_before_day(t("orders").select(F.col("o_orderkey").alias("file_id"), F.col("o_orderdate").alias("modified_at")),
+                                   "modified_at", as_date(D_ORDERS) - _dt.timedelta(days=2))
+    return joins.left_anti_prefiltered(old, t("lineitem").select("l_orderkey"), "file_id", "l_orderkey")
+
+
 def _spelt(key, turn):
     """The address of file ``key``, spelt as one of five kinds of listing would."""
     name = F.concat(F.lit("store/part="), F.pmod(key, F.lit(50)).cast("string"))

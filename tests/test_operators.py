@@ -228,3 +228,24 @@ def test_named_source_tables_are_normalised(spark):
     assert dict(src.expense_categories.dtypes)["id"] == "int"
     assert src.goals.first().deadline == dt.date(2024, 2, 1)
     assert src.price_history.select("price_id").first()[0] is not None
+
+
+def test_bitmap_prefilter_keeps_the_result_and_drops_rows(spark):
+    import pytest
+
+    left = spark.range(0, 3000, 7).select(F.col("id").alias("k"), F.lit("x").alias("__at")).unionByName(
+        spark.createDataFrame([(None, "null"), (1, "dup"), (1, "dup")], "k long, __at string"))
+    right = spark.range(0, 200_000, 2).select(F.col("id").alias("r")).unionByName(spark.createDataFrame([(None,)], "r long"))
+    want = sorted(map(str, joins.left_anti(left, right, "k", "r").collect()))
+    for bitmaps in (1, 16, 1024):
+        bits = joins.key_bitmaps(left, "k", bitmaps)
+        assert bits.count() <= bitmaps
+        near = joins.maybe_in(right, "r", bits, bitmaps)
+        kept = {r.r for r in near.collect()}
+        assert set(range(0, 3000, 14)) <= kept            # none of the common keys is lost
+        assert sorted(map(str, joins.left_anti_prefiltered(left, right, "k", "r", bitmaps).collect())) == want
+    assert len(kept) < 300                                 # of 100,000: few rows reach the exact join
+    assert joins.left_anti_prefiltered(left.limit(0), right, "k", "r").collect() == []
+    assert joins.left_anti_prefiltered(left, right.limit(0), "k", "r").count() == left.count()
+    with pytest.raises(ValueError):
+        joins.left_anti_prefiltered(left, right.selectExpr("string(r) r"), "k", "r")
