@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from pathlib import Path
@@ -66,6 +67,20 @@ def held_out(id_col):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == HELD_OUT_FOLD, F.lit(False))
 
 
+_held: dict[tuple, object] = {}
+
+
+def one_model(owner: str, key: int, build):
+    """What a Python worker keeps between tasks: one object, built when first
+    asked for. Asking for another one drops it, so a reused worker does not hold the
+    models of stages that are over."""
+    if (owner, key) not in _held:
+        _held.clear()
+        gc.collect()
+        _held[owner, key] = build()
+    return _held[owner, key]
+
+
 _BASE = 0x9E3779B97F4A7C15                   # odd, so powers have inverses modulo 2**64
 _INV = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)

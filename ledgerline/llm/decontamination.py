@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import PrefixHash
+from ._util import PrefixHash, one_model
 
 Q, SEGMENT, EDITS, MIN_BYTES = 8, 120, 0.1, 32
 VERBATIM = 80               # at most SEGMENT
@@ -232,9 +232,6 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
         yield block
 
 
-_searchers: dict[int, Searcher] = {}
-
-
 def _matcher(sent, key: int):
     @F.pandas_udf("array<struct<item:bigint,edits:int,start:bigint,end:bigint>>")
     def match(text):
@@ -242,10 +239,7 @@ def _matcher(sent, key: int):
 
         from ledgerline.llm import decontamination as module
 
-        if key not in module._searchers:
-            module._searchers.clear()
-            module._searchers[key] = module.Searcher(sent.value)
-        find = module._searchers[key].search
+        find = module.one_model("decontamination", key, lambda: module.Searcher(sent.value)).search
         return pd.Series([[{"item": i, "edits": e, "start": s, "end": t} for i, e, s, t in find(x)]
                           for x in text.where(text.notna(), None)])
 

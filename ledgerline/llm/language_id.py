@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import held_out, save
+from ._util import held_out, one_model, save
 
 #: Bounds of the fitted sample: documents per language, characters per language
 #: (after normalisation), characters in total (shared when languages are many).
@@ -215,9 +215,6 @@ def training_texts(df: DataFrame, id_col="doc_id", text_col="text", lang_col="la
     return {lang: " ".join(texts) for lang, texts in out.items()}
 
 
-_parsers: dict[int, CrossParser] = {}
-
-
 def predictor(spark, training: dict[str, str]):
     """Column function text -> struct(lang_pred, score). Only the training
     texts are sent; each Python worker builds the automata once."""
@@ -230,10 +227,8 @@ def predictor(spark, training: dict[str, str]):
 
         from ledgerline.llm import language_id as module
 
-        if key not in module._parsers:
-            module._parsers.clear()
-            module._parsers[key] = module.CrossParser(sent.value)
-        lang, score = module._parsers[key].predict(text.where(text.notna(), None).tolist())
+        parser = module.one_model("language_id", key, lambda: module.CrossParser(sent.value))
+        lang, score = parser.predict(text.where(text.notna(), None).tolist())
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
     return predict

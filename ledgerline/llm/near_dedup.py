@@ -10,8 +10,8 @@ with the defaults a pair at similarity 0.8 shares no band with a probability
 of 8e-6. One bit of each value is kept as a sketch; pairs of a band whose
 sketches differ in more than FAR bits (1e-8 at similarity 0.8) are not compared.
 
-Documents of equal fingerprint form a class; only one per class, its smallest
-id, takes part in banding. Candidates are compared on their full sets of word
+Documents of equal word sequence (by the first 128 bits of its sha256) form a class; only one per class, its smallest
+id, takes part in banding. All other candidates are compared on their full sets of word
 tuples. Links are completed by ``_links.link`` and turned into components.
 
 Null and empty texts and texts without a word have an empty set and are linked
@@ -22,6 +22,8 @@ with nothing, have a null component and are kept.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +51,31 @@ def shingle_set(text: str | None, width: int) -> set:
     return set(zip(*(words[i:] for i in range(width))))
 
 
+_PRIME, _RADIX = (1 << 31) - 1, 1_103_515_245
+_LETTER = np.random.default_rng(43).integers(1, _PRIME, 256, dtype=np.uint64)
+_radix_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the radix and of its inverse modulo the prime."""
+    while len(_radix_powers[0]) < n:
+        for k, base in enumerate((_RADIX, pow(_RADIX, -1, _PRIME))):
+            known = _radix_powers[k]
+            _radix_powers[k] = np.concatenate([known, known * np.uint64(pow(base, len(known), _PRIME)) % np.uint64(_PRIME)])
+    return _radix_powers[0][:n], _radix_powers[1][:n]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words of a byte string: a polynomial modulo 2**64, which
+    words of a self-similar pattern can collide in, mixed with one modulo a prime and the word's length."""
+    prime, (power, inverse) = np.uint64(_PRIME), _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LETTER[data] * power[: len(data)] % prime, out=sums[1:])
+    second = (sums[ends] - sums[starts]) % prime * inverse[starts] % prime
+    length = (ends - starts).astype(np.uint64)
+    return mix64(PrefixHash(data).of(starts, ends) ^ mix64(second + (length << np.uint64(32))))
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER_TABLE = np.frombuffer(_LOWER, np.uint8)
@@ -65,7 +92,7 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return np.zeros(0, np.uint64)
-    hashes = PrefixHash(data).of(starts, ends)
+    hashes = word_hashes(data, starts, ends)
     many = max(1, len(hashes) - width + 1)
     out = np.full(many, np.uint64(min(width, len(hashes))))
     for i in range(min(width, len(hashes))):
@@ -73,6 +100,13 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.unique(out)
 
 
+def sequence_key(text: str) -> tuple[int, int]:
+    """128 bits of the sha256 of a text's words, equal for equal word sequences only."""
+    words = b" ".join(text.encode("utf-8", "surrogatepass").translate(_LOWER).split())
+    digest = hashlib.sha256(words).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:16], "little", signed=True)
+
+
 def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(band keys, sketch) of a non-empty set of shingle hashes: BANDS and
     SKETCH int64. The sketch holds one hashed bit of every signature value."""
@@ -93,7 +127,7 @@ def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(df: DataFrame, width: int, id_col="doc_id", text_col="text") -> DataFrame:
-    """id, n_shingles, f1, f2 (set fingerprint), bands (packed int64 keys)."""
+    """id, n_shingles, f1, f2 (word sequence), bands (packed int64 keys)."""
 
     @F.pandas_udf("n long, f1 long, f2 long, bands binary, sketch array<long>")
     def scan(text):
@@ -105,10 +139,8 @@ def fingerprints(df: DataFrame, width: int, id_col="doc_id", text_col="text") ->
             if not len(h):
                 rows.append((0, 0, 0, None, None))
                 continue
-            f1 = h.sum(dtype=np.uint64)
-            f2 = mix64(h + np.uint64(0x589965CC75374CC3)).sum(dtype=np.uint64)
             keys, sketch = signature(h)
-            rows.append((len(h), int(f1.view(np.int64)), int(f2.view(np.int64)), keys.tobytes(), sketch))
+            rows.append((len(h), *sequence_key(t), keys.tobytes(), sketch))
         return pd.DataFrame(rows, columns=["n", "f1", "f2", "bands", "sketch"])
 
     return df.select(F.col(id_col).alias("id"), scan(F.col(text_col)).alias("s")).select("id", "s.*")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import save
+from ._util import one_model, save
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK, BLOCK = 1 << 16, 64
@@ -256,21 +256,15 @@ def states(matrices: list[np.ndarray], entry: int, leave: int) -> list[int]:
     return out[::-1]
 
 
-_coders: dict[int, Coder] = {}
-
-
 def _coder(sent, key: int) -> Coder:
     from ledgerline.llm import piece_coding as module
 
-    if key not in module._coders:
-        module._coders.clear()
-        module._coders[key] = module.Coder(sent.value)
-    return module._coders[key]
+    return module.one_model("piece_coding", key, lambda: module.Coder(sent.value))
 
 
 def _send(spark, vocabulary):
     vocabulary = load_vocabulary() if vocabulary is None else vocabulary
-    key = hash((len(vocabulary["pieces"]), tuple(sorted(vocabulary["pieces"].items())[:50]), vocabulary["bytes"][0]))
+    key = hash((tuple(sorted(vocabulary["pieces"].items())), tuple(vocabulary["bytes"])))
     return spark.sparkContext.broadcast(vocabulary), key, max(map(len, vocabulary["pieces"]))
 
 

@@ -130,3 +130,38 @@ def test_large_group_below_the_threshold_makes_few_pairs(spark):
         _links._remaining = real
     assert got == brute(texts, 2) and len(set(got.values())) > 50
     assert pairs and pairs[0] < 2_000                      # of 44,850
+
+
+def test_self_similar_words_are_told_apart(spark):
+    a = "a"
+    for _ in range(10):                                    # a Thue-Morse word and its complement
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    text = f"{a} x {b} x {a}"
+    assert len(N.shingle_hashes(text, 2)) == len(N.shingle_set(text, 2)) == 4
+    texts = {1: f"{a} {a} {b}", 2: f"{b} {b} {a}", 3: f"{a}\n{a}  {b.upper()}", 4: f"{b} {a}"}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(
+        spark.createDataFrame(list(texts.items()), "doc_id long, text string"), width=2).collect()}
+    want = brute({i: t for i, t in texts.items()}, 2)
+    assert got == {i: (len(N.shingle_set(t, 2)), want[i]) for i, t in texts.items()}
+
+
+def test_word_hashes_against_words():
+    rng = random.Random(4)
+    words = ["".join(rng.choices("ab", k=rng.randint(1, 9))).encode() for _ in range(3000)]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - [len(w) for w in words]
+    hashes = N.word_hashes(data, starts, ends)
+    by = {}
+    for w, h in zip(words, hashes.tolist()):
+        assert by.setdefault(w, h) == h
+    assert len(set(by.values())) == len(by)
+
+
+def test_equal_sets_in_another_order_are_linked(spark):
+    one = " ".join(f"w{i}" for i in range(30))
+    texts = {1: f"{one} {one} {one}", 2: f"{one} {one}", 3: f"{one}  {one}"}
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(
+        spark.createDataFrame(list(texts.items()), "doc_id long, text string"), width=2).collect()}
+    assert got == {1: 1, 2: 1, 3: 1}

@@ -70,3 +70,22 @@ def test_columns_and_empty_table(spark, table):
             assert out.columns == docs.columns
             docs = out
     assert language_id.UNDETERMINED == "und"
+
+
+def test_a_worker_holds_one_model():
+    from ledgerline.llm import _util
+
+    built = []
+    make = lambda name: lambda: built.append(name) or name
+    assert [_util.one_model("a", 1, make("x")), _util.one_model("a", 1, make("y")), _util.one_model("b", 1, make("z"))] == ["x", "x", "z"]
+    assert list(_util._held) == [("b", 1)] and built == ["x", "z"]
+    assert _util.one_model("a", 1, make("again")) == "again"
+
+
+def test_vocabularies_that_differ_late_have_their_own_keys(spark):
+    words = piece_coding.load_vocabulary()
+    other = {"pieces": dict(words["pieces"]), "bytes": words["bytes"]}
+    last = max(other["pieces"])
+    other["pieces"][last] = (other["pieces"][last][0], other["pieces"][last][1] + 1)
+    assert piece_coding._send(spark, words)[1] != piece_coding._send(spark, other)[1]
+    assert piece_coding._send(spark, words)[1] == piece_coding._send(spark, dict(words))[1]
