@@ -41,6 +41,7 @@ from ._util import PrefixHash, save
 LENGTH, KMER = 200, 40
 _PIECE = 4 << 20                 # windows of a document handled at once
 BUCKET_BYTES = 3 << 20
+INDEX_BYTES = 1 << 20            # text of one index; a bucket is indexed in parts of whole anchors
 GROUP_CELLS = 10_000             # distinct cells of one anchor that go into a bucket
 
 
@@ -166,6 +167,19 @@ def _runs(flags: np.ndarray):
     return edge[::2], edge[1::2]
 
 
+def _whole_anchors(g: np.ndarray, sizes: np.ndarray) -> list[slice]:
+    """Runs of rows of about INDEX_BYTES together that divide no anchor (``g`` is
+    sorted). Equal windows have equal anchors, so no match lies across two runs."""
+    edges = np.concatenate((np.flatnonzero(np.diff(g, prepend=~g[:1])), [len(g)]))
+    before = np.concatenate(([0], np.cumsum(sizes)))
+    out, start = [], 0
+    for end in edges[1:].tolist():
+        if before[end] - before[start] >= INDEX_BYTES or end == len(g):
+            out.append(slice(start, end))
+            start = end
+    return out
+
+
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """k, t: name of a document (equal rows share it); body: its bytes."""
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
@@ -241,15 +255,16 @@ def repeated_spans(df: DataFrame, id_col="doc_id", text_col="text", length=LENGT
     def index(pdf):
         import pandas as pd
 
-        pdf = pdf.drop_duplicates(["k", "t", "at"]).sort_values(["k", "t", "at"])
-        strings = pdf["bytes"].tolist()
-        best, starts, _ = matching_statistics(strings)
+        pdf = pdf.drop_duplicates(["k", "t", "at"]).sort_values(["g", "k", "t", "at"])
         rows = []
-        for k, t, at, single, s in zip(pdf["k"], pdf["t"], pdf["at"], pdf["single"], starts.tolist()):
-            if single:
-                first, more = at >> 16, at & 0xFFFF
-                for lo, hi in zip(*_runs(best[s: s + more + 1] >= length)):
-                    rows.append((k, t, first + lo, first + hi - 1 + length))
+        for part in _whole_anchors(pdf["g"].to_numpy(), pdf["bytes"].str.len().to_numpy()):
+            some = pdf.iloc[part]
+            best, starts, _ = matching_statistics(some["bytes"].tolist())
+            for k, t, at, single, s in zip(some["k"], some["t"], some["at"], some["single"], starts.tolist()):
+                if single:
+                    first, more = at >> 16, at & 0xFFFF
+                    for lo, hi in zip(*_runs(best[s: s + more + 1] >= length)):
+                        rows.append((k, t, first + lo, first + hi - 1 + length))
         return pd.DataFrame(rows, columns=["k", "t", "lo", "hi"])
 
     span = "k long, t long, lo long, hi long"

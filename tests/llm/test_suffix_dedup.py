@@ -82,3 +82,18 @@ def test_odd_rows(spark):
     n = len(a)
     assert got == sorted([(1, 0, 0), (2, 0, 0), (3, n, n), (3, n, n), (None, 199, 0), (None, 300, 300), (4, 300, 300), (5, 5, 0)], key=str)
     assert S.remove_repeats(df.limit(0)).collect() == []
+
+
+def test_parts_of_a_bucket_divide_no_anchor(monkeypatch):
+    from ledgerline.llm import suffix_dedup as S
+
+    monkeypatch.setattr(S, "INDEX_BYTES", 100)
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 50, 400):
+        g = np.sort(rng.integers(-20, 20, n))
+        sizes = rng.integers(1, 60, n)
+        parts = S._whole_anchors(g, sizes)
+        assert [i for p in parts for i in range(p.start, p.stop)] == list(range(n))
+        assert all(g[a.stop - 1] != g[b.start] for a, b in zip(parts, parts[1:]))
+        assert all(sizes[p].sum() >= 100 for p in parts[:-1])
+    assert S._whole_anchors(np.zeros(0, np.int64), np.zeros(0, np.int64)) == []
