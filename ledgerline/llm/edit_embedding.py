@@ -46,10 +46,11 @@ ROWS = 8                                # digits of a band
 MAX_EDITS = 0.1
 PERIOD = 1 << 13                        # steps after which the coins repeat
 CLASSES = 128                           # the coins know a character by its lowest bits
-GROUP_CHARS, GROUP_TEXTS = 1 << 22, 512  # texts that walk side by side
-PIECE_CHARS, PIECE_TEXTS = 1 << 22, 4096  # texts that a stream holds at once, about
+GROUP_TEXTS = 256                       # texts that walk side by side
+PIECE_CHARS, PIECE_TEXTS = 1 << 24, 8192  # texts that a stream holds at once, about
 NARROW = 24                             # fewer texts than these walk one by one
-BLOCK = 1024                            # characters walked before samples are taken
+TILE = 64                               # steps turned round at once, from by step to by text
+BLOCK = 4096                            # characters walked before samples are taken
 _END = 0x110000                         # emitted by an empty text
 _SALT = mix64(np.arange(1, WALKS * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
@@ -101,9 +102,9 @@ def _digits(symbols: np.ndarray) -> bytes:
     return _HEX[(mix64(symbols.astype(np.uint64) + _SALT) >> np.uint64(60)).astype(np.intp)].tobytes()
 
 
-def _walk(group: list[np.ndarray]) -> list[bytes]:
-    """Fingerprints of non-empty texts (code points), longest first. All texts
-    take their i-th character at once; samples are taken block by block."""
+def _walk(group: list[str]) -> list[bytes]:
+    """Fingerprints of non-empty texts, longest first. All texts take their
+    i-th character at once; samples are taken block by block."""
     coins, many = _coins(), len(group)
     lengths = np.array([len(t) for t in group])
     symbols = np.zeros((many, WALKS * SAMPLES), np.int64)
@@ -113,32 +114,36 @@ def _walk(group: list[np.ndarray]) -> list[bytes]:
     for start in range(0, int(lengths[0]), BLOCK):
         live = int((lengths > start).sum())
         steps = min(BLOCK, int(lengths[0]) - start)
+        codes = [np.frombuffer(t[start: start + steps].encode("utf-32-le", "surrogatepass"), np.uint32) for t in group[:live]]
         classes = np.zeros((live, steps), np.int32)
-        for k in range(live):
-            part = group[k][start: start + steps]
+        for k, part in enumerate(codes):
             classes[k, : len(part)] = (part & (CLASSES - 1)) * np.uint32(PERIOD)
         active = (lengths[:live, None] > start + np.arange(steps)[None, :]).sum(axis=0)
         together = int((active >= NARROW).sum())
-        ends = np.empty((steps, WALKS, live), np.int64)
+        ends = np.empty((live, WALKS, steps), np.int64)
+        tile = np.empty((TILE, WALKS, live), np.int64)
         began = time[:, :live].copy()
         now = began.copy()
         columns = np.ascontiguousarray(classes[:, :together].T)
-        for i in range(together):
-            if active[i] < now.shape[1]:            # ended texts stand still, at the right
-                now = now[:, : active[i]].copy()
-            at = now & (PERIOD - 1)
-            at += columns[i, : active[i]]
-            at += offset
-            now += coins[at]
-            ends[i, :, : active[i]] = now
+        for first in range(0, together, TILE):
+            last = min(first + TILE, together)
+            for i in range(first, last):
+                if active[i] < now.shape[1]:        # ended texts stand still, at the right
+                    now = now[:, : active[i]].copy()
+                at = now & (PERIOD - 1)
+                at += columns[i, : active[i]]
+                at += offset
+                now += coins[at]
+                tile[i - first, :, : active[i]] = now
+            ends[:, :, first:last] = tile[: last - first].transpose(2, 1, 0)
         for k in range(int(active[together]) if together < steps else 0):
-            rest = classes[k, together: int(lengths[k]) - start].tolist()
+            rest = classes[k, together: len(codes[k])].tolist()
             for w, moves in enumerate(_coin_bytes()):
                 t = int(now[w, k])
-                ends[together: together + len(rest), w, k] = [t := t + moves[c + (t & (PERIOD - 1))] for c in rest]
+                ends[k, w, together: together + len(rest)] = [t := t + moves[c + (t & (PERIOD - 1))] for c in rest]
         for k in range(live):
-            n = min(int(lengths[k]) - start, steps)
-            own = ends[:n, :, k].T
+            n = len(codes[k])
+            own = ends[k, :, :n]
             time[:, k] = own[:, -1]
             wanted = _samples(time[:, k])
             due = wanted >= began[:, k, None]
@@ -146,7 +151,7 @@ def _walk(group: list[np.ndarray]) -> list[bytes]:
             place = np.searchsorted(flat, (wanted + shift).ravel(), side="right").reshape(WALKS, SAMPLES)
             place -= np.arange(WALKS)[:, None] * n
             due = due.ravel()
-            symbols[k, due] = group[k][start + place.ravel()[due]]
+            symbols[k, due] = codes[k][place.ravel()[due]]
     return [_digits(row) for row in symbols]
 
 
@@ -155,14 +160,10 @@ def fingerprint_texts(texts: list[str]) -> list[str]:
     order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: -len(texts[i]))
     blank = _digits(np.full(WALKS * SAMPLES, _END)).decode()
     out = [blank] * len(texts)
-    start = 0
-    while start < len(order):
-        widest = len(texts[order[start]])
-        group = order[start: start + max(1, min(GROUP_TEXTS, GROUP_CHARS // widest))]
-        codes = [np.frombuffer(texts[i].encode("utf-32-le", "surrogatepass"), np.uint32) for i in group]
-        for i, made in zip(group, _walk(codes)):
+    for start in range(0, len(order), GROUP_TEXTS):
+        group = order[start: start + GROUP_TEXTS]
+        for i, made in zip(group, _walk([texts[i] for i in group])):
             out[i] = made.decode()
-        start += len(group)
     return out
 
 

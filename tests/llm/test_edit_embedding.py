@@ -58,7 +58,8 @@ def test_fingerprints_against_single_steps(monkeypatch):
     want = [brute_fingerprint(t) for t in texts]
     assert ee.fingerprint_texts(texts) == want
     monkeypatch.setattr(ee, "BLOCK", 64)                  # texts longer than a block, groups of few texts
-    monkeypatch.setattr(ee, "GROUP_CHARS", 1000)
+    monkeypatch.setattr(ee, "GROUP_TEXTS", 3)
+    monkeypatch.setattr(ee, "NARROW", 2)
     assert ee.fingerprint_texts(texts[::-1]) == want[::-1]
     assert ee.fingerprint_texts([]) == []
     assert len(want[0]) == ee.WALKS * ee.SAMPLES
