@@ -18,11 +18,6 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def to_type(c, dtype: str) -> Column:
-    """Plain cast (HALF_UP rounding for decimals); raises on overflow under ANSI."""
-    return _col(c).cast(dtype)
-
-
 def safe_pct(numerator, denominator, dtype: str = PCT) -> Column:
     """``denominator > 0 ? numerator / denominator * 100 : 0``.
 

@@ -32,7 +32,7 @@ def first_constant(df: DataFrame, keys: list[str], col: str, alias: str, count_a
 
 
 def ordered_string_agg(df: DataFrame, keys: list[str], order_col: str, value_col: str,
-                       alias: str, sep: str = ", ", empty: str | None = None) -> DataFrame:
+                       alias: str, sep: str = ", ") -> DataFrame:
     """Values of each group joined by ``sep`` in ``order_col`` order.
 
     ``collect_list`` alone has no defined order after a shuffle, so each value
@@ -41,6 +41,4 @@ def ordered_string_agg(df: DataFrame, keys: list[str], order_col: str, value_col
     pairs = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"),
                                                  F.col(value_col).alias("v"))))
     joined = F.array_join(F.transform(pairs, lambda x: x["v"]), sep)
-    if empty is not None:
-        joined = F.when(F.size(pairs) > 0, joined).otherwise(F.lit(empty))
     return df.groupBy(*keys).agg(joined.alias(alias))

@@ -45,6 +45,3 @@ MART_COLUMNS = {
 }
 
 MART_PARTITION = {name: part for name, (_, part) in MART_DDL.items()}
-
-ACCESS_MATRIX_DDL = ("principal_name STRING NOT NULL, principal_role STRING NOT NULL, "
-                     "catalog_name STRING NOT NULL, catalog_role STRING NOT NULL, privileges STRING")

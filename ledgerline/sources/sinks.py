@@ -7,9 +7,8 @@ present in the batch (and an empty batch would empty the table).
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 DYNAMIC = "dynamic"
 
@@ -49,19 +48,6 @@ def overwrite(df: DataFrame, path: str, partition_col: str | None = None) -> Non
     w.parquet(path)
 
 
-@contextmanager
-def _session_conf(spark: SparkSession, key: str, value: str):
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        if old is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, old)
-
-
 def append_table(df: DataFrame, table: str) -> None:
     """Append to a catalog table by column name."""
     cols = df.sparkSession.table(table).columns
@@ -69,11 +55,18 @@ def append_table(df: DataFrame, table: str) -> None:
 
 
 def overwrite_table_partitions(df: DataFrame, table: str) -> None:
-    """Dynamic partition overwrite of a catalog table. The writer option is
-    ignored by ``insertInto``, so the session setting is switched for the call
-    (other writes running concurrently in the same session would see it; the
-    path-based ``overwrite_partitions`` carries the mode per write instead)."""
+    """Dynamic partition overwrite of a partitioned catalog table stored as Parquet.
+
+    ``insertInto`` ignores the writer's overwrite mode and would need a session-wide
+    setting, which other threads of the session would see. So the batch, cast to the table's types, is
+    written to the table's folder with the mode of this write alone; new partitions are then added to the catalog."""
     spark = df.sparkSession
-    cols = spark.table(table).columns
-    with _session_conf(spark, "spark.sql.sources.partitionOverwriteMode", DYNAMIC):
-        df.select(*cols).write.insertInto(table, overwrite=True)
+    columns = spark.catalog.listColumns(table)
+    parts = [c.name for c in columns if c.isPartition]
+    where = [r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect() if r.col_name == "Location"]
+    if not parts or not where:
+        raise ValueError(f"{table} is not a partitioned table with a folder of its own")
+    (df.select(*[F.col(c.name).cast(c.dataType).alias(c.name) for c in columns]).write.mode("overwrite")
+     .option("partitionOverwriteMode", DYNAMIC).partitionBy(*parts).parquet(where[0]))
+    spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+    spark.catalog.refreshTable(table)
