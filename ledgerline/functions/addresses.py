@@ -20,12 +20,60 @@ DEFAULT_PORT = {"hdfs": "8020"}
 _SCHEME = "[A-Za-z][A-Za-z0-9+.-]*"
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)``, the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _unescape(path: Column) -> Column:
     """%XX decoded once; a plus sign and a stray % stay as they are."""
     sound = F.regexp_replace(path, "%(?![0-9A-Fa-f]{2})", "%25")
     return F.url_decode(F.replace(sound, F.lit("+"), F.lit("%2B")))
 
 
+def _decoded(path: Column, escapes: int) -> Column:
+    """``_unescape`` so often; an address without an escape is left alone."""
+    c = path
+    for _ in range(escapes):
+        c = _let(c, lambda x: F.when(F.contains(x, F.lit("%")) & x.rlike("%[0-9A-Fa-f]{2}"), _unescape(x)).otherwise(x))
+    return c
+
+
+def _renamed(head: str) -> str:
+    """Scheme and authority in canonical form."""
+    head = head.lower()
+    for names, kept in SAME_STORE.items():
+        head = re.sub(f"^{names}://", f"{kept}://", head)
+    for name, port in DEFAULT_PORT.items():
+        head = re.sub(f"^({name}://[^/]*):{port}$", r"\1", head)
+    return head
+
+
+def _with_scheme(c: Column, default_scheme: str, default_authority: str) -> Column:
+    """An address that does not begin with a slash: scheme and authority canonical."""
+    replace = F.regexp_replace
+    c = replace(c, f"^(?!{_SCHEME}:/)/*", f"{default_scheme}://{default_authority}/")
+    c = replace(replace(c, f"^({_SCHEME}):/(?!/)", "$1:///"), f"^({_SCHEME}):/{{3,}}", "$1:///")
+    c = _let(c, lambda x: F.concat(F.lower(F.regexp_extract(x, "^[^/]*//[^/]*", 0)), replace(x, "^[^/]*//[^/]*", "")))
+    if default_authority:
+        c = replace(c, f"^{default_scheme}:///", f"{default_scheme}://{default_authority}/")
+    for names, kept in SAME_STORE.items():
+        c = replace(c, f"^{names}://", f"{kept}://")
+    for name, port in DEFAULT_PORT.items():
+        c = replace(c, f"^({name}://[^/]*):{port}(?=/|$)", "$1")
+    return c
+
+
+def _tidy(c: Column) -> Column:
+    """Repeated slashes, ``/./`` and a closing slash removed; each pattern is tried only where it can match."""
+    replace = F.regexp_replace
+    c = _let(c, lambda x: F.when(F.contains(x, F.lit("/./")), replace(x, r"/(\./)+", "/")).otherwise(x))
+    c = _let(c, lambda x: F.when(F.contains(F.substr(x, F.locate("://", x) + 3), F.lit("//")),
+                                 replace(x, "(?<!:)(?<!:/)/{2,}", "/")).otherwise(x))
+    # $ also matches before a closing line break
+    return _let(c, lambda x: F.when(F.substring(x, -1, 1).isin("/", *"\n\r\u0085\u2028\u2029"), replace(x, "(?<!/)/$", "")).otherwise(x))
+
+
 def canonical(address, escapes: int = 0, default_scheme: str = "file", default_authority: str = "") -> Column:
     """Canonical form of an address.
 
@@ -36,20 +84,10 @@ def canonical(address, escapes: int = 0, default_scheme: str = "file", default_a
     (``_metadata.file_path``, ``input_file_name()``). NULL stays NULL.
     """
     c = F.col(address) if isinstance(address, str) else address
-    replace = F.regexp_replace
-    c = replace(c, f"^(?!{_SCHEME}:/)/*", f"{default_scheme}://{default_authority}/")
-    c = replace(replace(c, f"^({_SCHEME}):/(?!/)", "$1:///"), f"^({_SCHEME}):/{{3,}}", f"$1:///")
-    c = F.concat(F.lower(F.regexp_extract(c, "^[^/]*//[^/]*", 0)), replace(c, "^[^/]*//[^/]*", ""))
-    if default_authority:
-        c = replace(c, f"^{default_scheme}:///", f"{default_scheme}://{default_authority}/")
-    for names, kept in SAME_STORE.items():
-        c = replace(c, f"^{names}://", f"{kept}://")
-    for name, port in DEFAULT_PORT.items():
-        c = replace(c, f"^({name}://[^/]*):{port}(?=/|$)", "$1")
-    for _ in range(escapes):
-        c = _unescape(c)
-    c = replace(replace(c, r"/(\./)+", "/"), "(?<!:)(?<!:/)/{2,}", "/")
-    return replace(c, "(?<!/)/$", "")
+    home = _renamed(f"{default_scheme}://{default_authority}") + "/"
+    placed = _let(c, lambda x: F.when(F.startswith(x, F.lit("/")), F.concat(F.lit(home), F.ltrim(x, F.lit("/"))))
+                  .otherwise(_with_scheme(x, default_scheme, default_authority)))
+    return _tidy(_decoded(placed, escapes))
 
 
 #: Decoding so often makes any two spellings of a path equal, however often they

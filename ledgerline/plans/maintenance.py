@@ -60,6 +60,16 @@ def _key(df: DataFrame, col: str) -> Column:
     return canonical(df[col], ANY_SPELLING, *default_filesystem(df.sparkSession))
 
 
+def _join_key(df: DataFrame, col: str) -> Column:
+    """``_key`` for a join: "" for NULL, which no address has. Of a key that may be NULL a join
+    drops the NULLs first and computes the whole address for that a second time."""
+    key = _key(df, col)
+    return F.coalesce(key, F.lit("")) if isinstance(df.schema[col].dataType, T.StringType) else key
+
+
+FIRST_FOLDERS = 1000                   # folders of listed files that are looked for before all of them
+
+
 class ForeignListing(ValueError):
     """A listing that cannot be one of the files it is compared with."""
 
@@ -69,7 +79,11 @@ def _check_same_place(files: DataFrame, refs: DataFrame) -> None:
 
     Compared with a listing of another place (or spelt in a way that
     ``canonical`` does not know) every file would come out as an orphan."""
-    if files.isEmpty():
+    folders = {r[0] for r in files.select(folder(F.col("__key"))).take(FIRST_FOLDERS)}
+    if not folders:
+        return
+    # one shared folder settles it, and usually turns up in the first rows read
+    if refs.where(folder(F.col("__ref")).isin(*folders)).take(1):
         return
     there = refs.select(folder(F.col("__ref")).alias("__folder")).distinct()
     shared = files.select(folder(F.col("__key")).alias("__folder")).join(there, "__folder", "left_semi")
@@ -84,13 +98,15 @@ def orphan_files(files: DataFrame, referenced: DataFrame, path_col: str, ref_col
     """Files no live snapshot references and older than ``now - min_age``.
 
     Text addresses are compared in canonical form. Two sides that share no folder
-    raise ``ForeignListing`` (also if nothing is referenced at all): the check reads both listings once before the report."""
-    keyed = files.select("*", _key(files, path_col).alias("__key"))
+    raise ``ForeignListing`` (also if nothing is referenced at all): the check reads the first rows of both
+    listings before the report, and all of them if those share no folder."""
+    keyed = files.select("*", _join_key(files, path_col).alias("__key"))
+    named = referenced.where(F.col(ref_col).isNotNull()).select(_join_key(referenced, ref_col).alias("__ref"))
+    if isinstance(files.schema[path_col].dataType, T.StringType):
+        _check_same_place(keyed, named)
     # distinct first: a path referenced by a third of all manifest rows is
     # combined map-side instead of landing whole on one task of the anti join
-    refs = referenced.select(_key(referenced, ref_col).alias("__ref")).distinct()
-    if isinstance(files.schema[path_col].dataType, T.StringType):
-        _check_same_place(keyed, refs)
+    refs = named.distinct()
     aged = keyed.filter(F.col(modified_col) < _cutoff(files, modified_col, now, min_age))
     return aged.join(refs, F.col("__key") == F.col("__ref"), "left_anti").drop("__key")
 
@@ -181,8 +197,9 @@ def delete_files(report: DataFrame, live: DataFrame, path_col: str = "path", liv
     ``live`` lists the files in use *now* (list them again before this step). A report that
     names one of them under any spelling is refused as a whole, before anything is deleted. Pass a written report,
     so that what is deleted is what was looked at."""
-    held = report.select(path_col, _key(report, path_col).alias("__key")).join(
-        live.select(_key(live, live_col).alias("__key")).distinct(), "__key", "left_semi").select(path_col).take(3)
+    held = report.select(path_col, _join_key(report, path_col).alias("__key")).join(
+        live.where(F.col(live_col).isNotNull()).select(_join_key(live, live_col).alias("__key")).distinct(),
+        "__key", "left_semi").select(path_col).take(3)
     if held:
         raise ValueError(f"the report names live files, nothing was deleted: {[r[0] for r in held]}")
     spark = report.sparkSession

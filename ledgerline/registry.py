@@ -284,7 +284,10 @@ def _spelt(key, turn):
     escaped = F.concat(name, F.lit("/day=a%20b%25c/file-"), key.cast("string"))
     kinds = [F.concat(F.lit("/"), plain), F.concat(F.lit("file:/"), plain), F.concat(F.lit("file:///"), escaped),
              F.concat(F.lit("FILE:///./"), plain), F.concat(F.lit("file://///"), escaped)]
-    return F.get(F.array(*kinds), F.pmod(key + turn, F.lit(5)).cast("int"))
+    kind, spelt = F.pmod(key + turn, F.lit(5)), kinds[-1]
+    for k, other in enumerate(kinds[:-1]):                 # only the kind that is wanted is put together
+        spelt = F.when(kind == k, other).otherwise(spelt)
+    return spelt
 
 
 @register("orphan_addresses")

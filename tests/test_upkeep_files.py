@@ -334,3 +334,41 @@ def test_upkeep_reports_expired_files_and_deletes_orphans(spark):
     assert content(spark, path) == rows
     with pytest.raises(SystemExit):
         maintenance.main(["--table", path, "--partition-col", "k", "--delete-orphans"])
+
+
+# ---------------------------------------------------------------- one pass over the listings
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("address, escapes, want", [
+    ("//a/./b//c/", 0, "file:///a/b/c"), ("file:/a/%2Fb/", 0, "file:///a/%2Fb"), ("file:/a/%2Fb/", 1, "file:///a/b"),
+    ("/a%252F.%252Fb", 3, "file:///a/b"), ("S3N://B//k/./", 0, "s3a://b/k"), ("x://b:///k", 0, "x://b:///k"),
+    ("/a%c3%a9+%2B", 1, "file:///aé++"), ("", 0, "file:///"), ("/a/\n", 0, "file:///a\n")])
+def test_steps_left_out_would_change_nothing(spark, address, escapes, want):
+    assert spelt(spark, address, escapes=escapes) == want
+
+
+def test_addresses_are_not_computed_again_by_a_filter(spark):
+    files = spark.createDataFrame([(f"/w/a%20{i}", OLD) for i in range(9)], "path string, m timestamp")
+    refs = spark.createDataFrame([(f"file:/w/a%20{i}",) for i in range(5)], "ref string")
+    report = maintenance.orphan_files(files, refs, "path", "ref", "m")
+    assert [line for line in optimized(report).split("\n") if "Filter" in line and "regexp_replace" in line] == []
+    assert report.count() == 4
+
+
+def test_missing_addresses_match_nothing(spark):
+    files = spark.createDataFrame([("/w/a", OLD), (None, OLD)], "path string, m timestamp")
+    refs = spark.createDataFrame([("/w/a",), (None,)], "ref string")
+    assert [r.path for r in maintenance.orphan_files(files, refs, "path", "ref", "m").collect()] == [None]
+
+
+def test_a_shared_folder_is_found_in_the_first_rows(spark):
+    files = spark.range(9).select(F.concat(F.lit("/w/"), "id").alias("path"), F.lit(OLD).alias("m"))
+    late = F.raise_error(F.lit("read to the end")).cast("string")
+    refs = spark.range(0, 200, 1, 200).select(F.when(F.col("id") < 150, F.concat(F.lit("/w/"), "id")).otherwise(late).alias("ref"))
+    maintenance.orphan_files(files, refs, "path", "ref", "m")
+    # no folder of the first files is referenced, one of a later file is
+    many = spark.range(0, 3000, 1, 3).select(F.concat(F.lit("/w/"), "id", F.lit("/f")).alias("path"), F.lit(OLD).alias("m"))
+    assert maintenance.orphan_files(many, spark.createDataFrame([("/w/2999/f",)], "ref string"), "path", "ref", "m").count() == 2999
