@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,6 +118,22 @@ def _held(manifest: DataFrame, expired: DataFrame, table_col: str, id_col: str)
                          "left").withColumn("__gone", F.coalesce("__gone", F.lit(False))).drop("__t", "__s")
 
 
+def _files_of_expired(manifest: DataFrame, expired: DataFrame, table_col: str, id_col: str, path_col: str,
+                      size_col: str | None) -> DataFrame:
+    """One row per table and file of an expired snapshot: path, (size,) held_by, and __kept: a live snapshot
+    of any table holds the file as well. The manifest is read once, its addresses computed once."""
+    # the address after the join, which then moves one text per row
+    rows = _held(manifest, expired, table_col, id_col)
+    rows = rows.withColumn("__key", _key(rows, path_col))
+    gone = lambda c: F.when(F.col("__gone"), F.col(c))
+    sizes = [F.max(gone(size_col)).alias(size_col)] if size_col else []
+    files = (rows.groupBy(table_col, "__key")
+             .agg(F.min(gone(path_col)).alias(path_col), *sizes, F.count_distinct(gone(id_col)).alias("held_by"),
+                  F.bool_or("__gone").alias("__gone"), F.bool_or(~F.col("__gone") & F.col("__key").isNotNull()).alias("__live")))
+    kept = F.max("__live").over(Window.partitionBy("__key"))
+    return files.withColumn("__kept", kept).where("__gone").drop("__key", "__gone", "__live")
+
+
 def expired_files(manifest: DataFrame, expired: DataFrame, table_col: str = "table_name", id_col: str = "snapshot_id",
                   path_col: str = "path", size_col: str | None = "length") -> DataFrame:
     """Files that only expired snapshots hold: table, path, (size,) snapshots that held them.
@@ -147,12 +163,10 @@ def expiry_summary(snapshots: DataFrame, manifest: DataFrame, expired: DataFrame
     bytes, files that an expired snapshot shares with a live one."""
     every = snapshots.groupBy(table_col).agg(F.count_distinct(id_col).alias("n_snapshots"))
     old = expired.groupBy(table_col).agg(F.count_distinct(id_col).alias("n_expired"))
-    gone = (expired_files(manifest, expired, table_col, id_col, path_col, size_col).groupBy(table_col)
-            .agg(F.count(F.lit(1)).alias("files_freed"), F.sum(size_col).cast("bigint").alias("bytes_freed")))
-    rows = _held(manifest.select(table_col, id_col, _key(manifest, path_col).alias("__key")), expired, table_col, id_col)
-    touched = (rows.where("__gone").select(table_col, "__key").distinct().groupBy(table_col)
-               .agg(F.count(F.lit(1)).alias("__touched")))
-    out = every.join(old, table_col, "left").join(gone, table_col, "left").join(touched, table_col, "left")
+    touched = (_files_of_expired(manifest, expired, table_col, id_col, path_col, size_col).groupBy(table_col)
+               .agg(F.count(F.lit(1)).alias("__touched"), F.count_if(~F.col("__kept")).alias("files_freed"),
+                    F.sum(F.when(~F.col("__kept"), F.col(size_col))).cast("bigint").alias("bytes_freed")))
+    out = every.join(old, table_col, "left").join(touched, table_col, "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
     return out.select(table_col, "n_snapshots", zero("n_expired").alias("n_expired"), zero("files_freed").alias("files_freed"),
                       zero("bytes_freed").alias("bytes_freed"),

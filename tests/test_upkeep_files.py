@@ -372,3 +372,18 @@ def test_a_shared_folder_is_found_in_the_first_rows(spark):
     # no folder of the first files is referenced, one of a later file is
     many = spark.range(0, 3000, 1, 3).select(F.concat(F.lit("/w/"), "id", F.lit("/f")).alias("path"), F.lit(OLD).alias("m"))
     assert maintenance.orphan_files(many, spark.createDataFrame([("/w/2999/f",)], "ref string"), "path", "ref", "m").count() == 2999
+
+
+def listed_manifest(spark):
+    path = fresh_path(spark, "manifest")
+    spark.createDataFrame([("t", 1, "/w/a", 5), ("t", 1, "/w/b", 6), ("u", 2, "file:/w/b", 6), ("t", 1, None, 1), ("t", 2, None, 1)],
+                          "table_name string, snapshot_id long, path string, length long").write.parquet(path)
+    return path, spark.read.parquet(path), spark.createDataFrame([("t", 1)], "table_name string, snapshot_id long")
+
+
+def test_expiry_summary_reads_the_manifest_once(spark):
+    path, manifest, expired = listed_manifest(spark)
+    snaps = spark.createDataFrame([("t", 1), ("t", 2), ("u", 2)], "table_name string, snapshot_id long")
+    out = maintenance.expiry_summary(snaps, manifest, expired)
+    assert optimized(out).count("Relation [") == 1
+    assert sorted(tuple(r) for r in out.collect()) == [("t", 2, 1, 2, 6, 1), ("u", 1, 0, 0, 0, 0)]
