@@ -143,12 +143,7 @@ def expired_files(manifest: DataFrame, expired: DataFrame, table_col: str = "tab
     spelling of its address, stays. Files held by a snapshot that is not in
     ``expired`` count as live, so an unknown snapshot loses nothing.
     """
-    rows = _held(manifest.select("*", _key(manifest, path_col).alias("__key")), expired, table_col, id_col)
-    sizes = [F.max(size_col).alias(size_col)] if size_col else []
-    dead = (rows.where("__gone").groupBy(table_col, "__key")
-            .agg(F.min(path_col).alias(path_col), *sizes, F.count_distinct(id_col).alias("held_by")))
-    live = rows.where("not __gone").select(F.col("__key").alias("__live")).distinct()
-    return dead.join(live, F.col("__key") == F.col("__live"), "left_anti").drop("__key")
+    return _files_of_expired(manifest, expired, table_col, id_col, path_col, size_col).where("not __kept").drop("__kept")
 
 
 def live_files(manifest: DataFrame, expired: DataFrame, table_col: str = "table_name", id_col: str = "snapshot_id",

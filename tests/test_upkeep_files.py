@@ -387,3 +387,10 @@ def test_expiry_summary_reads_the_manifest_once(spark):
     out = maintenance.expiry_summary(snaps, manifest, expired)
     assert optimized(out).count("Relation [") == 1
     assert sorted(tuple(r) for r in out.collect()) == [("t", 2, 1, 2, 6, 1), ("u", 1, 0, 0, 0, 0)]
+
+
+def test_expired_files_read_the_manifest_once(spark):
+    path, manifest, expired = listed_manifest(spark)
+    out = maintenance.expired_files(manifest, expired)
+    assert optimized(out).count("Relation [") == 1
+    assert sorted((str(r.path), r.length, r.held_by) for r in out.collect()) == [("/w/a", 5, 1), ("None", 1, 1)]
