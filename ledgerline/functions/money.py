@@ -37,3 +37,15 @@ def spark_avg(total, count) -> Column:
     """
     t, c = _col(total), _col(count)
     return F.when(c > 0, t / c.cast("decimal(20,0)"))
+
+
+def times(amount, n) -> Column:
+    """The sum of ``n`` equal QUANTITY amounts, exact to the last digit (a plain product of two
+    such wide decimals is rounded); results from 10^29 on are an error."""
+    c = _col(amount)
+    k = n.cast("decimal(10,0)")
+    part = c % F.lit(1)
+    parts = (part * k).cast("decimal(20,8)")
+    whole = (c - part).cast("decimal(30,0)") * k
+    total = (whole + (parts - parts % F.lit(1)).cast("decimal(11,0)")).cast("decimal(29,0)")
+    return F.when(n == 1, c.cast(QUANTITY)).otherwise((total + (parts % F.lit(1)).cast("decimal(8,8)")).cast(QUANTITY))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 from decimal import Decimal as D
+from decimal import localcontext
 
 from pyspark.sql import functions as F
 
@@ -31,6 +32,23 @@ def test_holdings_asof_drops_future_and_unknown_and_groups_null(spark):
     assert r.snapshot_date == DAY
 
 
+def test_holdings_of_duplicate_dimension_rows_without_a_wide_regroup(spark):
+    twice = spark.createDataFrame([(1, "ann"), (1, "ann"), (1, "ann"), (1, None), (1, None), (2, "bob")], "id long, name string")
+    assets = spark.createDataFrame([(10, "AAA", "Alpha", "stock"), (10, "AAA", "Alpha", "stock"), (10, "AAA", None, "stock"), (11, "B", "Beta", "fund")],
+                                   "asset_id long, asset_symbol string, asset_name string, asset_type string")
+    most = D("9" * 27 + ".99999999")
+    h = spark.createDataFrame([(1, 10, None, most, DAY), (1, 11, None, D("-0.00000001"), DAY), (2, 10, "x", None, DAY), (2, 11, "x", D("1"), DAY)],
+                              "user_id long, asset_id long, asset_sub_type string, quantity decimal(38,8), record_date date")
+    out = marts.asset_holdings(h, twice, assets, DAY)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert [p for p in plan if "RepartitionByExpression" in p or "Aggregate [" in p and "user_name" in p and "asset_name" in p] == []
+    got = {(r.user_name, r.asset_id, r.asset_name): r.total_quantity for r in out.collect()}
+    with localcontext(prec=60):
+        want = {("ann", 10, "Alpha"): 6 * most, ("ann", 10, None): 3 * most, (None, 10, "Alpha"): 4 * most, (None, 10, None): 2 * most,
+                ("ann", 11, "Beta"): D("-0.00000003"), (None, 11, "Beta"): D("-0.00000002"), ("bob", 10, "Alpha"): None, ("bob", 10, None): None, ("bob", 11, "Beta"): D(1)}
+    assert got == want
+
+
 def test_portfolio_only_null_values(spark):
     s = spark.createDataFrame([(1, TS(2024, 3, 15, 9), None), (2, TS(2024, 3, 15, 9), D("10.00005")),
                                (2, TS(2024, 3, 15, 10), D("11")), (2, TS(2024, 3, 14, 10), D("99"))],
