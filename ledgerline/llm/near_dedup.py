@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _links
-from ._util import PrefixHash, mix64, save
+from ._util import PrefixHash, mix64, save, scratch
 
 HASHES, BANDS, ROWS = 175, 50, 7
 SKETCH = -(-2 * HASHES // 64)
@@ -238,6 +238,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col="do
 
 def drop_near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col="doc_id", text_col="text") -> DataFrame:
     """The rows of ``df`` whose document is the one kept of its component."""
-    gone = save(near_duplicates(df, width, percent, id_col, text_col).where("not kept")
-                .select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    with scratch(df.sparkSession) as keep:
+        gone = keep(save(near_duplicates(df, width, percent, id_col, text_col).where("not kept")
+                         .select(F.col(id_col).alias("_gone")).distinct(), "gone"))
     return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
