@@ -41,7 +41,7 @@ MARK = "▁"
 _LITERAL = "\ud800"              # stands for a literal mark inside: no valid text holds it
 _NEVER = -(1 << 60)
 _ROWS = 256                      # texts coded at once
-_REMEMBERED = 400_000            # words remembered by a worker in each of two generations
+_REMEMBERED = 250_000            # words remembered by a worker in each of two generations
 
 
 def load_vocabulary(path: str = VOCABULARY) -> dict:
